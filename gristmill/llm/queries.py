@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from gristmill.llm import exact_dedup, licenses, mixing
+from gristmill.llm import exact_dedup, licenses, mixing, substring_dedup
 
 
 def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -22,6 +22,11 @@ def op5_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact_dedup.exact_dedup(documents(spark, sf_dir), keep="largest")
 
 
+def op7_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Words that repeat passages of earlier documents, removed."""
+    return substring_dedup.substring_dedup(documents(spark, sf_dir), digests=True).select("doc_id", "n_words", "n_removed", "kept_sha256")
+
+
 def op10_licenses(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Licences that documents are as a whole, and licences that their lines name."""
     return licenses.scan_licenses(documents(spark, sf_dir))
@@ -30,6 +35,7 @@ def op10_licenses(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES = {
     "op3_mix": op3_mix,
     "op5_exact_dedup": op5_exact_dedup,
+    "op7_substring_dedup": op7_substring_dedup,
     "op10_licenses": op10_licenses,
 }
 
