@@ -5,13 +5,18 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from gristmill.llm import exact_dedup, licenses, mixing, substring_dedup
+from gristmill.llm import exact_dedup, licenses, mixing, near_dedup, substring_dedup
 
 
 def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/documents.parquet")
 
 
+def op2_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Class of near duplicates of every document."""
+    return near_dedup.near_dedup(documents(spark, sf_dir))
+
+
 def op3_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Words that the mix takes of each document."""
     return mixing.mix_report(mixing.mix(documents(spark, sf_dir)))
@@ -33,6 +38,7 @@ def op10_licenses(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES = {
+    "op2_near_dedup": op2_near_dedup,
     "op3_mix": op3_mix,
     "op5_exact_dedup": op5_exact_dedup,
     "op7_substring_dedup": op7_substring_dedup,
