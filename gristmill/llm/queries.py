@@ -5,13 +5,18 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from gristmill.llm import exact_dedup, licenses, mixing, near_dedup, substring_dedup
+from gristmill.llm import exact_dedup, fingerprint, licenses, mixing, near_dedup, substring_dedup
 
 
 def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/documents.parquet")
 
 
+def op1_fingerprint(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Fingerprints of every document and of its edited text, and how alike they are."""
+    return fingerprint.edited_fingerprints(documents(spark, sf_dir))
+
+
 def op2_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Class of near duplicates of every document."""
     return near_dedup.near_dedup(documents(spark, sf_dir))
@@ -38,6 +43,7 @@ def op10_licenses(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES = {
+    "op1_fingerprint": op1_fingerprint,
     "op2_near_dedup": op2_near_dedup,
     "op3_mix": op3_mix,
     "op5_exact_dedup": op5_exact_dedup,
