@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from gristmill.llm import exact_dedup, fingerprint, licenses, mixing, near_dedup, substring_dedup
+from gristmill.llm import exact_dedup, fingerprint, licenses, mixing, near_dedup, quality, substring_dedup
 
 
 def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -32,6 +32,12 @@ def op5_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact_dedup.exact_dedup(documents(spark, sf_dir), keep="largest")
 
 
+def op6_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Quality score of every document."""
+    docs = documents(spark, sf_dir)
+    return quality.score(docs, quality.fit(docs, spark.read.parquet(f"{sf_dir}/labels.parquet")))
+
+
 def op7_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Words that repeat passages of earlier documents, removed."""
     return substring_dedup.substring_dedup(documents(spark, sf_dir), digests=True).select("doc_id", "n_words", "n_removed", "kept_sha256")
@@ -47,6 +53,7 @@ QUERIES = {
     "op2_near_dedup": op2_near_dedup,
     "op3_mix": op3_mix,
     "op5_exact_dedup": op5_exact_dedup,
+    "op6_quality": op6_quality,
     "op7_substring_dedup": op7_substring_dedup,
     "op10_licenses": op10_licenses,
 }
