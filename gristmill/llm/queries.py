@@ -5,7 +5,12 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from gristmill.llm import exact_dedup, fingerprint, licenses, mixing, near_dedup, quality, substring_dedup
+from gristmill.llm import exact_dedup, fingerprint, licenses, mixing, near_dedup, quality, substring_dedup, token_files
+from gristmill.llm.shared import fresh_dir
+
+
+#: Where the vocabulary files of the public tokenizers are.
+TOKENIZERS = "/opt/tokenizers"
 
 
 def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -27,6 +32,13 @@ def op3_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.mix_report(mixing.mix(documents(spark, sf_dir)))
 
 
+def op4_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Token ids of every document, written to files and read back."""
+    path = fresh_dir(spark, "token-files")
+    files = token_files.write_token_files(documents(spark, sf_dir), path, f"{TOKENIZERS}/word_bpe_49k.json", end_id=2)
+    return token_files.read_token_files(spark, path, files)
+
+
 def op5_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Groups of equal texts and the row of each that stays."""
     return exact_dedup.exact_dedup(documents(spark, sf_dir), keep="largest")
@@ -52,6 +64,7 @@ QUERIES = {
     "op1_fingerprint": op1_fingerprint,
     "op2_near_dedup": op2_near_dedup,
     "op3_mix": op3_mix,
+    "op4_token_files": op4_token_files,
     "op5_exact_dedup": op5_exact_dedup,
     "op6_quality": op6_quality,
     "op7_substring_dedup": op7_substring_dedup,

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import tempfile
+import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -21,3 +22,14 @@ def settle(df: DataFrame) -> DataFrame:
     """The rows of ``df``, computed once and written to the shared folder."""
     shared_dir(df.sparkSession)
     return df.checkpoint()
+
+
+def fresh_dir(spark: SparkSession, name: str) -> str:
+    """A new folder's name in the shared folder; the folder goes when the driver's JVM ends."""
+    path = f"{shared_dir(spark).rstrip('/')}/{name}-{uuid.uuid4().hex}"
+    jvm = spark.sparkContext._jvm
+    place = jvm.org.apache.hadoop.fs.Path(path)
+    system = place.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+    system.mkdirs(place)
+    system.deleteOnExit(place)
+    return path
