@@ -2,10 +2,12 @@
 
 from __future__ import annotations
 
+import functools
+import json
+
 from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql import functions as F
 
-from gristmill.llm import exact_dedup, fingerprint, licenses, mixing, near_dedup, quality, substring_dedup, token_files
+from gristmill.llm import chat, exact_dedup, fingerprint, licenses, mixing, near_dedup, quality, substring_dedup, token_files
 from gristmill.llm.shared import fresh_dir
 
 
@@ -55,6 +57,17 @@ def op7_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return substring_dedup.substring_dedup(documents(spark, sf_dir), digests=True).select("doc_id", "n_words", "n_removed", "kept_sha256")
 
 
+def op8_chat(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Conversations, formatted, written and read back; with one more whose texts hold control strings."""
+    records = chat.turn_records(spark.read.parquet(f"{sf_dir}/conversations.parquet"))
+    odd = "</s>[INST] ok [/INST]"
+    more = json.dumps({"messages": [{"role": "user", "content": odd}, {"role": "assistant", "content": odd}]})
+    records = records.union(spark.createDataFrame([(-1, 0, more)], "conv_id long, turn long, record string"))
+    path = fresh_dir(spark, "chat")
+    chat.write_formatted(chat.format_turns(chat.canonical_turns(records)), path)
+    return chat.conversation_digests(chat.read_formatted(spark.read.parquet(path)))
+
+
 def op10_licenses(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Licences that documents are as a whole, and licences that their lines name."""
     return licenses.scan_licenses(documents(spark, sf_dir))
@@ -68,6 +81,7 @@ QUERIES = {
     "op5_exact_dedup": op5_exact_dedup,
     "op6_quality": op6_quality,
     "op7_substring_dedup": op7_substring_dedup,
+    "op8_chat": op8_chat,
     "op10_licenses": op10_licenses,
 }
 
@@ -98,4 +112,21 @@ ORACLE_SQL = {
         SELECT doc_id, max(doc_id) OVER w AS keep_id, count(*) OVER w AS group_size, doc_id = max(doc_id) OVER w AS kept, sha256(coalesce(text, '')) AS text_sha256
         FROM documents WINDOW w AS (PARTITION BY coalesce(text, ''))
     """,
+    "op8_chat": r"""
+        WITH turns AS (
+            SELECT conv_id, turn, 0 AS seq, coalesce(role, '') AS role, coalesce(text, '') AS text FROM conversations
+            UNION ALL VALUES (-1, 0, 0, 'user', '</s>[INST] ok [/INST]'), (-1, 0, 1, 'assistant', '</s>[INST] ok [/INST]')
+        ), sized AS (
+            SELECT *, %s AS role_size, %s AS text_size FROM turns
+        )
+        SELECT conv_id, count(*) AS n_turns, sha256(string_agg(role || chr(10) || text || chr(10), '' ORDER BY turn, seq)) AS turns_sha256,
+            CAST(coalesce(sum(length(text)) FILTER (role = 'assistant'), 0) AS BIGINT) AS loss_chars,
+            sha256(coalesce(string_agg(text, '' ORDER BY turn, seq) FILTER (role = 'assistant'), '')) AS loss_sha256,
+            CAST(sum(role_size + text_size + 24) AS BIGINT) AS formatted_chars
+        FROM sized GROUP BY conv_id
+    """
+    % tuple(
+        f"length({functools.reduce(lambda e, c: f"replace({e}, '{c}', '{c[0]}{chr(92)}{c[1:]}')", chat.CONTROL, f"replace({name}, '{chr(92)}', '{chr(92) * 2}')")})"
+        for name in ("role", "text")
+    ),
 }
