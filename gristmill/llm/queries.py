@@ -6,8 +6,9 @@ import functools
 import json
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from gristmill.llm import chat, exact_dedup, fingerprint, licenses, mixing, near_dedup, quality, substring_dedup, token_files
+from gristmill.llm import chat, exact_dedup, fingerprint, licenses, mixing, near_dedup, piece_sampling, quality, substring_dedup, token_files
 from gristmill.llm.shared import fresh_dir
 
 
@@ -68,6 +69,14 @@ def op8_chat(spark: SparkSession, sf_dir: str) -> DataFrame:
     return chat.conversation_digests(chat.read_formatted(spark.read.parquet(path)))
 
 
+def op9_pieces(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Two sampled segmentations of every document, decoded again."""
+    model = f"{TOKENIZERS}/piece_bpe_32k.model"
+    encoded = piece_sampling.encode_samples(documents(spark, sf_dir), model, samples=2)
+    decoded = piece_sampling.decode_samples(encoded, model)
+    return decoded.select("doc_id", "sample", F.size("ids").alias("n_ids"), F.xxhash64("ids").alias("ids_hash"), "log_prob", "inclusion", F.sha2("text", 256).alias("text_sha256"))
+
+
 def op10_licenses(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Licences that documents are as a whole, and licences that their lines name."""
     return licenses.scan_licenses(documents(spark, sf_dir))
@@ -82,6 +91,7 @@ QUERIES = {
     "op6_quality": op6_quality,
     "op7_substring_dedup": op7_substring_dedup,
     "op8_chat": op8_chat,
+    "op9_pieces": op9_pieces,
     "op10_licenses": op10_licenses,
 }
 
