@@ -140,7 +140,8 @@ class WordEncoder:
     def encode(self, text: bytes) -> bytes:
         """Ids of a text as little-endian unsigned 32-bit integers."""
         parts = text.split()
-        if missing := set(parts) - self.young.keys():
+        young = self.young
+        if missing := {w for w in parts if w not in young}:
             if len(self.young) + len(missing) > self.keep:
                 self.old, self.young, missing = self.young, {}, set(parts)
             new = []
