@@ -129,7 +129,7 @@ class WordEncoder:
     generations of words are kept, each of at most ``keep`` words, so memory is bounded.
     """
 
-    def __init__(self, path: str, keep: int = 250_000):
+    def __init__(self, path: str, keep: int = 500_000):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer
 
