@@ -46,3 +46,20 @@ def exact_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     )
     joined = runs.join(groups, ["text_sha256", "_salt"])
     return joined.select("doc_id", "keep_id", "group_size", (F.col("_starts") & F.col("doc_id").eqNullSafe(F.col("keep_id"))).alias("kept"), "text_sha256")
+
+
+def keep_distinct(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", keep: str = "largest") -> DataFrame:
+    """The rows of ``docs`` that ``exact_dedup`` keeps, with all their columns; of repeated rows one.
+
+    The kept ids and digests find their rows in one join, which also gathers repeated rows, so dropping
+    those needs no further shuffle.
+    """
+    key = ["_gm_sha", "_gm_id", "_gm_null"]
+
+    def keyed(df: DataFrame, doc_id: Column, digest: Column) -> DataFrame:
+        return df.withColumns({"_gm_sha": digest, "_gm_id": F.coalesce(doc_id.cast("string"), F.lit("")), "_gm_null": doc_id.isNull()})
+
+    found = exact_dedup(docs, id_col, text_col, keep=keep).filter("kept")
+    found = keyed(found, found["doc_id"], found["text_sha256"]).select(*key)
+    rows = keyed(docs, docs[id_col], F.sha2(F.coalesce(docs[text_col].cast("string"), F.lit("")), 256))
+    return rows.join(found, key, "left_semi").dropDuplicates(key).drop(*key)

@@ -36,7 +36,7 @@ def fair_targets(sizes: DataFrame, weights=(5, 2, 1), share: float = 1.5, epochs
     return rows.select("source", "source_size", F.least(F.col("_cap"), F.coalesce(final * F.col("_w"), F.col("_cap"))).alias("target"))
 
 
-def mix(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", weights=(5, 2, 1), share: float = 1.5, epochs: int = 2, seed: str = "mix", hex_shards: int = 3) -> DataFrame:
+def mix(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", weights=(5, 2, 1), share: float = 1.5, epochs: int = 2, seed: str = "mix", hex_shards: int = 3, carry: bool = False) -> DataFrame:
     """One row for each service of a document in the mix: doc_id, source, epoch, size, source_size,
     target, start_time, finish_time, taken; documents that the mix leaves out have one row with
     epoch 0 and taken 0.
@@ -55,6 +55,8 @@ def mix(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_
     Null text has size 0, and documents of size 0 take 0. Null sources are one source, the last. Null
     ids and repeated rows are ordered by their digest and are served one after the other. An empty
     table gives an empty result. Reruns agree.
+
+    With ``carry`` each service also has the input's row, in the struct ``row``; texts are then shuffled once.
     """
     digest = F.md5(F.concat(F.lit(f"{seed}:"), F.coalesce(docs[id_col].cast("string"), F.lit("null"))))
     sized = docs.select(
@@ -64,10 +66,14 @@ def mix(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_
         word_count(docs[text_col].cast("string")).alias("size"),
         digest.alias("_order"),
         F.substring(digest, 1, hex_shards).alias("_shard"),
+        *([F.struct(*[docs[c] for c in docs.columns]).alias("row")] if carry else []),
     )
     shard = ["_source", "_null", "_shard"]
-    sized = sized.repartition(*shard)
-    shards = sized.groupBy(*shard).agg(F.sum("size").alias("_words"))
+    if carry:
+        shards, sized = sized.drop("row"), sized.repartition(*shard)
+    else:
+        shards = sized = sized.repartition(*shard)
+    shards = shards.groupBy(*shard).agg(F.sum("size").alias("_words"))
     of_source = Window.partitionBy("_source", "_null")
     before = of_source.orderBy("_shard").rowsBetween(Window.unboundedPreceding, -1)
     shards = shards.withColumn("_offset", F.coalesce(F.sum("_words").over(before), F.lit(0)))
@@ -93,6 +99,7 @@ def mix(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_
         (start / F.nullif(F.col("target"), F.lit(0.0))).alias("start_time"),
         ((start + F.col("size")) / F.nullif(F.col("target"), F.lit(0.0))).alias("finish_time"),
         F.when(epoch > 0, F.least(F.col("size"), F.floor("target") - start)).otherwise(F.lit(0)).cast("long").alias("taken"),
+        *(["row"] if carry else []),
     )
 
 
@@ -109,3 +116,17 @@ def mix_report(mixed: DataFrame) -> DataFrame:
     """
     per = mixed.groupBy("doc_id", "source", "source_size", "target").agg(F.sum(F.when(F.col("epoch") <= 1, F.col("size")).otherwise(F.lit(0))).alias("size"), F.sum("taken").alias("taken"))
     return per.select("doc_id", "size", "source_size", "target", "taken")
+
+
+def mixed_documents(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", **parameters) -> DataFrame:
+    """The mix as documents, in the order of their virtual finish times, with the columns of ``docs``.
+
+    A document that is served twice is there twice. The last one of a source is cut to the words that are
+    taken of it (then joined by single spaces); n_chars, where there is one, follows.
+    """
+    served = mix_order(mix(docs, id_col, text_col, source_col, carry=True, **parameters))
+    text = F.col("row")[text_col]
+    cut = F.array_join(F.slice(F.regexp_extract_all(text, F.lit(f"({WORD})")), 1, F.col("taken").cast("int")), " ")
+    changed = {text_col: cut} | ({"n_chars": F.length(cut).cast(docs.schema["n_chars"].dataType)} if "n_chars" in docs.columns else {})
+    whole = F.col("taken") == F.col("size")
+    return served.select(*[F.when(whole, F.col("row")[c]).otherwise(changed[c]).alias(c) if c in changed else F.col("row")[c].alias(c) for c in docs.columns])

@@ -212,3 +212,15 @@ def score(docs: DataFrame, model: Network | float, id_col: str = "doc_id", text_
     rows = docs.select(docs[id_col].cast("long").alias("doc_id"), docs[text_col].cast("string").alias("text"))
     scored = rows.mapInArrow(run, "doc_id long, score double")
     return scored.select("doc_id", F.coalesce(held_out(F.col("doc_id")), F.lit(False)).alias("held_out"), "score", (F.col("score") >= threshold).cast("int").alias("predicted"))
+
+
+def keep_accepted(docs: DataFrame, model: Network | float, text_col: str = "text", threshold: float = 0.3) -> DataFrame:
+    """The rows of ``docs``, with all their columns, whose text scores at least the threshold. Nothing is shuffled."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for piece in words.chunks(batch, text_col):
+                s = np.full(piece.num_rows, model) if isinstance(model, float) else model.scores(features(piece.column(text_col)))
+                yield piece.filter(pa.array(s >= threshold))
+
+    return docs.mapInArrow(run, docs.schema)
