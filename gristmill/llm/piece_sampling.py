@@ -25,6 +25,8 @@ from gristmill.llm import words
 #: Log probabilities are kept in steps of 2 ** -30: their sums are exact and do not depend on the chunk.
 UNIT = 1 << 30
 SPACE = 0x20
+#: Bytes of text that are sampled at once: its arrays are many times larger.
+CHUNK_BYTES = 1 << 19
 
 
 def _uniform(h: np.ndarray) -> np.ndarray:
@@ -325,7 +327,7 @@ def encode_samples(docs: DataFrame, model: str, samples: int = 2, alpha: float =
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         pieces = _vocabulary(model)
         for batch in batches:
-            for part in words.chunks(batch, "text"):
+            for part in words.chunks(batch, "text", CHUNK_BYTES):
                 text = pc.replace_substring(pc.fill_null(part.column("text"), ""), "▁", " ")
                 ids = pc.fill_null(part.column("doc_id"), -(1 << 63)).to_numpy().view(np.uint64)
                 keys = words.mix(words.mix(ids + np.uint64(0xA0761D6478BD642F)) + np.uint64(seed * 0xE7037ED1A0B428DB & 0xFFFFFFFFFFFFFFFF))
