@@ -1,6 +1,471 @@
-"""Named queries over the driver's tables and the SQL each is compared with."""
+"""Named queries over the driver's tables and the SQL each is compared with.
+
+Roles of the tables: ``embeddings`` with vec_id divisible by 10 are queries, all are the corpus, equal labels are
+relevant, five neighbouring ids are one article; ``documents`` are the texts, lang their theme, source their law.
+"""
 
 from __future__ import annotations
 
+from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import functions as F
+
+from gristmill.functions import text as T
+from gristmill.operators import judge, stats, store, training, vector
+from gristmill.streaming import ingest
+
 QUERIES: dict = {}
 ORACLE_SQL: dict = {}
+DEPTH = 100
+
+
+def query(sql: str | None = None):
+    def add(f):
+        QUERIES[f.__name__] = f
+        if sql:
+            ORACLE_SQL[f.__name__] = sql
+        return f
+
+    return add
+
+
+def _table(spark: SparkSession, sf: str, name: str) -> DataFrame:
+    return spark.read.parquet(f"{sf}/{name}.parquet")
+
+
+def _corpus(spark, sf) -> DataFrame:
+    return _table(spark, sf, "embeddings").select(F.col("vec_id").alias("id"), "embedding", "label")
+
+
+def _queries(spark, sf) -> DataFrame:
+    return _corpus(spark, sf).filter("id % 10 = 0").withColumnRenamed("id", "qid")
+
+
+def _ranked(spark, sf, k: int = DEPTH) -> DataFrame:
+    return vector.batch_knn(_queries(spark, sf), _corpus(spark, sf), k)
+
+
+def _roles(spark, sf):
+    """positives (the lowest other id of the label), alternatives (the rest), per question."""
+    q, d = _queries(spark, sf).select("qid", "label"), _corpus(spark, sf).select("id", "label")
+    same = q.join(d, "label").filter("id != qid")
+    positives = same.groupBy("qid").agg(F.min("id").alias("id"))
+    return positives, same.select("qid", "id").join(positives, ["qid", "id"], "left_anti")
+
+
+def _judged(spark, sf) -> DataFrame:
+    positives, alternatives = _roles(spark, sf)
+    ranked = _ranked(spark, sf)
+    near = ranked.select("qid", "id")
+    ignored, partial = near.filter("id % 7 = 3").join(positives, ["qid", "id"], "left_anti"), near.filter("id % 7 = 5").join(positives, ["qid", "id"], "left_anti")
+    keys = _corpus(spark, sf).select("id", F.floor(F.col("id") / 5).cast("string").alias("key"))
+    return judge.per_question(ranked, positives, alternatives, ignored, partial, keys).join(_queries(spark, sf).select("qid", "label"), "qid")
+
+
+_BASE = f"""
+    WITH d AS (SELECT vec_id AS id, label, CAST(embedding AS DOUBLE[]) AS e FROM embeddings), q AS (SELECT id AS qid, label, e FROM d WHERE id % 10 = 0),
+    ranked AS (
+        SELECT qid, id, score, row_number() OVER (PARTITION BY qid ORDER BY score DESC, id) AS rank
+        FROM (SELECT qid, id, round(list_dot_product(q.e, d.e), 6) AS score FROM q, d WHERE qid <> id) QUALIFY rank <= {DEPTH}
+    ), same AS (SELECT qid, id FROM q JOIN d USING (label) WHERE qid <> id),
+    pos AS (SELECT qid, min(id) AS id FROM same GROUP BY qid)
+"""
+_JUDGED = (
+    _BASE
+    + """, kept AS (
+        SELECT r.qid, r.id, row_number() OVER (PARTITION BY r.qid ORDER BY rank) AS rank, r.id = p.id AS is_pos FROM ranked r JOIN pos p ON r.qid = p.qid WHERE r.id % 7 <> 3 OR r.id = p.id
+    ), firsts AS (SELECT qid, id // 5 AS key, min(rank) AS f FROM kept GROUP BY ALL),
+    places AS (SELECT qid, key, row_number() OVER (PARTITION BY qid ORDER BY f) AS place FROM firsts),
+    multi AS (SELECT qid, id, row_number() OVER (PARTITION BY qid ORDER BY rank) AS rank FROM kept WHERE id % 7 <> 5 OR is_pos),
+    judged AS (
+        SELECT q.qid, q.label, (SELECT min(rank) FROM kept k WHERE k.qid = q.qid AND is_pos) AS doc_rank,
+            (SELECT min(place) FROM places a, pos p WHERE a.qid = q.qid AND p.qid = q.qid AND a.key = p.id // 5) AS article_rank,
+            (SELECT min(rank) FROM multi m JOIN same s ON m.qid = s.qid AND m.id = s.id WHERE m.qid = q.qid) AS multi_rank
+        FROM q JOIN pos USING (qid)
+    ), long AS (SELECT qid, label, unnest(['doc', 'article', 'multi']) AS judge, unnest([doc_rank, article_rank, multi_rank]) AS rank FROM judged),
+    metric AS (
+        SELECT judge, label, qid, CASE WHEN rank <= 1 THEN 1.0 ELSE 0.0 END AS r1, CASE WHEN rank <= 5 THEN 1.0 ELSE 0.0 END AS r5, CASE WHEN rank <= 10 THEN 1.0 ELSE 0.0 END AS r10,
+            CASE WHEN rank <= 10 THEN CAST(1 AS DOUBLE) / rank ELSE 0 END AS mrr10, CASE WHEN rank <= 10 THEN 1 / log2(rank + 1.0) ELSE 0 END AS ndcg10 FROM long
+    )
+"""
+)
+_MEANS = ", ".join(f"round(avg(CAST({m} AS DOUBLE)), 6) AS {m}" for m in judge.METRICS)
+
+
+@query(_BASE + "SELECT qid, id, score, CAST(rank AS INT) AS rank FROM ranked WHERE rank <= 10")
+def knn_topk(spark, sf):
+    """Exact top 10 of every query."""
+    return _ranked(spark, sf, 10)
+
+
+@query(_BASE + "SELECT qid, id, round(list_dot_product(q.e, d.e), 6) AS score, CAST(row_number() OVER (PARTITION BY qid ORDER BY round(list_dot_product(q.e, d.e), 6) DESC, id) AS INT) AS rank FROM q, d WHERE qid <> id AND d.label IN (1, 3) QUALIFY rank <= 5")
+def knn_filtered(spark, sf):
+    """Top 5 after a metadata filter."""
+    return vector.batch_knn(_queries(spark, sf), _corpus(spark, sf).filter(vector.predicate({"label": ["1", "3"]}, ("label",))), 5)
+
+
+@query("SELECT vec_id AS id, label, round(list_cosine_similarity(CAST(embedding AS DOUBLE[]), (SELECT CAST(embedding AS DOUBLE[]) FROM embeddings WHERE vec_id = 0)), 6) AS score FROM embeddings WHERE label <= 5 ORDER BY list_cosine_similarity(CAST(embedding AS DOUBLE[]), (SELECT CAST(embedding AS DOUBLE[]) FROM embeddings WHERE vec_id = 0)) DESC, id LIMIT 10")
+def search_one(spark, sf):
+    """One query vector against the filtered index."""
+    vector_of = [float(x) for x in _corpus(spark, sf).filter("id = 0").first().embedding]
+    rows = _corpus(spark, sf).filter("label <= 5")
+    return vector.search(rows, vector_of, 10).select("id", "label", F.round("score", 6).alias("score"))
+
+
+@query(_JUDGED + "SELECT qid, label, CAST(doc_rank AS INT) AS doc_rank, CAST(article_rank AS INT) AS article_rank, CAST(multi_rank AS INT) AS multi_rank FROM judged")
+def retrieval_per_question(spark, sf):
+    """Ranks of the three judgements."""
+    return _judged(spark, sf).select("qid", "label", "doc_rank", "article_rank", "multi_rank")
+
+
+@query(_JUDGED + f"SELECT judge, 'all' AS group_kind, 'all' AS grp, count(*) AS n, {_MEANS} FROM metric GROUP BY ALL UNION ALL SELECT judge, 'label', CAST(label AS VARCHAR), count(*) AS n, {_MEANS} FROM metric GROUP BY judge, label")
+def retrieval_metrics(spark, sf):
+    """Mean metrics of each judgement, over all and by label."""
+    return judge.report(_judged(spark, sf), ["label"])
+
+
+@query(_JUDGED + "SELECT judge, round(avg(r5), 6) AS macro_r5 FROM (SELECT judge, label, avg(r5) AS r5 FROM metric GROUP BY judge, label) GROUP BY judge")
+def retrieval_macro(spark, sf):
+    """Mean over labels of the labels' recall at 5."""
+    rows = _judged(spark, sf).select("label", F.explode(F.array(*[F.struct(F.lit(j).alias("judge"), F.col(f"{j}_rank").alias("rank")) for j in ("doc", "article", "multi")])).alias("j"))
+    per = rows.groupBy("j.judge", "label").agg(F.avg(judge.metrics(F.col("j.rank"))[1]).alias("r5"))
+    return per.groupBy("judge").agg(F.round(F.avg("r5"), 6).alias("macro_r5"))
+
+
+@query(_JUDGED + "SELECT CASE WHEN doc_rank <= 5 THEN '1-5' WHEN doc_rank <= 10 THEN '6-10' WHEN doc_rank <= 30 THEN '11-30' WHEN doc_rank <= 100 THEN '31-100' ELSE 'beyond' END AS bucket, count(*) AS n, CAST(sum(CASE WHEN multi_rank <= 5 THEN 1 ELSE 0 END) AS BIGINT) AS multi_hits FROM judged GROUP BY ALL")
+def rank_buckets(spark, sf):
+    """How questions spread over rank buckets."""
+    rows = _judged(spark, sf).withColumn("bucket", judge.rank_bucket(F.col("doc_rank")))
+    return rows.groupBy("bucket").agg(F.count(F.lit(1)).alias("n"), F.sum((F.coalesce(F.col("multi_rank") <= 5, F.lit(False))).cast("long")).alias("multi_hits"))
+
+
+@query(_JUDGED + "SELECT round(1 - avg(CASE WHEN doc_rank <= 30 THEN 0.0 ELSE 1.0 END), 6) AS attainable FROM judged")
+def attainable_recall(spark, sf):
+    """Share of questions whose answer is within reach of a reordering."""
+    return _judged(spark, sf).agg(F.round(1 - F.avg(F.when(F.col("doc_rank") <= 30, 0.0).otherwise(1.0)), 6).alias("attainable"))
+
+
+@query(
+    _BASE
+    + """, rel AS (SELECT qid, id FROM same), m AS (SELECT qid, count(*) AS m FROM rel GROUP BY qid),
+    hits AS (SELECT r.qid, r.rank, sum(CASE WHEN s.id IS NULL THEN 0 ELSE 1 END) OVER (PARTITION BY r.qid ORDER BY rank) AS c, s.id FROM ranked r LEFT JOIN rel s ON r.qid = s.qid AND r.id = s.id WHERE rank <= 10)
+    SELECT m.qid, round(coalesce((SELECT sum(CAST(c AS DOUBLE) / rank) FROM hits h WHERE h.qid = m.qid AND h.id IS NOT NULL), 0) / least(m, 10), 6) AS ap FROM m"""
+)
+def mean_average_precision(spark, sf):
+    """Average precision at 10 of every question."""
+    positives, alternatives = _roles(spark, sf)
+    return judge.average_precision(_ranked(spark, sf, 10), positives.union(alternatives)).select("qid", F.round("ap", 6).alias("ap"))
+
+
+@query(_BASE + ", best AS (SELECT qid, id // 5 AS grp, id, score FROM ranked QUALIFY row_number() OVER (PARTITION BY qid, id // 5 ORDER BY score DESC, id) = 1) SELECT qid, grp, id, score, CAST(row_number() OVER (PARTITION BY qid ORDER BY score DESC, id) AS INT) AS rank FROM best QUALIFY rank <= 10")
+def article_dedup(spark, sf):
+    """The best piece of each article, ten articles a query."""
+    groups = _corpus(spark, sf).select("id", F.floor(F.col("id") / 5).alias("grp"))
+    return vector.best_pieces(_ranked(spark, sf), groups, 10)
+
+
+_HALF = """, half AS (
+        SELECT qid, id, row_number() OVER (PARTITION BY qid ORDER BY score DESC, id) AS rank
+        FROM (SELECT qid, id, round(list_dot_product(q.e[1:16], d.e[1:16]), 6) AS score FROM q, d WHERE qid <> id) QUALIFY rank <= 100
+    )"""
+
+
+def _half(spark, sf):
+    cut = lambda df: df.withColumn("embedding", F.slice("embedding", 1, 16))
+    return vector.batch_knn(cut(_queries(spark, sf)), cut(_corpus(spark, sf)), DEPTH)
+
+
+@query(_BASE + _HALF + " SELECT r.qid, r.id, CAST(r.rank AS INT) AS rank, CAST(h.rank AS INT) AS other_rank FROM ranked r LEFT JOIN half h ON r.qid = h.qid AND r.id = h.id WHERE r.rank <= 10")
+def cross_model_ranks(spark, sf):
+    """Where one model's top 10 stand with a model of 16 dimensions."""
+    return vector.cross_ranks(_ranked(spark, sf, 10), _half(spark, sf))
+
+
+_HITS = (
+    _BASE
+    + _HALF
+    + """, hit AS (
+        SELECT q.qid, q.label, CASE WHEN (SELECT min(rank) FROM half h JOIN same s ON h.qid = s.qid AND h.id = s.id WHERE h.qid = q.qid) <= 3 THEN 1 ELSE 0 END AS b,
+            CASE WHEN (SELECT min(rank) FROM ranked h JOIN same s ON h.qid = s.qid AND h.id = s.id WHERE h.qid = q.qid) <= 3 THEN 1 ELSE 0 END AS o
+        FROM q JOIN pos USING (qid)
+    )"""
+)
+
+
+def _compared(spark, sf):
+    positives, alternatives = _roles(spark, sf)
+    same = positives.union(alternatives)
+    rank = lambda r: positives.select("qid").join(r.join(same, ["qid", "id"]).groupBy("qid").agg(F.min("rank").alias("doc_rank")), "qid", "left")
+    return judge.compare(rank(_half(spark, sf)), rank(_ranked(spark, sf)), k=3)
+
+
+@query(_HITS + " SELECT CASE WHEN b = 0 AND o = 1 THEN 'fixed' WHEN b = 1 AND o = 0 THEN 'broken' WHEN b = 1 THEN 'both_right' ELSE 'both_wrong' END AS outcome, count(*) AS n FROM hit GROUP BY ALL")
+def paired_outcomes(spark, sf):
+    """Questions that one run gains or loses against another."""
+    return _compared(spark, sf).groupBy("outcome").agg(F.count(F.lit(1)).alias("n"))
+
+
+@query(
+    _HITS
+    + """ SELECT n, base, other, round(other - base, 6) AS delta, fixed, broken,
+        round(CASE WHEN fixed + broken = 0 THEN 1 ELSE least(1.0, 2 * (SELECT sum(exp(lgamma(m + 1) - lgamma(i + 1) - lgamma(m - i + 1) - m * ln(2.0))) FROM (SELECT unnest(range(0, least(fixed, broken) + 1)) AS i, fixed + broken AS m))) END, 6) AS mcnemar_p
+    FROM (SELECT count(*) AS n, round(avg(b), 6) AS base, round(avg(o), 6) AS other, CAST(count(*) FILTER (b = 0 AND o = 1) AS BIGINT) AS fixed, CAST(count(*) FILTER (b = 1 AND o = 0) AS BIGINT) AS broken FROM hit)"""
+)
+def paired_test(spark, sf):
+    """Difference of two runs and its exact p value."""
+    return stats.paired_summary(_compared(spark, sf))
+
+
+@query()
+def bootstrap_interval(spark, sf):
+    """Interval of the difference by Poisson bootstrap (its noise is not SQL's)."""
+    return stats.bootstrap_interval(_compared(spark, sf))
+
+
+_Q8 = """, s8 AS (SELECT id, e, CASE WHEN list_max(list_transform(e, lambda x: abs(x))) > 0 THEN list_max(list_transform(e, lambda x: abs(x))) / 127 ELSE 1 END AS scale FROM d),
+    i8 AS (SELECT id, scale, list_transform(e, lambda x: CAST(round_even(x / scale, 0) AS DOUBLE)) AS codes FROM s8)"""
+
+
+@query(_BASE + _Q8 + " SELECT qid, i8.id, round(list_dot_product(q.e, codes) * scale, 6) AS score, CAST(row_number() OVER (PARTITION BY qid ORDER BY round(list_dot_product(q.e, codes) * scale, 6) DESC, i8.id) AS INT) AS rank FROM q, i8 WHERE qid <> i8.id QUALIFY rank <= 10")
+def quantized_knn(spark, sf):
+    """Top 10 over eight-bit codes."""
+    packed = _corpus(spark, sf).select("id", vector.quantize(F.col("embedding")).alias("q"))
+    rows = packed.select("id", F.transform(F.col("q.codes"), lambda c: c * F.col("q.scale")).alias("embedding"))
+    return vector.batch_knn(_queries(spark, sf), rows, 10)
+
+
+_CANDS = _BASE + ", cand AS (SELECT r.qid, r.id, r.rank, round(r.score / (SELECT list_dot_product(q.e, d.e) FROM d WHERE d.id = p.id), 4) AS ratio FROM ranked r JOIN pos p ON r.qid = p.qid JOIN q ON q.qid = r.qid WHERE r.id <> p.id)"
+
+
+def _candidates(spark, sf):
+    positives, _ = _roles(spark, sf)
+    d, q = _corpus(spark, sf), _queries(spark, sf)
+    own = positives.join(d.select("id", F.col("embedding").alias("de")), "id").join(q.select("qid", "embedding"), "qid").select("qid", F.col("id").alias("positive"), vector.dot(F.col("embedding"), F.col("de")).alias("own"))
+    return _ranked(spark, sf).join(own, "qid").filter("id != positive").select("qid", "id", "rank", F.round(F.col("score") / F.col("own"), 4).alias("ratio"))
+
+
+@query(
+    _CANDS
+    + """, good AS (SELECT qid, id, row_number() OVER (PARTITION BY qid ORDER BY CASE WHEN rank <= 10 THEN 0 ELSE 1 END, rank) AS i, count(*) OVER (PARTITION BY qid) AS m, rank FROM cand WHERE ratio < 0.95 AND rank <= 30)
+    SELECT qid, CAST(n AS INT) AS n, id, CASE WHEN n >= m THEN 'repeat' WHEN rank <= 10 THEN 'top' ELSE 'fill' END AS reason FROM good, (SELECT unnest([0, 1, 2]) AS n) WHERE i = n % m + 1"""
+)
+def mine_negatives(spark, sf):
+    """Three hard negatives a question."""
+    return training.pick_negatives(_candidates(spark, sf))
+
+
+@query(_CANDS + " SELECT CASE WHEN ratio >= 0.95 THEN 'suspect' ELSE 'clear' END AS verdict, count(*) AS n, CAST(count(DISTINCT qid) AS BIGINT) AS questions FROM cand WHERE rank <= 30 GROUP BY ALL")
+def false_negative_audit(spark, sf):
+    """Candidates that score like the positive."""
+    rows = _candidates(spark, sf).filter("rank <= 30").withColumn("verdict", F.when(F.col("ratio") >= 0.95, "suspect").otherwise("clear"))
+    return rows.groupBy("verdict").agg(F.count(F.lit(1)).alias("n"), F.count_distinct("qid").alias("questions"))
+
+
+@query(
+    _BASE
+    + """, near AS (SELECT t.id, max(round(list_dot_product(t.e, r.e), 6)) AS best FROM d t, d r WHERE t.id % 10 < 3 AND r.id % 10 >= 3 GROUP BY t.id)
+    SELECT CASE WHEN best >= 0.95 THEN '>=.95' WHEN best >= 0.9 THEN '>=.90' WHEN best >= 0.8 THEN '>=.80' ELSE '<.80' END AS bucket, count(*) AS n FROM near GROUP BY ALL"""
+)
+def leak_buckets(spark, sf):
+    """How near test rows are to their nearest training row."""
+    d = _corpus(spark, sf)
+    near = vector.batch_knn(d.filter("id % 10 < 3").withColumnRenamed("id", "qid"), d.filter("id % 10 >= 3"), 1)
+    bucket = F.when(F.col("score") >= 0.95, ">=.95").when(F.col("score") >= 0.9, ">=.90").when(F.col("score") >= 0.8, ">=.80").otherwise("<.80")
+    return near.groupBy(bucket.alias("bucket")).agg(F.count(F.lit(1)).alias("n"))
+
+
+@query(
+    _BASE
+    + """, m AS (SELECT a.id // 8 AS batch, a.id % 8 AS i, b.id % 8 AS j, list_dot_product(a.e, b.e) AS s FROM d a JOIN d b ON a.id // 8 = b.id // 8),
+    r AS (SELECT batch, i, max(s) FILTER (i = j) AS own, max(s) FILTER (i <> j) AS best, ln(sum(exp(s * 20 - 20))) + 20 AS lse FROM m GROUP BY batch, i)
+    SELECT batch, round(avg(lse - own * 20), 6) AS loss, round(min(own - best), 6) AS margin FROM r GROUP BY batch"""
+)
+def in_batch_loss(spark, sf):
+    """Ranking loss and margin of batches of eight."""
+    d = _corpus(spark, sf).withColumn("batch", F.floor(F.col("id") / 8))
+    a, b = d.select("batch", (F.col("id") % 8).alias("i"), F.col("embedding").alias("x")), d.select("batch", (F.col("id") % 8).alias("j"), F.col("embedding").alias("y"))
+    scores = a.join(b, "batch").select("batch", "i", "j", vector.dot(F.col("x"), F.col("y")).alias("score"))
+    return training.in_batch_loss(scores).select("batch", F.round("loss", 6).alias("loss"), F.round("margin", 6).alias("margin"))
+
+
+@query("SELECT lang AS theme, count(*) AS documents, count(DISTINCT source) AS laws, max(n_chars) AS longest, CAST(sum(n_chars) AS BIGINT) AS chars FROM documents GROUP BY lang")
+def corpus_stats(spark, sf):
+    """Documents, laws and sizes by theme."""
+    return _table(spark, sf, "documents").groupBy(F.col("lang").alias("theme")).agg(F.count(F.lit(1)).alias("documents"), F.count_distinct("source").alias("laws"), F.max("n_chars").alias("longest"), F.sum("n_chars").alias("chars"))
+
+
+@query("SELECT source AS law_name, min(lang) AS theme, count(*) AS n FROM documents WHERE lang = 'en' GROUP BY source")
+def catalog_list(spark, sf):
+    """Laws of a theme with their counts."""
+    return _table(spark, sf, "documents").filter("lang = 'en'").groupBy(F.col("source").alias("law_name")).agg(F.min("lang").alias("theme"), F.count(F.lit(1)).alias("n"))
+
+
+@query("WITH r AS (SELECT lang, n_chars AS v, row_number() OVER (PARTITION BY lang ORDER BY n_chars) - 1 AS i, count(*) OVER (PARTITION BY lang) AS n FROM documents) SELECT lang, max(v) FILTER (i = least(n - 1, n * 50 // 100)) AS p50, max(v) FILTER (i = least(n - 1, n * 95 // 100)) AS p95, max(v) AS top FROM r GROUP BY lang")
+def length_percentiles(spark, sf):
+    """Nearest-rank percentiles of lengths."""
+    return stats.nearest_rank(_table(spark, sf, "documents"), "n_chars", [50, 95], ["lang"])
+
+
+@query("SELECT source, round(quantile_cont(n_chars, 0.25), 6) AS q1, round(quantile_cont(n_chars, 0.5), 6) AS q2, round(quantile_cont(n_chars, 0.75), 6) AS q3 FROM documents GROUP BY source")
+def linear_percentiles(spark, sf):
+    """Interpolated quartiles of lengths."""
+    return _table(spark, sf, "documents").groupBy("source").agg(*[F.round(F.percentile("n_chars", F.lit(p)), 6).alias(n) for n, p in (("q1", 0.25), ("q2", 0.5), ("q3", 0.75))])
+
+
+@query("SELECT d.doc_id, d.source, l.quality, l.toxic FROM documents d LEFT JOIN labels l USING (doc_id)")
+def label_attach(spark, sf):
+    """Documents with their labels; unlabelled ones stay."""
+    labels = _table(spark, sf, "labels").withColumnRenamed("doc_id", "qid").withColumn("_at", F.lit(0))
+    return training.attach_labels(_table(spark, sf, "documents").select(F.col("doc_id").alias("qid"), "source"), labels, "_at").select(F.col("qid").alias("doc_id"), "source", "quality", "toxic")
+
+
+def _questions(spark, sf):
+    """Questions whose negatives are their ranking's ids and some that the corpus lacks."""
+    lists = _ranked(spark, sf, 12).groupBy("qid").agg(F.transform(F.sort_array(F.collect_list(F.struct("rank", "id"))), lambda x: x["id"]).alias("ids"))
+    return lists.select("qid", (F.col("qid") + 1).alias("positive_id"), F.slice("ids", 1, 2).alias("related"), F.concat(F.col("ids"), F.array(F.lit(-5).cast("long"), F.col("qid") + 1), F.slice("ids", 4, 2)).alias("negatives"))
+
+
+_QUESTIONS = _BASE + ", top AS (SELECT qid, list(id ORDER BY rank) AS ids FROM ranked WHERE rank <= 12 GROUP BY qid), qs AS (SELECT qid, qid + 1 AS positive_id, ids[1:2] AS related, list_concat(ids, [CAST(-5 AS BIGINT), qid + 1], ids[4:5]) AS negatives FROM top), ex AS (SELECT qid, positive_id, related, unnest(negatives) AS neg, generate_subscripts(negatives, 1) AS p, len(negatives) AS n FROM qs WHERE positive_id IN (SELECT id FROM d)), ok AS (SELECT qid, positive_id, neg, min(p) AS p, n FROM ex WHERE neg IN (SELECT id FROM d) AND neg <> positive_id AND NOT list_contains(related, neg) GROUP BY ALL)"
+
+
+@query(_QUESTIONS + " SELECT qid, positive_id, array_to_string(list(neg ORDER BY p), ',') AS negatives, n - count(*) AS dropped FROM ok GROUP BY qid, positive_id, n")
+def integrity_filter(spark, sf):
+    """Questions with clean negatives."""
+    found = training.filter_questions(_questions(spark, sf), _corpus(spark, sf))
+    return found.select("qid", "positive_id", F.array_join(F.col("negatives").cast("array<string>"), ",").alias("negatives"), F.col("dropped").cast("long").alias("dropped"))
+
+
+@query(_QUESTIONS + ", l AS (SELECT qid, positive_id, list(neg ORDER BY p) AS g FROM ok GROUP BY ALL) SELECT qid, positive_id, g[i % len(g) + 1] AS negative_id, CAST(i AS INT) AS i FROM l, (SELECT unnest([0, 1, 2]) AS i)")
+def triplets(spark, sf):
+    """Three training rows a question."""
+    return training.triplets(training.filter_questions(_questions(spark, sf), _corpus(spark, sf)), 3)
+
+
+@query(_QUESTIONS + " SELECT o.qid, array_to_string(list(neg ORDER BY p) FILTER (neg // 5 NOT IN (SELECT id // 5 FROM d WHERE id % 4 = 0)), ',') AS negatives FROM ok o GROUP BY o.qid")
+def heldout_negatives(spark, sf):
+    """Negatives without the articles of held-out positives."""
+    keys = _corpus(spark, sf).select("id", F.floor(F.col("id") / 5).alias("key"))
+    held = _corpus(spark, sf).filter("id % 4 = 0").select(F.col("id").alias("positive_id"))
+    found = training.drop_heldout_negatives(training.filter_questions(_questions(spark, sf), _corpus(spark, sf)), held, keys)
+    return found.select("qid", F.when(F.size("negatives") > 0, F.array_join(F.col("negatives").cast("array<string>"), ",")).alias("negatives"))
+
+
+@query("SELECT doc_id, substr(sha1(lang || chr(0) || source), 1, 12) AS qid, CASE WHEN length(text) > 120 THEN substr(text, 1, 119) || '…' ELSE text END AS snippet, trim(regexp_replace(text, '\\s+', ' ', 'g')) AS squeezed FROM documents")
+def text_functions(spark, sf):
+    """Keys, snippets and squeezed texts."""
+    return _table(spark, sf, "documents").select("doc_id", T.question_key(F.col("lang"), F.col("source")).alias("qid"), T.snippet(F.col("text")).alias("snippet"), T.squeeze(F.col("text")).alias("squeezed"))
+
+
+def _pairs(spark, sf):
+    """Every document with the benchmark item of its turn: as many candidate pairs as documents, as a top-k gives them."""
+    b = _table(spark, sf, "benchmark").select("item_id", F.col("text").alias("bt"))
+    d = _table(spark, sf, "documents").select("doc_id", F.col("text").alias("dt"), F.pmod("doc_id", F.lit(40)).alias("item_id"))
+    return b.join(d, "item_id")
+
+
+_GRAMS = "WITH p AS (SELECT item_id, doc_id, {f}(b.text) AS bt, {f}(d.text) AS dt FROM benchmark b JOIN documents d ON d.doc_id % 40 = b.item_id), g AS (SELECT item_id, doc_id, list_distinct(list_transform(range(1, greatest(length(bt) - {n} + 1, 0) + 1), lambda i: substr(bt, i, {n1}))) AS x, list_distinct(list_transform(range(1, greatest(length(dt) - {n} + 1, 0) + 1), lambda i: substr(dt, i, {n1}))) AS y FROM p)"
+
+
+def _gram_sql(n: int, pattern: str) -> str:
+    sql = _GRAMS.replace("{n1}", str(n)).replace("{n}", str(n))
+    for column in ("b.text", "d.text"):
+        sql = sql.replace("{f}(" + column + ")", f"regexp_replace({column}, '{pattern}', '', 'g')")
+    return sql
+
+
+@query(_gram_sql(2, r"[^\p{L}\p{N}]") + " SELECT item_id, doc_id, round(CASE WHEN len(x) > 0 THEN CAST(len(list_intersect(x, y)) AS DOUBLE) / len(x) ELSE 0 END, 6) AS overlap FROM g")
+def query_overlap(spark, sf):
+    """Share of an item's character pairs that a document has."""
+    rows = _pairs(spark, sf).select("item_id", "doc_id", T.grams(T.squeeze_for_grams(F.col("bt")), 2).alias("x"), T.grams(T.squeeze_for_grams(F.col("dt")), 2).alias("y"))
+    return rows.select("item_id", "doc_id", F.round(T.containment(F.col("x"), F.col("y")), 6).alias("overlap"))
+
+
+@query(_gram_sql(3, r"\s") + " SELECT item_id, doc_id, round(CAST(len(list_intersect(x, y)) AS DOUBLE) / len(list_distinct(list_concat(x, y))), 6) AS similarity FROM g QUALIFY row_number() OVER (PARTITION BY item_id ORDER BY round(CAST(len(list_intersect(x, y)) AS DOUBLE) / len(list_distinct(list_concat(x, y))), 6) DESC, doc_id) <= 3")
+def gram_jaccard(spark, sf):
+    """The three documents of each item's candidates that share most character triples."""
+    squeezed = lambda c: F.regexp_replace(c, r"\s", "")
+    rows = _pairs(spark, sf).select("item_id", "doc_id", F.round(T.jaccard(T.grams(squeezed(F.col("bt")), 3), T.grams(squeezed(F.col("dt")), 3)), 6).alias("similarity"))
+    order = Window.partitionBy("item_id").orderBy(F.desc("similarity"), "doc_id")
+    return rows.withColumn("n", F.row_number().over(order)).filter("n <= 3").drop("n")
+
+
+@query("WITH h AS (SELECT * FROM conversations QUALIFY row_number() OVER (PARTITION BY conv_id ORDER BY turn DESC) <= 6) SELECT conv_id, count(*) AS n, string_agg(role || ': ' || text, chr(10) ORDER BY turn) AS prompt FROM h GROUP BY conv_id")
+def history_prompt(spark, sf):
+    """The last six messages as a prompt; six a group at most, so collecting them is bounded."""
+    last = store.history(_table(spark, sf, "conversations"))
+    lines = F.sort_array(F.collect_list(F.struct("turn", F.concat(F.col("role"), F.lit(": "), F.col("text")).alias("l"))))
+    return last.groupBy("conv_id").agg(F.count(F.lit(1)).alias("n"), F.array_join(F.transform(lines, lambda x: x["l"]), "\n").alias("prompt"))
+
+
+@query("WITH l AS (SELECT conv_id AS id, turn AS ts, role, text, turn % 5 = 3 AS deleted FROM conversations), s AS (SELECT * FROM l QUALIFY row_number() OVER (PARTITION BY id ORDER BY ts DESC) = 1) SELECT id, ts, role FROM s WHERE NOT deleted")
+def store_state(spark, sf):
+    """Current rows of a change log."""
+    log = _table(spark, sf, "conversations").select(F.col("conv_id").alias("id"), F.col("turn").alias("ts"), "role", (F.col("turn") % 5 == 3).alias("deleted"))
+    return store.current(log, order=("ts",)).select("id", "ts", "role")
+
+
+@query("WITH p AS (SELECT doc_id, unnest(string_split(text, chr(10))) AS line, generate_subscripts(string_split(text, chr(10)), 1) AS n FROM documents) SELECT doc_id, count(*) AS pieces, CAST(sum(length(line)) AS BIGINT) AS chars, max(length(line)) AS longest FROM p WHERE line <> '' GROUP BY doc_id")
+def article_pieces(spark, sf):
+    """Pieces of each document by line."""
+    lines = _table(spark, sf, "documents").select("doc_id", F.posexplode(F.split("text", "\n")).alias("n", "line")).filter("line != ''")
+    return lines.groupBy("doc_id").agg(F.count(F.lit(1)).alias("pieces"), F.sum(F.length("line")).alias("chars"), F.max(F.length("line")).cast("long").alias("longest"))
+
+
+@query("WITH a AS (SELECT source AS name, sha256(string_agg(CAST(doc_id AS VARCHAR), ',' ORDER BY doc_id)) AS sha FROM documents WHERE source <> 'src1' GROUP BY source), b AS (SELECT source AS name, sha256(string_agg(CAST(doc_id AS VARCHAR), ',' ORDER BY doc_id)) AS sha FROM documents WHERE source <> 'src2' AND NOT (source = 'src3' AND doc_id % 7 = 0) GROUP BY source) SELECT name, CASE WHEN b.sha IS NULL THEN 'missing' WHEN a.sha IS NULL THEN 'added' ELSE 'changed' END AS change FROM a FULL JOIN b USING (name) WHERE a.sha IS DISTINCT FROM b.sha")
+def version_diff(spark, sf):
+    """What two lists of files differ in."""
+    d = _table(spark, sf, "documents")
+    digest = lambda x: x.groupBy(F.col("source").alias("name")).agg(F.sha2(F.array_join(F.transform(F.sort_array(F.collect_list("doc_id")), lambda i: i.cast("string")), ","), 256).alias("sha"))
+    return store.diff_files(digest(d.filter("source != 'src1'")), digest(d.filter("source != 'src2' and not (source = 'src3' and doc_id % 7 = 0)")))
+
+
+@query("SELECT source, arg_max(doc_id, (n_chars, -doc_id)) AS doc_id, max(n_chars) AS n_chars FROM documents GROUP BY source")
+def latest_by_key(spark, sf):
+    """The first of the largest of each key."""
+    return store.latest(_table(spark, sf, "documents").select("source", "doc_id", "n_chars"), ["source"], [F.desc("n_chars"), F.asc("doc_id")])
+
+
+@query("WITH t AS (SELECT source AS name, round(1.0 / (1 + count(*) + sum(CASE WHEN lang = 'en' THEN 1 ELSE 0 END)), 6) AS p FROM documents GROUP BY source), r AS (SELECT name, p, p * (count(*) OVER () - row_number() OVER (ORDER BY p, name) + 1) AS raw FROM t) SELECT name, p, round(least(1.0, max(raw) OVER (ORDER BY p, name ROWS UNBOUNDED PRECEDING)), 6) AS adjusted FROM r")
+def holm_correction(spark, sf):
+    """Adjusted p values of a table of tests."""
+    tests = _table(spark, sf, "documents").groupBy(F.col("source").alias("name")).agg(F.round(1.0 / (1 + F.count(F.lit(1)) + F.sum(F.when(F.col("lang") == "en", 1).otherwise(0))), 6).alias("p"))
+    return stats.holm(tests).select("name", "p", F.round("adjusted", 6).alias("adjusted"))
+
+
+@query("SELECT lang, round(avg(CAST(quality AS DOUBLE)), 6) AS share, round(sqrt(avg(CAST(quality AS DOUBLE)) * (1 - avg(CAST(quality AS DOUBLE))) / count(*)), 6) AS error FROM documents JOIN labels USING (doc_id) GROUP BY lang")
+def share_with_error(spark, sf):
+    """A share and its standard error."""
+    rows = _table(spark, sf, "documents").join(_table(spark, sf, "labels"), "doc_id").groupBy("lang").agg(F.avg("quality").alias("p"), F.count(F.lit(1)).alias("n"))
+    return rows.select("lang", F.round("p", 6).alias("share"), F.round(stats.standard_error(F.col("p"), F.col("n")), 6).alias("error"))
+
+
+@query("SELECT n, count(*) AS questions FROM (SELECT conv_id, count(*) FILTER (role = 'user') AS n FROM conversations GROUP BY conv_id) GROUP BY n")
+def count_histogram(spark, sf):
+    """How many user turns conversations have."""
+    per = _table(spark, sf, "conversations").groupBy("conv_id").agg(F.sum((F.col("role") == "user").cast("long")).alias("n"))
+    return per.groupBy("n").agg(F.count(F.lit(1)).alias("questions"))
+
+
+@query("SELECT DISTINCT text FROM conversations WHERE role = 'user' AND text NOT IN (SELECT text FROM conversations WHERE conv_id % 2 = 0 AND text IS NOT NULL)")
+def cache_misses(spark, sf):
+    """Texts that a cache lacks, each once."""
+    c = _table(spark, sf, "conversations")
+    return store.missing_from_cache(c.filter("role = 'user'").select("text"), c.filter("conv_id % 2 = 0").select("text").distinct(), "text")
+
+
+@query("SELECT date_trunc('hour', ts) AS start, event_type, count(*) AS n, round(sum(value), 2) AS total FROM events GROUP BY ALL")
+def event_windows(spark, sf):
+    """Events in tumbling windows."""
+    return ingest.windowed_counts(_table(spark, sf, "events")).select("start", "event_type", "n", F.round("total", 2).alias("total"))
+
+
+@query()
+def law_split(spark, sf):
+    """Laws dealt to test, dev and train (the shuffle is not SQL's)."""
+    counts = _table(spark, sf, "documents").groupBy(F.col("lang").alias("theme"), F.concat_ws("/", "lang", "source").alias("law")).agg(F.count(F.lit(1)).alias("n"))
+    return training.split_by_group(counts)
+
+
+@query()
+def law_batches(spark, sf):
+    """Batches within laws (their order is a hash)."""
+    return training.same_law_batches(_table(spark, sf, "documents").select(F.col("doc_id").alias("qid"), F.col("source").alias("law"), F.sha2("text", 256).alias("text")), 16)
