@@ -7,6 +7,7 @@ from collections.abc import Callable, Iterator
 import pandas as pd
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
+from pyspark.sql.types import ArrayType, FloatType, StructField, StructType
 
 CORPUS = "id string, title string, text string, category string, theme string, law_name string, law_type string, article_no string, article_title string, chapter string, promulgation_date string, effective_date string, source_url string, parent_id string, paragraph string"
 QUESTION = "query string, positive_id string, hard_negative_ids array<string>, query_type string, answer string, related_ids array<string>"
@@ -81,7 +82,7 @@ def build_index(docs: DataFrame, embed: Callable[[list[str]], list], path: str,
                 part["embedding"] = [list(map(float, v)) for v in embed(part["text"].fillna("").tolist())]
                 yield part
 
-    schema = docs.schema.add("embedding", "array<float>")
+    schema = StructType([*docs.schema.fields, StructField("embedding", ArrayType(FloatType()))])
     docs.sortWithinPartitions(F.length("text")).mapInPandas(run, schema).write.mode("overwrite").parquet(f"{path}/docs")
     spark.createDataFrame([(model_key, digest)], "model_key string, corpus_hash string").coalesce(1).write.mode("overwrite").parquet(f"{path}/manifest")
     return True
