@@ -125,7 +125,8 @@ class FileReader:
 class WordEncoder:
     """A tokenizer whose ids depend on each run of non-space characters alone, with the ids of words kept.
 
-    That holds for tokenizers that drop white space and split at it before any model sees the text. Two
+    That holds for tokenizers that lower case, drop white space, and split at it and between letters or digits and
+    marks before any model sees the text. Two
     generations of words are kept, each of at most ``keep`` words, so memory is bounded.
     """
 
@@ -137,22 +138,48 @@ class WordEncoder:
         self.young: dict[bytes, bytes] = {}
         self.old: dict[bytes, bytes] = {}
 
+    def _learn(self, parts: list[bytes], got: list) -> None:
+        missing = {w for w, g in zip(parts, got, strict=True) if g is None}
+        if len(self.young) + len(missing) > self.keep:
+            self.old, self.young, missing = self.young, {}, set(parts)
+        young, old = self.young, self.old
+        cut, need = {}, set()
+        for w in missing:
+            if (have := old.get(w)) is not None:
+                young[w] = have
+                continue
+            # Marks at the end of an ASCII letter or digit are pieces of their own: such a word is put together.
+            core = w.rstrip(b".,;:!?")
+            whole = core == w or not core[-1:].isalnum()
+            if not whole:
+                cut[w] = core, w[len(core) :]
+            for x in (w,) if whole else cut[w]:
+                if x not in young:
+                    if (have := old.get(x)) is not None:
+                        young[x] = have
+                    else:
+                        need.add(x)
+        new = list(need)
+        for w, e in zip(new, self.tokenizer.encode_batch_fast([w.decode() for w in new], add_special_tokens=False), strict=True):
+            ids = e.ids
+            young[w] = struct.pack(f"<{len(ids)}I", *ids)
+        for w, (core, tail) in cut.items():
+            young[w] = young[core] + young[tail]
+
     def encode(self, text: bytes) -> bytes:
-        """Ids of a text as little-endian unsigned 32-bit integers."""
+        """Ids of a text as little-endian unsigned 32-bit integers.
+
+        The tokenizer lowers case itself; ASCII letters are lowered before, so that fewer words are
+        kept, unless the text could hold special tokens or combining marks.
+        """
+        if b"<|" not in text and b"\xcc" not in text and b"\xcd" not in text:
+            text = text.lower()
         parts = text.split()
-        young = self.young
-        if missing := {w for w in parts if w not in young}:
-            if len(self.young) + len(missing) > self.keep:
-                self.old, self.young, missing = self.young, {}, set(parts)
-            new = []
-            for w in missing:
-                if (have := self.old.get(w)) is not None:
-                    self.young[w] = have
-                else:
-                    new.append(w)
-            for w, e in zip(new, self.tokenizer.encode_batch_fast([w.decode() for w in new], add_special_tokens=False), strict=True):
-                self.young[w] = struct.pack(f"<{len(e.ids)}I", *e.ids)
-        return b"".join(map(self.young.__getitem__, parts))
+        got = list(map(self.young.get, parts))
+        if None in got:
+            self._learn(parts, got)
+            got = map(self.young.__getitem__, parts)
+        return b"".join(got)
 
 
 _encoders: dict[str, WordEncoder] = {}

@@ -41,7 +41,7 @@ def test_query_agrees_with_the_library(spark):
 
 
 def test_edge_cases_and_ids(spark):
-    rows = [(3, None), (1, ""), (2, "Hello, WORLD's <|endoftext|> x<|startoftext|>y İİ ΣΣ a\x1cb c\xa0d  e é ́f"), (5, "same"), (5, "same"), (None, "no id"), (9, "long " * 30_000), (-4, "\n\t ")]
+    rows = [(3, None), (1, ""), (2, "Hello, WORLD's <|endoftext|> x<|startoftext|>y İİ ΣΣ a\x1cb c\xa0d  e é ́f"), (6, "THE, end.. (x). don't, I'LL! 1999? a1; é. É, .;! A\u0301. H\u0331 h\u0331 I\u0307, <|ENDOFTEXT|>. It's:"), (5, "same"), (5, "same"), (None, "no id"), (9, "long " * 30_000), (-4, "\n\t ")]
     df = spark.createDataFrame([(i, t, "f", 1) for i, t in rows], SCHEMA + ", file string, first_id int")
     path = fresh_dir(spark, "tokens")
     files = T.write_token_files(df, path, PATH, block=64)
