@@ -37,6 +37,22 @@ def _times(x, factor: int) -> np.ndarray:
     return np.asarray(x).astype(np.uint64) * np.uint64(factor)
 
 
+def _sums(data: np.ndarray) -> np.ndarray:
+    """Running sums of the polynomial by which bytes are hashed here."""
+    sums = np.zeros(len(data) + 1, np.uint64)
+    np.cumsum((data.astype(np.uint64) + np.uint64(1)) * words._power(words._BASE, len(data)), out=sums[1:])
+    return sums
+
+
+def _polynomial(data: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
+    sums = _sums(data)
+    return (sums[ends] - sums[starts]) * words._power(words._INVERSE, len(data) + 1)[starts]
+
+
+def _slot(h: np.ndarray) -> np.ndarray:
+    return ((h * np.uint64(0xD6E8FEB86659FD93)) >> np.uint64(42)).astype(np.int64)
+
+
 class Pieces:
     """The vocabulary of a SentencePiece model with byte fallback, as tables.
 
@@ -73,16 +89,16 @@ class Pieces:
         data = np.frombuffer(b"".join(keys), np.uint8)
         size = np.array([len(k) for k in keys], np.int64)
         ends = np.cumsum(size)
-        h = words.span_hashes(data, ends - size, ends)
+        h = _polynomial(data, ends - size, ends)
         order = np.argsort(h)
         self.hashes, self.ids = h[order], np.array(list(found.values()), np.int64)[order]
         # Which hashes may be those of a piece (bit 2) or of the first bytes of a longer one (bit 1).
         self.there = np.zeros(1 << 22, np.uint8)
         begins = list({k[:n] for k in keys for n in range(1, len(k))})
         long = np.cumsum([len(b) for b in begins])
-        heads = words.span_hashes(np.frombuffer(b"".join(begins), np.uint8), np.r_[0, long[:-1]], long)
-        self.there[(heads >> np.uint64(42)).astype(np.int64)] |= 1
-        self.there[(h >> np.uint64(42)).astype(np.int64)] |= 2
+        heads = _polynomial(np.frombuffer(b"".join(begins), np.uint8), np.r_[0, long[:-1]], long)
+        self.there[_slot(heads)] |= 1
+        self.there[_slot(h)] |= 2
         self.longest = int(size.max())
 
     def decode(self, ids: np.ndarray, counts: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -106,8 +122,7 @@ class Lattice:
         size = np.diff(offsets)
         end = np.repeat(offsets[1:], size)
         place = np.arange(n)
-        sums = np.zeros(n + 1, np.uint64)
-        np.cumsum((data.astype(np.uint64) + np.uint64(1)) * words._power(words._BASE, n), out=sums[1:])
+        sums = _sums(data)
         back = words._power(words._INVERSE, n + 1)[:n]
         opens = (data & 0xC0) != 0x80
         width = np.where(data < 0x80, 1, np.where(data < 0xE0, 2, np.where(data < 0xF0, 3, 4)))
@@ -118,8 +133,8 @@ class Lattice:
             at = at[at + length <= end[at]]
             if not len(at):
                 break
-            h = words.mix(((sums[at + length] - sums[at]) * back[at]) ^ np.uint64(length * 0xD6E8FEB86659FD93 & 0xFFFFFFFFFFFFFFFF))
-            maybe = pieces.there[(h >> np.uint64(42)).astype(np.int64)]
+            h = (sums[at + length] - sums[at]) * back[at]
+            maybe = pieces.there[_slot(h)]
             whole = maybe >= 2
             here, h = at[whole], h[whole]
             k = np.minimum(np.searchsorted(pieces.hashes, h), len(pieces.hashes) - 1)
@@ -156,8 +171,18 @@ class Lattice:
         # The likeliest arc of a place comes first: a draw seldom looks at a second one.
         order = np.argsort((first << 38) + ((-logp & ~63) | np.minimum(self.last - first, 63)))
         self.first, self.last, self.piece, self.inside, self.logp = first, self.last[order], self.piece[order], inside[order], logp[order]
-        sums = np.cumsum(p := np.exp(self.logp / UNIT))
+        self.p = p = np.exp(self.logp / UNIT)
+        sums = np.cumsum(p)
         self.upto = sums - (sums - p)[self.off[first]] if n else sums
+        # Log probability of all other arcs of an arc's place; that of the likeliest is summed without it.
+        heads = self.off[:-1][np.diff(self.off) > 0]
+        tails = p.copy()
+        tails[heads] = 0
+        others = np.repeat(np.add.reduceat(tails, heads), np.diff(np.append(heads, len(p)))) if len(p) else p
+        likeliest = np.zeros(len(p), bool)
+        likeliest[heads] = True
+        with np.errstate(divide="ignore"):
+            self.log_rest = np.log(np.where(likeliest, others, others + p[self.off[first]] - p))
 
     def draw(self, place: np.ndarray, u: np.ndarray) -> np.ndarray:
         """An arc at each place, by probability."""
@@ -212,22 +237,43 @@ class Sampler:
         order = np.argsort(unit, kind="stable")
         return unit[order], step[order], arc[order]
 
+    def _noise(self, unit, step, phi, top, salt: int):
+        """Noise of the best of some paths of total log probability phi, all of which are below top."""
+        u = _uniform(self.key[unit] + _times(step, 0xBF58476D1CE4E5B9) + np.uint64(salt * 0x94D049BB133111EB & 0xFFFFFFFFFFFFFFFF))
+        return phi - np.log(np.exp(np.minimum(phi - top, 700)) - np.log(u))
+
     def _waiting(self, path, new: np.ndarray, noise: np.ndarray, sample: int):
-        """The steps off the new part of each path, with their noise: path entry, arc, noise, by document."""
+        """The ways off the new part of each path: path entry, arcs taken there, and noise of the best of the others.
+
+        All other arcs of a place wait as one; which of them it is, is drawn when their turn comes.
+        """
+        unit, step, arc, before = path
+        many = np.diff(self.lattice.off)[self.lattice.first[arc]] > 1
+        entry = np.flatnonzero(new & many)
+        phi = before[entry] / UNIT + self.lattice.log_rest[arc[entry]]
+        return entry, arc[entry][:, None], self._noise(unit[entry], step[entry], phi, noise[self.doc[unit[entry]]], sample + 101)
+
+    def _turn(self, path, entry: np.ndarray, taken: np.ndarray, noise: np.ndarray, sample: int):
+        """Draw the arc of each waiting way; and what then still waits there, as a part of the queue, by its place among them."""
         unit, step, arc, before = path
-        at = np.flatnonzero(new)
-        place = self.lattice.first[arc[at]]
+        if not len(entry):
+            return entry, (entry, np.zeros((0, taken.shape[1] + 1), np.int64), noise)
+        unit, step, place = unit[entry], step[entry], self.lattice.first[arc[entry]]
         low, high = self.lattice.off[place], self.lattice.off[place + 1]
-        many = high - low
-        entry = np.repeat(at, many)
-        other = np.repeat(low - (np.cumsum(many) - many), many) + np.arange(many.sum())
-        off = other != arc[entry]
-        entry, other = entry[off], other[off]
-        rank = other - self.lattice.off[self.lattice.first[other]]
-        u = _uniform(self.key[unit[entry]] + _times(step[entry], 0xBF58476D1CE4E5B9) + _times(rank + 1, 0xD6E8FEB86659FD93) + np.uint64((sample + 101) * 0x94D049BB133111EB & 0xFFFFFFFFFFFFFFFF))
-        phi = (before[entry] + self.lattice.logp[other]) / UNIT
-        top = noise[self.doc[unit[entry]]]
-        return entry, other, phi - np.log(np.exp(np.minimum(phi - top, 700)) - np.log(u))
+        width = int((high - low).max(initial=0))
+        arcs = low[:, None] + np.arange(width)
+        free = (arcs < high[:, None]) & ~(arcs[:, :, None] == taken[:, None, :]).any(axis=2)
+        mass = np.where(free, self.lattice.p[np.minimum(arcs, len(self.lattice.p) - 1)], 0.0)
+        upto = np.cumsum(mass, axis=1)
+        u = _uniform(self.key[unit] + _times(step, 0xBF58476D1CE4E5B9) + np.uint64((sample + 401) * 0x94D049BB133111EB & 0xFFFFFFFFFFFFFFFF))
+        past = (upto < (u * upto[:, -1])[:, None]) | ~free
+        pick = np.argmin(past, axis=1)
+        chosen = arcs[np.arange(len(entry)), pick]
+        mass[np.arange(len(entry)), pick] = 0
+        left = free.sum(axis=1) > 1
+        phi = before[entry[left]] / UNIT + np.log(mass[left].sum(axis=1))
+        again = self._noise(unit[left], step[left], phi, noise[left], sample + 701 + 100 * taken.shape[1])
+        return chosen, (entry[left], np.concatenate([taken[left], chosen[left][:, None]], axis=1), again)
 
     def _summed(self, unit, step, arc):
         """A path with the log probability before each entry, within its document; and each document's total."""
@@ -252,8 +298,8 @@ class Sampler:
             alive = np.isfinite(best)
             if sample == self.samples:
                 return paths, found, best
-            parts, branch_unit, new_noise = [], np.full(self.n, -1), np.where(alive, best, 0.0)
-            for i, (which, entry, other, g) in enumerate(queue):
+            parts, branch_unit, new_noise, more = [], np.full(self.n, -1), np.where(alive, best, 0.0), []
+            for i, (which, entry, taken, g) in enumerate(queue):
                 unit, step, arc, _ = paths[which]
                 doc = self.doc[unit[entry]]
                 hit = np.flatnonzero(g == best[doc])
@@ -261,18 +307,21 @@ class Sampler:
                 hit = hit[branch_unit[doc[hit]] < 0]
                 docs = doc[hit]
                 e = entry[hit]
+                chosen, rest = self._turn(paths[which], e, taken[hit], g[hit], sample)
+                more.append((which, *rest))
                 branch_unit[docs] = unit[e]
                 limit = np.full(self.n, -1)
                 limit[docs] = e
                 inherit = np.flatnonzero(np.arange(len(unit)) < limit[self.doc[unit]])
                 parts.append((unit[inherit], step[inherit], arc[inherit], np.zeros(len(inherit), bool)))
-                parts.append((unit[e], step[e], other[hit], np.zeros(len(e), bool)))
-                on = self.lattice.inside[other[hit]]
-                rest = self._complete(unit[e][on], self.lattice.last[other[hit][on]], step[e][on] + 1, sample)
+                parts.append((unit[e], step[e], chosen, np.zeros(len(e), bool)))
+                on = self.lattice.inside[chosen]
+                rest = self._complete(unit[e][on], self.lattice.last[chosen[on]], step[e][on] + 1, sample)
                 parts.append((*rest, np.ones(len(rest[0]), bool)))
                 keep = np.ones(len(g), bool)
                 keep[hit] = False
-                queue[i] = (which, entry[keep], other[keep], g[keep])
+                queue[i] = (which, entry[keep], taken[keep], g[keep])
+            queue += more
             after = everything[alive[self.doc] & (everything > branch_unit[self.doc])]
             rest = self._complete(after, self.start[after], np.zeros(len(after), np.int64), sample)
             parts.append((*rest, np.ones(len(rest[0]), bool)))
