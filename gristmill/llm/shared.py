@@ -18,12 +18,6 @@ def shared_dir(spark: SparkSession) -> str:
     return named or have
 
 
-def settle(df: DataFrame) -> DataFrame:
-    """The rows of ``df``, computed once and written to the shared folder."""
-    shared_dir(df.sparkSession)
-    return df.checkpoint()
-
-
 def fresh_dir(spark: SparkSession, name: str) -> str:
     """A new folder's name in the shared folder; the folder goes when the driver's JVM ends."""
     path = f"{shared_dir(spark).rstrip('/')}/{name}-{uuid.uuid4().hex}"
@@ -33,3 +27,14 @@ def fresh_dir(spark: SparkSession, name: str) -> str:
     system.mkdirs(place)
     system.deleteOnExit(place)
     return path
+
+
+def settle(df: DataFrame) -> DataFrame:
+    """The rows of ``df``, computed once and written as a table in the shared folder.
+
+    A table read again brings no constraints of the plan that made it; those of checkpoints grow with every
+    round of an iteration until planning takes longer than the work.
+    """
+    path = fresh_dir(df.sparkSession, "step")
+    df.write.mode("overwrite").parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
