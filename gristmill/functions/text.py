@@ -29,10 +29,19 @@ def question_key(query: Column, positive_id: Column) -> Column:
 
 
 def grams(text: Column, n: int) -> Column:
-    """Distinct runs of n characters."""
-    size = F.char_length(text)
-    every = F.transform(F.sequence(F.lit(1), F.greatest(size - (n - 1), F.lit(1))), lambda i: F.substring(text, i, F.lit(n)))
-    return F.when(size >= n, F.array_distinct(every)).otherwise(F.array().cast("array<string>"))
+    """Distinct runs of n characters; none where the text is null or shorter.
+
+    The text is bound once, as a lambda's variable: an expression inside a lambda is computed for each element.
+    """
+
+    def runs(bound: Column) -> Column:
+        chars = F.split(bound, "")
+        joined = chars
+        for k in range(2, n + 1):
+            joined = F.zip_with(joined, F.slice(chars, k, F.size(chars)), lambda a, b: F.concat(a, b))
+        return F.array_distinct(F.filter(joined, lambda x: x.isNotNull() & (x != "")))
+
+    return F.transform(F.array(F.coalesce(text, F.lit(""))), runs)[0]
 
 
 def squeeze_for_grams(text: Column) -> Column:

@@ -383,7 +383,8 @@ def query_overlap(spark, sf):
 def gram_jaccard(spark, sf):
     """The three documents of each item's candidates that share most character triples."""
     squeezed = lambda c: F.regexp_replace(c, r"\s", "")
-    rows = _pairs(spark, sf).select("item_id", "doc_id", F.round(T.jaccard(T.grams(squeezed(F.col("bt")), 3), T.grams(squeezed(F.col("dt")), 3)), 6).alias("similarity"))
+    pairs = _pairs(spark, sf).select("item_id", "doc_id", T.grams(squeezed(F.col("bt")), 3).alias("x"), T.grams(squeezed(F.col("dt")), 3).alias("y"))
+    rows = pairs.select("item_id", "doc_id", F.round(T.jaccard(F.col("x"), F.col("y")), 6).alias("similarity"))
     order = Window.partitionBy("item_id").orderBy(F.desc("similarity"), "doc_id")
     return rows.withColumn("n", F.row_number().over(order)).filter("n <= 3").drop("n")
 
