@@ -10,7 +10,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from gristmill.functions import text as T
-from gristmill.operators import judge, stats, store, training, vector
+from gristmill.operators import judge, overlap, stats, store, training, vector
 from gristmill.streaming import ingest
 
 QUERIES: dict = {}
@@ -389,6 +389,24 @@ def gram_jaccard(spark, sf):
     return rows.withColumn("n", F.row_number().over(order)).filter("n <= 3").drop("n")
 
 
+def _squeezed(spark, sf, f):
+    """All items and all documents, with the characters that ``f`` leaves."""
+    items = _table(spark, sf, "benchmark").select("item_id", f(F.col("text")).alias("text"))
+    return items, _table(spark, sf, "documents").select("doc_id", f(F.col("text")).alias("text"))
+
+
+@query()
+def gram_neighbours(spark, sf):
+    """The three documents of all that share most character triples with each item, by Jaccard."""
+    return overlap.nearest_by_jaccard(*_squeezed(spark, sf, lambda c: F.regexp_replace(c, r"\s", "")), 3, 3)
+
+
+@query()
+def gram_coverage(spark, sf):
+    """Share of an item's character pairs that a document has, for all pairs of both that share any."""
+    return overlap.coverage(*_squeezed(spark, sf, T.squeeze_for_grams), 2)
+
+
 @query("WITH h AS (SELECT * FROM conversations QUALIFY row_number() OVER (PARTITION BY conv_id ORDER BY turn DESC) <= 6) SELECT conv_id, count(*) AS n, string_agg(role || ': ' || text, chr(10) ORDER BY turn) AS prompt FROM h GROUP BY conv_id")
 def history_prompt(spark, sf):
     """The last six messages as a prompt; six a group at most, so collecting them is bounded."""
