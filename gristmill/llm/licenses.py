@@ -7,6 +7,8 @@ equivalent spellings do not count) and its digest is hash-joined to the digests
 from __future__ import annotations
 
 import functools
+import re
+from pathlib import Path
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -66,8 +68,8 @@ _BSD_TWO = """Redistribution and use in source and binary forms, with or without
 _BSD_THIRD = "3. Neither the name of the copyright holder nor the names of its contributors may be used to endorse or promote products derived from this software without specific prior written permission."
 _BSD_END = 'THIS SOFTWARE IS PROVIDED BY THE COPYRIGHT HOLDERS AND CONTRIBUTORS "AS IS" AND ANY EXPRESS OR IMPLIED WARRANTIES, INCLUDING, BUT NOT LIMITED TO, THE IMPLIED WARRANTIES OF MERCHANTABILITY AND FITNESS FOR A PARTICULAR PURPOSE ARE DISCLAIMED. IN NO EVENT SHALL THE COPYRIGHT HOLDER OR CONTRIBUTORS BE LIABLE FOR ANY DIRECT, INDIRECT, INCIDENTAL, SPECIAL, EXEMPLARY, OR CONSEQUENTIAL DAMAGES (INCLUDING, BUT NOT LIMITED TO, PROCUREMENT OF SUBSTITUTE GOODS OR SERVICES; LOSS OF USE, DATA, OR PROFITS; OR BUSINESS INTERRUPTION) HOWEVER CAUSED AND ON ANY THEORY OF LIABILITY, WHETHER IN CONTRACT, STRICT LIABILITY, OR TORT (INCLUDING NEGLIGENCE OR OTHERWISE) ARISING IN ANY WAY OUT OF THE USE OF THIS SOFTWARE, EVEN IF ADVISED OF THE POSSIBILITY OF SUCH DAMAGE.'
 
-#: (licence id, whole text). Public texts and the notices by which a text names its licence.
-KNOWN = (
+#: (licence id, whole text) of the short licences, and notices in other words than those of ``NAMES``.
+_SHORT = (
     ("MIT", _MIT_BODY),
     ("MIT", "MIT License\n\n" + _MIT_BODY),
     ("MIT", "The MIT License (MIT)\n\n" + _MIT_BODY),
@@ -88,13 +90,95 @@ KNOWN = (
     ("CC0-1.0", "Released under CC0 1.0."),
 )
 
-COPYRIGHT_LINE = r"(?m)^[^\p{L}\p{N}\n]*(?:copyright\b|\(c\)|©)[^\n]*$"
+#: Whole texts, a file for each licence: <licence id>.txt.
+TEXTS = Path(__file__).with_name("licence_texts")
+#: What a file's text may end with before its advice on use.
+_TERMS_END = re.compile(r"(?m)^\s*END OF TERMS AND CONDITIONS\s*$")
+
+_APACHE_HEADER = """Licensed under the Apache License, Version 2.0 (the "License"); you may not use this file except in compliance with the License. You may obtain a copy of the License at
+
+http{s}://www.apache.org/licenses/LICENSE-2.0
+
+Unless required by applicable law or agreed to in writing, software distributed under the License is distributed on an "AS IS" BASIS, WITHOUT WARRANTIES OR CONDITIONS OF ANY KIND, either express or implied. See the License for the specific language governing permissions and limitations under the License."""
+_GNU_HEADER = """This {work} is free software{mark} you can redistribute it and/or modify it under the terms of the GNU {name}General Public License as published by the Free Software Foundation{version}
+
+This {work} is distributed in the hope that it will be useful, but WITHOUT ANY WARRANTY; without even the implied warranty of MERCHANTABILITY or FITNESS FOR A PARTICULAR PURPOSE. See the GNU {name}General Public License for more details.
+
+You should have received a copy of the GNU {name}General Public License along with this {work}{end}"""
+_FRANKLIN = "; if not, write to the Free Software Foundation, Inc., 51 Franklin Street, Fifth Floor, Boston, MA 02110-1301 USA"
+_MPL_HEADER = """This Source Code Form is subject to the terms of the Mozilla Public License, v. 2.0. If a copy of the MPL was not distributed with this file, You can obtain one at http{s}://mozilla.org/MPL/2.0/."""
+
+def _versions(v: str) -> list[str]:
+    """A GNU licence's version in words."""
+    return [f"{x}{n}" for n in dict.fromkeys((v, v.removesuffix(".0"))) for x in (", version ", " version ", " v", " ")]
+
+
+#: The names by which notices of one line call a licence.
+NAMES = {
+    "MIT": ("MIT License", "MIT", "MIT license (MIT)", "Expat License"),
+    "ISC": ("ISC License", "ISC"),
+    "0BSD": ("0BSD", "0BSD License", "BSD Zero Clause License", "Zero-Clause BSD License"),
+    "BSD-2-Clause": ("BSD 2-Clause License", "BSD-2-Clause", "2-Clause BSD License", "Simplified BSD License"),
+    "BSD-3-Clause": ("BSD 3-Clause License", "BSD-3-Clause", "3-Clause BSD License", "New BSD License", "Modified BSD License"),
+    "Apache-2.0": ("Apache License, Version 2.0", "Apache License 2.0", "Apache License v2.0", "Apache 2.0 License", "Apache 2.0", "Apache License, Version 2.0 (Apache-2.0)"),
+    "Unlicense": ("Unlicense", "Unlicense License"),
+    "CC0-1.0": ("CC0 1.0", "CC0", "CC0 1.0 Universal", "Creative Commons CC0 1.0 Universal", "Creative Commons Zero v1.0 Universal", "CC0 1.0 Universal Public Domain Dedication"),
+    "MPL-1.1": ("Mozilla Public License 1.1", "Mozilla Public License, version 1.1", "MPL 1.1"),
+    "MPL-2.0": ("Mozilla Public License 2.0", "Mozilla Public License, version 2.0", "Mozilla Public License, v. 2.0", "MPL 2.0"),
+} | {
+    f"{short}-{v}-only": tuple(f"GNU {name}General Public License{x}" for name in names for x in _versions(v)) + tuple(f"{gnu}{short}{x}" for gnu in ("", "GNU ") for x in (*_versions(v), f"v{v[0]}" if v.endswith(".0") else f"v{v}", f"-{v}-only"))
+    for short, names, versions in (("GPL", ("",), ("2.0", "3.0")), ("LGPL", ("Lesser ", "Library "), ("2.0", "2.1", "3.0")))
+    for v in versions
+} | {
+    f"CC-{short}-4.0": tuple(x for t in (f"CC {short} 4.0", f"CC-{short}-4.0", f"Creative Commons {long} 4.0", f"Creative Commons {long} 4.0 International") for x in (t, t + " License"))
+    for short, long in (("BY", "Attribution"), ("BY-SA", "Attribution-ShareAlike"), ("BY-NC", "Attribution-NonCommercial"), ("BY-ND", "Attribution-NoDerivatives"), ("BY-NC-SA", "Attribution-NonCommercial-ShareAlike"), ("BY-NC-ND", "Attribution-NonCommercial-NoDerivatives"))
+}
+_VERBS = ("licensed", "released", "distributed", "published", "available", "made available")
+_SUBJECTS = ("", *(f"This {x} is " for x in ("work", "software", "project", "program", "code", "file", "document", "text")))
+
+
+def _notices():
+    for own, names in NAMES.items():
+        for name in {" ".join(re.findall(r"[^\W_]+", x.lower())): x for x in (*names, own)}.values():
+            yield from ((own, f"{mark} {name}") for mark in ("License:", "SPDX-License-Identifier:"))
+            yield from ((own, f"{subject}{verb} under {article}{name}.") for subject in _SUBJECTS for verb in _VERBS for article in ("", "the ", "a ", "the terms of the "))
+
+
+def _headers():
+    for s in ("", "s"):
+        yield "Apache-2.0", _APACHE_HEADER.format(s=s)
+        yield "MPL-2.0", _MPL_HEADER.format(s=s)
+    for work in ("program", "library", "file", "software"):
+        for short, name, v in (("GPL", "", "2.0"), ("GPL", "", "3.0"), ("LGPL", "Library ", "2.0"), ("LGPL", "Lesser ", "2.1"), ("LGPL", "Lesser ", "3.0")):
+            for mark in (";", ":"):
+                for end in (".", _FRANKLIN, ". If not, see <http://www.gnu.org/licenses/>.", ". If not, see <https://www.gnu.org/licenses/>."):
+                    for number in dict.fromkeys((v, v.removesuffix(".0"))):
+                        form = functools.partial(_GNU_HEADER.format, work=work, mark=mark, name=name, end=end)
+                        yield f"{short}-{v}-or-later", form(version=f"; either version {number} of the License, or (at your option) any later version.")
+                        yield f"{short}-{v}-only", form(version=f", version {number} of the License.")
+                        yield f"{short}-{v}-only", form(version=f"; version {number} of the License.")
+
+
+def _whole():
+    """The texts of the files, with and without the advice on use that follows the terms, as they are and with a line for each paragraph."""
+    for path in sorted(TEXTS.glob("*.txt")):
+        text = path.read_text(encoding="utf-8")
+        end = _TERMS_END.search(text)
+        for form in (text, text[: end.end()], text[: end.start()]) if end else (text,):
+            yield path.stem, form
+            yield path.stem, "\n\n".join(" ".join(x.split()) for x in re.split(r"\n\s*\n", form))
+
+
+#: (licence id, whole text): whole texts, common header texts, and notices of one line.
+KNOWN = tuple(dict.fromkeys((*_SHORT, *_whole(), *_headers(), *_notices())))
+
+COPYRIGHT_LINE = r"(?m)^[^\p{L}\p{N}\n]*(?:(?:copyright\b|\(c\)|©)[^\n]*|all[ \t]+rights[ \t]+reserved[^\p{L}\p{N}\n]*)$"
 _SPELT = r" (?:" + "|".join(a for a, _ in SPELLINGS) + ") "
 
 
 def canonical(text: Column) -> Column:
     """Lower-case words of a text joined by single spaces, without lines that open with a copyright
-    mark, with one spelling for equivalent ones. Null counts as empty."""
+    mark or only reserve all rights, with one spelling for equivalent ones. Null counts as empty."""
     words = F.regexp_replace(F.lower(F.coalesce(text.cast("string"), F.lit(""))), COPYRIGHT_LINE, " ")
     # Two spaces between words: each word then has both of its own when spellings are replaced.
     words = F.concat(F.lit(" "), F.regexp_replace(words, r"[^\p{L}\p{N}]+", "  "), F.lit(" "))

@@ -57,3 +57,30 @@ def test_query_agrees_with_brute_force(spark):
     for r in queries.documents(spark, sf).select("doc_id", "text").join(queries.op10_licenses(spark, sf), "doc_id").collect():
         assert r.license_id == known.get(plain(r.text))
         assert r.notices == ",".join(sorted({known[p] for x in r.text.split("\n") if (p := plain(x)) in known}))
+
+
+def test_whole_texts_headers_and_notices_of_the_table(spark):
+    bsd = next(t for k, t in L.KNOWN if k == "BSD-3-Clause" and t.startswith("Redis"))
+    read = lambda k: (L.TEXTS / f"{k}.txt").read_text(encoding="utf-8")
+    ids = ("Apache-2.0", "CC0-1.0", "GPL-2.0-only", "GPL-3.0-only", "LGPL-2.0-only", "LGPL-2.1-only", "LGPL-3.0-only", "MPL-1.1", "MPL-2.0", "Unlicense")
+    rows = [(k, read(k).upper()) for k in ids] + [(k, "\n\n".join(" ".join(x.split()) for x in re.split(r"\n\s*\n", read(k)))) for k in ids]
+    rows += [
+        ("BSD-3-Clause", "Copyright (c) 2001, A\nAll rights reserved.\n\n" + bsd),
+        ("BSD-3-Clause", "Copyright (c) 2001, A\n * ALL RIGHTS RESERVED\n" + bsd),
+        ("Apache-2.0", "Licensed under the Apache License 2.0"),
+        ("GPL-3.0-only", "This program is licensed under the GNU GPL v3."),
+        ("CC-BY-4.0", "This work is licensed under a Creative Commons Attribution 4.0 International License."),
+        ("Apache-2.0", "SPDX-License-Identifier: Apache-2.0"),
+        ("Apache-2.0", read("Apache-2.0").split("limitations under the License.")[0].split("[name of copyright owner]")[1] + "limitations under the License."),
+        ("GPL-3.0-or-later", "This program is free software: you can redistribute it and/or modify\nit under the terms of the GNU General Public License as published by\nthe Free Software Foundation, either version 3 of the License, or\n(at your option) any later version.\n\nThis program is distributed in the hope that it will be useful,\nbut WITHOUT ANY WARRANTY; without even the implied warranty of\nMERCHANTABILITY or FITNESS FOR A PARTICULAR PURPOSE.  See the\nGNU General Public License for more details.\n\nYou should have received a copy of the GNU General Public License\nalong with this program.  If not, see <https://www.gnu.org/licenses/>."),
+        (None, read("Apache-2.0") + " and more"),
+        (None, "All rights reserved to their owners"),
+    ]
+    found = scan(spark, [(i, t) for i, (_, t) in enumerate(rows)])
+    assert [found[i].license_id for i in range(len(rows))] == [k for k, _ in rows]
+
+
+def test_a_known_text_names_one_licence():
+    forms = {}
+    for k, t in L.KNOWN:
+        assert forms.setdefault(plain(t), k) == k
