@@ -84,11 +84,13 @@ def context_header(law: Column, chapter: Column, title: Column, text: Column) ->
 
 def clean_text(text: Column) -> Column:
     """Statute text without bold marks, escaped dots, amendment and image tags, and deleted or empty lines."""
-    t = F.regexp_replace(F.regexp_replace(text, r"\*\*", ""), r"\\\.", ".")
+    t = F.regexp_replace(text, r"(?m)^\*\*<(\d+)>\*\*[^\S\n]*(?:<\1>[^\S\n]*)?", "<$1> ")
+    t = F.regexp_replace(F.regexp_replace(t, r"\*\*", ""), r"\\\.", ".")
+    t = F.regexp_replace(t, r"\s*<\d{4}\.[^>]*>", "")
     t = F.regexp_replace(t, r"<(개정|신설|전문개정|본조신설|제목개정)[^>]*>|\[(전문개정|본조신설|제목개정)[^\]]*\]", "")
     t = F.regexp_replace(t, r"<img[^>]*>", "")
     lines = F.transform(F.split(t, "\n"), lambda x: F.rtrim(x))
-    return F.trim(F.array_join(F.filter(lines, lambda x: (F.trim(x) != "") & ~F.trim(x).rlike(r"^(\d+\.|[가-힣]\.)?\s*삭제(\s|<|$)")), "\n"))
+    return F.trim(F.array_join(F.filter(lines, lambda x: (F.trim(x) != "") & ~F.trim(x).rlike(r"^([①-⑳㉑-㉟]|<\d+>|\d+(의\d+)?\.|[가-힣]\.)?\s*삭제\s*(<[^>]*>\s*)*$")), "\n"))
 
 
 def paragraph_number(mark: Column) -> Column:

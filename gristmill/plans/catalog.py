@@ -10,7 +10,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from gristmill.functions import text as T
-from gristmill.operators import judge, overlap, stats, store, training, vector
+from gristmill.operators import chunking, judge, overlap, stats, store, training, vector
 from gristmill.streaming import ingest
 
 QUERIES: dict = {}
@@ -429,6 +429,12 @@ def article_pieces(spark, sf):
     return lines.groupBy("doc_id").agg(F.count(F.lit(1)).alias("pieces"), F.sum(F.length("line")).alias("chars"), F.max(F.length("line")).cast("long").alias("longest"))
 
 
+@query()
+def document_pieces(spark, sf):
+    """Pieces of each document as an article, its source being the title."""
+    return chunking.split_articles(_table(spark, sf, "documents").select(F.col("doc_id").alias("id"), F.col("source").alias("title"), "text"))
+
+
 @query("WITH a AS (SELECT source AS name, sha256(string_agg(CAST(doc_id AS VARCHAR), ',' ORDER BY doc_id)) AS sha FROM documents WHERE source <> 'src1' GROUP BY source), b AS (SELECT source AS name, sha256(string_agg(CAST(doc_id AS VARCHAR), ',' ORDER BY doc_id)) AS sha FROM documents WHERE source <> 'src2' AND NOT (source = 'src3' AND doc_id % 7 = 0) GROUP BY source) SELECT name, CASE WHEN b.sha IS NULL THEN 'missing' WHEN a.sha IS NULL THEN 'added' ELSE 'changed' END AS change FROM a FULL JOIN b USING (name) WHERE a.sha IS DISTINCT FROM b.sha")
 def version_diff(spark, sf):
     """What two lists of files differ in."""
