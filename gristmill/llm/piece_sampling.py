@@ -29,6 +29,23 @@ SPACE = 0x20
 CHUNK_BYTES = 1 << 19
 
 
+_BASE = 0x9E3779B97F4A7C15
+_INVERSE = pow(_BASE, -1, 1 << 64)
+_powers: dict[int, np.ndarray] = {}
+
+
+def _power(base: int, n: int) -> np.ndarray:
+    """base ** i modulo 2 ** 64 for i below n."""
+    have = _powers.get(base)
+    if have is None or len(have) < n:
+        have = np.full(max(n, 2 * CHUNK_BYTES), base, np.uint64)
+        have[0] = 1
+        have = np.multiply.accumulate(have)
+        if n <= 8 * CHUNK_BYTES:
+            _powers[base] = have
+    return have[:n]
+
+
 def _uniform(h: np.ndarray) -> np.ndarray:
     return ((words.mix(h) >> np.uint64(11)).astype(np.float64) + 0.5) * 2.0**-53
 
@@ -40,13 +57,13 @@ def _times(x, factor: int) -> np.ndarray:
 def _sums(data: np.ndarray) -> np.ndarray:
     """Running sums of the polynomial by which bytes are hashed here."""
     sums = np.zeros(len(data) + 1, np.uint64)
-    np.cumsum((data.astype(np.uint64) + np.uint64(1)) * words._power(words._BASE, len(data)), out=sums[1:])
+    np.cumsum((data.astype(np.uint64) + np.uint64(1)) * _power(_BASE, len(data)), out=sums[1:])
     return sums
 
 
 def _polynomial(data: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
     sums = _sums(data)
-    return (sums[ends] - sums[starts]) * words._power(words._INVERSE, len(data) + 1)[starts]
+    return (sums[ends] - sums[starts]) * _power(_INVERSE, len(data) + 1)[starts]
 
 
 def _slot(h: np.ndarray) -> np.ndarray:
@@ -123,7 +140,7 @@ class Lattice:
         end = np.repeat(offsets[1:], size)
         place = np.arange(n)
         sums = _sums(data)
-        back = words._power(words._INVERSE, n + 1)[:n]
+        back = _power(_INVERSE, n + 1)[:n]
         opens = (data & 0xC0) != 0x80
         width = np.where(data < 0x80, 1, np.where(data < 0xE0, 2, np.where(data < 0xF0, 3, 4)))
         alone = opens.copy()
@@ -169,7 +186,7 @@ class Lattice:
             total[heads[starts]] = np.logaddexp.reduceat(value, starts)
         logp = np.rint(np.minimum(score + np.where(inside, total[self.last], 0.0) - total[first], 0.0) * UNIT).astype(np.int64)
         # The likeliest arc of a place comes first: a draw seldom looks at a second one.
-        order = np.argsort((first << 38) + ((-logp & ~63) | np.minimum(self.last - first, 63)))
+        order = np.lexsort(((-logp & ~63) | np.minimum(self.last - first, 63), first)) if n >> 25 else np.argsort((first << 38) + ((-logp & ~63) | np.minimum(self.last - first, 63)))
         self.first, self.last, self.piece, self.inside, self.logp = first, self.last[order], self.piece[order], inside[order], logp[order]
         self.p = p = np.exp(self.logp / UNIT)
         sums = np.cumsum(p)
