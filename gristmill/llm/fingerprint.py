@@ -200,11 +200,10 @@ def edited_fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str =
     by = [F.desc_nulls_last("doc_id"), F.asc("text")]
     ranged = rows.repartitionByRange(by[0]).sortWithinPartitions(*by)
     found = settle(ranged.mapInArrow(_neighbours, f"{_SCHEMA}, {_EDGES}"))
-    edges = found.filter("edge is not null")
-    order = Window.orderBy("part", "edge")
-    firsts = edges.filter("edge = 'first'").select("part", F.row_number().over(order).alias("n"), F.count(F.lit(1)).over(Window.partitionBy()).alias("of"), F.col("edge_text").alias("following"))
-    before = F.when(F.col("n") == 1, F.col("of")).otherwise(F.col("n") - 1)
-    lasts = edges.filter("edge = 'last'").select(F.row_number().over(order).alias("n"), "edge_id", "edge_text")
-    pairs = lasts.join(firsts.select(before.alias("n"), "following"), "n").select("edge_id", "edge_text", "following")
+    firsts, lasts = (found.filter(f"edge = '{e}'").select("part", "edge_id", "edge_text") for e in ("first", "last"))
+    # Which range follows which is decided on one number for each range; texts are joined to it.
+    order = Window.orderBy("part")
+    following = firsts.select("part").select(F.col("part").alias("then"), F.coalesce(F.lag("part").over(order), F.max("part").over(Window.partitionBy())).alias("part"))
+    pairs = lasts.join(following, "part").join(firsts.select(F.col("part").alias("then"), F.col("edge_text").alias("following")), "then").select("edge_id", "edge_text", "following")
     columns = [k for k, _ in EDITED]
     return found.filter("edge is null").select(*columns).union(pairs.mapInArrow(_edges, _SCHEMA))
