@@ -78,16 +78,25 @@ def spans(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray
     return starts, np.flatnonzero(ends) + 1, np.diff(at)
 
 
-def span_hashes(data: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
-    """A 64-bit hash of the bytes of each span (none is empty): blocks of eight bytes, each mixed with its place, summed and mixed."""
+def _eights(data: np.ndarray):
+    """A reader of eight bytes from any places on, of which only the first ``left`` count."""
     padded = np.zeros(len(data) // 8 * 8 + 24, np.uint8)
     padded[: len(data)] = data
     eights = padded.view("<u8")
 
-    def blocks(at: np.ndarray, left: np.ndarray, place) -> np.ndarray:
+    def load(at: np.ndarray, left: np.ndarray) -> np.ndarray:
         whole, shift = at >> 3, ((at & 7) << 3).astype(np.uint64)
-        value = (eights[whole] >> shift) | (eights[whole + 1] << np.uint64(1) << (np.uint64(63) - shift))
-        return mix(mix(value & _FIRST[np.minimum(left, 8)]) + place * np.uint64(0x9E3779B97F4A7C15))
+        return ((eights[whole] >> shift) | (eights[whole + 1] << np.uint64(1) << (np.uint64(63) - shift))) & _FIRST[np.minimum(left, 8)]
+
+    return load
+
+
+def span_hashes(data: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
+    """A 64-bit hash of the bytes of each span (none is empty): blocks of eight bytes, each mixed with its place, summed and mixed."""
+    load = _eights(data)
+
+    def blocks(at: np.ndarray, left: np.ndarray, place) -> np.ndarray:
+        return mix(mix(load(at, left)) + place * np.uint64(0x9E3779B97F4A7C15))
 
     size = ends - starts
     h = blocks(starts, size, np.uint64(1))
@@ -100,6 +109,20 @@ def span_hashes(data: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.nd
     return mix(h ^ size.astype(np.uint64) * np.uint64(0xD6E8FEB86659FD93))
 
 
+def same_spans(data: np.ndarray, starts: np.ndarray, ends: np.ndarray, like: np.ndarray) -> bool:
+    """Whether each span has the bytes of the span whose number ``like`` gives."""
+    if not np.array_equal(ends - starts, (ends - starts)[like]):
+        return False
+    load = _eights(data)
+    own, other, left = starts, starts[like], ends - starts
+    while len(own):
+        if not np.array_equal(load(own, left), load(other, left)):
+            return False
+        on = left > 8
+        own, other, left = own[on] + 8, other[on] + 8, left[on] - 8
+    return True
+
+
 def word_hashes(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     """Hash of every word, and the number of words of each text."""
     data, offsets = buffers(column)

@@ -3,6 +3,7 @@ import zlib
 
 import numpy as np
 import public_tokenizers
+import pyarrow as pa
 import pytest
 from tokenizers import Tokenizer
 
@@ -26,11 +27,11 @@ def brute(rows):
 @pytest.mark.parametrize("ids", [[0], [7] * 5000, [0, 2**32 - 1], [2**32 - 1], list(range(300)) + [4_000_000_000]])
 def test_blocks_come_back(ids):
     ids = np.array(ids[:4096], np.uint32)
-    assert T.unpack_block(b"xyz" + T.pack_block(ids), 3).tolist() == ids.tolist()
+    assert T.unpack_blocks(b"xyz" + T.pack_blocks(ids[None, :])[0], [3])[0].tolist() == ids.tolist()
 
 
 def test_outliers_are_exceptions():
-    packed = T.pack_block(np.array([5] * 99 + [1 << 30], np.uint32))
+    packed = T.pack_blocks(np.array([[5] * 99 + [1 << 30]], np.uint32))[0]
     assert T._HEAD.unpack_from(packed) == (5, 100, 1, 0)
 
 
@@ -54,8 +55,28 @@ def test_words_leave_the_cache():
     encoder = T.WordEncoder(PATH, keep=5)
     tokenizer = Tokenizer.from_file(PATH)
     for text in ("a b c d", "c d e f", "a a a", "g h i j k l m n", "a b"):
-        ids = np.frombuffer(encoder.encode(text.encode()), "<u4").tolist()
-        assert ids == tokenizer.encode(text, add_special_tokens=False).ids
+        ids, sizes = encoder.encode(pa.array([text, None, text]))
+        one = tokenizer.encode(text, add_special_tokens=False).ids
+        assert ids.tolist() == one * 2 and sizes.tolist() == [len(one), 0, len(one)]
+
+
+def test_words_of_one_hash_are_told_apart(monkeypatch):
+    monkeypatch.setattr(T.words, "span_hashes", lambda data, starts, ends: np.zeros(len(starts), np.uint64))
+    text = "some words, of one hash: abcdefghi abcdefghj"
+    assert T.WordEncoder(PATH).encode(pa.array([text]))[0].tolist() == Tokenizer.from_file(PATH).encode(text, add_special_tokens=False).ids
+
+
+def test_many_files(spark):
+    path = fresh_dir(spark, "tokens")
+    df = spark.createDataFrame([(i, f"text number {i} " * 50) for i in range(60)], SCHEMA).repartition(3)
+    files = T.write_token_files(df, path, PATH, file_bytes=1)
+    found = sorted(tuple(r) for r in T.read_token_files(spark, path, files).collect())
+    assert found == brute([(r.doc_id, r.text) for r in df.collect()])
+
+
+def test_damaged_files_are_refused():
+    with pytest.raises(ValueError):
+        T.FileReader(b"GMPFOR01" + bytes(60))
 
 
 def test_empty_table(spark):
