@@ -5,6 +5,7 @@ from __future__ import annotations
 import functools
 import json
 
+import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -12,10 +13,6 @@ from gristmill.llm import chat, exact_dedup, fingerprint, licenses, mixing, near
 from gristmill.llm.shared import fresh_dir
 
 
-#: Where the vocabulary files of the public tokenizers are.
-TOKENIZERS = "/opt/tokenizers"
-
-
 def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/documents.parquet")
 
@@ -38,7 +35,7 @@ def op3_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op4_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Token ids of every document, written to files and read back."""
     path = fresh_dir(spark, "token-files")
-    files = token_files.write_token_files(documents(spark, sf_dir), path, f"{TOKENIZERS}/word_bpe_49k.json", end_id=2)
+    files = token_files.write_token_files(documents(spark, sf_dir), path, public_tokenizers.path("word_bpe_49k.json"), end_id=2)
     return token_files.read_token_files(spark, path, files)
 
 
@@ -71,7 +68,7 @@ def op8_chat(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op9_pieces(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Two sampled segmentations of every document, decoded again."""
-    model = f"{TOKENIZERS}/piece_bpe_32k.model"
+    model = public_tokenizers.path("piece_bpe_32k.model")
     encoded = piece_sampling.encode_samples(documents(spark, sf_dir), model, samples=2)
     decoded = piece_sampling.decode_samples(encoded, model)
     return decoded.select("doc_id", "sample", F.size("ids").alias("n_ids"), F.xxhash64("ids").alias("ids_hash"), "log_prob", "inclusion", F.sha2("text", 256).alias("text_sha256"))
