@@ -2,10 +2,10 @@
 
 from __future__ import annotations
 
+import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
 from gristmill.llm import exact_dedup, mixing, near_dedup, piece_sampling, quality
-from gristmill.llm.queries import TOKENIZERS
 from gristmill.llm.shared import fresh_dir
 
 
@@ -31,7 +31,7 @@ def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def sample_pieces(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Two sampled segmentations of every document."""
-    return piece_sampling.encode_samples(docs, f"{TOKENIZERS}/piece_bpe_32k.model", samples=2)
+    return piece_sampling.encode_samples(docs, public_tokenizers.path("piece_bpe_32k.model"), samples=2)
 
 
 STAGES = [
