@@ -172,14 +172,31 @@ def _whole():
 #: (licence id, whole text): whole texts, common header texts, and notices of one line.
 KNOWN = tuple(dict.fromkeys((*_SHORT, *_whole(), *_headers(), *_notices())))
 
-COPYRIGHT_LINE = r"(?m)^[^\p{L}\p{N}\n]*(?:(?:copyright\b|\(c\)|©)[^\n]*|all[ \t]+rights[ \t]+reserved[^\p{L}\p{N}\n]*)$"
+# Words after "copyright" that make a line part of a licence's body, not a notice.
+BODY_WORDS = (
+    "act", "acts", "and", "are", "as", "by law", "claim", "claims", "disclaimer", "doctrine", "for", "grant", "grants", "has", "holder", "holders", "if", "in", "infringement", "interest", "interests",
+    "is", "law", "laws", "license", "licenses", "licence", "licences", "may", "notice", "notices", "of", "on", "or", "owner", "owners", "permission", "protection", "resulting", "right", "rights",
+    "shall", "statement", "statements", "status", "to", "treaties", "treaty", "which", "will", "with",
+)
+_MARK = r"(?:copyright|\(c\)|©|&copy;)"
+_YEAR = r"[\[<{(]?(?:[12][0-9]{3}\b|y{2,4}\b|year\b)"
+#: A copyright notice takes a whole line: a mark, then a year or a placeholder; two marks; the sign; or "Copyright", so written, and
+#: then a name, so written. A lone (c) before anything else is the third point of a list.
+COPYRIGHT_LINE = (
+    r"(?miu)^[^\p{L}\p{N}\n©(&]*(?:"
+    rf"(?:{_MARK}[ \t,:]*)+{_YEAR}[^\n]*|copyright[ \t]*(?:\(c\)|©|&copy;)[^\n]*|\(c\)[ \t]*copyright\b[^\n]*|(?:©|&copy;)[^\n]*"
+    rf"|(?-i:Copyright[ \t]*:?[ \t]+(?!(?i:{'|'.join(BODY_WORDS)})\b)(?:\p{{Lu}}\p{{Ll}}|[\[<{{])[^\n]*)"
+    r"|all[ \t]+rights[ \t]+reserved[^\p{L}\p{N}\n]*)$"
+)
 _SPELT = r" (?:" + "|".join(a for a, _ in SPELLINGS) + ") "
 
 
 def canonical(text: Column) -> Column:
-    """Lower-case words of a text joined by single spaces, without lines that open with a copyright
-    mark or only reserve all rights, with one spelling for equivalent ones. Null counts as empty."""
-    words = F.regexp_replace(F.lower(F.coalesce(text.cast("string"), F.lit(""))), COPYRIGHT_LINE, " ")
+    """Lower-case words of a text joined by single spaces, without lines that are a copyright notice
+    or only reserve all rights, with one spelling for equivalent ones. Null counts as empty.
+
+    A line that only happens to open with "copyright" or "(c)", as a line of a licence's body may after wrapping, stays."""
+    words = F.lower(F.regexp_replace(F.coalesce(text.cast("string"), F.lit("")), COPYRIGHT_LINE, " "))
     # Two spaces between words: each word then has both of its own when spellings are replaced.
     words = F.concat(F.lit(" "), F.regexp_replace(words, r"[^\p{L}\p{N}]+", "  "), F.lit(" "))
     spelt = functools.reduce(lambda c, pair: F.replace(c, F.lit(f" {pair[0]} "), F.lit(f" {pair[1]} ")), SPELLINGS, words)
@@ -207,10 +224,11 @@ def scan_licenses(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text
     results; rows that share an id share its notices; rows with a null id have none. An empty table
     gives an empty result; other columns are ignored.
 
-    The known digests are hash-joined by broadcast: by default they are the fixed list above. A table that
-    is given must be as bounded. Only the few lines that match are shuffled, and no text.
+    By default the known digests are the fixed list above, and are hash-joined by broadcast. A table that
+    is given (digest, license_id; one row per digest) may have any size: Spark chooses the join. Only the few lines that match are
+    shuffled with the default, and no text. A very long text is one row of one task.
     """
-    known = F.broadcast(known_digests(docs.sparkSession) if known is None else known.select("digest", "license_id"))
+    known = F.broadcast(known_digests(docs.sparkSession)) if known is None else known.select("digest", "license_id")
     text = F.coalesce(docs[text_col].cast("string"), F.lit(""))
     rows = docs.select(docs[id_col].alias("doc_id"), text.alias("_text"))
     whole = rows.select("doc_id", digest(F.col("_text")).alias("digest")).join(known, "digest", "left")

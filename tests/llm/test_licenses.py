@@ -5,10 +5,30 @@ from gristmill.llm import licenses as L
 SCHEMA = "doc_id long, text string, digest int, license_id int"
 
 
+BODY = "act acts and are as claim claims disclaimer doctrine for grant grants has holder holders if in infringement interest interests is law laws license licenses licence licences may notice notices of on or owner owners permission protection resulting right rights shall statement statements status to treaties treaty which will with".split()
+
+
+def notice(own):
+    """Whether a line is a copyright notice, read word by word."""
+    own = re.sub(r"^[^\w©(&]*", "", own.replace("_", " ")).replace("&copy;", "©")
+    line = own.lower()
+    if re.fullmatch(r"all\s+rights\s+reserved\W*", line) or line.startswith("©"):
+        return True
+    marks = re.match(r"((?:copyright|\(c\)|©)[ \t,:]*)+", line)
+    if not marks:
+        return False
+    rest, n = line[marks.end() :], len(re.findall(r"copyright|\(c\)|©", marks.group()))
+    if re.match(r"[\[<{(]?([12]\d{3}\b|y{2,4}\b|year\b)", rest) or n > 1:
+        return True
+    first = re.match(r"\w+", own[marks.end() :])
+    name = bool(first) and first.group()[:1].isupper() and first.group()[1:2].islower() and first.group().lower() not in BODY
+    return own.startswith("Copyright ") and (name or rest[:1] in tuple("[<{"))
+
+
 def plain(text):
-    """The canonical form, another way: word by word."""
-    lines = [x for x in (text or "").lower().split("\n") if not re.match(r"[\W_]*(copyright\b|\(c\)|©)", x)]
-    return " ".join(dict(L.SPELLINGS).get(w, w) for w in re.findall(r"[^\W_]+", "\n".join(lines)))
+    """The canonical form, another way: line by line and word by word."""
+    lines = [x for x in (text or "").split("\n") if not notice(x)]
+    return " ".join(dict(L.SPELLINGS).get(w, w) for w in re.findall(r"[^\W_]+", "\n".join(lines).lower()))
 
 
 def scan(spark, rows):
@@ -24,13 +44,14 @@ def test_whole_texts_match_whatever_their_dress(spark):
         (3, bsd.replace("1.", "1)").replace(",", ";")),
         (4, mit + " and more"),
         (5, "copyright holders keep this\n" + mit),
+        (10, "Copyright Some One and Others\n" + mit),
         (6, "LICENSED under the Apache Licence, version 2.0!"),
         (7, None),
         (8, ""),
         (9, "x " * 50_000),
     ]
     found = scan(spark, rows)
-    assert {i: r.license_id for i, r in found.items()} == {1: "MIT", 2: "MIT", 3: "BSD-3-Clause", 4: None, 5: "MIT", 6: "Apache-2.0", 7: None, 8: None, 9: None}
+    assert {i: r.license_id for i, r in found.items()} == {1: "MIT", 2: "MIT", 3: "BSD-3-Clause", 4: None, 5: None, 10: "MIT", 6: "Apache-2.0", 7: None, 8: None, 9: None}
     assert found[7].digest == found[8].digest
 
 
@@ -84,3 +105,21 @@ def test_a_known_text_names_one_licence():
     forms = {}
     for k, t in L.KNOWN:
         assert forms.setdefault(plain(t), k) == k
+
+
+def test_wrapping_does_not_hide_a_licence(spark):
+    """Whole texts with every "copyright", "(c)" and "holder" at the start of a line, wherever that makes no notice of it."""
+    rows, answers = [], []
+    for k, t in {t: k for k, t in L.KNOWN if len(t) > 600 and "Gnomovision" not in t}.items():  # the advice on use has notices within lines
+        k, t = t, k
+        wrapped = re.sub(r"(?i)[ \t]+(copyright(?! *\(c\)| [12]\d{3}| ©| owner\])|\(c\)(?! *[12]\d{3}| *<year>))", r"\n\1", t)
+        rows.append((len(rows), wrapped))
+        answers.append(k)
+    found = scan(spark, rows)
+    assert len(rows) > 20 and [found[i].license_id for i in range(len(rows))] == answers
+
+
+def test_clauses_that_say_the_opposite_are_told_apart(spark):
+    keep, drop = ("(a) Text.\n(c) You must retain all notices.", "(a) Text.\n(c) You may remove all notices.")
+    found = scan(spark, [(1, keep), (2, drop), (3, "Copyright (c) 2001 A\n" + keep), (4, "(c) 2001 A\n" + keep), (5, "Copyright [yyyy] [name]\n" + keep)])
+    assert found[1].digest != found[2].digest and found[1].digest == found[3].digest == found[4].digest == found[5].digest
