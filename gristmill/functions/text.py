@@ -82,18 +82,42 @@ def context_header(law: Column, chapter: Column, title: Column, text: Column) ->
     return F.concat(F.lit("["), head, F.lit("] "), title, F.lit("\n"), text)
 
 
+# Marks of emphasis and history in statute files.
+ANGLE_MARK = r"(?m)^\*\*<(\d+)>\*\*\s*(?:<\1>\s*)?"
+HISTORY_AND_IMAGES = r"\s*<(?:개정|신설|\d{4}\.)[^>]*>|<img[^>]*>|</img>"
+DELETED_LINE = r"^(?:[①-⑳㉑-㉟]|\d+(?:의\d+)?\.|[가-하]\.)\s*삭제\s*$"
+
+
+def strip(text: Column) -> Column:
+    """A text without white space at its ends."""
+    return F.regexp_replace(text, r"(?U)^\s+|\s+$", "")
+
+
+def unlike_lines(text: Column, pattern: str) -> Column:
+    """The lines of a text that do not match once stripped."""
+    return F.array_join(F.filter(F.split(text, r"\r\n|[\n\r]"), lambda x: ~strip(x).rlike(pattern)), "\n")
+
+
 def clean_text(text: Column) -> Column:
-    """Statute text without bold marks, escaped dots, amendment and image tags, and deleted or empty lines."""
-    t = F.regexp_replace(text, r"(?m)^\*\*<(\d+)>\*\*[^\S\n]*(?:<\1>[^\S\n]*)?", "<$1> ")
-    t = F.regexp_replace(F.regexp_replace(t, r"\*\*", ""), r"\\\.", ".")
-    t = F.regexp_replace(t, r"\s*<\d{4}\.[^>]*>", "")
-    t = F.regexp_replace(t, r"<(개정|신설|전문개정|본조신설|제목개정)[^>]*>|\[(전문개정|본조신설|제목개정)[^\]]*\]", "")
-    t = F.regexp_replace(t, r"<img[^>]*>", "")
-    lines = F.transform(F.split(t, "\n"), lambda x: F.rtrim(x))
-    return F.trim(F.array_join(F.filter(lines, lambda x: (F.trim(x) != "") & ~F.trim(x).rlike(r"^([①-⑳㉑-㉟]|<\d+>|\d+(의\d+)?\.|[가-힣]\.)?\s*삭제\s*(<[^>]*>\s*)*$")), "\n"))
+    """Statute text with paragraph marks of one form, without bold marks, escaped dots, amendment and image tags, and lines that only say that they are deleted."""
+    marked = F.regexp_replace(text, ANGLE_MARK, "<$1> ")
+    plain = F.regexp_replace(F.replace(F.replace(marked, F.lit("**"), F.lit("")), F.lit("\\."), F.lit(".")), HISTORY_AND_IMAGES, "")
+    return strip(unlike_lines(plain, DELETED_LINE))
 
 
 def paragraph_number(mark: Column) -> Column:
     """Number of a circled paragraph mark or of <n>; null for anything else."""
     code = F.ascii(mark)
     return F.when(code.between(0x2460, 0x2473), code - 0x2460 + 1).when(code.between(0x3251, 0x325F), code - 0x3251 + 21).otherwise(F.regexp_extract(mark, r"^<(\d+)>", 1).try_cast("int"))
+
+
+def table_cells(row: Column) -> Column:
+    """The cells of a row of a table in Markdown."""
+    return F.transform(F.split(F.regexp_replace(row, r"^\|+|\|+$", ""), r"\|"), F.trim)
+
+
+def relative_time(at: Column, now: Column) -> Column:
+    """How long ago a time was, in its largest whole unit."""
+    seconds = F.floor(F.unix_micros(now.cast("timestamp")) / 1e6 - F.unix_micros(at.cast("timestamp")) / 1e6)
+    unit = lambda n, name: F.concat(F.floor(seconds / n).cast("string"), F.lit(name))
+    return F.when(seconds < 60, "now").when(seconds < 3600, unit(60, " min")).when(seconds < 86400, unit(3600, " h")).otherwise(unit(86400, " d"))

@@ -62,12 +62,12 @@ def report(questions: DataFrame, groups=()) -> DataFrame:
     return rows.groupBy("judge", F.col("g.kind").alias("group_kind"), F.col("g.grp").alias("grp")).agg(F.count(F.lit(1)).alias("n"), *[F.round(F.avg(m), 6).alias(m) for m in METRICS])
 
 
-def average_precision(ranked: DataFrame, relevant: DataFrame, k: int = 10) -> DataFrame:
-    """qid, ap: average precision at k; relevant: (qid, id)."""
+def average_precision(ranked: DataFrame, relevant: DataFrame, k: int = 10, many: DataFrame | None = None) -> DataFrame:
+    """qid, ap: average precision at k; relevant: (qid, id). ``many`` (qid, m) is how many are relevant where ``relevant`` has ranked ones only."""
     hits = ranked.filter(F.col("rank") <= k).join(relevant.withColumn("hit", F.lit(1)), ["qid", "id"], "left")
     so_far = Window.partitionBy("qid").orderBy("rank").rowsBetween(Window.unboundedPreceding, 0)
     scored = hits.withColumn("p", F.when(F.col("hit") == 1, F.sum("hit").over(so_far) / F.col("rank")))
-    many = relevant.groupBy("qid").agg(F.count(F.lit(1)).alias("m"))
+    many = relevant.groupBy("qid").agg(F.count(F.lit(1)).alias("m")) if many is None else many
     return many.join(scored.groupBy("qid").agg(F.sum("p").alias("s")), "qid", "left").select("qid", (F.coalesce("s", F.lit(0.0)) / F.least("m", F.lit(k))).alias("ap"))
 
 
@@ -85,3 +85,28 @@ def compare(base: DataFrame, other: DataFrame, judge: str = "doc", k: int = 5) -
         raise ValueError(f"different questions: {odd.a}, {odd.b}, {odd.c} in both")
     outcome = F.when((F.col("base_hit") == 0) & (F.col("other_hit") == 1), "fixed").when((F.col("base_hit") == 1) & (F.col("other_hit") == 0), "broken").when(F.col("base_hit") == 1, "both_right").otherwise("both_wrong")
     return both.withColumn("outcome", outcome)
+
+
+def relation(right: Column, wrong: Column) -> Column:
+    """How a wrong answer relates to the right one (structs of article, law, kind, theme); missing values are equal to one another."""
+    same = lambda name: right[name].eqNullSafe(wrong[name])
+    return F.when(same("article"), "same_article").when(same("law") & same("kind"), "same_law_same_type").when(same("law"), "same_law_other_type").when(same("theme"), "other_law_same_theme").otherwise("other_law_other_theme")
+
+
+# Fixed value: how a text names an article of its law.
+NAMES_ARTICLE = r"법\s*(제\d+조(?:의\d+)?)"
+
+
+def delegation(right: Column, wrong: Column, right_text: Column, right_no: Column, wrong_text: Column, wrong_no: Column) -> Column:
+    """The same in six kinds: rules of one law but of different kinds are apart if one names the other's article."""
+    names = lambda text, no: F.array_contains(F.regexp_extract_all(text, F.lit(NAMES_ARTICLE), 1), no)
+    linked = names(right_text, wrong_no) | names(wrong_text, right_no)
+    kind = relation(right, wrong)
+    return (
+        F.when(kind == "same_article", "same article")
+        .when((kind == "same_law_other_type") & linked, "same law, delegated")
+        .when(kind == "same_law_other_type", "same law, other kind")
+        .when(kind == "same_law_same_type", "same law and kind")
+        .when(kind == "other_law_same_theme", "same theme")
+        .otherwise("other theme")
+    )

@@ -82,3 +82,16 @@ def nearest_by_jaccard(items: DataFrame, docs: DataFrame, n: int, k: int) -> Dat
 def coverage(items: DataFrame, docs: DataFrame, n: int) -> DataFrame:
     """item_id, doc_id, overlap (six places): the share of an item's grams that a document has, for all pairs that share any."""
     return shared_grams(items, docs, n).select("item_id", "doc_id", (F.expr("(2000000L * common + item_grams) div (2 * item_grams)") / 1_000_000).alias("overlap"))
+
+
+def pair_jaccard(pairs: DataFrame, n: int) -> DataFrame:
+    """qid, id, similarity (six places): the Jaccard similarity of the grams of each pair's texts (qid, id, a, b)."""
+
+    def run(batches):
+        for batch in batches:
+            sides = [[gram_codes(t, n) for t in batch.column(c).to_pylist()] for c in "ab"]
+            common = np.array([len(np.intersect1d(x, y, assume_unique=True)) for x, y in zip(*sides, strict=True)], np.int64)
+            whole = np.array([len(x) + len(y) for x, y in zip(*sides, strict=True)], np.int64) - common
+            yield pa.RecordBatch.from_arrays([batch.column("qid"), batch.column("id"), pa.array(micros(common, whole) / 1_000_000)], ["qid", "id", "similarity"])
+
+    return pairs.select("qid", "id", "a", "b").mapInArrow(run, "qid long, id long, similarity double")

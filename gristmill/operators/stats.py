@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import math
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -24,17 +26,30 @@ def paired_summary(compared: DataFrame, by: list[str] = ()) -> DataFrame:
     return rows.select(*by, "n", F.round("base", 6).alias("base"), F.round("other", 6).alias("other"), F.round(F.col("other") - F.col("base"), 6).alias("delta"), "fixed", "broken", F.round(mcnemar(F.col("fixed"), F.col("broken")), 6).alias("mcnemar_p"))
 
 
+def poisson(mean: Column, u: Column, v: Column) -> Column:
+    """A Poisson number from two uniform ones: by inversion, or as a rounded normal number where the mean is above 500."""
+    z = F.sqrt(-2 * F.log(u)) * F.cos(2 * math.pi * v)
+    normal = F.greatest(F.round(mean + F.sqrt(mean) * z), F.lit(0.0))
+    start = F.struct(F.exp(-mean).alias("p"), F.exp(-mean).alias("upto"), F.lit(0.0).alias("k"))
+
+    def step(s: Column, i: Column) -> Column:
+        p = s["p"] * mean / i
+        return F.struct(p.alias("p"), (s["upto"] + p).alias("upto"), F.when(s["upto"] < u, i.cast("double")).otherwise(s["k"]).alias("k"))
+
+    most = (F.least(mean, F.lit(500.0)) + 9 * F.sqrt(F.least(mean, F.lit(500.0))) + 9).cast("int")
+    return F.when(mean > 500, normal).otherwise(F.aggregate(F.sequence(F.lit(1), most), start, step, lambda s: s["k"]))
+
+
 def bootstrap_interval(compared: DataFrame, rounds: int = 1000, seed: int = 0) -> DataFrame:
     """low, high: 95 % interval of the mean difference by Poisson bootstrap.
 
-    Each question counts in each round as often as a Poisson draw from a hash of both, so rounds are sums
-    that combine before the shuffle, and no task sees all questions.
+    Questions of one difference (it is -1, 0 or 1) are drawn together: as often, in each round, as a Poisson number whose mean is their
+    count, from a hash of the difference and the round. So three rows a round are drawn, however many questions there are.
     """
-    u = (F.pmod(F.xxhash64("qid", "round", F.lit(seed)), F.lit(1 << 40)) + 0.5) / float(1 << 40)
-    edges = [0.36787944117144233, 0.7357588823428847, 0.9196986029286058, 0.9810118431238462, 0.9963401531726563, 0.9994058151824183, 0.9999167588507119]
-    weight = sum((F.when(u > e, 1).otherwise(0) for e in edges), F.lit(0))
-    rows = compared.select("qid", (F.col("other_hit") - F.col("base_hit")).alias("d"), F.explode(F.sequence(F.lit(1), F.lit(rounds))).alias("round"))
-    means = rows.withColumn("w", weight).groupBy("round").agg((F.sum(F.col("w") * F.col("d")) / F.sum("w")).alias("m"))
+    counts = compared.groupBy((F.col("other_hit") - F.col("base_hit")).alias("d")).agg(F.count(F.lit(1)).cast("double").alias("m"))
+    rows = counts.select("d", "m", F.explode(F.sequence(F.lit(1), F.lit(rounds))).alias("round"))
+    u, v = ((F.pmod(F.xxhash64("d", "round", F.lit(seed), F.lit(k)), F.lit(1 << 40)) + 0.5) / float(1 << 40) for k in (1, 2))
+    means = rows.withColumn("w", poisson(F.col("m"), u, v)).groupBy("round").agg((F.sum(F.col("w") * F.col("d")) / F.nullif(F.sum("w"), F.lit(0.0))).alias("m"))
     return means.agg(F.percentile("m", F.lit(0.025)).alias("low"), F.percentile("m", F.lit(0.975)).alias("high"))
 
 
@@ -51,9 +66,35 @@ def standard_error(p: Column, n: Column) -> Column:
 
 
 def nearest_rank(rows: DataFrame, value: str, percents: list[int], by: list[str]) -> DataFrame:
-    """Values at place min(n - 1, n * p // 100) of each group in order, and its largest."""
-    place = Window.partitionBy(*by).orderBy(value)
-    many = Window.partitionBy(*by)
-    numbered = rows.select(*by, F.col(value).alias("v"), (F.row_number().over(place) - 1).alias("i"), F.count(F.lit(1)).over(many).alias("n"))
-    picks = [F.max(F.when(F.col("i") == F.least(F.col("n") - 1, F.floor(F.col("n") * p / 100)), F.col("v"))).alias(f"p{p}") for p in percents]
-    return numbered.groupBy(*by).agg(*picks, F.max("v").alias("top"))
+    """Values at place min(n - 1, n * p // 100) of each group in order, and its largest; equal values are counted first."""
+    counted = rows.groupBy(*by, F.col(value).alias("v")).agg(F.count(F.lit(1)).alias("m")).filter("v is not null")
+    upto = F.sum("m").over(Window.partitionBy(*by).orderBy("v").rowsBetween(Window.unboundedPreceding, 0))
+    placed = counted.select(*by, "v", "m", upto.alias("upto"), F.sum("m").over(Window.partitionBy(*by)).alias("n"))
+    place = lambda p: F.least(F.col("n") - 1, F.floor(F.col("n") * p / 100))
+    picks = [F.max(F.when((place(p) >= F.col("upto") - F.col("m")) & (place(p) < F.col("upto")), F.col("v"))).alias(f"p{p}") for p in percents]
+    return placed.groupBy(*by).agg(*picks, F.max("v").alias("top"))
+
+
+def agreement(rows: DataFrame, a: str, b: str) -> DataFrame:
+    """n, agreement, kappa of two judgements of the same rows, from the counts of pairs of judgements."""
+    pairs = rows.groupBy(F.col(a).alias("x"), F.col(b).alias("y")).agg(F.count(F.lit(1)).alias("m"))
+    sides = pairs.select("m", F.explode(F.array(F.struct(F.lit("x").alias("side"), F.col("x").alias("v")), F.struct(F.lit("y").alias("side"), F.col("y").alias("v")))).alias("s"))
+    margin = sides.groupBy("s.v").agg(F.sum(F.when(F.col("s.side") == "x", F.col("m")).otherwise(0)).alias("x"), F.sum(F.when(F.col("s.side") == "y", F.col("m")).otherwise(0)).alias("y"))
+    chance = margin.agg((F.sum(F.col("x") * F.col("y")) / F.sum("x") / F.sum("x")).alias("chance"), F.lit(0).alias("_k"))
+    found = pairs.agg(F.sum("m").alias("n"), (F.sum(F.when(F.col("x") == F.col("y"), F.col("m")).otherwise(0)) / F.sum("m")).alias("agreement"), F.lit(0).alias("_k"))
+    return found.join(chance, "_k").select("n", "agreement", ((F.col("agreement") - F.col("chance")) / (1 - F.col("chance"))).alias("kappa"))
+
+
+def by_quartile(rows: DataFrame, value: str):
+    """The rows grouped by ``bin``, the quartile of a value: 1 to 4, edges to the lower one."""
+    edges = rows.agg(F.percentile(value, F.array(F.lit(0.25), F.lit(0.5), F.lit(0.75))).alias("_e"), F.lit(0).alias("_k"))
+    v, e = F.col(value), F.col("_e")
+    placed = rows.withColumn("_k", F.lit(0)).join(F.broadcast(edges), "_k")
+    return placed.groupBy(F.when(v <= e[0], 1).when(v <= e[1], 2).when(v <= e[2], 3).otherwise(4).alias("bin"))
+
+
+def gate(compared: DataFrame, group: str, least: float = 0.02) -> DataFrame:
+    """delta, large (at least ``least``), better (more fixed than broken), no_worse_label (no group loses)."""
+    per = compared.groupBy(group).agg(F.count(F.lit(1)).alias("n"), F.sum("base_hit").alias("b"), F.sum("other_hit").alias("o"), F.sum((F.col("outcome") == "fixed").cast("long")).alias("f"), F.sum((F.col("outcome") == "broken").cast("long")).alias("k"))
+    whole = per.agg(F.round((F.sum("o") - F.sum("b")) / F.sum("n"), 6).alias("delta"), F.sum("f").alias("f"), F.sum("k").alias("k"), F.min(F.col("o") - F.col("b")).alias("worst"))
+    return whole.select("delta", (F.col("delta") >= least).alias("large"), (F.col("f") > F.col("k")).alias("better"), F.coalesce(F.col("worst") >= 0, F.lit(False)).alias("no_worse_label"))

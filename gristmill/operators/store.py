@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 
@@ -39,3 +39,60 @@ def match_versions(files: DataFrame, versions: DataFrame) -> DataFrame:
 
 def missing_from_cache(rows: DataFrame, cache: DataFrame, key: str) -> DataFrame:
     return rows.dropDuplicates([key]).join(cache.select(key), key, "left_anti")
+
+
+def as_of(commits: DataFrame, at: str) -> DataFrame:
+    """The last commit (name, ts, seq, ...) of each name up to a time."""
+    return latest(commits.filter(F.col("ts") <= F.lit(at).cast("timestamp")), ["name"], [F.desc("ts"), F.desc("seq")])
+
+
+def sum_digest(sha: Column) -> Column:
+    """An aggregate digest that does not depend on order: the sum of the digests' first 48 bits, as text."""
+    return F.sum(F.conv(F.substring(sha, 1, 12), 16, 10).cast("decimal(20,0)")).cast("string")
+
+
+def folder_digest(files: DataFrame, by: list[str]) -> DataFrame:
+    """by, sha: one digest of each folder's files (by, name, sha), from their lines in the order of names; a folder's list of files fits a row."""
+    lines = F.array_sort(F.collect_list(F.struct("name", "sha")))
+    return files.groupBy(*by).agg(F.sha2(F.array_join(F.transform(lines, lambda x: F.concat(x["name"], F.lit(" "), x["sha"], F.lit("\n"))), ""), 256).alias("sha"))
+
+
+def questions_digest(questions: DataFrame, by: list[str], order: str) -> DataFrame:
+    """by, digest: twelve characters of the digest of each list of questions in order, as JSON of sorted keys and ", " and ": " between."""
+    names = sorted(questions.columns)
+    plain = {n for n, t in questions.dtypes if t in ("int", "bigint", "smallint", "tinyint")}
+    fields = [F.concat(F.lit(f'"{n}": '), F.col(n).cast("string") if n in plain else F.regexp_extract(F.to_json(F.struct(F.col(n).alias("v"))), r"(?s)^\{\"v\":(.*)\}$", 1)) for n in names]
+    line = F.concat(F.lit("{"), F.concat_ws(", ", *fields), F.lit("}"))
+    lines = F.transform(F.array_sort(F.collect_list(F.struct(F.col(order).alias("o"), line.alias("l")))), lambda x: x["l"])
+    return questions.groupBy(*by).agg(F.substring(F.sha2(F.array_join(lines, "\n"), 256), 1, 12).alias("digest"))
+
+
+def check_names(asked: DataFrame, known: DataFrame) -> DataFrame:
+    """law, status, similar: whether the laws that are asked for are known, and for others the known names that contain them.
+
+    ``asked`` is a request's list of names: a few rows.
+    """
+    names = known.select(F.col("law").alias("_known")).distinct()
+    near = names.join(F.broadcast(asked.select("law").distinct()), F.contains("_known", "law")).groupBy("law").agg(F.max(F.col("_known") == F.col("law")).alias("_there"), F.array_join(F.array_sort(F.collect_list("_known")), ",").alias("_names"))
+    there = F.coalesce("_there", F.lit(False))
+    return asked.join(near, "law", "left").select("law", F.when(there, "known").otherwise("unknown").alias("status"), F.when(~there, F.col("_names")).alias("similar"))
+
+
+def dictionary_codes(rows: DataFrame, value: str, order: str) -> DataFrame:
+    """The rows' order column and code: the place of their value among all values in the order in which they first occur."""
+    firsts = rows.groupBy(value).agg(F.min(order).alias("_first"))
+    codes = firsts.select(value, (F.row_number().over(Window.orderBy("_first")) - 1).alias("code"))  # one row for each value
+    return rows.join(codes, value).select(order, "code")
+
+
+def closure(edges: DataFrame, start: DataFrame) -> DataFrame:
+    """id: everything that can be reached from the start (id) over edges (a, b), each once.
+
+    A round follows the edges of what the round before has found; lineage is cut each round.
+    """
+    found = front = start.select("id").distinct()
+    while True:
+        front = edges.join(front, F.col("a") == F.col("id"), "left_semi").select(F.col("b").alias("id")).distinct().join(found, "id", "left_anti").checkpoint()
+        if front.isEmpty():
+            return found
+        found = found.union(front).checkpoint()

@@ -2,8 +2,6 @@
 
 from __future__ import annotations
 
-import random
-
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -55,52 +53,53 @@ def pick_negatives(candidates: DataFrame, keep: int = 3, ceiling: float = 0.95)
     return rows.select("qid", "n", one["id"].alias("id"), reason.alias("reason"))
 
 
+def hash_unit(key: Column, seed: int) -> Column:
+    """A number from 0 to 1 that depends on the key and the seed alone."""
+    return F.conv(F.substring(F.md5(F.concat(F.lit(f"{seed}:"), key.cast("string"))), 1, 8), 16, 10).cast("double") / float(1 << 32)
+
+
 def split_by_group(counts: DataFrame, test: float = 0.2, dev: float = 0.1, seed: int = 42, least: int = 3) -> DataFrame:
     """law, split: whole laws to test, dev and train, stratified by theme (counts: theme, law, n; one row per law).
 
-    Themes of fewer than ``least`` laws are pooled. In shuffled order a law is taken as long as that brings its
-    split strictly closer to its share and leaves a law; without any, the smallest is taken. The counts, one
-    row per law, are the only rows on the driver; the assignment joins back.
+    Themes of fewer than ``least`` laws are one stratum. The laws of a stratum stand in hash order, each as wide as its questions; those
+    whose middle lies before the share of test are test, and of the others those whose middle lies before the share of dev are
+    dev. The last law of each step stays, and a share above 0 that no law falls into gets the smallest one if there
+    are two or more. All of it is windows over one row per law.
     """
-    themes: dict[str, list] = {}
-    for r in counts.orderBy("theme", "law").collect():
-        themes.setdefault(r.theme, []).append((r.law, r.n))
-    groups = [v for v in themes.values() if len(v) >= least]
-    if pooled := [x for v in themes.values() if len(v) < least for x in v]:
-        groups.append(pooled)
-    rng, out = random.Random(seed), []
-    for laws in groups:
-        left, total = list(laws), sum(n for _, n in laws)
-        rng.shuffle(left)
-        for name, share in (("test", test), ("dev", dev)):
-            target, have, taken = total * share, 0, []
-            for law in left:
-                if len(left) - len(taken) > 1 and abs(have + law[1] - target) < abs(have - target):
-                    taken.append(law)
-                    have += law[1]
-            if not taken and len(left) > 1:
-                taken = [min(left, key=lambda x: (x[1], x[0]))]
-            out += [(x[0], name) for x in taken]
-            left = [x for x in left if x not in taken]
-        out += [(x[0], "train") for x in left]
-    return counts.sparkSession.createDataFrame(out, "law string, split string")
+    laws = F.count(F.lit(1)).over(Window.partitionBy("theme"))
+    rows = counts.select("law", "n", F.when(laws >= least, F.col("theme")).alias("_stratum"), hash_unit(F.col("law"), seed).alias("_u"))
+    rows = rows.withColumn("_all", F.sum("n").over(Window.partitionBy("_stratum")))
+
+    def deal(rows: DataFrame, share: float) -> DataFrame:
+        whole = Window.partitionBy("_stratum")
+        order = whole.orderBy("_u", "law")
+        upto = F.sum("n").over(order.rowsBetween(Window.unboundedPreceding, 0))
+        inside = (upto - F.col("n") / 2 < F.col("_all") * share) & (F.lead("law").over(order).isNotNull())
+        rows = rows.withColumns({"_in": inside, "_few": F.row_number().over(whole.orderBy("n", "law")) == 1, "_m": F.count(F.lit(1)).over(whole)})
+        return rows.withColumn("_in", F.col("_in") | (~F.max("_in").over(whole) & F.col("_few") & (F.col("_m") > 1) & F.lit(share > 0)))
+
+    first = deal(rows, test)
+    second = deal(first.filter("not _in").drop("_in", "_few", "_m"), dev)
+    return first.filter("_in").select("law", F.lit("test").alias("split")).union(second.select("law", F.when(F.col("_in"), "dev").otherwise("train").alias("split")))
 
 
 def hash_split(key: Column, test: float = 0.15, dev: float = 0.1, seed: int = 42) -> Column:
     """A split by a hash of an article's key: no table of articles, the same at every size."""
-    u = F.pmod(F.xxhash64(key, F.lit(seed)), F.lit(1_000_000)) / 1e6
+    u = hash_unit(key, seed)
     return F.when(u < test, "test").when(u < test + dev, "dev").otherwise("train")
 
 
-def same_law_batches(questions: DataFrame, batch: int, seed: int = 1) -> DataFrame:
+def same_law_batches(questions: DataFrame, batch: int, seed: int = 1, shard: int = 10_000) -> DataFrame:
     """qid, law, batch_no: batches within laws, each shuffled by a hash; texts that repeat in a law (text) fall in different batches.
 
-    Every law is numbered apart, so no task sees more than one law at once and nothing is sequential across laws.
+    Laws of more than ``shard`` questions are cut into parts by that hash, which are numbered apart, so no task sees a whole large law.
     """
+    parts = questions.groupBy("law").agg(F.ceil(F.count(F.lit(1)) / shard).alias("_parts"))
+    u = hash_unit(F.col("qid"), seed)
     twin = Window.partitionBy("law", "text").orderBy("qid")
-    numbered = questions.withColumn("_twin", F.row_number().over(twin))
-    order = Window.partitionBy("law", "_twin").orderBy(F.xxhash64("qid", F.lit(seed)), "qid")
-    return numbered.select("qid", "law", F.concat_ws("-", "law", "_twin", F.floor((F.row_number().over(order) - 1) / batch)).alias("batch_no"))
+    numbered = questions.withColumn("_twin", F.row_number().over(twin)).join(parts, "law").withColumns({"_u": u, "_part": F.floor(u * F.col("_parts"))})
+    order = Window.partitionBy("law", "_twin", "_part").orderBy("_u", "qid")
+    return numbered.select("qid", "law", F.concat_ws("-", "law", "_twin", "_part", F.floor((F.row_number().over(order) - 1) / batch)).alias("batch_no"))
 
 
 def in_batch_loss(scores: DataFrame, scale: float = 20.0) -> DataFrame:
@@ -112,3 +111,88 @@ def in_batch_loss(scores: DataFrame, scale: float = 20.0) -> DataFrame:
         F.log(F.sum(F.exp(F.col("score") * scale - scale))).alias("lse"),
     )
     return row.groupBy("batch").agg(F.avg(F.col("lse") + scale - F.col("own") * scale).alias("loss"), F.min(F.col("own") - F.col("best")).alias("margin"))
+
+
+def split_summary(questions: DataFrame, article: str, law: str) -> DataFrame:
+    """split, questions, articles, laws (sorted, joined by commas) of questions with a split; a split's laws fit a row."""
+    laws = F.array_join(F.transform(F.array_sort(F.collect_set(law)), lambda x: x.cast("string")), ",")
+    return questions.groupBy("split").agg(F.count(F.lit(1)).alias("questions"), F.count_distinct(article).alias("articles"), laws.alias("laws"))
+
+
+def leak_rate(questions: DataFrame, article: str) -> DataFrame:
+    """rate: the share of test questions whose article is also the answer of a training question."""
+    seen = questions.filter("split = 'train'").select(article).distinct().withColumn("_seen", F.lit(1.0))
+    return questions.filter("split = 'test'").join(seen, article, "left").agg(F.avg(F.coalesce("_seen", F.lit(0.0))).alias("rate"))
+
+
+def question_problems(questions: DataFrame, kinds: tuple[str, ...]) -> DataFrame:
+    """A row (problem and the question's columns) for each rule that a question (text, kind, ...) breaks."""
+    text = F.col("text")
+    times = questions.groupBy("text").agg(F.count(F.lit(1)).alias("_times"))
+    rules = {
+        "empty": F.coalesce(F.trim(text), F.lit("")) == "",
+        "role": ~F.col("kind").isin(*kinds),
+        "names an article": text.rlike(r"제\d+조"),
+        "length": ~F.length(text).between(5, 150),
+        "repeated": F.col("_times") > 1,
+    }
+    broken = F.filter(F.array(*[F.when(F.coalesce(rule, F.lit(False)), F.lit(name)) for name, rule in rules.items()]), lambda x: x.isNotNull())
+    return questions.join(times, "text", "left").withColumn("problem", F.explode(broken)).drop("_times")
+
+
+def every_nth(rows: DataFrame, order: str, step: int, shard: int = 10_000) -> DataFrame:
+    """Every ``step``-th row in ascending order of a whole-number column, with n, its place from 0.
+
+    Ranges of ``shard`` numbers are counted first, so the only order over all is that of one row for each range.
+    """
+    placed = rows.withColumn("_shard", F.floor(F.col(order) / shard))
+    ranges = placed.groupBy("_shard").agg(F.count(F.lit(1)).alias("_many"))
+    ranges = ranges.select("_shard", F.coalesce(F.sum("_many").over(Window.orderBy("_shard").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("_before"))
+    n = F.row_number().over(Window.partitionBy("_shard").orderBy(order)) - 1 + F.col("_before")
+    return placed.join(ranges, "_shard").withColumn("n", n).filter(F.col("n") % step == 0).drop("_shard", "_before")
+
+
+def seeded_sample(rows: DataFrame, key: str, n: int, seed: int) -> DataFrame:
+    """The n rows whose seeded hashes are smallest: a distributed top-n."""
+    return rows.orderBy(F.md5(F.concat(F.lit(f"{seed}:"), F.col(key).cast("string"))), key).limit(n)
+
+
+def judge_input(candidates: DataFrame, top: int = 3, ceiling: float = 0.95, seed: int = 0) -> DataFrame:
+    """qid, n, id: candidates (qid, id, rank, ratio) among the first ``top`` that score like the positive, in an order that does not show their ranks."""
+    odd = candidates.filter((F.col("rank") <= top) & (F.col("ratio") >= ceiling))
+    order = Window.partitionBy("qid").orderBy(F.md5(F.concat_ws(":", F.lit(seed), "qid", "id")), "id")
+    return odd.select("qid", F.row_number().over(order).alias("n"), "id")
+
+
+def settle_negatives(candidates: DataFrame, verdicts: DataFrame, keep: int = 3, ceiling: float = 0.95) -> DataFrame:
+    """qid, negatives, reasons, alternatives after judgement (verdicts: qid, id, verdict of no, full or partial).
+
+    Of the first ``keep`` candidates those of low ratio and those judged no stay, in their order; then come others of low ratio, ranks up
+    to 10 first, up to 30 then; what is missing repeats them in turn. Candidates judged full are further answers. ``reasons`` is
+    top, fill or repeat. A candidate that needs a verdict and has none raises ValueError.
+    """
+    judged = candidates.filter(F.col("rank") <= 30).join(verdicts, ["qid", "id"], "left")
+    doubtful = (F.col("rank") <= keep) & (F.col("ratio") >= ceiling)
+    if (n := judged.filter(doubtful & F.col("verdict").isNull()).count()) > 0:
+        raise ValueError(f"{n} candidates without a verdict")
+    usable = (F.col("ratio") < ceiling) | (doubtful & (F.col("verdict") == "no"))
+    tier = F.when(F.col("rank") <= keep, 0).when(F.col("rank") <= 10, 1).otherwise(2)
+    rows = judged.groupBy("qid").agg(
+        F.slice(F.array_sort(F.collect_list(F.when(usable, F.struct(tier.alias("t"), "rank", "id")))), 1, keep).alias("s"),
+        F.transform(F.array_sort(F.collect_list(F.when(doubtful & (F.col("verdict") == "full"), F.struct("rank", "id")))), lambda x: x["id"]).alias("alternatives"),
+    )
+    turn = lambda f: F.when(F.size("s") > 0, F.transform(F.sequence(F.lit(0), F.lit(keep - 1)), f)).otherwise(F.array())
+    one = lambda n: F.element_at("s", F.pmod(n, F.size("s")).cast("int") + 1)
+    reason = lambda n: F.when(n >= F.size("s"), "repeat").when(one(n)["t"] < 2, "top").otherwise("fill")
+    return rows.select("qid", turn(lambda n: one(n)["id"]).alias("negatives"), turn(reason).alias("reasons"), "alternatives")
+
+
+def replace_negatives(questions: DataFrame, mined: DataFrame) -> DataFrame:
+    """Questions (qid, positive_id) with mined negatives, and a further row with these for each further answer; n orders a question's rows.
+
+    A question without mined negatives raises ValueError.
+    """
+    if (n := questions.join(mined, "qid", "left_anti").count()) > 0:
+        raise ValueError(f"{n} questions without mined negatives")
+    answers = F.concat(F.array("positive_id"), F.coalesce("alternatives", F.array().cast("array<long>")))
+    return questions.join(mined, "qid").select("qid", F.posexplode(answers).alias("n", "positive_id"), "negatives")

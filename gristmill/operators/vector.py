@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 import numpy as np
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -23,12 +23,13 @@ def predicate(where: dict | None, columns=FILTER_COLUMNS) -> Column:
         if isinstance(value, list):
             if not value:
                 raise ValueError(f"no values for {name!r}")
-            found &= column.isin([str(v) for v in value])
+            # Missing values match '' alone, so others are compared on the column itself and reach the scan.
+            found &= (column if "" in value else F.col(name)).isin([str(v) for v in value])
         else:
             op, v = value if isinstance(value, tuple) else ("=", value)
             if op not in OPERATORS:
                 raise ValueError(f"unknown comparison {op!r}")
-            found &= getattr(column, OPERATORS[op])(str(v))
+            found &= getattr(F.col(name) if op == "=" and v != "" else column, OPERATORS[op])(str(v))
     return found
 
 
@@ -63,31 +64,53 @@ def search(index: DataFrame, query: list[float], k: int = 5, where: dict | None
 def batch_knn(queries: DataFrame, corpus: DataFrame, k: int, exclude_self: bool = True, block: int = 4096, digits: int = 6) -> DataFrame:
     """qid, id, score, rank: for every query (qid, embedding) the k rows (id, embedding) of largest dot product.
 
-    Exact, over a grid of blocks: each pair of a block of queries and a block of rows is one matrix
-    product in one task, whose k best per query go on; no side is broadcast, and a task holds one block of
-    each. Ties go to the smaller id.
+    Exact. Up to ``block`` queries are one matrix that goes to every task: the corpus is read once and not
+    shuffled, and a task keeps the k best of each query. More queries make a grid of blocks: each pair of a block of queries
+    and a block of rows is one matrix product in one task, whose k best per query go on. Ties go to the smaller id.
     """
-    n_q, n_d = (max(1, -(-df.count() // block)) for df in (queries, corpus))
-    q = queries.select("qid", "embedding", F.pmod(F.xxhash64("qid"), F.lit(n_q)).alias("qb"), F.explode(F.sequence(F.lit(0), F.lit(n_d - 1))).alias("db"))
-    d = corpus.select("id", "embedding", F.pmod(F.xxhash64("id"), F.lit(n_d)).alias("db"), F.explode(F.sequence(F.lit(0), F.lit(n_q - 1))).alias("qb"))
-
-    def best(left: pd.DataFrame, right: pd.DataFrame) -> pd.DataFrame:
-        if not len(left) or not len(right):
-            return pd.DataFrame({"qid": [], "id": [], "score": []})
-        right = right.sort_values("id")
-        ids, qids = right["id"].to_numpy(), left["qid"].to_numpy()
-        scores = np.round(np.stack(left["embedding"]).astype(float) @ np.stack(right["embedding"]).astype(float).T, digits) + 0.0
+
+    def best(qids: np.ndarray, q: np.ndarray, ids: np.ndarray, d: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """qid, id, score of the k best rows of each query."""
+        if not len(ids) or not len(qids):
+            return np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0)
+        order = np.argsort(ids, kind="stable")
+        ids, d = ids[order], d[order]
+        scores = np.round(q @ d.T, digits) + 0.0
         if exclude_self:
             scores[qids[:, None] == ids[None, :]] = -np.inf
         order = np.argsort(-scores, axis=1, kind="stable")[:, :k]
-        found = pd.DataFrame({"qid": np.repeat(qids, order.shape[1]), "id": ids[order].ravel(), "score": np.take_along_axis(scores, order, 1).ravel()})
-        return found[np.isfinite(found["score"])]
+        out = np.repeat(qids, order.shape[1]), ids[order].ravel(), np.take_along_axis(scores, order, 1).ravel()
+        there = np.isfinite(out[2])
+        return tuple(x[there] for x in out)
+
+    few = queries.select("qid", F.col("embedding").cast("array<double>").alias("embedding")).limit(block + 1).toArrow()
+    if few.num_rows <= block:
+        qids, q = few.column("qid").to_numpy().astype(np.int64), _matrix(few.column("embedding").combine_chunks())
+
+        def scan(batches):
+            for batch in batches:
+                yield pa.RecordBatch.from_arrays([pa.array(x) for x in best(qids, q, batch.column("id").to_numpy(zero_copy_only=False).astype(np.int64), _matrix(batch.column("embedding")))], ["qid", "id", "score"])
+
+        scored = corpus.select("id", F.col("embedding").cast("array<double>").alias("embedding")).mapInArrow(scan, "qid long, id long, score double")
+    else:
+        n_q, n_d = (max(1, -(-df.count() // block)) for df in (queries, corpus))
+        left = queries.select("qid", "embedding", F.pmod(F.xxhash64("qid"), F.lit(n_q)).alias("qb"), F.explode(F.sequence(F.lit(0), F.lit(n_d - 1))).alias("db"))
+        right = corpus.select("id", "embedding", F.pmod(F.xxhash64("id"), F.lit(n_d)).alias("db"), F.explode(F.sequence(F.lit(0), F.lit(n_q - 1))).alias("qb"))
 
-    scored = q.groupBy("qb", "db").cogroup(d.groupBy("qb", "db")).applyInPandas(best, "qid long, id long, score double")
+        def pair(a: pa.Table, b: pa.Table) -> pa.Table:
+            sides = [(t.column(c).to_numpy().astype(np.int64), _matrix(t.column("embedding").combine_chunks())) for t, c in ((a, "qid"), (b, "id"))]
+            return pa.table([pa.array(x) for x in best(*sides[0], *sides[1])], names=["qid", "id", "score"])
+
+        scored = left.groupBy("qb", "db").cogroup(right.groupBy("qb", "db")).applyInArrow(pair, "qid long, id long, score double")
     order = Window.partitionBy("qid").orderBy(F.desc("score"), "id")
     return scored.withColumn("rank", F.row_number().over(order)).filter(F.col("rank") <= k)
 
 
+def _matrix(column: pa.Array) -> np.ndarray:
+    """Vectors of one dimension as the rows of a matrix."""
+    return column.flatten().to_numpy(zero_copy_only=False).astype(float).reshape(len(column), -1) if len(column) else np.zeros((0, 0))
+
+
 def best_pieces(ranked: DataFrame, group_of: DataFrame, limit: int) -> DataFrame:
     """qid, grp, id, score, rank: the best piece of each article (``group_of``: id, grp), at most ``limit`` articles a query."""
     rows = ranked.select("qid", "id", "score").join(group_of, "id")

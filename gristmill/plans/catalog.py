@@ -11,23 +11,12 @@ from pyspark.sql import functions as F
 
 from gristmill.functions import text as T
 from gristmill.operators import chunking, judge, overlap, stats, store, training, vector
+from gristmill.plans.registry import ORACLE_SQL, QUERIES, query
 from gristmill.streaming import ingest
 
-QUERIES: dict = {}
-ORACLE_SQL: dict = {}
 DEPTH = 100
 
 
-def query(sql: str | None = None):
-    def add(f):
-        QUERIES[f.__name__] = f
-        if sql:
-            ORACLE_SQL[f.__name__] = sql
-        return f
-
-    return add
-
-
 def _table(spark: SparkSession, sf: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf}/{name}.parquet")
 
@@ -44,21 +33,27 @@ def _ranked(spark, sf, k: int = DEPTH) -> DataFrame:
     return vector.batch_knn(_queries(spark, sf), _corpus(spark, sf), k)
 
 
-def _roles(spark, sf):
-    """positives (the lowest other id of the label), alternatives (the rest), per question."""
-    q, d = _queries(spark, sf).select("qid", "label"), _corpus(spark, sf).select("id", "label")
-    same = q.join(d, "label").filter("id != qid")
-    positives = same.groupBy("qid").agg(F.min("id").alias("id"))
-    return positives, same.select("qid", "id").join(positives, ["qid", "id"], "left_anti")
+def _positives(spark, sf) -> DataFrame:
+    """qid, id: the right answer of each question, the lowest other id of its label; from the two lowest ids of each label."""
+    d = _corpus(spark, sf).select("id", "label")
+    first = d.groupBy("label").agg(F.min("id").alias("_first"))
+    lowest = first.join(d.join(first, "label").filter("id != _first").groupBy("label").agg(F.min("id").alias("_second")), "label", "left")
+    rows = _queries(spark, sf).select("qid", "label").join(lowest, "label")
+    return rows.select("qid", F.when(F.col("qid") == F.col("_first"), F.col("_second")).otherwise(F.col("_first")).alias("id")).filter("id is not null")
+
+
+def _same(spark, sf, ranked: DataFrame) -> DataFrame:
+    """The ranked rows (qid, id, rank) that have their question's label."""
+    labels = ranked.join(_corpus(spark, sf).select("id", F.col("label").alias("_of")), "id").join(_queries(spark, sf).select("qid", "label"), "qid")
+    return labels.filter("_of = label").select("qid", "id", "rank")
 
 
 def _judged(spark, sf) -> DataFrame:
-    positives, alternatives = _roles(spark, sf)
-    ranked = _ranked(spark, sf)
+    positives, ranked = _positives(spark, sf), _ranked(spark, sf)
     near = ranked.select("qid", "id")
     ignored, partial = near.filter("id % 7 = 3").join(positives, ["qid", "id"], "left_anti"), near.filter("id % 7 = 5").join(positives, ["qid", "id"], "left_anti")
     keys = _corpus(spark, sf).select("id", F.floor(F.col("id") / 5).cast("string").alias("key"))
-    return judge.per_question(ranked, positives, alternatives, ignored, partial, keys).join(_queries(spark, sf).select("qid", "label"), "qid")
+    return judge.per_question(ranked, positives, _same(spark, sf, ranked), ignored, partial, keys).join(_queries(spark, sf).select("qid", "label"), "qid")
 
 
 _BASE = f"""
@@ -152,8 +147,10 @@ def attainable_recall(spark, sf):
 )
 def mean_average_precision(spark, sf):
     """Average precision at 10 of every question."""
-    positives, alternatives = _roles(spark, sf)
-    return judge.average_precision(_ranked(spark, sf, 10), positives.union(alternatives)).select("qid", F.round("ap", 6).alias("ap"))
+    ranked = _ranked(spark, sf, 10)
+    sizes = _corpus(spark, sf).groupBy("label").agg((F.count(F.lit(1)) - 1).alias("m"))
+    many = _queries(spark, sf).select("qid", "label").join(sizes, "label").filter("m > 0").select("qid", "m")
+    return judge.average_precision(ranked, _same(spark, sf, ranked).select("qid", "id"), many=many).select("qid", F.round("ap", 6).alias("ap"))
 
 
 @query(_BASE + ", best AS (SELECT qid, id // 5 AS grp, id, score FROM ranked QUALIFY row_number() OVER (PARTITION BY qid, id // 5 ORDER BY score DESC, id) = 1) SELECT qid, grp, id, score, CAST(row_number() OVER (PARTITION BY qid ORDER BY score DESC, id) AS INT) AS rank FROM best QUALIFY rank <= 10")
@@ -192,9 +189,8 @@ _HITS = (
 
 
 def _compared(spark, sf):
-    positives, alternatives = _roles(spark, sf)
-    same = positives.union(alternatives)
-    rank = lambda r: positives.select("qid").join(r.join(same, ["qid", "id"]).groupBy("qid").agg(F.min("rank").alias("doc_rank")), "qid", "left")
+    asked = _positives(spark, sf).select("qid")
+    rank = lambda r: asked.join(_same(spark, sf, r).groupBy("qid").agg(F.min("rank").alias("doc_rank")), "qid", "left")
     return judge.compare(rank(_half(spark, sf)), rank(_ranked(spark, sf)), k=3)
 
 
@@ -237,7 +233,7 @@ _CANDS = _BASE + ", cand AS (SELECT r.qid, r.id, r.rank, round(r.score / (SELECT
 
 
 def _candidates(spark, sf):
-    positives, _ = _roles(spark, sf)
+    positives = _positives(spark, sf)
     d, q = _corpus(spark, sf), _queries(spark, sf)
     own = positives.join(d.select("id", F.col("embedding").alias("de")), "id").join(q.select("qid", "embedding"), "qid").select("qid", F.col("id").alias("positive"), vector.dot(F.col("embedding"), F.col("de")).alias("own"))
     return _ranked(spark, sf).join(own, "qid").filter("id != positive").select("qid", "id", "rank", F.round(F.col("score") / F.col("own"), 4).alias("ratio"))
@@ -355,38 +351,14 @@ def text_functions(spark, sf):
     return _table(spark, sf, "documents").select("doc_id", T.question_key(F.col("lang"), F.col("source")).alias("qid"), T.snippet(F.col("text")).alias("snippet"), T.squeeze(F.col("text")).alias("squeezed"))
 
 
-def _pairs(spark, sf):
-    """Every document with the benchmark item of its turn: as many candidate pairs as documents, as a top-k gives them."""
-    b = _table(spark, sf, "benchmark").select("item_id", F.col("text").alias("bt"))
-    d = _table(spark, sf, "documents").select("doc_id", F.col("text").alias("dt"), F.pmod("doc_id", F.lit(40)).alias("item_id"))
-    return b.join(d, "item_id")
-
-
-_GRAMS = "WITH p AS (SELECT item_id, doc_id, {f}(b.text) AS bt, {f}(d.text) AS dt FROM benchmark b JOIN documents d ON d.doc_id % 40 = b.item_id), g AS (SELECT item_id, doc_id, list_distinct(list_transform(range(1, greatest(length(bt) - {n} + 1, 0) + 1), lambda i: substr(bt, i, {n1}))) AS x, list_distinct(list_transform(range(1, greatest(length(dt) - {n} + 1, 0) + 1), lambda i: substr(dt, i, {n1}))) AS y FROM p)"
-
-
 def _gram_sql(n: int, pattern: str) -> str:
-    sql = _GRAMS.replace("{n1}", str(n)).replace("{n}", str(n))
-    for column in ("b.text", "d.text"):
-        sql = sql.replace("{f}(" + column + ")", f"regexp_replace({column}, '{pattern}', '', 'g')")
-    return sql
+    grams = lambda table, key: f"SELECT {key}, unnest(list_distinct(list_transform(range(1, greatest(length(t) - {n - 1}, 0) + 1), lambda i: substr(t, i, {n})))) AS g FROM (SELECT {key}, regexp_replace(text, '{pattern}', '', 'g') AS t FROM {table})"
+    return f"""WITH b AS ({grams("benchmark", "item_id")}), d AS ({grams("documents", "doc_id")}), nb AS (SELECT item_id, count(*) AS x FROM b GROUP BY item_id), nd AS (SELECT doc_id, count(*) AS y FROM d GROUP BY doc_id),
+    c AS (SELECT item_id, doc_id, count(*) AS c FROM b JOIN d USING (g) GROUP BY ALL), p AS (SELECT item_id, doc_id, c, x, x + y - c AS u FROM c JOIN nb USING (item_id) JOIN nd USING (doc_id))"""
 
 
-@query(_gram_sql(2, r"[^\p{L}\p{N}]") + " SELECT item_id, doc_id, round(CASE WHEN len(x) > 0 THEN CAST(len(list_intersect(x, y)) AS DOUBLE) / len(x) ELSE 0 END, 6) AS overlap FROM g")
-def query_overlap(spark, sf):
-    """Share of an item's character pairs that a document has."""
-    rows = _pairs(spark, sf).select("item_id", "doc_id", T.grams(T.squeeze_for_grams(F.col("bt")), 2).alias("x"), T.grams(T.squeeze_for_grams(F.col("dt")), 2).alias("y"))
-    return rows.select("item_id", "doc_id", F.round(T.containment(F.col("x"), F.col("y")), 6).alias("overlap"))
-
-
-@query(_gram_sql(3, r"\s") + " SELECT item_id, doc_id, round(CAST(len(list_intersect(x, y)) AS DOUBLE) / len(list_distinct(list_concat(x, y))), 6) AS similarity FROM g QUALIFY row_number() OVER (PARTITION BY item_id ORDER BY round(CAST(len(list_intersect(x, y)) AS DOUBLE) / len(list_distinct(list_concat(x, y))), 6) DESC, doc_id) <= 3")
-def gram_jaccard(spark, sf):
-    """The three documents of each item's candidates that share most character triples."""
-    squeezed = lambda c: F.regexp_replace(c, r"\s", "")
-    pairs = _pairs(spark, sf).select("item_id", "doc_id", T.grams(squeezed(F.col("bt")), 3).alias("x"), T.grams(squeezed(F.col("dt")), 3).alias("y"))
-    rows = pairs.select("item_id", "doc_id", F.round(T.jaccard(F.col("x"), F.col("y")), 6).alias("similarity"))
-    order = Window.partitionBy("item_id").orderBy(F.desc("similarity"), "doc_id")
-    return rows.withColumn("n", F.row_number().over(order)).filter("n <= 3").drop("n")
+_COVERAGE = _gram_sql(2, r"[^\p{L}\p{N}]") + " SELECT item_id, doc_id, ((2000000 * c + x) // (2 * x)) / 1000000 AS overlap FROM p"
+_NEAREST = _gram_sql(3, r"\s") + ", m AS (SELECT *, (2000000 * c + u) // (2 * u) AS m FROM p) SELECT item_id, doc_id, m / 1000000 AS similarity FROM m QUALIFY row_number() OVER (PARTITION BY item_id ORDER BY m DESC, doc_id) <= 3"
 
 
 def _squeezed(spark, sf, f):
@@ -395,18 +367,30 @@ def _squeezed(spark, sf, f):
     return items, _table(spark, sf, "documents").select("doc_id", f(F.col("text")).alias("text"))
 
 
-@query()
+@query(_NEAREST)
 def gram_neighbours(spark, sf):
     """The three documents of all that share most character triples with each item, by Jaccard."""
     return overlap.nearest_by_jaccard(*_squeezed(spark, sf, lambda c: F.regexp_replace(c, r"\s", "")), 3, 3)
 
 
-@query()
+@query(_COVERAGE)
 def gram_coverage(spark, sf):
     """Share of an item's character pairs that a document has, for all pairs of both that share any."""
     return overlap.coverage(*_squeezed(spark, sf, T.squeeze_for_grams), 2)
 
 
+@query(_COVERAGE)
+def query_overlap(spark, sf):
+    """Share of an item's character pairs that a document has, for all pairs of both that share any."""
+    return gram_coverage(spark, sf)
+
+
+@query(_NEAREST)
+def gram_jaccard(spark, sf):
+    """The three documents of all that share most character triples with each item."""
+    return gram_neighbours(spark, sf)
+
+
 @query("WITH h AS (SELECT * FROM conversations QUALIFY row_number() OVER (PARTITION BY conv_id ORDER BY turn DESC) <= 6) SELECT conv_id, count(*) AS n, string_agg(role || ': ' || text, chr(10) ORDER BY turn) AS prompt FROM h GROUP BY conv_id")
 def history_prompt(spark, sf):
     """The last six messages as a prompt; six a group at most, so collecting them is bounded."""
@@ -432,14 +416,17 @@ def article_pieces(spark, sf):
 @query()
 def document_pieces(spark, sf):
     """Pieces of each document as an article, its source being the title."""
-    return chunking.split_articles(_table(spark, sf, "documents").select(F.col("doc_id").alias("id"), F.col("source").alias("title"), "text"))
+    return chunking.split_articles(_table(spark, sf, "documents").select(F.col("doc_id").alias("id"), F.col("source").alias("title"), "text")).drop("n")
+
+
+_SUM_SHA = "CAST(sum(CAST('0x' || substr(sha256(CAST(doc_id AS VARCHAR)), 1, 12) AS BIGINT)) AS VARCHAR)"
 
 
-@query("WITH a AS (SELECT source AS name, sha256(string_agg(CAST(doc_id AS VARCHAR), ',' ORDER BY doc_id)) AS sha FROM documents WHERE source <> 'src1' GROUP BY source), b AS (SELECT source AS name, sha256(string_agg(CAST(doc_id AS VARCHAR), ',' ORDER BY doc_id)) AS sha FROM documents WHERE source <> 'src2' AND NOT (source = 'src3' AND doc_id % 7 = 0) GROUP BY source) SELECT name, CASE WHEN b.sha IS NULL THEN 'missing' WHEN a.sha IS NULL THEN 'added' ELSE 'changed' END AS change FROM a FULL JOIN b USING (name) WHERE a.sha IS DISTINCT FROM b.sha")
+@query(f"WITH a AS (SELECT source AS name, {_SUM_SHA} AS sha FROM documents WHERE source <> 'src1' GROUP BY source), b AS (SELECT source AS name, {_SUM_SHA} AS sha FROM documents WHERE source <> 'src2' AND NOT (source = 'src3' AND doc_id % 7 = 0) GROUP BY source) SELECT name, CASE WHEN b.sha IS NULL THEN 'missing' WHEN a.sha IS NULL THEN 'added' ELSE 'changed' END AS change FROM a FULL JOIN b USING (name) WHERE a.sha IS DISTINCT FROM b.sha")
 def version_diff(spark, sf):
-    """What two lists of files differ in."""
+    """What two lists of files differ in; a file's digest is the sum of its rows' digests."""
     d = _table(spark, sf, "documents")
-    digest = lambda x: x.groupBy(F.col("source").alias("name")).agg(F.sha2(F.array_join(F.transform(F.sort_array(F.collect_list("doc_id")), lambda i: i.cast("string")), ","), 256).alias("sha"))
+    digest = lambda x: x.groupBy(F.col("source").alias("name")).agg(store.sum_digest(F.sha2(F.col("doc_id").cast("string"), 256)).alias("sha"))
     return store.diff_files(digest(d.filter("source != 'src1'")), digest(d.filter("source != 'src2' and not (source = 'src3' and doc_id % 7 = 0)")))
 
 
@@ -483,9 +470,17 @@ def event_windows(spark, sf):
     return ingest.windowed_counts(_table(spark, sf, "events")).select("start", "event_type", "n", F.round("total", 2).alias("total"))
 
 
-@query()
+@query(
+    """WITH c AS (SELECT lang AS theme, lang || '/' || source AS law, count(*) AS n FROM documents GROUP BY ALL),
+    s AS (SELECT law, n, CASE WHEN count(*) OVER (PARTITION BY theme) >= 3 THEN theme END AS st, CAST('0x' || substr(md5('42:' || law), 1, 8) AS BIGINT) AS u FROM c),
+    a AS (SELECT *, sum(n) OVER (PARTITION BY st) AS total, sum(n) OVER (PARTITION BY st ORDER BY u, law) - n / 2 AS mid, lead(law) OVER (PARTITION BY st ORDER BY u, law) AS next, row_number() OVER (PARTITION BY st ORDER BY n, law) AS few, count(*) OVER (PARTITION BY st) AS m FROM s),
+    t AS (SELECT *, mid < total * 0.2 AND next IS NOT NULL AS i FROM a), t2 AS (SELECT *, i OR (NOT bool_or(i) OVER (PARTITION BY st) AND few = 1 AND m > 1) AS test FROM t),
+    r AS (SELECT law, n, st, u, total, sum(n) OVER (PARTITION BY st ORDER BY u, law) - n / 2 AS mid, lead(law) OVER (PARTITION BY st ORDER BY u, law) AS next, row_number() OVER (PARTITION BY st ORDER BY n, law) AS few, count(*) OVER (PARTITION BY st) AS m FROM t2 WHERE NOT test),
+    e AS (SELECT *, mid < total * 0.1 AND next IS NOT NULL AS i FROM r), e2 AS (SELECT *, i OR (NOT bool_or(i) OVER (PARTITION BY st) AND few = 1 AND m > 1) AS dev FROM e)
+    SELECT law, 'test' AS split FROM t2 WHERE test UNION ALL SELECT law, CASE WHEN dev THEN 'dev' ELSE 'train' END FROM e2"""
+)
 def law_split(spark, sf):
-    """Laws dealt to test, dev and train (the shuffle is not SQL's)."""
+    """Laws dealt to test, dev and train in hash order."""
     counts = _table(spark, sf, "documents").groupBy(F.col("lang").alias("theme"), F.concat_ws("/", "lang", "source").alias("law")).agg(F.count(F.lit(1)).alias("n"))
     return training.split_by_group(counts)
 

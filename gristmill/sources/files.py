@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Callable, Iterator
 
 import pandas as pd
@@ -43,6 +44,9 @@ def write_splits(df: DataFrame, path: str) -> None:
 
 
 def load_split(spark: SparkSession, path: str, name: str) -> DataFrame:
+    """The rows of one split; none where nothing was written."""
+    if not exists(spark, path):
+        return spark.createDataFrame([], "query string, positive_id string")
     return spark.read.parquet(path).filter(F.col("split") == name).drop("split")
 
 
@@ -58,22 +62,32 @@ def corpus_hash(docs: DataFrame) -> str:
     return f"{r.a or 0}-{r.b or 0}-{r.n}"
 
 
+def exists(spark: SparkSession, path: str) -> bool:
+    """Whether there is a file or folder, in whatever store Spark reads."""
+    place = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    return place.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).exists(place)
+
+
+def _manifest(spark: SparkSession, path: str):
+    """The last row of an index's manifest, if there is one."""
+    if not exists(spark, f"{path}/manifest"):
+        return None
+    return spark.read.schema("version long, folder string, model_key string, corpus_hash string").parquet(f"{path}/manifest").orderBy(F.desc("version")).first()
+
+
 def build_index(docs: DataFrame, embed: Callable[[list[str]], list], path: str, model_key: str, batch: int = 64) -> bool:
-    """Embed documents (id, text, ...) into a Parquet index with a one-row manifest; False if it is up to date.
+    """Embed documents (id, text, ...) into a Parquet index with a manifest; False if it is up to date.
 
-    Duplicate ids are refused before anything is embedded. Texts of like length are embedded together. The manifest
-    is written last: an index without one counts as missing, so a broken build is built again.
+    Duplicate ids are refused before anything is embedded. Texts of like length are embedded together. Rows go to
+    a new folder, and a row that names it is appended to the manifest last: a broken build leaves the index that was there.
     """
     bad = duplicate_ids(docs).orderBy("id").limit(3).collect()
     if bad:
         raise ValueError(f"{duplicate_ids(docs).count()} duplicate ids, such as {[r.id for r in bad]}")
     spark, digest = docs.sparkSession, corpus_hash(docs)
-    try:
-        have = spark.read.parquet(f"{path}/manifest").first()
-        if have and (have.model_key, have.corpus_hash) == (model_key, digest):
-            return False
-    except Exception:  # no manifest, or one that can't be read: build
-        pass
+    have = _manifest(spark, path)
+    if have and (have.model_key, have.corpus_hash) == (model_key, digest):
+        return False
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for df in batches:
@@ -83,14 +97,15 @@ def build_index(docs: DataFrame, embed: Callable[[list[str]], list], path: str,
                 yield part
 
     schema = StructType([*docs.schema.fields, StructField("embedding", ArrayType(FloatType()))])
-    docs.sortWithinPartitions(F.length("text")).mapInPandas(run, schema).write.mode("overwrite").parquet(f"{path}/docs")
-    spark.createDataFrame([(model_key, digest)], "model_key string, corpus_hash string").coalesce(1).write.mode("overwrite").parquet(f"{path}/manifest")
+    folder = f"docs-{uuid.uuid4().hex}"
+    docs.sortWithinPartitions(F.length("text")).mapInPandas(run, schema).write.parquet(f"{path}/{folder}")
+    row = [((have.version if have else 0) + 1, folder, model_key, digest)]
+    spark.createDataFrame(row, "version long, folder string, model_key string, corpus_hash string").coalesce(1).write.mode("append").parquet(f"{path}/manifest")
     return True
 
 
 def open_index(spark: SparkSession, path: str) -> DataFrame:
-    try:
-        spark.read.parquet(f"{path}/manifest").first()
-    except Exception as e:
-        raise FileNotFoundError(f"no index in {path}; build one first") from e
-    return spark.read.parquet(f"{path}/docs")
+    have = _manifest(spark, path)
+    if have is None:
+        raise FileNotFoundError(f"no index in {path}; build one first")
+    return spark.read.parquet(f"{path}/{have.folder}")

@@ -7,17 +7,21 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from gristmill.sources.files import exists
+
 
 def append_documents(stream: DataFrame, path: str, checkpoint: str, transform: Callable[[DataFrame], DataFrame] = lambda df: df):
-    """Append each micro-batch of new documents (id, ...) to Parquet; ids that are there stay as they are."""
+    """Append each micro-batch of new documents (id, ...) to Parquet; ids that are there stay as they are.
+
+    A batch has a folder of its own, which is written anew if the batch is repeated, and is compared with the ids of
+    the other folders only, so a repeated batch leaves the same rows.
+    """
 
     def write(batch: DataFrame, number: int) -> None:
-        rows = transform(batch.dropDuplicates(["id"]))
-        try:
-            rows = rows.join(batch.sparkSession.read.parquet(path).select("id"), "id", "left_anti")
-        except Exception:  # the first batch: nothing is there
-            pass
-        rows.write.mode("append").parquet(path)
+        rows, spark = transform(batch.dropDuplicates(["id"])), batch.sparkSession
+        if exists(spark, path):
+            rows = rows.join(spark.read.parquet(path).filter(F.col("batch") != number).select("id"), "id", "left_anti")
+        rows.write.mode("overwrite").parquet(f"{path}/batch={number}")
 
     return stream.writeStream.foreachBatch(write).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
 

@@ -168,12 +168,12 @@ LAW = """---
 def test_statutes_and_pieces(spark):
     files = spark.createDataFrame([("a.md", LAW)], "path string, value string")
     rows = chunking.parse_statutes(files).orderBy("pos").collect()
-    assert [(r.law, r.chapter, r.article_no, r.title, r.effective_date) for r in rows] == [("시험법", "제1장 총칙", "제1조", "목적", "2021-01-01"), ("시험법", "제2장 보칙", "제3조의2", "벌칙", "2021-01-01")]
+    assert [(r.law_name, r.chapter, r.article_no, r.article_title, r.effective_date) for r in rows] == [("시험법", "제1장 총칙", "제1조", "목적", "2021-01-01"), ("시험법", "제1장 총칙", "제2조", "삭제", "2021-01-01"), ("시험법", "제2장 보칙", "제3조의2", "벌칙", "2021-01-01")]
     assert rows[0].text.startswith("① 이 법은 시험을 목적으로 한다.") and "개정" not in rows[0].text and "1. 첫째" in rows[0].text
     long = "lead\n① " + "a" * 50 + "\n" + "b" * 60 + "\n② " + "c" * 10
     pieces = chunking.split_articles(spark.createDataFrame([("x", long), ("y", "short")], "id string, text string"), 80).orderBy("id").collect()
-    assert [(p.id, p.parent_id, p.paragraph) for p in pieces] == [("x_0", "x", "1"), ("x_1", "x", "1"), ("x_2", "x", "2"), ("y", "y", "")]
-    assert "\n".join(p.text for p in pieces[:3]) == long
+    assert [(p.id, p.parent_id, p.paragraph) for p in pieces] == [("x_제1항", "x", "제1항"), ("x_제2항", "x", "제2항"), ("y", "y", "")]
+    assert "\n".join(p.text for p in pieces[:2]) == long
 
 
 def test_store_and_versions(spark):
