@@ -113,7 +113,7 @@ def paragraph_number(mark: Column) -> Column:
 
 def table_cells(row: Column) -> Column:
     """The cells of a row of a table in Markdown."""
-    return F.transform(F.split(F.regexp_replace(row, r"^\|+|\|+$", ""), r"\|"), F.trim)
+    return F.transform(F.split(F.regexp_replace(row, r"^\|+|\|+$", ""), r"\|"), strip)
 
 
 def relative_time(at: Column, now: Column) -> Column:
