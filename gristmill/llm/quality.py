@@ -155,9 +155,9 @@ def _described(docs: DataFrame) -> DataFrame:
             for piece in words.chunks(batch, "text"):
                 x = features(piece.column("text"))
                 lists = pa.FixedSizeListArray.from_arrays(pa.array(x.ravel()), len(NAMES)).cast(pa.list_(pa.float32()))
-                yield pa.RecordBatch.from_arrays([piece.column("part"), lists], ["part", "x"])
+                yield pa.RecordBatch.from_arrays([piece.column("doc_id"), piece.column("part"), lists], ["doc_id", "part", "x"])
 
-    return docs.mapInArrow(run, "part int, x array<float>")
+    return docs.mapInArrow(run, "doc_id long, part int, x array<float>")
 
 
 def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_col: str = "quality", positives: int = 8000, negatives: int = 4000, unlabelled: int = 16000, seed: int = 11) -> Network | float:
@@ -184,7 +184,8 @@ def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: st
         free.orderBy(draw, "doc_id").limit(unlabelled).select("doc_id", F.lit(2).alias("part")),
     ]
     drawn = samples[0].union(samples[1]).union(samples[2]).distinct()
-    got = _described(rows.join(F.broadcast(drawn), "doc_id").select("part", "text")).toArrow()
+    described = _described(rows.join(F.broadcast(drawn), "doc_id").select("doc_id", "part", "text"))
+    got = described.groupBy("doc_id", "part").agg(F.min("x").alias("x")).toArrow()  # rows of one id are one document, so the samples' bounds hold
     part = got.column("part").to_numpy()
     x = np.asarray(got.column("x").combine_chunks().flatten().to_numpy(), np.float32).reshape(-1, len(NAMES))
     order = np.lexsort((*x.T[::-1], part))  # rows arrive in any order; the result is not to depend on it
@@ -215,7 +216,11 @@ def score(docs: DataFrame, model: Network | float, id_col: str = "doc_id", text_
 
 
 def keep_accepted(docs: DataFrame, model: Network | float, text_col: str = "text", threshold: float = 0.3) -> DataFrame:
-    """The rows of ``docs``, with all their columns, whose text scores at least the threshold. Nothing is shuffled."""
+    """The rows of ``docs``, with all their columns, whose text scores at least the threshold. Nothing is shuffled.
+
+    Null counts as empty; empty and very long texts are scored like others, rows without an id and repeated rows too.
+    An empty table stays empty; other columns are kept, whatever their names.
+    """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
