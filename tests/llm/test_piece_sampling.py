@@ -113,3 +113,21 @@ def test_edge_cases(spark):
     same = sorted((r.sample, tuple(r.ids)) for r in found if r.doc_id == 8)
     assert same[0] == same[1] and len(set(same)) == 3
     assert S.encode_samples(spark.createDataFrame([], SCHEMA), MODEL).collect() == []
+
+
+def test_query_agrees_with_all_paths(spark, tmp_path):
+    """The registered query on short texts, whose segmentations can all be listed."""
+    texts = ["ab", "the cat", "a", "xé☃", "to a", "  a  ", "", None, "ab", "in it"] * 3
+    spark.createDataFrame(list(enumerate(texts)), SCHEMA).write.parquet(str(tmp_path / "documents.parquet"))
+    rows = queries.op9_pieces(spark, str(tmp_path)).collect()
+    ids = {(r.doc_id, r.sample): tuple(r.ids) for r in S.encode_samples(queries.documents(spark, str(tmp_path)), MODEL, samples=2).collect()}
+    seen = Counter(r.doc_id for r in rows)
+    for i, t in enumerate(texts):
+        paths = all_paths(t) if t else {(): 0.0}
+        own = [r for r in rows if r.doc_id == i]
+        assert seen[i] == min(2, len(paths)) and len({ids[i, r.sample] for r in own}) == len(own)
+        for r in own:
+            path = ids[i, r.sample]
+            assert r.n_ids == len(path) and r.log_prob == pytest.approx(paths[path], abs=1e-6)
+            # A segmentation is among k draws without replacement at least as often as in one draw.
+            assert math.exp(r.log_prob) - 1e-9 <= r.inclusion <= 1 + 1e-9
