@@ -15,6 +15,7 @@ import itertools
 from collections.abc import Iterator
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark.sql import DataFrame
@@ -163,14 +164,40 @@ def _digesting(parse):
     return digest
 
 
-def block_bounds(docs: DataFrame, id_col: str, text_col: str, block_bytes: int) -> list[int]:
-    """Ids at which blocks of about ``block_bytes`` of text end: quantiles, one number for each block."""
-    found = docs.agg(F.sum(F.octet_length(docs[text_col].cast("string"))).alias("n"), F.count(F.lit(1)).alias("rows")).first()
-    n = min(int((found.n or 0) // block_bytes) + 1, max(found.rows, 1))
-    if n == 1:
-        return []
-    at = [i / n for i in range(1, n)]
-    return sorted(set(docs.agg(F.percentile_approx(docs[id_col], at, 100 * n).alias("q")).first().q or []))
+def _range_of(bounds: np.ndarray):
+    """The number of the range of ids, given by their last ones, that an id falls into; missing ids come first."""
+
+    @pandas_udf("int")
+    def number(ids: pd.Series) -> pd.Series:
+        return pd.Series(np.searchsorted(bounds, ids.fillna(NO_ID).to_numpy(np.int64), "left").astype(np.int32))
+
+    return number
+
+
+def block_bounds(docs: DataFrame, id_col: str, text_col: str, block_bytes: int, fine: int = 8) -> np.ndarray:
+    """Ids at which blocks of about ``block_bytes`` of text end.
+
+    Quantiles of the ids make ``fine`` ranges for each block, whose bytes are summed; consecutive ranges are a block as long as they
+    fit. So long texts make blocks of fewer documents, and the driver has ``fine`` numbers for each block.
+    """
+    size = F.octet_length(docs[text_col].cast("string"))
+    found = docs.agg(F.sum(size).alias("n"), F.count(F.lit(1)).alias("rows")).first()
+    blocks = min(int((found.n or 0) // block_bytes) + 1, max(found.rows, 1))
+    if blocks == 1:
+        return np.zeros(0, np.int64)
+    n = fine * blocks
+    ends = np.array(sorted(set(docs.agg(F.percentile_approx(docs[id_col], [i / n for i in range(1, n)], 100 * n).alias("q")).first().q or [])), np.int64)
+    per = docs.select(_range_of(ends)(docs[id_col].cast("long")).alias("r"), size.alias("n")).groupBy("r").agg(F.sum("n").alias("n")).collect()
+    sizes = np.zeros(len(ends) + 1, np.int64)
+    for row in per:
+        sizes[row.r] = row.n or 0
+    bounds, held = [], 0
+    for end, own, following in zip(ends.tolist(), sizes.tolist(), sizes[1:].tolist(), strict=False):
+        held += own
+        if held + following > block_bytes:
+            bounds.append(end)
+            held = 0
+    return np.array(bounds, np.int64)
 
 
 def substring_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", window: int = WINDOW, block_bytes: int = 12 << 20, digests: bool = False) -> DataFrame:
@@ -188,14 +215,8 @@ def substring_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     other's words. Rows without an id come before all others. A text shorter than a window stays
     whole. An empty table gives an empty result; other columns are ignored.
     """
-    bounds = np.array(block_bounds(docs, id_col, text_col, block_bytes), np.int64)
-
-    @pandas_udf("int")
-    def block(ids):
-        import pandas as pd
-
-        return pd.Series(np.searchsorted(bounds, ids.fillna(NO_ID).to_numpy(np.int64), "left").astype(np.int32))
-
+    bounds = block_bounds(docs, id_col, text_col, block_bytes)
+    block = _range_of(bounds)
     buckets = len(bounds) + 1
     rows = docs.select(docs[id_col].cast("long").alias("doc_id"), docs[text_col].cast("string").alias("text"))
     rows = rows.select(block("doc_id").alias("block"), "doc_id", "text")
