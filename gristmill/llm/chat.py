@@ -23,7 +23,7 @@ class Mapping:
 
     ``turns`` lists (role, field paths): the fields' texts, empty ones left out, are joined by a blank line;
     an optional turn without text is left out. ``messages`` names a list of messages, ``role`` and ``text``
-    the fields in it; without ``messages`` they are the record's own.
+    the fields in it, ``text`` perhaps in a list of parts; without ``messages`` they are the record's own.
     """
 
     name: str
@@ -47,6 +47,7 @@ MAPPINGS = (
     Mapping("message", role="role", text="content"),
     Mapping("messages", messages="messages", role="role", text="content"),
     Mapping("messages_text", messages="messages", role="role", text="text"),
+    Mapping("messages_parts", messages="messages", role="role", text="content[].text"),
     Mapping("conversations", messages="conversations", role="from", text="value"),
     Mapping("prompt_completion", (("user", ("prompt",)), ("assistant", ("completion",)))),
     Mapping("prompt_response", (("user", ("prompt",)), ("assistant", ("response",)))),
@@ -81,6 +82,14 @@ def _text(value) -> str:
     return value if isinstance(value, str) else json.dumps(value, ensure_ascii=False)
 
 
+def _field(record: dict, path: str) -> str:
+    """The text of a field; of a list's elements, as in ``content[].text``, the texts joined by a blank line, empty ones left out."""
+    name, listed, rest = path.partition("[].")
+    if not listed:
+        return _text(record.get(name))
+    return "\n\n".join(t for x in record.get(name) or [] if isinstance(x, dict) and (t := _text(x.get(rest))))
+
+
 class Layouts:
     """Mappings by fingerprint. Paths that no mapping names (ids, meta data) do not count."""
 
@@ -107,7 +116,7 @@ class Layouts:
         if m.role:
             found = (record.get(m.messages) or []) if m.messages else [record]
             found = [x if isinstance(x, dict) else {} for x in found]
-            return m.name, [(self.roles.get(r := _text(x.get(m.role)), r), _text(x.get(m.text))) for x in found]
+            return m.name, [(self.roles.get(r := _text(x.get(m.role)), r), _field(x, m.text)) for x in found]
         out = []
         for role, fields in m.turns:
             text = "\n\n".join(t for f in fields if (t := _text(record.get(f))))

@@ -79,3 +79,9 @@ def test_nulls_repeats_and_empty_table(spark):
     assert sorted(map(tuple, found), key=str) == brute([(c, r or "", t) for c, _, r, t, _ in rows])
     empty = C.turn_records(spark.createDataFrame([], schema))
     assert C.conversation_digests(C.read_formatted(C.format_turns(C.canonical_turns(empty)))).collect() == []
+
+
+def test_content_in_parts():
+    parts = [{"type": "text", "text": "a"}, {"type": "image", "url": "x"}, {"type": "text", "text": "b"}]
+    record = {"messages": [{"role": "user", "content": parts}, {"role": "gpt", "content": [{"text": None}]}]}
+    assert C.Layouts().turns(record) == ("messages_parts", [("user", "a\n\nb"), ("assistant", "")])
