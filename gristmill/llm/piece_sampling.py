@@ -21,12 +21,13 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 
 from gristmill.llm import words
+from gristmill.llm.shared import small_batches
 
 #: Log probabilities are kept in steps of 2 ** -30: their sums are exact and do not depend on the chunk.
 UNIT = 1 << 30
 SPACE = 0x20
 #: Bytes of text that are sampled at once: its arrays are many times larger.
-CHUNK_BYTES = 1 << 19
+CHUNK_BYTES = 3 << 17
 
 
 _BASE = 0x9E3779B97F4A7C15
@@ -408,6 +409,7 @@ def encode_samples(docs: DataFrame, model: str, samples: int = 2, alpha: float =
                     columns = (part.column("doc_id"), pa.array(np.full(sampler.n, k), pa.int32()), lists, pa.array(logp), pa.array(inclusion))
                     yield pa.RecordBatch.from_arrays([c.filter(there) for c in columns], ["doc_id", "sample", "ids", "log_prob", "inclusion"])
 
+    small_batches(docs.sparkSession)
     rows = docs.select(docs[id_col].cast("long").alias("doc_id"), docs[text_col].cast("string").alias("text"))
     return rows.mapInArrow(run, ENCODED)
 

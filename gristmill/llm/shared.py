@@ -3,16 +3,19 @@
 from __future__ import annotations
 
 import tempfile
+import threading
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder in spark.checkpoint.dir; only where none is set (tests), one of the driver's."""
+    """The folder in spark.checkpoint.dir; only where none is set and all runs in one process (tests), a temporary one."""
     named = spark.conf.get("spark.checkpoint.dir", None)
     have = spark.sparkContext.getCheckpointDir()
     if have is None:
+        if not named and not spark.sparkContext.master.startswith("local"):
+            raise RuntimeError("set spark.checkpoint.dir to a folder that the driver and all executors share")
         named = named or f"file://{tempfile.mkdtemp(prefix='gristmill-')}"
         spark.sparkContext.setCheckpointDir(named)
     return named or have
@@ -36,5 +39,41 @@ def settle(df: DataFrame) -> DataFrame:
     round of an iteration until planning takes longer than the work.
     """
     path = fresh_dir(df.sparkSession, "step")
+    _written().append(path)
     df.write.mode("overwrite").parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
+ARROW_BYTES = "spark.sql.execution.arrow.maxBytesPerBatch"
+
+
+def small_batches(spark: SparkSession, size: str = "8m") -> None:
+    """Bounds the bytes of Arrow batches between the JVM and Python, unless the application has set a bound of its own.
+
+    The bound on rows alone lets a batch of wide rows grow to hundreds of megabytes, in both processes.
+    """
+    if spark.sparkContext.getConf().get(ARROW_BYTES) is None:
+        spark.conf.set(ARROW_BYTES, size)
+
+
+_local = threading.local()
+
+
+def _written() -> list[str]:
+    """Folders of the tables that this thread has written and not dropped."""
+    if not hasattr(_local, "paths"):
+        _local.paths = []
+    return _local.paths
+
+
+def place() -> int:
+    """A mark for ``drop_since``."""
+    return len(_written())
+
+
+def drop_since(spark: SparkSession, mark: int) -> None:
+    """Deletes the tables that ``settle`` has written since the mark; what is read later must not come from them."""
+    hadoop, paths = spark.sparkContext._jsc.hadoopConfiguration(), _written()
+    while len(paths) > mark:
+        place = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(paths.pop())
+        place.getFileSystem(hadoop).delete(place, True)
