@@ -2,9 +2,13 @@
 
 from __future__ import annotations
 
+import math
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from gristmill.llm.shared import settle
+
 #: What counts as a word: a run of characters other than ASCII white space.
 WORD = r"[^\x20\x09-\x0D]+"
 
@@ -36,28 +40,14 @@ def fair_targets(sizes: DataFrame, weights=(5, 2, 1), share: float = 1.5, epochs
     return rows.select("source", "source_size", F.least(F.col("_cap"), F.coalesce(final * F.col("_w"), F.col("_cap"))).alias("target"))
 
 
-def mix(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", weights=(5, 2, 1), share: float = 1.5, epochs: int = 2, seed: str = "mix", hex_shards: int = 3, carry: bool = False) -> DataFrame:
-    """One row for each service of a document in the mix: doc_id, source, epoch, size, source_size,
-    target, start_time, finish_time, taken; documents that the mix leaves out have one row with
-    epoch 0 and taken 0.
-
-    Each source is shuffled by a seeded digest of the document's id. A service's virtual finish time
-    is the source's words served so far, this document included, divided by the source's target. The
-    targets sum to the budget, so the total budget is spent at virtual time 1: the services up to that time
-    make the mix, and the one document of a source that is being served then is taken in part
-    (its first ``taken`` words). Each source's sum is therefore its target rounded down.
-
-    Running sums do not gather a source in one place: ``16 ** hex_shards`` leading values of the
-    shuffle digest cut each source into shards, a shard's offset comes from the shards' sums, and only
-    a shard is sorted by one task. Words are counted in one pass over the texts; what is shuffled holds
-    no text.
-
-    Null text has size 0, and documents of size 0 take 0. Null sources are one source, the last. Null
-    ids and repeated rows are ordered by their digest and are served one after the other. An empty
-    table gives an empty result. Reruns agree.
+def _services(docs: DataFrame, id_col: str, text_col: str, source_col: str, weights, share: float, epochs: int, seed: str) -> DataFrame:
+    """One row for each part of a service of a document, without its text: doc_id, source, epoch, size, source_size, target,
+    words, finish_time, inside.
 
-    With ``carry`` each service also has the input's row, in the struct ``row``; texts are then shuffled once.
+    Running sums do not gather a source in one place: leading digits of the shuffle's digest cut each source into shards of
+    some ten thousand rows, a shard's offset comes from the shards' sums, and only a shard is sorted by one task.
     """
+    digits = max(1, min(7, math.ceil(math.log(max(docs.count(), 1) / 65_536 + 1, 16))))
     digest = F.md5(F.concat(F.lit(f"{seed}:"), F.coalesce(docs[id_col].cast("string"), F.lit("null"))))
     sized = docs.select(
         docs[id_col].alias("doc_id"),
@@ -65,68 +55,111 @@ def mix(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_
         docs[source_col].isNull().alias("_null"),
         word_count(docs[text_col].cast("string")).alias("size"),
         digest.alias("_order"),
-        F.substring(digest, 1, hex_shards).alias("_shard"),
-        *([F.struct(*[docs[c] for c in docs.columns]).alias("row")] if carry else []),
+        F.substring(digest, 1, digits).alias("_shard"),
+        row_key(docs).alias("_key"),
     )
     shard = ["_source", "_null", "_shard"]
-    if carry:
-        shards, sized = sized.drop("row"), sized.repartition(*shard)
-    else:
-        shards = sized = sized.repartition(*shard)
-    shards = shards.groupBy(*shard).agg(F.sum("size").alias("_words"))
+    sized = sized.repartition(*shard)
+    shards = sized.groupBy(*shard).agg(F.sum("size").alias("_words"))
     of_source = Window.partitionBy("_source", "_null")
     before = of_source.orderBy("_shard").rowsBetween(Window.unboundedPreceding, -1)
     shards = shards.withColumn("_offset", F.coalesce(F.sum("_words").over(before), F.lit(0)))
     sizes = shards.groupBy("_source", "_null").agg(F.sum("_words").alias("source_size"))
     sizes = sizes.select(F.when(~F.col("_null"), F.col("_source")).alias("source"), "source_size")
     targets = fair_targets(sizes, weights, share, epochs)
-    targets = targets.select(F.coalesce("source", F.lit("")).alias("_source"), F.col("source").isNull().alias("_null"), "source_size", "target")
+    targets = targets.select(F.coalesce("source", F.lit("")).alias("_source"), F.col("source").isNull().alias("_null"), "source_size", "target", F.sum(F.floor("target")).over(Window.partitionBy()).alias("_budget"))
     shards = shards.drop("_words").join(targets, ["_source", "_null"])
-    in_shard = Window.partitionBy(*shard).orderBy("_order", "doc_id", "size").rowsBetween(Window.unboundedPreceding, 0)
+    in_shard = Window.partitionBy(*shard).orderBy("_order", "doc_id", "size", "_key").rowsBetween(Window.unboundedPreceding, 0)
     rows = sized.withColumn("_sum", F.sum("size").over(in_shard)).join(shards, shard)
-    first = F.col("_offset") + F.col("_sum") - F.col("size")
-    starts = F.transform(F.sequence(F.lit(0), F.lit(epochs - 1)), lambda k: F.struct((k + 1).alias("epoch"), (first + k * F.col("source_size")).alias("start")))
-    served = F.filter(starts, lambda s: (s["start"] < F.floor("target")) & (F.col("size") > 0))
-    rows = rows.withColumn("_serve", F.explode(F.when(F.size(served) > 0, served).otherwise(F.array(F.struct(F.lit(0).alias("epoch"), first.alias("start"))))))
-    start, epoch = F.col("_serve.start"), F.col("_serve.epoch")
+    rows = rows.select("*", F.explode(F.sequence(F.lit(1), F.lit(epochs))).alias("epoch"))
+    # From the first to the last word served, counted in the source; the part before virtual time 1 and the part after it.
+    end = F.col("_offset") + F.col("_sum") + (F.col("epoch") - 1) * F.col("source_size")
+    start, goal = end - F.col("size"), F.floor("target")
+    parts = F.array(
+        F.struct((F.least(end, goal) - start).alias("words"), F.lit(True).alias("inside")),
+        F.struct((end - F.greatest(start, goal)).alias("words"), F.lit(False).alias("inside")),
+    )
+    rows = rows.withColumn("_part", F.explode(F.when(F.col("size") > 0, F.filter(parts, lambda p: p["words"] > 0)).otherwise(F.slice(parts, 1, 1))))
+    inside = F.col("_part.inside")
     return rows.select(
         "doc_id",
         F.when(~F.col("_null"), F.col("_source")).alias("source"),
-        epoch.alias("epoch"),
+        "epoch",
         "size",
         "source_size",
         "target",
-        (start / F.nullif(F.col("target"), F.lit(0.0))).alias("start_time"),
-        ((start + F.col("size")) / F.nullif(F.col("target"), F.lit(0.0))).alias("finish_time"),
-        F.when(epoch > 0, F.least(F.col("size"), F.floor("target") - start)).otherwise(F.lit(0)).cast("long").alias("taken"),
-        *(["row"] if carry else []),
+        F.greatest(F.col("_part.words"), F.lit(0)).alias("words"),
+        F.when(inside & (end > goal), 1.0).otherwise(end / F.nullif(F.col("target"), F.lit(0.0))).alias("finish_time"),
+        inside.alias("inside"),
+        "_budget",
+        "_order",
+        "_key",
     )
 
 
-def mix_order(mixed: DataFrame) -> DataFrame:
-    """The services of a mix in the order of their virtual finish times: a global range sort."""
-    return mixed.filter(F.col("taken") > 0).orderBy("finish_time", "source", "doc_id", "epoch")
+def row_key(docs: DataFrame) -> Column:
+    """A hash of whole rows, by which a row's service finds its text again."""
+    return F.xxhash64(*[docs[c] for c, t in docs.dtypes if not t.startswith("map")])
+
+
+def mix(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", weights=(5, 2, 1), share: float = 1.5, epochs: int = 2, seed: str = "mix") -> DataFrame:
+    """One row for each part of a service of a document: doc_id, source, epoch, size, source_size, target, words,
+    finish_time, position (its first word's place in the global order), taken, row_key.
+
+    Each source is shuffled by a seeded digest of the document's id. A service's virtual finish time
+    is the source's words served so far, this document included, divided by the source's target. Each source is served
+    ``epochs`` times. All services are range-sorted by virtual finish time, a running sum of their words goes over the
+    ranges, and the order is truncated at the total budget: what lies beyond it takes 0. The budget is the sum of the
+    targets, rounded down each. Since they are all met at virtual time 1, the one document of a source that is
+    being served then counts as two parts, of which the first finishes at 1: each source's words are its target rounded down,
+    not up to a document more or less.
+
+    What is shuffled and sorted holds no text; words are counted in one pass over the texts.
+
+    Null text has size 0, and documents of size 0 take 0. Null sources are one source, the last. Null
+    ids and repeated rows are ordered by their digest and are served one after the other. An empty
+    table gives an empty result. Very long texts are counted as others. Other columns are ignored, whatever their names.
+    Reruns agree.
+    """
+    services = _services(docs, id_col, text_col, source_col, weights, share, epochs, seed)
+    by = ["finish_time", F.desc("inside"), "source", "_order", "doc_id", "epoch", "_key"]
+    ranged = settle(services.repartitionByRange(*by).withColumn("_range", F.spark_partition_id()))
+    ranges = ranged.groupBy("_range").agg(F.sum("words").alias("_words"))
+    # One row for each range and one for each source: as few as there are partitions and sources.
+    ranges = ranges.select("_range", F.coalesce(F.sum("_words").over(Window.orderBy("_range").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("_before"))
+    in_range = Window.partitionBy("_range").orderBy(*by).rowsBetween(Window.unboundedPreceding, 0)
+    placed = ranged.withColumn("_upto", F.sum("words").over(in_range)).join(F.broadcast(ranges), "_range")
+    position = F.col("_before") + F.col("_upto") - F.col("words")
+    taken = F.greatest(F.least(F.col("words"), F.col("_budget") - position), F.lit(0))
+    return placed.select("doc_id", "source", "epoch", "size", "source_size", "target", "words", "finish_time", position.alias("position"), taken.alias("taken"), F.col("_key").alias("row_key"))
 
 
 def mix_report(mixed: DataFrame) -> DataFrame:
     """Per document: doc_id, size, source_size, target, taken, with the services of a document added up.
 
-    A document's services come from one row, next to one another, so the sum needs the shuffle of
-    narrow rows only. Repeated rows of one id add up in size and in taken.
+    Repeated rows of one id add up in size and in taken.
     """
-    per = mixed.groupBy("doc_id", "source", "source_size", "target").agg(F.sum(F.when(F.col("epoch") <= 1, F.col("size")).otherwise(F.lit(0))).alias("size"), F.sum("taken").alias("taken"))
+    per = mixed.groupBy("doc_id", "source", "source_size", "target").agg(F.sum(F.when(F.col("epoch") == 1, F.col("words")).otherwise(F.lit(0))).alias("size"), F.sum("taken").alias("taken"))
     return per.select("doc_id", "size", "source_size", "target", "taken")
 
 
 def mixed_documents(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", **parameters) -> DataFrame:
-    """The mix as documents, in the order of their virtual finish times, with the columns of ``docs``.
+    """The mix as documents, with the columns of ``docs``.
 
     A document that is served twice is there twice. The last one of a source is cut to the words that are
-    taken of it (then joined by single spaces); n_chars, where there is one, follows.
+    taken of it (then joined by single spaces); n_chars, where there is one, follows. Rows that are equal in all columns are
+    gathered in one and served again. Null and empty texts have no words and are not served; null ids and sources are
+    served like others; an empty table gives an empty result; other columns are kept, whatever their names.
+
+    Services are sorted and truncated without texts. Then texts are shuffled once, to meet their services: each part of the result is a
+    random slice of the global order of virtual finish times, and in that order.
     """
-    served = mix_order(mix(docs, id_col, text_col, source_col, carry=True, **parameters))
-    text = F.col("row")[text_col]
+    mixed = mix(docs, id_col, text_col, source_col, **parameters).filter("taken > 0").select("row_key", "position", "taken", "size")
+    rows = docs.select(row_key(docs).alias("row_key"), F.struct(*[docs[c] for c in docs.columns]).alias("row")).dropDuplicates(["row_key"])
+    served = rows.join(mixed, "row_key")
+    text = F.col("row")[text_col].cast("string")
     cut = F.array_join(F.slice(F.regexp_extract_all(text, F.lit(f"({WORD})")), 1, F.col("taken").cast("int")), " ")
     changed = {text_col: cut} | ({"n_chars": F.length(cut).cast(docs.schema["n_chars"].dataType)} if "n_chars" in docs.columns else {})
     whole = F.col("taken") == F.col("size")
-    return served.select(*[F.when(whole, F.col("row")[c]).otherwise(changed[c]).alias(c) if c in changed else F.col("row")[c].alias(c) for c in docs.columns])
+    columns = [F.when(whole, F.col("row")[c]).otherwise(changed[c]).alias(c) if c in changed else F.col("row")[c].alias(c) for c in docs.columns]
+    return served.sortWithinPartitions("position").select(*columns)

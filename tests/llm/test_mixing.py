@@ -66,7 +66,7 @@ def test_uneven_sources_and_nulls(spark):
         assert taken <= 2 * n and target <= 2 * size + 1e-6
 
 
-def test_documents_come_in_mix_order_with_their_columns(spark):
+def test_documents_of_a_part_come_in_mix_order_with_their_columns(spark):
     rows = [(i, " ".join(f"d{i}w{k}" for k in range(i % 9)), "ab"[i % 2], 5) for i in range(60)]
     df = spark.createDataFrame(rows, SCHEMA + ", n_chars long")
     out = M.mixed_documents(df)
@@ -78,8 +78,25 @@ def test_documents_come_in_mix_order_with_their_columns(spark):
         got[r.doc_id] += len(r.text.split())
         assert rows[r.doc_id][1].startswith(r.text)
     assert dict(got) == {i: n for i, n in expected.items() if n}
-    times = [r.finish_time for r in M.mix_order(M.mix(df)).collect()]
-    assert times == sorted(times) and len(times) == len(found)
+    services = sorted(M.mix(df).collect(), key=lambda r: r.position)
+    assert [r.finish_time for r in services] == sorted(r.finish_time for r in services)
+    inside = [r for r in services if r.taken]
+    assert [r.position for r in inside] == [sum(x.taken for x in inside[:i]) for i in range(len(inside))]
+    assert sorted((r.doc_id, r.taken) for r in inside) == sorted((r.doc_id, len(r.text.split())) for r in found)
+    place = {}
+    for r in inside:
+        place.setdefault((r.doc_id, r.taken), []).append(r.position)
+    for part in M.mixed_documents(df.repartition(4)).rdd.glom().collect():
+        first = [place[r.doc_id, len(r.text.split())][0] for r in part]
+        assert first == sorted(first) or any(len(x) > 1 for x in place.values())
+
+
+def test_equal_rows_and_null_ids_are_served(spark):
+    rows = [(7, "a b c", "s")] * 3 + [(None, "d e", "s"), (None, "f g h", None)]
+    out = M.mixed_documents(spark.createDataFrame(rows, SCHEMA)).collect()
+    words = sum(len(t.split()) for _, t, _ in rows)
+    assert sum(len(r.text.split()) for r in out) == int(brute_targets({"s": 11, None: 3})["s"]) + int(brute_targets({"s": 11, None: 3})[None])
+    assert words < sum(len(r.text.split()) for r in out) <= 1.5 * words
 
 
 def test_empty_table_and_no_words(spark):
