@@ -42,3 +42,31 @@ def test_run_ends_in_ids_of_its_documents(spark):
     for r in found:
         text = library.decode(r.ids)
         assert texts[r.doc_id] == text or texts[r.doc_id].split()[: len(text.split())] == text.split()
+
+
+ODD = [(1, None, "en", "a"), (2, "", "en", None), (None, "words of a text without an id here", "en", "a"), (3, "same text in two rows of one id", None, "b"), (3, "same text in two rows of one id", None, "b"), (4, "long " * 40_000, "fr", "b"), (5, "one two three four five six seven", "en", "a"), (6, "one two three four five six seven", "en", "a")]
+
+
+def odd_tables(spark, folder, rows):
+    df = spark.createDataFrame([(*r, len(r[1] or "")) for r in rows], "doc_id long, text string, lang string, source string, n_chars long")
+    df.write.parquet(f"{folder}/documents.parquet")
+    spark.createDataFrame([], "doc_id long, quality int, toxic int").write.parquet(f"{folder}/labels.parquet")
+
+
+def test_nulls_repeats_and_long_texts(spark, tmp_path):
+    odd_tables(spark, tmp_path, ODD)
+    docs = steps = spark.read.parquet(f"{tmp_path}/documents.parquet")
+    left = {}
+    for name, stage in corpus_pipeline.STAGES[:-1]:
+        steps = stage(spark, steps, str(tmp_path))
+        assert steps.columns == docs.columns
+        left[name] = sorted((r.doc_id for r in steps.collect()), key=str)
+    assert left["quality classifier"] == sorted((r[0] for r in ODD), key=str)  # without labels the prior accepts
+    assert left["exact dedup"] == [2, 3, 4, 6, None] and left["near dedup"] == [2, 3, 4, 6, None]
+    assert set(left["source mixing"]) <= {3, 4, 6, None}
+    assert corpus_pipeline.run(spark, str(tmp_path)).count() == 2 * len(left["source mixing"])
+
+
+def test_empty_table(spark, tmp_path):
+    odd_tables(spark, tmp_path, [])
+    assert corpus_pipeline.run(spark, str(tmp_path)).collect() == []
