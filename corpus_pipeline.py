@@ -1,4 +1,9 @@
-"""From raw documents to sampled token ids: the stages of a training corpus, each over all that the one before kept."""
+"""From raw documents to sampled token ids: the stages of a training corpus, each over all that the one before kept.
+
+Every stage takes null ids, texts, languages and sources, empty and very long texts, repeated rows and empty tables, and keeps extra
+columns. Null and empty texts are scored like others, are copies of one another, and leave at the mixing of sources, since they
+have no words. Rows without an id stay until the end unless they are exact copies of others.
+"""
 
 from __future__ import annotations
 
