@@ -12,7 +12,6 @@ from __future__ import annotations
 
 import hashlib
 import itertools
-from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
