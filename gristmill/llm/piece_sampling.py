@@ -27,7 +27,7 @@ from gristmill.llm.shared import small_batches
 UNIT = 1 << 30
 SPACE = 0x20
 #: Bytes of text that are sampled at once: its arrays are many times larger.
-CHUNK_BYTES = 3 << 17
+CHUNK_BYTES = 1 << 18
 
 
 _BASE = 0x9E3779B97F4A7C15
