@@ -9,7 +9,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from gristmill.llm import chat, exact_dedup, fingerprint, licenses, mixing, near_dedup, piece_sampling, quality, substring_dedup, token_files
+from gristmill.llm import byte_pairs, chat, exact_dedup, fill_middle, fingerprint, licenses, mixing, near_dedup, piece_sampling, quality, substring_dedup, token_files, whitening
 from gristmill.llm.shared import fresh_dir
 
 
@@ -79,6 +79,28 @@ def op10_licenses(spark: SparkSession, sf_dir: str) -> DataFrame:
     return licenses.scan_licenses(documents(spark, sf_dir))
 
 
+def op11_whitening(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Whitened components of every embedding."""
+    vectors = spark.read.parquet(f"{sf_dir}/embeddings.parquet")
+    fit = whitening.fit_whitening(vectors, components=32)
+    error = whitening.identity_error(vectors, fit) if fit else None
+    return whitening.component_rows(whitening.whiten(vectors, fit), fit, error)
+
+
+def op12_byte_pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Byte-level BPE ids of every document, decoded again."""
+    path = public_tokenizers.path("byte_bpe_multi_50k.tiktoken")
+    return byte_pairs.digests(byte_pairs.decode(byte_pairs.encode(documents(spark, sf_dir), path, public_tokenizers.PATTERN), path))
+
+
+def op13_fill_middle(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every document cut and reordered for filling in its middle, and put together again."""
+    done = fill_middle.fill_middle(documents(spark, sf_dir))
+    digest = lambda text: F.sha2(text, 256)
+    whole = fill_middle.restored(F.col("output"), F.col("form"))
+    return done.select("doc_id", "n", "form", "prefix_chars", "middle_chars", digest(F.col("output")).alias("output_sha256"), digest(whole).alias("restored_sha256"))
+
+
 QUERIES = {
     "op1_fingerprint": op1_fingerprint,
     "op2_near_dedup": op2_near_dedup,
@@ -90,6 +112,9 @@ QUERIES = {
     "op8_chat": op8_chat,
     "op9_pieces": op9_pieces,
     "op10_licenses": op10_licenses,
+    "op11_whitening": op11_whitening,
+    "op12_byte_pairs": op12_byte_pairs,
+    "op13_fill_middle": op13_fill_middle,
 }
 
 ORACLE_SQL = {
@@ -136,4 +161,20 @@ ORACLE_SQL = {
         f"length({functools.reduce(lambda e, c: f"replace({e}, '{c}', '{c[0]}{chr(92)}{c[1:]}')", chat.CONTROL, f"replace({name}, '{chr(92)}', '{chr(92) * 2}')")})"
         for name in ("role", "text")
     ),
+    "op13_fill_middle": r"""
+        WITH cut AS (
+            SELECT doc_id, coalesce(text, '') AS text, regexp_extract_all(coalesce(text, ''), '[\x20\x09-\x0D]*[^\x20\x09-\x0D]+|[\x20\x09-\x0D]+') AS units,
+                list_transform([1, 9, 17, 25], lambda i: CAST('0x' || substr(sha256('42:' || doc_id), i, 8) AS BIGINT)) AS h
+            FROM documents
+        ), formed AS (
+            SELECT doc_id, text, units, CAST(len(units) AS BIGINT) AS n, least(h[1] % (len(units) + 1), h[2] % (len(units) + 1)) AS a, greatest(h[1] % (len(units) + 1), h[2] % (len(units) + 1)) AS b,
+                CASE WHEN text = '' OR contains(text, '<P>') OR contains(text, '<S>') OR contains(text, '<M>') OR h[3] % 100 >= 50 THEN 'plain' WHEN h[4] % 100 < 80 THEN 'spm' ELSE 'psm' END AS form
+            FROM cut
+        ), parts AS (
+            SELECT doc_id, text, n, form, array_to_string(units[1:a], '') AS p, array_to_string(units[a + 1:b], '') AS m, array_to_string(units[b + 1:], '') AS s FROM formed
+        )
+        SELECT doc_id, n, form, CASE WHEN form <> 'plain' THEN length(p) END AS prefix_chars, CASE WHEN form <> 'plain' THEN length(m) END AS middle_chars,
+            sha256(CASE form WHEN 'plain' THEN text WHEN 'spm' THEN '<S>' || s || '<P>' || p || '<M>' || m ELSE '<P>' || p || '<S>' || s || '<M>' || m END) AS output_sha256, sha256(text) AS restored_sha256
+        FROM parts
+    """,
 }
