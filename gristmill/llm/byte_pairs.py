@@ -22,7 +22,6 @@ import pyarrow as pa
 import pyarrow.compute as pc
 import regex
 from pyspark.sql import DataFrame
-from pyspark.sql import functions as F
 
 from gristmill.llm import words
 from gristmill.llm.shared import small_batches
@@ -32,7 +31,7 @@ CHUNK_BYTES, MANY = 1 << 20, 1 << 18
 #: Pieces of at most so many bytes are worked on side by side; longer ones by themselves.
 WIDE = 64
 #: Characters of segments and of pieces whose encodings a worker remembers, and pairs of tokens (a power of 2).
-REMEMBERED, PAIRS = 1 << 21, 1 << 20
+REMEMBERED, PAIRS = 1 << 20, 1 << 20
 _BITS = np.uint64(20)
 
 #: The UTF-8 bytes of white space beyond ASCII.
@@ -138,16 +137,23 @@ class Ranks(Tokens):
         levels: list[list[bytes]] = [[] for _ in range(self.longest + 1)]
         for begin in state:
             levels[len(begin)].append(begin)
-        self.goes, self.ends = np.zeros((len(state), 256), np.int32), np.full(len(state), -1, np.int32)
+        inner = np.zeros(len(state), bool)
+        inner[[state[x[:-1]] for x in state if x]] = True
+        # Only a state that goes on to longer ones has a row of its own; others go where the state that they fall back to goes.
+        self.row = np.where(inner, np.cumsum(inner) - 1, 0).astype(np.int32)
+        self.goes, self.ends = np.zeros((int(inner.sum()), 256), np.int32), np.full(len(state), -1, np.int32)
         back = np.zeros(len(state), np.int64)
         self.goes[0] = [state[bytes([k])] for k in range(256)]
         for level in levels[1:]:
             here = np.array([state[x] for x in level])
             above, byte = np.array([state[x[:-1]] for x in level]), np.array([x[-1] for x in level])
             # A state's own longest end that begins a token is where the one above falls back to, gone on by its last byte.
-            back[here] = np.where(above > 0, self.goes[back[above], byte], 0)
-            self.goes[above, byte] = here
-            self.goes[here] = self.goes[back[here]]
+            back[here] = np.where(above > 0, self.goes[self.row[back[above]], byte], 0)
+            self.goes[self.row[above], byte] = here
+            own = here[inner[here]]
+            self.goes[self.row[own]] = self.goes[self.row[back[own]]]
+            rest = here[~inner[here]]
+            self.row[rest] = self.row[back[rest]]
             whole = np.array([self.rank.get(x, -1) for x in level])
             self.ends[here] = np.where(whole >= 0, whole, self.ends[back[here]])
         self.shorter = np.full(len(self.bytes), -1, np.int64)
@@ -247,7 +253,7 @@ class Ranks(Tokens):
         for depth in range(1, width + 1):
             here = np.flatnonzero(size >= depth)
             own = here[shared[here] < depth]
-            state[own] = self.goes[state[own], data[own, depth - 1]]
+            state[own] = self.goes[self.row[state[own]], data[own, depth - 1]]
             token, row = self.ends[state[own]].astype(np.int64), own
             while len(row):
                 start = depth - self.size[token]
@@ -379,6 +385,21 @@ def encode(docs: DataFrame, path: str, pattern: str, id_col: str = "doc_id", tex
     return rows.mapInArrow(run, f"doc_id {kind}, ids array<int>")
 
 
+def _decoded(batch: pa.RecordBatch, tokens: Tokens) -> Iterator[tuple[pa.RecordBatch, pa.Array]]:
+    """Parts of a batch of ids, each with the bytes that they spell; null where an id is null or none of the vocabulary's."""
+    lengths = pc.fill_null(pc.list_value_length(batch.column("ids")), 0).to_numpy().astype(np.int64)
+    for part in words.slices(batch, lengths, CHUNK_BYTES):
+        lists = part.column("ids")
+        offsets = np.r_[0, np.cumsum(pc.fill_null(pc.list_value_length(lists), 0).to_numpy().astype(np.int64))]
+        ids = pc.fill_null(lists.flatten(), -1).to_numpy().astype(np.int64)
+        bad = (ids < 0) | (ids >= len(tokens.size))
+        bad |= tokens.size[np.where(bad, 0, ids)] == 0
+        data, ends = tokens.decode(np.where(bad, 0, ids), offsets)
+        odd = np.r_[0, np.cumsum(bad)][offsets]
+        raw = pa.Array.from_buffers(pa.large_binary(), part.num_rows, [None, pa.py_buffer(ends.astype(np.int64)), pa.py_buffer(data)])
+        yield part, pc.if_else(pa.array(odd[1:] == odd[:-1]), raw, pa.scalar(None, pa.large_binary()))
+
+
 def decode(encoded: DataFrame, path: str) -> DataFrame:
     """The encoded rows (doc_id, ids) with ``decoded``, the bytes that their ids spell.
 
@@ -386,38 +407,35 @@ def decode(encoded: DataFrame, path: str) -> DataFrame:
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        ranks = _loaded(Tokens, path)
+        tokens = _loaded(Tokens, path)
         for batch in batches:
-            lengths = pc.fill_null(pc.list_value_length(batch.column("ids")), 0).to_numpy().astype(np.int64)
-            for part in words.slices(batch, lengths, CHUNK_BYTES):
-                lists = part.column("ids")
-                offsets = np.r_[0, np.cumsum(pc.fill_null(pc.list_value_length(lists), 0).to_numpy().astype(np.int64))]
-                ids = pc.fill_null(lists.flatten(), -1).to_numpy().astype(np.int64)
-                bad = (ids < 0) | (ids >= len(ranks.size))
-                bad |= ranks.size[np.where(bad, 0, ids)] == 0
-                data, ends = ranks.decode(np.where(bad, 0, ids), offsets)
-                odd = np.r_[0, np.cumsum(bad)][offsets]
-                raw = pa.Array.from_buffers(pa.large_binary(), part.num_rows, [None, pa.py_buffer(ends.astype(np.int64)), pa.py_buffer(data)])
-                decoded = pc.if_else(pa.array(odd[1:] == odd[:-1]), raw, pa.scalar(None, pa.large_binary())).cast(pa.binary())
-                yield pa.RecordBatch.from_arrays([part.column("doc_id"), lists, decoded], ["doc_id", "ids", "decoded"])
+            for part, data in _decoded(batch, tokens):
+                yield pa.RecordBatch.from_arrays([part.column("doc_id"), part.column("ids"), data.cast(pa.binary())], ["doc_id", "ids", "decoded"])
 
     kind = encoded.schema["doc_id"].dataType.simpleString()
     return encoded.select("doc_id", "ids").mapInArrow(run, f"doc_id {kind}, ids array<int>, decoded binary")
 
 
-def digests(decoded: DataFrame) -> DataFrame:
-    """doc_id, n_tokens, ids_sha256 (of the ids as little-endian unsigned 32-bit numbers), decoded_sha256."""
+def digests(encoded: DataFrame, path: str) -> DataFrame:
+    """doc_id, n_tokens, ids_sha256 (of the ids as little-endian unsigned 32-bit numbers), decoded_sha256 (of what ``decode`` gives).
+
+    Null ids count as 0 in their digest; what can't be decoded has a null one.
+    """
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        tokens = _loaded(Tokens, path)
         for batch in batches:
-            lists, data = batch.column("ids"), batch.column("decoded")
-            flat = lists.flatten().to_numpy().astype("<u4")
-            offsets = np.r_[0, np.cumsum(pc.fill_null(pc.list_value_length(lists), 0).to_numpy().astype(np.int64))]
-            sums = [hashlib.sha256(flat[a:b]).hexdigest() for a, b in zip(offsets[:-1], offsets[1:], strict=True)]
-            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(np.diff(offsets)), pa.array(sums, pa.string()), data], ["doc_id", "n_tokens", "ids_sha256", "decoded"])
-
-    kind = decoded.schema["doc_id"].dataType.simpleString()
-    rows = decoded.mapInArrow(run, f"doc_id {kind}, n_tokens long, ids_sha256 string, decoded binary")
-    return rows.select("doc_id", "n_tokens", "ids_sha256", F.sha2("decoded", 256).alias("decoded_sha256"))
+            for part, data in _decoded(batch, tokens):
+                lists = part.column("ids")
+                flat = pc.fill_null(lists.flatten(), 0).to_numpy().astype("<u4")
+                many = pc.fill_null(pc.list_value_length(lists), 0).to_numpy().astype(np.int64)
+                offsets = np.r_[0, np.cumsum(many)]
+                sums = [hashlib.sha256(flat[a:b]).hexdigest() for a, b in zip(offsets[:-1], offsets[1:], strict=True)]
+                texts = [None if not x.is_valid else hashlib.sha256(x.as_buffer()).hexdigest() for x in data]
+                yield pa.RecordBatch.from_arrays([part.column("doc_id"), pa.array(many), pa.array(sums, pa.string()), pa.array(texts, pa.string())], ["doc_id", "n_tokens", "ids_sha256", "decoded_sha256"])
+
+    kind = encoded.schema["doc_id"].dataType.simpleString()
+    return encoded.select("doc_id", "ids").mapInArrow(run, f"doc_id {kind}, n_tokens long, ids_sha256 string, decoded_sha256 string")
 
 
 TABLES = "text string, last_tokens array<int>"

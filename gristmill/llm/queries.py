@@ -90,7 +90,7 @@ def op11_whitening(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op12_byte_pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Byte-level BPE ids of every document, decoded again."""
     path = public_tokenizers.path("byte_bpe_multi_50k.tiktoken")
-    return byte_pairs.digests(byte_pairs.decode(byte_pairs.encode(documents(spark, sf_dir), path, public_tokenizers.PATTERN), path))
+    return byte_pairs.digests(byte_pairs.encode(documents(spark, sf_dir), path, public_tokenizers.PATTERN), path)
 
 
 def op13_fill_middle(spark: SparkSession, sf_dir: str) -> DataFrame:
