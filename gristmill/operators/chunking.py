@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from gristmill.functions.text import clean_text, paragraph_number, strip
+from gristmill.operators.order import running_sum
 
 # How statute files mark their parts.
 PARAGRAPH_MARK = "(?:[①-⑳㉑-㉟]|<\\d+>)"
@@ -139,14 +140,7 @@ def build_corpus(files: DataFrame, themes: DataFrame, most: int = MOST) -> DataF
     return out
 
 
-def parting(docs: DataFrame, id_col: str, size: Column, most: int = 40_000, shard: int = 10_000) -> DataFrame:
-    """id, part: documents in ascending order of whole-number ids, cut where the running sum of ``size`` passes multiples of ``most``.
-
-    Ranges of ``shard`` ids are summed first, so the only order over all is that of one row for each range.
-    """
-    rows = docs.select(F.col(id_col).alias("id"), size.cast("long").alias("_size"), F.floor(F.col(id_col) / shard).alias("_shard"))
-    ranges = rows.groupBy("_shard").agg(F.sum("_size").alias("_sum"))
-    ranges = ranges.select("_shard", F.coalesce(F.sum("_sum").over(Window.orderBy("_shard").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("_before"))
-    inside = Window.partitionBy("_shard").orderBy("id").rowsBetween(Window.unboundedPreceding, 0)
-    rows = rows.withColumn("_upto", F.sum("_size").over(inside)).join(ranges, "_shard")
-    return rows.select("id", F.floor((F.col("_before") + F.col("_upto") - F.col("_size")) / most).alias("part"))
+def parting(docs: DataFrame, id_col: str, size: Column, most: int = 40_000) -> DataFrame:
+    """id, part: documents in ascending order of ids of any type, cut where the running sum of ``size`` passes multiples of ``most``."""
+    rows = running_sum(docs.select(F.col(id_col).alias("id"), size.cast("long").alias("_size")), F.col("_size"), "id", name="_before")
+    return rows.select("id", F.floor(F.col("_before") / most).alias("part"))

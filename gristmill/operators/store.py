@@ -2,8 +2,16 @@
 
 from __future__ import annotations
 
+import hashlib
+import json
+from collections.abc import Iterator
+
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.types import StringType, StructField, StructType
+
+from gristmill.operators.order import ordinal, shared_folder
 
 
 def latest(log: DataFrame, key: list[str], order: list) -> DataFrame:
@@ -51,20 +59,92 @@ def sum_digest(sha: Column) -> Column:
     return F.sum(F.conv(F.substring(sha, 1, 12), 16, 10).cast("decimal(20,0)")).cast("string")
 
 
+def stream_digest(rows: DataFrame, by: list[str], order: list, line: Column, between: str = "\n") -> DataFrame:
+    """by, sha: the SHA-256 of each group's lines in order, ``between`` them; a null line counts as empty.
+
+    That digest is made from left to right, so a group's lines pass through one task; they are sorted by Spark and streamed, and a task holds
+    a batch of them and one unfinished digest, however long the group is. ``order.sequence_digest`` has a digest whose work spreads.
+    """
+    kinds = {n: rows.schema[n].dataType for n in by}
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        key, digest = None, None
+
+        def finished() -> pa.RecordBatch:
+            return pa.RecordBatch.from_arrays([*[k.slice(0, 1) for k in key[1]], pa.array([digest.hexdigest()])], [*by, "sha"])
+
+        for batch in batches:
+            columns = [batch.column(n) for n in by]
+            names = list(zip(*[c.to_pylist() for c in columns], strict=True)) if by else [()] * batch.num_rows
+            for i, text in enumerate(batch.column("_line").cast(pa.binary()).to_pylist()):
+                if key is None or key[0] != names[i]:
+                    if key is not None:
+                        yield finished()
+                    key, digest = (names[i], [c.slice(i, 1) for c in columns]), hashlib.sha256()
+                else:
+                    digest.update(between.encode())
+                digest.update(text)
+        if key is not None:
+            yield finished()
+
+    keyed = rows.select(*by, *[(F.col(o) if isinstance(o, str) else o).alias(f"_o{i}") for i, o in enumerate(order)], F.coalesce(line, F.lit("")).alias("_line"))
+    orders = [f"_o{i}" for i in range(len(order))]
+    dealt = (keyed.repartition(*by) if by else keyed.coalesce(1)).sortWithinPartitions(*by, *orders)
+    schema = StructType([*[StructField(n, t) for n, t in kinds.items()], StructField("sha", StringType())])
+    return dealt.select(*by, "_line").mapInArrow(run, schema)
+
+
 def folder_digest(files: DataFrame, by: list[str]) -> DataFrame:
-    """by, sha: one digest of each folder's files (by, name, sha), from their lines in the order of names; a folder's list of files fits a row."""
-    lines = F.array_sort(F.collect_list(F.struct("name", "sha")))
-    return files.groupBy(*by).agg(F.sha2(F.array_join(F.transform(lines, lambda x: F.concat(x["name"], F.lit(" "), x["sha"], F.lit("\n"))), ""), 256).alias("sha"))
+    """by, sha: one digest of each folder's files (by, name, sha), from their lines in the order of names."""
+    return stream_digest(files, by, ["name"], F.concat("name", F.lit(" "), "sha", F.lit("\n")), between="")
+
+
+def _plain(value):
+    """A value as JSON has it: maps as objects, what JSON lacks as text."""
+    if isinstance(value, dict):
+        return {str(k): _plain(v) for k, v in value.items()}
+    if isinstance(value, list):
+        # Arrow gives a map as pairs; lists of lists come as lists.
+        return {str(k): _plain(v) for k, v in value} if value and all(isinstance(x, tuple) for x in value) else [_plain(x) for x in value]
+    return value if value is None or isinstance(value, bool | int | float | str) else str(value)
+
 
+def canonical_json(rows: DataFrame, names: list[str] | None = None, raw: str | None = None, out: str = "json") -> DataFrame:
+    """The rows with ``out``: their columns (``names``, or all) as a line of JSON, keys sorted at every depth, ", " and ": " between, nothing escaped
+    that needn't be.
 
-def questions_digest(questions: DataFrame, by: list[str], order: str) -> DataFrame:
-    """by, digest: twelve characters of the digest of each list of questions in order, as JSON of sorted keys and ", " and ": " between."""
-    names = sorted(questions.columns)
-    plain = {n for n, t in questions.dtypes if t in ("int", "bigint", "smallint", "tinyint")}
-    fields = [F.concat(F.lit(f'"{n}": '), F.col(n).cast("string") if n in plain else F.regexp_extract(F.to_json(F.struct(F.col(n).alias("v"))), r"(?s)^\{\"v\":(.*)\}$", 1)) for n in names]
-    line = F.concat(F.lit("{"), F.concat_ws(", ", *fields), F.lit("}"))
-    lines = F.transform(F.array_sort(F.collect_list(F.struct(F.col(order).alias("o"), line.alias("l")))), lambda x: x["l"])
-    return questions.groupBy(*by).agg(F.substring(F.sha2(F.array_join(lines, "\n"), 256), 1, 12).alias("digest"))
+    Lists, nulls, floats and nested values are written as Python's json writes them. ``raw`` names a column of JSON text to
+    take instead: then a key that a record lacks stays away, which a column can only show as null. Text that is no JSON gives null.
+    """
+    names = names or rows.columns
+    kept = rows.columns
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            if raw is None:
+                values = [{n: _plain(v) for n, v in row.items()} for row in batch.select(names).to_pylist()]
+                lines = [json.dumps(v, ensure_ascii=False, sort_keys=True) for v in values]
+            else:
+                lines = [_canonical(text) for text in batch.column(raw).to_pylist()]
+            yield pa.RecordBatch.from_arrays([*[batch.column(c) for c in kept], pa.array(lines, pa.string())], [*kept, out])
+
+    return rows.mapInArrow(run, StructType([*rows.schema.fields, StructField(out, StringType())]))
+
+
+def _canonical(text: str | None) -> str | None:
+    try:
+        return json.dumps(json.loads(text or ""), ensure_ascii=False, sort_keys=True)
+    except ValueError:
+        return None
+
+
+def questions_digest(questions: DataFrame, by: list[str], order: str, raw: str | None = None) -> DataFrame:
+    """by, digest: twelve characters of the digest of each list of questions in order, a line of canonical JSON each.
+
+    The order column is a column like others unless ``raw`` names their JSON text.
+    """
+    lines = canonical_json(questions, raw=raw, out="_json")
+    return stream_digest(lines, by, [order], F.col("_json")).select(*by, F.substring("sha", 1, 12).alias("digest"))
 
 
 def check_names(asked: DataFrame, known: DataFrame) -> DataFrame:
@@ -79,10 +159,10 @@ def check_names(asked: DataFrame, known: DataFrame) -> DataFrame:
 
 
 def dictionary_codes(rows: DataFrame, value: str, order: str) -> DataFrame:
-    """The rows' order column and code: the place of their value among all values in the order in which they first occur."""
-    firsts = rows.groupBy(value).agg(F.min(order).alias("_first"))
-    codes = firsts.select(value, (F.row_number().over(Window.orderBy("_first")) - 1).alias("code"))  # one row for each value
-    return rows.join(codes, value).select(order, "code")
+    """The rows' order column and code: the place of their value among all values in the order in which they first occur. Null is a value."""
+    firsts = rows.groupBy(F.col(value).alias("_value")).agg(F.min(order).alias("_first"))
+    codes = ordinal(firsts, "_first", "_value", name="code")
+    return rows.join(codes, F.col(value).eqNullSafe(F.col("_value"))).select(order, "code")
 
 
 def closure(edges: DataFrame, start: DataFrame) -> DataFrame:
@@ -90,6 +170,7 @@ def closure(edges: DataFrame, start: DataFrame) -> DataFrame:
 
     A round follows the edges of what the round before has found; lineage is cut each round.
     """
+    shared_folder(edges.sparkSession)
     found = front = start.select("id").distinct()
     while True:
         front = edges.join(front, F.col("a") == F.col("id"), "left_semi").select(F.col("b").alias("id")).distinct().join(found, "id", "left_anti").checkpoint()

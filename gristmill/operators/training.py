@@ -5,6 +5,13 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from gristmill.operators.order import ordinal
+
+
+def _or_empty(rows: DataFrame, name: str) -> Column:
+    """A list column, null being an empty list of its own type."""
+    return F.coalesce(F.col(name), F.array().cast(rows.schema[name].dataType))
+
 
 def filter_questions(questions: DataFrame, corpus: DataFrame) -> DataFrame:
     """Questions (qid, positive_id, negatives, related) whose positive is in the corpus (id), with clean negatives.
@@ -13,7 +20,7 @@ def filter_questions(questions: DataFrame, corpus: DataFrame) -> DataFrame:
     dropped counts them.
     """
     kept = questions.join(corpus.select(F.col("id").alias("positive_id")), "positive_id", "left_semi")
-    rows = kept.select("qid", "positive_id", F.coalesce("related", F.array().cast("array<long>")).alias("related"), F.posexplode_outer("negatives").alias("pos", "neg"))
+    rows = kept.select("qid", "positive_id", _or_empty(kept, "related").alias("related"), F.posexplode_outer("negatives").alias("pos", "neg"))
     there = rows.join(corpus.select(F.col("id").alias("neg"), F.lit(True).alias("there")), "neg", "left")
     ok = F.col("there") & (F.col("neg") != F.col("positive_id")) & ~F.array_contains("related", F.col("neg"))
     good = there.groupBy("qid", "positive_id").agg(F.count("pos").alias("n"), F.sort_array(F.collect_list(F.when(ok, F.struct("pos", "neg")))).alias("s"))
@@ -21,12 +28,33 @@ def filter_questions(questions: DataFrame, corpus: DataFrame) -> DataFrame:
     return good.select("qid", "positive_id", clean.alias("negatives"), (F.col("n") - F.size(clean)).alias("dropped"))
 
 
+def integrity_counts(questions: DataFrame, filtered: DataFrame) -> DataFrame:
+    """missing_positive, dropped_negatives: what ``filter_questions`` has left out of the questions and of those that it kept."""
+    kept = filtered.agg(F.count(F.lit(1)).alias("_kept"), F.coalesce(F.sum("dropped"), F.lit(0)).alias("dropped_negatives"))
+    return questions.agg(F.count(F.lit(1)).alias("_all")).join(kept).select((F.col("_all") - F.col("_kept")).alias("missing_positive"), "dropped_negatives")
+
+
 def drop_heldout_negatives(train: DataFrame, heldout: DataFrame, keys: DataFrame) -> DataFrame:
-    """Training questions (qid, negatives) without negatives whose article (keys: id, key) is a held-out positive's (positive_id)."""
-    taken = heldout.join(keys.withColumnRenamed("id", "positive_id"), "positive_id").select("key").distinct()
-    rows = train.select("qid", F.posexplode("negatives").alias("pos", "id")).join(keys, "id").join(taken, "key", "left_anti")
-    left = rows.groupBy("qid").agg(F.sort_array(F.collect_list(F.struct("pos", "id"))).alias("s"))
-    return train.select("qid").join(left, "qid", "left").select("qid", F.coalesce(F.transform("s", lambda x: x["id"]), F.array().cast("array<long>")).alias("negatives"))
+    """Training questions (qid, negatives) without negatives whose article (keys: id, key) is a held-out positive's (positive_id).
+
+    An id without an article raises ValueError: the questions have not been filtered. dropped counts a question's negatives that went.
+    """
+    held = heldout.join(keys.withColumnRenamed("id", "positive_id"), "positive_id", "left")
+    rows = train.select("qid", F.posexplode("negatives").alias("pos", "id")).join(keys, "id", "left")
+    unknown = held.filter("key is null").select(F.col("positive_id").alias("id")).union(rows.filter("key is null").select("id"))
+    if bad := unknown.distinct().limit(3).collect():
+        raise ValueError(f"ids that the corpus lacks, such as {[r.id for r in bad]}")
+    left = rows.join(held.select("key").distinct(), "key", "left_anti").groupBy("qid").agg(F.sort_array(F.collect_list(F.struct("pos", "id"))).alias("s"))
+    joined = train.select("qid", F.size(_or_empty(train, "negatives")).alias("_many")).join(left, "qid", "left")
+    kept = F.coalesce(F.transform("s", lambda x: x["id"]), F.array().cast(train.schema["negatives"].dataType))
+    return joined.select("qid", kept.alias("negatives"), (F.col("_many") - F.size(kept)).alias("dropped"))
+
+
+def heldout_counts(dropped: DataFrame) -> DataFrame:
+    """train_negatives, dropped_negatives, no_negative_questions (that had some) of what ``drop_heldout_negatives`` gives."""
+    had = F.size("negatives") + F.col("dropped")
+    emptied = ((F.size("negatives") == 0) & (F.col("dropped") > 0)).cast("long")
+    return dropped.agg(*[F.coalesce(F.sum(c), F.lit(0)).cast("long").alias(n) for c, n in ((had, "train_negatives"), (F.col("dropped"), "dropped_negatives"), (emptied, "no_negative_questions"))])
 
 
 def attach_labels(questions: DataFrame, labels: DataFrame, order: str) -> DataFrame:
@@ -89,19 +117,6 @@ def hash_split(key: Column, test: float = 0.15, dev: float = 0.1, seed: int = 42
     return F.when(u < test, "test").when(u < test + dev, "dev").otherwise("train")
 
 
-def same_law_batches(questions: DataFrame, batch: int, seed: int = 1, shard: int = 10_000) -> DataFrame:
-    """qid, law, batch_no: batches within laws, each shuffled by a hash; texts that repeat in a law (text) fall in different batches.
-
-    Laws of more than ``shard`` questions are cut into parts by that hash, which are numbered apart, so no task sees a whole large law.
-    """
-    parts = questions.groupBy("law").agg(F.ceil(F.count(F.lit(1)) / shard).alias("_parts"))
-    u = hash_unit(F.col("qid"), seed)
-    twin = Window.partitionBy("law", "text").orderBy("qid")
-    numbered = questions.withColumn("_twin", F.row_number().over(twin)).join(parts, "law").withColumns({"_u": u, "_part": F.floor(u * F.col("_parts"))})
-    order = Window.partitionBy("law", "_twin", "_part").orderBy("_u", "qid")
-    return numbered.select("qid", "law", F.concat_ws("-", "law", "_twin", "_part", F.floor((F.row_number().over(order) - 1) / batch)).alias("batch_no"))
-
-
 def in_batch_loss(scores: DataFrame, scale: float = 20.0) -> DataFrame:
     """batch, loss, margin from a score matrix in long form (batch, i, j, score): ranking loss and the least margin of the diagonal."""
     row = scores.groupBy("batch", "i").agg(
@@ -140,16 +155,9 @@ def question_problems(questions: DataFrame, kinds: tuple[str, ...]) -> DataFrame
     return questions.join(times, "text", "left").withColumn("problem", F.explode(broken)).drop("_times")
 
 
-def every_nth(rows: DataFrame, order: str, step: int, shard: int = 10_000) -> DataFrame:
-    """Every ``step``-th row in ascending order of a whole-number column, with n, its place from 0.
-
-    Ranges of ``shard`` numbers are counted first, so the only order over all is that of one row for each range.
-    """
-    placed = rows.withColumn("_shard", F.floor(F.col(order) / shard))
-    ranges = placed.groupBy("_shard").agg(F.count(F.lit(1)).alias("_many"))
-    ranges = ranges.select("_shard", F.coalesce(F.sum("_many").over(Window.orderBy("_shard").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("_before"))
-    n = F.row_number().over(Window.partitionBy("_shard").orderBy(order)) - 1 + F.col("_before")
-    return placed.join(ranges, "_shard").withColumn("n", n).filter(F.col("n") % step == 0).drop("_shard", "_before")
+def every_nth(rows: DataFrame, order: str, step: int) -> DataFrame:
+    """Every ``step``-th row in ascending order of a column of any type, with n, its place from 0."""
+    return ordinal(rows, order, name="n").filter(F.col("n") % step == 0)
 
 
 def seeded_sample(rows: DataFrame, key: str, n: int, seed: int) -> DataFrame:
@@ -194,5 +202,5 @@ def replace_negatives(questions: DataFrame, mined: DataFrame) -> DataFrame:
     """
     if (n := questions.join(mined, "qid", "left_anti").count()) > 0:
         raise ValueError(f"{n} questions without mined negatives")
-    answers = F.concat(F.array("positive_id"), F.coalesce("alternatives", F.array().cast("array<long>")))
+    answers = F.concat(F.array("positive_id"), _or_empty(mined, "alternatives"))
     return questions.join(mined, "qid").select("qid", F.posexplode(answers).alias("n", "positive_id"), "negatives")

@@ -4,13 +4,13 @@ from __future__ import annotations
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 #: Columns a metadata predicate may name, and its comparisons.
 FILTER_COLUMNS = ("theme", "law_type", "law_name", "effective_date")
 OPERATORS = {"=": "__eq__", "!=": "__ne__", "<": "__lt__", "<=": "__le__", ">": "__gt__", ">=": "__ge__"}
-RANKED = "qid long, id long, score double, rank int"
 
 
 def predicate(where: dict | None, columns=FILTER_COLUMNS) -> Column:
@@ -64,48 +64,87 @@ def search(index: DataFrame, query: list[float], k: int = 5, where: dict | None
 def batch_knn(queries: DataFrame, corpus: DataFrame, k: int, exclude_self: bool = True, block: int = 4096, digits: int = 6) -> DataFrame:
     """qid, id, score, rank: for every query (qid, embedding) the k rows (id, embedding) of largest dot product.
 
-    Exact. Up to ``block`` queries are one matrix that goes to every task: the corpus is read once and not
-    shuffled, and a task keeps the k best of each query. More queries make a grid of blocks: each pair of a block of queries
-    and a block of rows is one matrix product in one task, whose k best per query go on. Ties go to the smaller id.
+    Exact; ids of any type that has an order, and qids too. Up to ``block`` queries are one matrix that goes to every task: the corpus is read
+    once and not shuffled, and a task keeps the k best of each query so far, so what leaves it doesn't grow with its rows. More queries make a
+    grid of blocks: each pair of a block of queries and a block of rows is one matrix product in one task, whose k best per query go on.
+    Ties go to the smaller id. A row that has a query's own id is none of its answers with ``exclude_self``. Rows without a vector are left out.
     """
-
-    def best(qids: np.ndarray, q: np.ndarray, ids: np.ndarray, d: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-        """qid, id, score of the k best rows of each query."""
-        if not len(ids) or not len(qids):
-            return np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0)
-        order = np.argsort(ids, kind="stable")
-        ids, d = ids[order], d[order]
-        scores = np.round(q @ d.T, digits) + 0.0
-        if exclude_self:
-            scores[qids[:, None] == ids[None, :]] = -np.inf
-        order = np.argsort(-scores, axis=1, kind="stable")[:, :k]
-        out = np.repeat(qids, order.shape[1]), ids[order].ravel(), np.take_along_axis(scores, order, 1).ravel()
-        there = np.isfinite(out[2])
-        return tuple(x[there] for x in out)
-
-    few = queries.select("qid", F.col("embedding").cast("array<double>").alias("embedding")).limit(block + 1).toArrow()
+    left, right = (df.select(c, "embedding").filter("embedding is not null") for df, c in ((queries, "qid"), (corpus, "id")))
+    schema = f"qid {queries.schema['qid'].dataType.simpleString()}, id {corpus.schema['id'].dataType.simpleString()}, score double"
+    few = left.limit(block + 1).toArrow()
     if few.num_rows <= block:
-        qids, q = few.column("qid").to_numpy().astype(np.int64), _matrix(few.column("embedding").combine_chunks())
+        qids, q = few.column("qid").combine_chunks(), _matrix(few.column("embedding").combine_chunks())
 
         def scan(batches):
+            best = _Best(qids, q, k, exclude_self, digits)
             for batch in batches:
-                yield pa.RecordBatch.from_arrays([pa.array(x) for x in best(qids, q, batch.column("id").to_numpy(zero_copy_only=False).astype(np.int64), _matrix(batch.column("embedding")))], ["qid", "id", "score"])
+                best.add(batch.column("id"), _matrix(batch.column("embedding")))
+            yield best.rows()
 
-        scored = corpus.select("id", F.col("embedding").cast("array<double>").alias("embedding")).mapInArrow(scan, "qid long, id long, score double")
+        scored = right.mapInArrow(scan, schema)
     else:
-        n_q, n_d = (max(1, -(-df.count() // block)) for df in (queries, corpus))
-        left = queries.select("qid", "embedding", F.pmod(F.xxhash64("qid"), F.lit(n_q)).alias("qb"), F.explode(F.sequence(F.lit(0), F.lit(n_d - 1))).alias("db"))
-        right = corpus.select("id", "embedding", F.pmod(F.xxhash64("id"), F.lit(n_d)).alias("db"), F.explode(F.sequence(F.lit(0), F.lit(n_q - 1))).alias("qb"))
+        n_q, n_d = (max(1, -(-df.count() // block)) for df in (left, right))
+        left = left.select("qid", "embedding", F.pmod(F.xxhash64("qid"), F.lit(n_q)).alias("qb"), F.explode(F.sequence(F.lit(0), F.lit(n_d - 1))).alias("db"))
+        right = right.select("id", "embedding", F.pmod(F.xxhash64("id"), F.lit(n_d)).alias("db"), F.explode(F.sequence(F.lit(0), F.lit(n_q - 1))).alias("qb"))
 
         def pair(a: pa.Table, b: pa.Table) -> pa.Table:
-            sides = [(t.column(c).to_numpy().astype(np.int64), _matrix(t.column("embedding").combine_chunks())) for t, c in ((a, "qid"), (b, "id"))]
-            return pa.table([pa.array(x) for x in best(*sides[0], *sides[1])], names=["qid", "id", "score"])
+            best = _Best(a.column("qid").combine_chunks(), _matrix(a.column("embedding").combine_chunks()), k, exclude_self, digits)
+            best.add(b.column("id").combine_chunks(), _matrix(b.column("embedding").combine_chunks()))
+            return pa.Table.from_batches([best.rows()])
 
-        scored = left.groupBy("qb", "db").cogroup(right.groupBy("qb", "db")).applyInArrow(pair, "qid long, id long, score double")
+        scored = left.groupBy("qb", "db").cogroup(right.groupBy("qb", "db")).applyInArrow(pair, schema)
     order = Window.partitionBy("qid").orderBy(F.desc("score"), "id")
     return scored.withColumn("rank", F.row_number().over(order)).filter(F.col("rank") <= k)
 
 
+class _Best:
+    """The k best rows of each query among those seen so far: query numbers, ids and scores."""
+
+    #: Scores that are worked out at once.
+    CELLS = 1 << 22
+
+    def __init__(self, qids: pa.Array, q: np.ndarray, k: int, exclude_self: bool, digits: int):
+        self.qids, self.q, self.k, self.exclude_self, self.digits = qids, q, k, exclude_self, digits
+        self.names = qids.unique()
+        self.code = pc.index_in(qids, self.names).to_numpy(zero_copy_only=False)
+        self.query, self.score, self.id = np.zeros(0, np.int64), np.zeros(0), None
+        self.least = np.full(len(qids), -np.inf)
+
+    def add(self, ids: pa.Array, d: np.ndarray) -> None:
+        step = max(1, self.CELLS // max(1, len(self.qids)))
+        for first in range(0, len(ids), step):
+            self._add(ids.slice(first, step), d[first : first + step])
+
+    def _add(self, ids: pa.Array, d: np.ndarray) -> None:
+        if not len(self.qids):
+            return
+        scores = np.round(self.q @ d.T, self.digits) + 0.0
+        if self.exclude_self and ids.type == self.names.type:
+            own = pc.fill_null(pc.index_in(ids, self.names), -1).to_numpy()
+            scores[self.code[:, None] == own[None, :]] = -np.inf
+        least = self.least
+        if scores.shape[1] > self.k:
+            least = np.maximum(least, np.partition(scores, scores.shape[1] - self.k, axis=1)[:, -self.k])
+        query, row = np.nonzero((scores >= least[:, None]) & np.isfinite(scores))
+        found = ids.take(pa.array(row))
+        self.query = np.concatenate([self.query, query])
+        self.score = np.concatenate([self.score, scores[query, row]])
+        self.id = found if self.id is None else pa.concat_arrays([self.id, found])
+        place = np.empty(len(self.query), np.int64)
+        place[pc.sort_indices(self.id).to_numpy()] = np.arange(len(place))
+        order = np.lexsort((place, -self.score, self.query))
+        begin = np.searchsorted(self.query[order], np.arange(len(self.qids) + 1))
+        nth = np.arange(len(order)) - begin[self.query[order]]
+        last = order[nth == self.k - 1]
+        self.least[self.query[last]] = self.score[last]
+        keep = order[nth < self.k]
+        self.query, self.score, self.id = self.query[keep], self.score[keep], self.id.take(pa.array(keep))
+
+    def rows(self) -> pa.RecordBatch:
+        ids = self.id if self.id is not None else pa.nulls(0)
+        return pa.RecordBatch.from_arrays([self.qids.take(pa.array(self.query)), ids, pa.array(self.score)], ["qid", "id", "score"])
+
+
 def _matrix(column: pa.Array) -> np.ndarray:
     """Vectors of one dimension as the rows of a matrix."""
     return column.flatten().to_numpy(zero_copy_only=False).astype(float).reshape(len(column), -1) if len(column) else np.zeros((0, 0))

@@ -10,7 +10,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from gristmill.functions import text as T
-from gristmill.operators import chunking, judge, overlap, stats, store, training, vector
+from gristmill.operators import batches, chunking, judge, overlap, stats, store, training, vector
 from gristmill.plans.registry import ORACLE_SQL, QUERIES, query
 from gristmill.streaming import ingest
 
@@ -330,6 +330,21 @@ def integrity_filter(spark, sf):
     return found.select("qid", "positive_id", F.array_join(F.col("negatives").cast("array<string>"), ",").alias("negatives"), F.col("dropped").cast("long").alias("dropped"))
 
 
+@query(_QUESTIONS + " SELECT (SELECT count(*) FROM qs) - (SELECT count(*) FROM qs WHERE positive_id IN (SELECT id FROM d)) AS missing_positive, CAST((SELECT sum(len(negatives)) FROM qs WHERE positive_id IN (SELECT id FROM d)) - (SELECT count(*) FROM ok) AS BIGINT) AS dropped_negatives")
+def integrity_counts(spark, sf):
+    """How many questions and negatives do not fit the corpus."""
+    asked = _questions(spark, sf)
+    return training.integrity_counts(asked, training.filter_questions(asked, _corpus(spark, sf)))
+
+
+@query(_QUESTIONS + ", t AS (SELECT qid, count(*) AS n, count(*) FILTER (neg // 5 IN (SELECT id // 5 FROM d WHERE id % 4 = 0)) AS gone FROM ok GROUP BY qid) SELECT CAST(sum(n) AS BIGINT) AS train_negatives, CAST(sum(gone) AS BIGINT) AS dropped_negatives, CAST(count(*) FILTER (n = gone) AS BIGINT) AS no_negative_questions FROM t")
+def heldout_counts(spark, sf):
+    """How many negatives belong to articles of held-out positives."""
+    keys = _corpus(spark, sf).select("id", F.floor(F.col("id") / 5).alias("key"))
+    held = _corpus(spark, sf).filter("id % 4 = 0").select(F.col("id").alias("positive_id"))
+    return training.heldout_counts(training.drop_heldout_negatives(training.filter_questions(_questions(spark, sf), _corpus(spark, sf)), held, keys))
+
+
 @query(_QUESTIONS + ", l AS (SELECT qid, positive_id, list(neg ORDER BY p) AS g FROM ok GROUP BY ALL) SELECT qid, positive_id, g[i % len(g) + 1] AS negative_id, CAST(i AS INT) AS i FROM l, (SELECT unnest([0, 1, 2]) AS i)")
 def triplets(spark, sf):
     """Three training rows a question."""
@@ -419,14 +434,15 @@ def document_pieces(spark, sf):
     return chunking.split_articles(_table(spark, sf, "documents").select(F.col("doc_id").alias("id"), F.col("source").alias("title"), "text")).drop("n")
 
 
-_SUM_SHA = "CAST(sum(CAST('0x' || substr(sha256(CAST(doc_id AS VARCHAR)), 1, 12) AS BIGINT)) AS VARCHAR)"
+_SUM_SHA = "CAST(sum(CAST('0x' || substr(sha256(doc_id || ' ' || coalesce(text, '')), 1, 12) AS BIGINT)) AS VARCHAR)"
 
 
 @query(f"WITH a AS (SELECT source AS name, {_SUM_SHA} AS sha FROM documents WHERE source <> 'src1' GROUP BY source), b AS (SELECT source AS name, {_SUM_SHA} AS sha FROM documents WHERE source <> 'src2' AND NOT (source = 'src3' AND doc_id % 7 = 0) GROUP BY source) SELECT name, CASE WHEN b.sha IS NULL THEN 'missing' WHEN a.sha IS NULL THEN 'added' ELSE 'changed' END AS change FROM a FULL JOIN b USING (name) WHERE a.sha IS DISTINCT FROM b.sha")
 def version_diff(spark, sf):
-    """What two lists of files differ in; a file's digest is the sum of its rows' digests."""
+    """What two lists of files differ in; a file's digest is the sum of its rows' digests, ids and texts."""
     d = _table(spark, sf, "documents")
-    digest = lambda x: x.groupBy(F.col("source").alias("name")).agg(store.sum_digest(F.sha2(F.col("doc_id").cast("string"), 256)).alias("sha"))
+    line = F.concat_ws(" ", F.col("doc_id").cast("string"), F.coalesce("text", F.lit("")))
+    digest = lambda x: x.groupBy(F.col("source").alias("name")).agg(store.sum_digest(F.sha2(line, 256)).alias("sha"))
     return store.diff_files(digest(d.filter("source != 'src1'")), digest(d.filter("source != 'src2' and not (source = 'src3' and doc_id % 7 = 0)")))
 
 
@@ -485,7 +501,27 @@ def law_split(spark, sf):
     return training.split_by_group(counts)
 
 
+def _training_rows(spark, sf):
+    return _table(spark, sf, "documents").select(F.col("doc_id").alias("qid"), F.col("source").alias("law"), "text")
+
+
 @query()
 def law_batches(spark, sf):
-    """Batches within laws (their order is a hash)."""
-    return training.same_law_batches(_table(spark, sf, "documents").select(F.col("doc_id").alias("qid"), F.col("source").alias("law"), F.sha2("text", 256).alias("text")), 16)
+    """Batches of 16, half of one law, the rest from all, no text twice."""
+    return batches.law_batches(_training_rows(spark, sf), 16, 0.5, ["text"])
+
+
+@query()
+def plain_batches(spark, sf):
+    """Batches of 16 of whatever law, no text twice."""
+    return batches.law_batches(_training_rows(spark, sf), 16, 0, ["text"])
+
+
+@query(
+    """WITH l AS (SELECT source AS law, count(*) AS n, md5('0:0:' || coalesce(source, '')) AS o FROM documents GROUP BY source), t AS (SELECT sum(n) AS total FROM l),
+    b AS (SELECT law, n, CAST(coalesce(sum(n) OVER (ORDER BY o, law NULLS FIRST ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS HUGEINT) AS before FROM l)
+    SELECT law, n, CAST(((before + n) * 400 + total // 2) // total - (before * 400 + total // 2) // total AS BIGINT) AS quota FROM b, t"""
+)
+def batch_quotas(spark, sf):
+    """How many of 400 batches each law gets."""
+    return batches.batch_quotas(_training_rows(spark, sf), 400)

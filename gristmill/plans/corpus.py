@@ -93,18 +93,17 @@ def dataset_manifest(spark, sf):
     return _table(spark, sf, "documents").groupBy(F.col("source").alias("name")).agg(F.count(F.lit(1)).alias("files"), F.sum(rows).alias("rows_"), F.sum(F.octet_length("text")).alias("bytes"), store.sum_digest(F.sha2("text", 256)).alias("sha"))
 
 
-@query("WITH f AS (SELECT lang, source AS name, sha256(string_agg(DISTINCT CAST(n_chars AS VARCHAR), ',' ORDER BY CAST(n_chars AS VARCHAR))) AS sha FROM documents WHERE n_chars % 50 = 0 GROUP BY lang, source) SELECT lang, sha256(string_agg(name || ' ' || sha || chr(10), '' ORDER BY name)) AS sha FROM f GROUP BY lang")
+@query("SELECT lang, sha256(string_agg('f' || doc_id || ' ' || sha256(coalesce(text, '')) || chr(10), '' ORDER BY 'f' || doc_id)) AS sha FROM documents GROUP BY lang")
 def folder_digests(spark, sf):
-    """One digest of the files of each folder, by their names and digests in order."""
-    d = _table(spark, sf, "documents").filter("n_chars % 50 = 0")
-    files = d.groupBy("lang", F.col("source").alias("name")).agg(F.sha2(F.array_join(F.array_sort(F.collect_set(F.col("n_chars").cast("string"))), ","), 256).alias("sha"))
+    """One digest of the files of each folder, by their names and the digests of their texts in order; a document is a file."""
+    files = _table(spark, sf, "documents").select("lang", F.concat(F.lit("f"), "doc_id").alias("name"), F.sha2(F.coalesce("text", F.lit("")), 256).alias("sha"))
     return store.folder_digest(files, ["lang"])
 
 
-@query("""SELECT conv_id, substr(sha256(string_agg('{"conv_id": ' || conv_id || ', "role": "' || role || '", "turn": ' || turn || '}', chr(10) ORDER BY turn)), 1, 12) AS digest FROM conversations GROUP BY conv_id""")
+@query("""SELECT conv_id, substr(sha256(string_agg('{"conv_id": ' || conv_id || ', "role": ' || coalesce(CAST(to_json(role) AS VARCHAR), 'null') || ', "text": ' || coalesce(CAST(to_json(text) AS VARCHAR), 'null') || ', "turn": ' || turn || '}', chr(10) ORDER BY turn)), 1, 12) AS digest FROM conversations GROUP BY conv_id""")
 def questions_digests(spark, sf):
     """A short digest of each list of questions, as JSON with sorted keys, in their order."""
-    return store.questions_digest(_table(spark, sf, "conversations").select("conv_id", "turn", "role"), ["conv_id"], "turn")
+    return store.questions_digest(_table(spark, sf, "conversations"), ["conv_id"], "turn")
 
 
 @query(r"""WITH q AS (SELECT conv_id, turn, text, role FROM conversations), e AS (
@@ -205,9 +204,9 @@ def relative_times(spark, sf):
 
 
 @query(
-    "WITH RECURSIVE e AS (SELECT DISTINCT l_partkey % 97 AS a, l_suppkey % 89 AS b FROM lineitem WHERE l_orderkey % 50 = 0), r(id) AS (SELECT CAST(0 AS BIGINT) UNION SELECT e.b FROM r JOIN e ON e.a = r.id) SELECT id FROM r"
+    "WITH RECURSIVE e AS (SELECT DISTINCT l_partkey % 997 AS a, l_suppkey % 89 AS b FROM lineitem WHERE l_partkey % 997 > l_suppkey % 89), r(id) AS (SELECT CAST(88 AS BIGINT) UNION SELECT e.b FROM r JOIN e ON e.a = r.id) SELECT id FROM r"
 )
 def dependency_closure(spark, sf):
     """All that one thing depends on, directly or not."""
-    edges = _table(spark, sf, "lineitem").filter("l_orderkey % 50 = 0").select((F.col("l_partkey") % 97).alias("a"), (F.col("l_suppkey") % 89).alias("b")).distinct()
-    return store.closure(edges, spark.createDataFrame([(0,)], "id long"))
+    edges = _table(spark, sf, "lineitem").select((F.col("l_partkey") % 997).alias("a"), (F.col("l_suppkey") % 89).alias("b")).filter("a > b").distinct()
+    return store.closure(edges, spark.createDataFrame([(88,)], "id long"))

@@ -10,6 +10,7 @@ from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from gristmill.operators import judge, overlap, stats, training
+from gristmill.operators.order import ordinal
 from gristmill.plans import catalog as C
 from gristmill.plans.registry import query
 
@@ -187,7 +188,7 @@ def hit_payloads(spark, sf):
 def article_index(spark, sf):
     """Articles numbered by their first piece, with their pieces."""
     groups = C._corpus(spark, sf).groupBy(F.floor(F.col("id") / 5).alias("grp")).agg(F.min("id").alias("f"), F.array_join(F.transform(F.array_sort(F.collect_list("id")), lambda x: x.cast("string")), ",").alias("pieces"))
-    return groups.select((F.row_number().over(Window.orderBy("f")) - 1).alias("article"), "pieces")
+    return ordinal(groups, "f", name="article").select(F.col("article").cast("int").alias("article"), "pieces")
 
 
 @query("WITH u AS (SELECT label, unnest(CAST(embedding AS DOUBLE[])) AS x, generate_subscripts(embedding, 1) AS i FROM embeddings), m AS (SELECT label, i, avg(x) AS x FROM u GROUP BY label, i), n AS (SELECT label, sqrt(sum(x * x)) AS norm FROM m GROUP BY label) SELECT label, CAST(i - 1 AS INT) AS i, round(x / greatest(norm, 1e-12), 6) AS x FROM m JOIN n USING (label)")

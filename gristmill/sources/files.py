@@ -10,6 +10,8 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql.types import ArrayType, FloatType, StructField, StructType
 
+from gristmill.operators.order import sequence_digest
+
 CORPUS = "id string, title string, text string, category string, theme string, law_name string, law_type string, article_no string, article_title string, chapter string, promulgation_date string, effective_date string, source_url string, parent_id string, paragraph string"
 QUESTION = "query string, positive_id string, hard_negative_ids array<string>, query_type string, answer string, related_ids array<string>"
 LABEL = "qid string, alt_positive_ids array<string>, partial_ids array<string>"
@@ -44,9 +46,9 @@ def write_splits(df: DataFrame, path: str) -> None:
 
 
 def load_split(spark: SparkSession, path: str, name: str) -> DataFrame:
-    """The rows of one split; none where nothing was written."""
+    """The rows of one split; none, with a question's columns, where nothing was written."""
     if not exists(spark, path):
-        return spark.createDataFrame([], "query string, positive_id string")
+        return spark.createDataFrame([], QUESTION)
     return spark.read.parquet(path).filter(F.col("split") == name).drop("split")
 
 
@@ -54,12 +56,14 @@ def duplicate_ids(docs: DataFrame) -> DataFrame:
     return docs.groupBy("id").agg(F.count(F.lit(1)).alias("n")).filter("n > 1")
 
 
-def corpus_hash(docs: DataFrame) -> str:
-    """A digest of a corpus that does not depend on the order of rows: per-row digests, summed in two halves."""
-    digest = F.sha2(F.to_json(F.struct(*sorted(docs.columns))), 256)
-    half = lambda at: F.sum(F.conv(F.substring(digest, at, 12), 16, 10).cast("decimal(38,0)"))
-    r = docs.agg(half(1).alias("a"), half(13).alias("b"), F.count(F.lit(1)).alias("n")).first()
-    return f"{r.a or 0}-{r.b or 0}-{r.n}"
+def corpus_hash(docs: DataFrame, order: list[str] | None = None) -> str:
+    """A digest of a corpus, its rows' columns by name and their order: that of ``order``, or of ids and of rows of one id.
+
+    A tree of digests over ranges of rows: no task holds more than a few thousand of them.
+    """
+    line = F.to_json(F.struct(*sorted(docs.columns)), {"ignoreNullFields": "false"})
+    by = order or (["id"] if "id" in docs.columns else [])
+    return sequence_digest(docs, line, *by, F.sha2(line, 256))[:16]
 
 
 def exists(spark: SparkSession, path: str) -> bool:
@@ -75,8 +79,8 @@ def _manifest(spark: SparkSession, path: str):
     return spark.read.schema("version long, folder string, model_key string, corpus_hash string").parquet(f"{path}/manifest").orderBy(F.desc("version")).first()
 
 
-def build_index(docs: DataFrame, embed: Callable[[list[str]], list], path: str, model_key: str, batch: int = 64) -> bool:
-    """Embed documents (id, text, ...) into a Parquet index with a manifest; False if it is up to date.
+def build_index(docs: DataFrame, embed: Callable[[list[str]], list], path: str, model_key: str, batch: int = 64, order: list[str] | None = None) -> bool:
+    """Embed documents (id, text, ...) into a Parquet index with a manifest; False if it is up to date: same model, rows and order of rows.
 
     Duplicate ids are refused before anything is embedded. Texts of like length are embedded together. Rows go to
     a new folder, and a row that names it is appended to the manifest last: a broken build leaves the index that was there.
@@ -84,7 +88,7 @@ def build_index(docs: DataFrame, embed: Callable[[list[str]], list], path: str,
     bad = duplicate_ids(docs).orderBy("id").limit(3).collect()
     if bad:
         raise ValueError(f"{duplicate_ids(docs).count()} duplicate ids, such as {[r.id for r in bad]}")
-    spark, digest = docs.sparkSession, corpus_hash(docs)
+    spark, digest = docs.sparkSession, corpus_hash(docs, order)
     have = _manifest(spark, path)
     if have and (have.model_key, have.corpus_hash) == (model_key, digest):
         return False

@@ -108,13 +108,6 @@ def test_margins_of_a_batch(spark):
     assert r.margin == pytest.approx(-0.2) and r.loss == pytest.approx(expected)
 
 
-def test_batches_hold_no_text_twice(spark):
-    rows = [(i, f"l{i % 3}", f"t{i % 20}") for i in range(120)]
-    found = training.same_law_batches(spark.createDataFrame(rows, "qid long, law string, text string"), 8).toPandas().merge(pd.DataFrame(rows, columns=["qid", "law2", "text"]), on="qid")
-    assert len(found) == 120 and found.groupby("batch_no").law.nunique().max() == 1
-    assert not found.duplicated(["batch_no", "text"]).any() and found.groupby("batch_no").size().max() <= 8
-
-
 def test_text_functions(spark):
     df = spark.createDataFrame([("주휴 알바", "주휴일", "see [1, 2] and [3] or [x]")], "a string, b string, c string")
     r = df.select(
