@@ -79,7 +79,8 @@ def batch_knn(queries: DataFrame, corpus: DataFrame, k: int, exclude_self: bool
             best = _Best(qids, q, k, exclude_self, digits)
             for batch in batches:
                 best.add(batch.column("id"), _matrix(batch.column("embedding")))
-            yield best.rows()
+            if best.id is not None:
+                yield best.rows()
 
         scored = right.mapInArrow(scan, schema)
     else:
@@ -112,13 +113,11 @@ class _Best:
 
     def add(self, ids: pa.Array, d: np.ndarray) -> None:
         step = max(1, self.CELLS // max(1, len(self.qids)))
-        for first in range(0, len(ids), step):
+        for first in range(0, max(len(ids), 1), step):
             self._add(ids.slice(first, step), d[first : first + step])
 
     def _add(self, ids: pa.Array, d: np.ndarray) -> None:
-        if not len(self.qids):
-            return
-        scores = np.round(self.q @ d.T, self.digits) + 0.0
+        scores = np.round(self.q @ d.T, self.digits) + 0.0 if len(ids) and len(self.qids) else np.zeros((len(self.qids), len(ids)))
         if self.exclude_self and ids.type == self.names.type:
             own = pc.fill_null(pc.index_in(ids, self.names), -1).to_numpy()
             scores[self.code[:, None] == own[None, :]] = -np.inf
@@ -141,8 +140,7 @@ class _Best:
         self.query, self.score, self.id = self.query[keep], self.score[keep], self.id.take(pa.array(keep))
 
     def rows(self) -> pa.RecordBatch:
-        ids = self.id if self.id is not None else pa.nulls(0)
-        return pa.RecordBatch.from_arrays([self.qids.take(pa.array(self.query)), ids, pa.array(self.score)], ["qid", "id", "score"])
+        return pa.RecordBatch.from_arrays([self.qids.take(pa.array(self.query)), self.id, pa.array(self.score)], ["qid", "id", "score"])
 
 
 def _matrix(column: pa.Array) -> np.ndarray:

@@ -6,7 +6,7 @@ relevant, five neighbouring ids are one article; ``documents`` are the texts, la
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from gristmill.functions import text as T
@@ -394,16 +394,24 @@ def gram_coverage(spark, sf):
     return overlap.coverage(*_squeezed(spark, sf, T.squeeze_for_grams), 2)
 
 
-@query(_COVERAGE)
+_PAIRED = r"""WITH t AS (SELECT conv_id, turn, role, regexp_replace(text, '[^\p{L}\p{N}]', '', 'g') AS t, lead(role) OVER w AS next_role, regexp_replace(lead(text) OVER w, '[^\p{L}\p{N}]', '', 'g') AS n FROM conversations WINDOW w AS (PARTITION BY conv_id ORDER BY turn)),
+    g AS (SELECT conv_id, turn, list_distinct(list_transform(range(1, greatest(length(t) - 1, 0) + 1), lambda i: substr(t, i, 2))) AS q, list_transform(range(1, greatest(length(n) - 1, 0) + 1), lambda i: substr(n, i, 2)) AS a FROM t WHERE role = 'user' AND next_role = 'assistant')"""
+
+
+@query(_PAIRED + " SELECT conv_id, turn, ((2000000 * coalesce(len(list_intersect(q, a)), 0) + greatest(coalesce(len(q), 0), 1)) // (2 * greatest(coalesce(len(q), 0), 1))) / 1000000 AS overlap FROM g")
 def query_overlap(spark, sf):
-    """Share of an item's character pairs that a document has, for all pairs of both that share any."""
-    return gram_coverage(spark, sf)
+    """The share of a question's character pairs that the answer to it has."""
+    turns = _table(spark, sf, "conversations").select("conv_id", "turn", "role", T.squeeze_for_grams(F.col("text")).alias("a"))
+    then = Window.partitionBy("conv_id").orderBy("turn")
+    pairs = turns.withColumns({"b": F.lead("a").over(then), "_next": F.lead("role").over(then)}).filter("role = 'user' and _next = 'assistant'")
+    found = overlap.pair_overlap(pairs.select(F.col("conv_id").alias("qid"), F.col("turn").alias("id"), "a", "b"), 2)
+    return found.select(F.col("qid").alias("conv_id"), F.col("id").alias("turn"), "overlap")
 
 
-@query(_NEAREST)
+@query(_gram_sql(3, r"\s") + ", m AS (SELECT *, (2000000 * c + u) // (2 * u) AS m FROM p) SELECT item_id, doc_id, m / 1000000 AS similarity FROM m WHERE m >= 150000")
 def gram_jaccard(spark, sf):
-    """The three documents of all that share most character triples with each item."""
-    return gram_neighbours(spark, sf)
+    """All pairs of items and documents of which 15 % of the character triples of both are common."""
+    return overlap.similar_sets(*_squeezed(spark, sf, lambda c: F.regexp_replace(c, r"\s", "")), 3, 0.15)
 
 
 @query("WITH h AS (SELECT * FROM conversations QUALIFY row_number() OVER (PARTITION BY conv_id ORDER BY turn DESC) <= 6) SELECT conv_id, count(*) AS n, string_agg(role || ': ' || text, chr(10) ORDER BY turn) AS prompt FROM h GROUP BY conv_id")

@@ -9,6 +9,7 @@ from __future__ import annotations
 from pyspark.sql import Window
 from pyspark.sql import functions as F
 
+from gristmill.functions.text import squeeze_for_grams
 from gristmill.operators import judge, overlap, stats, training
 from gristmill.operators.order import ordinal
 from gristmill.plans import catalog as C
@@ -110,11 +111,17 @@ def clean_subset_test(spark, sf):
     return stats.paired_summary(clean).select("n", "base", "other", "delta")
 
 
-@query(C._HITS + """, x AS (SELECT qid, label, o, b, (qid * 7919 % 1000) / 1000.0 AS v FROM hit), e AS (SELECT quantile_cont(v, 0.25) AS e1, quantile_cont(v, 0.5) AS e2, quantile_cont(v, 0.75) AS e3 FROM x)
+_OVERLAPS = r""", t AS (SELECT doc_id, list_transform(range(1, greatest(length(t) - 1, 0) + 1), lambda i: substr(t, i, 2)) AS g FROM (SELECT doc_id, regexp_replace(coalesce(text, ''), '[^\p{L}\p{N}]', '', 'g') AS t FROM documents)),
+    ov AS (SELECT qid, len(list_distinct(a.g)) AS m, len(list_intersect(list_distinct(a.g), b.g)) AS c FROM pos JOIN t a ON a.doc_id = qid JOIN t b ON b.doc_id = pos.id)"""
+
+
+@query(C._HITS + _OVERLAPS + """, x AS (SELECT hit.*, ((2000000 * c + greatest(m, 1)) // (2 * greatest(m, 1))) / 1000000 AS v FROM hit JOIN ov USING (qid)), e AS (SELECT quantile_cont(v, 0.25) AS e1, quantile_cont(v, 0.5) AS e2, quantile_cont(v, 0.75) AS e3 FROM x)
     SELECT CASE WHEN v <= e1 THEN 1 WHEN v <= e2 THEN 2 WHEN v <= e3 THEN 3 ELSE 4 END AS bin, count(*) AS n, round(avg(b), 6) AS base, round(avg(o), 6) AS other FROM x, e GROUP BY ALL""")
 def quartile_bins(spark, sf):
-    """Hits of two runs by quartile of a measure of the question."""
-    rows = C._compared(spark, sf).withColumn("v", (F.col("qid") * 7919 % 1000) / 1000)
+    """Hits of two runs by quartile of the share of a question's character pairs that its right answer has (texts of the documents of the same ids)."""
+    texts = C._table(spark, sf, "documents").select("doc_id", squeeze_for_grams(F.coalesce("text", F.lit(""))).alias("text"))
+    pairs = C._positives(spark, sf).join(texts.select(F.col("doc_id").alias("qid"), F.col("text").alias("a")), "qid").join(texts.select(F.col("doc_id").alias("id"), F.col("text").alias("b")), "id")
+    rows = C._compared(spark, sf).join(overlap.pair_overlap(pairs, 2).select("qid", F.col("overlap").alias("v")), "qid")
     return stats.by_quartile(rows, "v").agg(F.count(F.lit(1)).alias("n"), F.round(F.avg("base_hit"), 6).alias("base"), F.round(F.avg("other_hit"), 6).alias("other"))
 
 

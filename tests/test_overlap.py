@@ -1,8 +1,11 @@
 """Shared grams of all items and all documents against brute force."""
 
+import random
 import re
 from decimal import ROUND_HALF_UP, Decimal
 
+import pyarrow as pa
+
 from gristmill.operators import overlap
 from gristmill.plans import catalog
 
@@ -51,3 +54,48 @@ def test_queries_see_every_item(spark):
     items, docs = tables(spark, r"[\W_]")
     sets = [{k: grams(t, 2) for k, t in rows} for rows in (items, docs)]
     assert {tuple(r) for r in catalog.QUERIES["gram_coverage"](spark, SF).collect()} == {(a, b, six(len(x & y), len(x))) for a, x in sets[0].items() for b, y in sets[1].items() if x & y}
+
+
+def texts(seed, n, words):
+    rng = random.Random(seed)
+    return [" ".join(rng.choice(words) for _ in range(rng.randint(0, 40))) for _ in range(n)]
+
+
+def vocabulary(seed, n):
+    rng = random.Random(seed)
+    return ["".join(rng.choice("abcdefghijklmnopqrstuvwxyz") for _ in range(rng.randint(2, 9))) for _ in range(n)]
+
+
+def test_similar_pairs_and_nearest_of_text_keys(spark):
+    words = vocabulary(1, 300)
+    docs = [(f"d{i:03}", t) for i, t in enumerate(texts(2, 300, words))]
+    rng = random.Random(3)
+    items = [(f"i{i}", t[rng.randint(0, 20) :]) for i, (_, t) in enumerate(docs[:60])] + [("none", None), ("short", "ab")]
+    i, d = spark.createDataFrame(items, "item_id string, text string"), spark.createDataFrame(docs, "doc_id string, text string").repartition(3)
+    sets = [{k: grams(t or "", 3) for k, t in rows} for rows in (items, docs)]
+    pairs = {(a, b, six(len(x & y), len(x | y))) for a, x in sets[0].items() for b, y in sets[1].items() if x & y}
+    for least in (0.05, 0.3, 0.8):
+        assert {tuple(r) for r in overlap.similar_sets(i, d, 3, least).collect()} == {p for p in pairs if p[2] >= least}
+    for k in (1, 4):
+        assert {tuple(r) for r in overlap.nearest_by_jaccard(i, d, 3, k).collect()} == nearest(items, docs, 3, k)
+
+
+def test_candidates_follow_matches(monkeypatch):
+    """Of many documents that share frequent grams with every item only those that may be similar are compared in full."""
+    words = vocabulary(5, 5000)
+    docs = texts(6, 3000, words)
+    items = docs[:50]
+    index = overlap.GramIndex(pa.array(range(50)), items, 3, least=500_000)
+    for first in range(0, len(docs), overlap.CHUNK):
+        index.add(pa.array(range(first, min(first + overlap.CHUNK, len(docs)))), docs[first : first + overlap.CHUNK])
+    some = {(a, b) for a, b in zip(index.rows().column("item_id").to_pylist(), index.rows().column("doc_id").to_pylist(), strict=True)}
+    sets = [grams(t, 3) for t in docs]
+    assert some == {(a, b) for a in range(50) for b in range(3000) if sets[a] and 2 * len(sets[a] & sets[b]) >= len(sets[a] | sets[b])}
+    shared = sum(bool(sets[a] & sets[b]) for a in range(50) for b in range(3000))
+    assert index.candidates < shared / 5
+
+
+def test_overlap_of_pairs(spark):
+    rows = [(1, "x", "abcd", "bcde"), (2, "y", "", "abc"), (3, "z", None, None), (4, "w", "abab", "ab")]
+    found = overlap.pair_overlap(spark.createDataFrame(rows, "qid long, id string, a string, b string"), 2)
+    assert {tuple(r) for r in found.collect()} == {(1, "x", 0.666667), (2, "y", 0.0), (3, "z", 0.0), (4, "w", 0.5)}
