@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import math
 
+from pyspark.errors import AnalysisException
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -40,23 +41,25 @@ def fair_targets(sizes: DataFrame, weights=(5, 2, 1), share: float = 1.5, epochs
     return rows.select("source", "source_size", F.least(F.col("_cap"), F.coalesce(final * F.col("_w"), F.col("_cap"))).alias("target"))
 
 
-def _services(docs: DataFrame, id_col: str, text_col: str, source_col: str, weights, share: float, epochs: int, seed: str) -> DataFrame:
+def _services(numbered: DataFrame, id_col: str, text_col: str, source_col: str, weights, share: float, epochs: int, seed: str) -> DataFrame:
     """One row for each part of a service of a document, without its text: doc_id, source, epoch, size, source_size, target,
     words, finish_time, inside.
 
     Running sums do not gather a source in one place: leading digits of the shuffle's digest cut each source into shards of
     some ten thousand rows, a shard's offset comes from the shards' sums, and only a shard is sorted by one task.
     """
-    digits = max(1, min(7, math.ceil(math.log(max(docs.count(), 1) / 65_536 + 1, 16))))
-    digest = F.md5(F.concat(F.lit(f"{seed}:"), F.coalesce(docs[id_col].cast("string"), F.lit("null"))))
-    sized = docs.select(
-        docs[id_col].alias("doc_id"),
-        F.coalesce(docs[source_col].cast("string"), F.lit("")).alias("_source"),
-        docs[source_col].isNull().alias("_null"),
-        word_count(docs[text_col].cast("string")).alias("size"),
+    digits = max(1, min(7, math.ceil(math.log(max(numbered.count(), 1) / 65_536 + 1, 16))))
+    own = F.col("row")
+    digest = F.md5(F.concat(F.lit(f"{seed}:"), F.coalesce(own[id_col].cast("string"), F.lit("null"))))
+    sized = numbered.select(
+        own[id_col].alias("doc_id"),
+        F.coalesce(own[source_col].cast("string"), F.lit("")).alias("_source"),
+        own[source_col].isNull().alias("_null"),
+        word_count(own[text_col].cast("string")).alias("size"),
         digest.alias("_order"),
         F.substring(digest, 1, digits).alias("_shard"),
-        row_key(docs).alias("_key"),
+        _content(numbered).alias("_content"),
+        F.col("row_key").alias("_key"),
     )
     shard = ["_source", "_null", "_shard"]
     sized = sized.repartition(*shard)
@@ -69,7 +72,7 @@ def _services(docs: DataFrame, id_col: str, text_col: str, source_col: str, weig
     targets = fair_targets(sizes, weights, share, epochs)
     targets = targets.select(F.coalesce("source", F.lit("")).alias("_source"), F.col("source").isNull().alias("_null"), "source_size", "target", F.sum(F.floor("target")).over(Window.partitionBy()).alias("_budget"))
     shards = shards.drop("_words").join(targets, ["_source", "_null"])
-    in_shard = Window.partitionBy(*shard).orderBy("_order", "doc_id", "size", "_key").rowsBetween(Window.unboundedPreceding, 0)
+    in_shard = Window.partitionBy(*shard).orderBy("_order", "doc_id", "size", "_content", "_key").rowsBetween(Window.unboundedPreceding, 0)
     rows = sized.withColumn("_sum", F.sum("size").over(in_shard)).join(shards, shard)
     rows = rows.select("*", F.explode(F.sequence(F.lit(1), F.lit(epochs))).alias("epoch"))
     # From the first to the last word served, counted in the source; the part before virtual time 1 and the part after it.
@@ -93,13 +96,38 @@ def _services(docs: DataFrame, id_col: str, text_col: str, source_col: str, weig
         inside.alias("inside"),
         "_budget",
         "_order",
+        "_content",
         "_key",
     )
 
 
-def row_key(docs: DataFrame) -> Column:
-    """A hash of whole rows, by which a row's service finds its text again."""
-    return F.xxhash64(*[docs[c] for c, t in docs.dtypes if not t.startswith("map")])
+def _is_table(docs: DataFrame) -> bool:
+    """Whether the rows are those of Parquet files, some of them perhaps, one row of the files for each: read again they are the same."""
+    node = docs._jdf.queryExecution().analyzed()
+    while node.nodeName() in ("Project", "Filter", "SubqueryAlias") and node.deterministic():
+        node = node.children().head()
+    if node.nodeName() != "LogicalRelation":
+        return False
+    try:
+        return docs.select("_metadata.file_path", "_metadata.row_index").schema is not None
+    except AnalysisException:  # files of another kind
+        return False
+
+
+def _numbered(docs: DataFrame) -> DataFrame:
+    """row_key, row: every row with its file (128 bits of the digest of the path) and its place in the file, which no other row has.
+
+    What isn't a table of files is written as one first: else a row could have another number when its text is fetched.
+    """
+    docs = docs if _is_table(docs) else settle(docs)
+    key = F.struct(F.unhex(F.md5("_metadata.file_path")).alias("file"), F.col("_metadata.row_index").alias("at"))
+    return docs.select(key.alias("row_key"), F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row"))
+
+
+def _content(rows: DataFrame) -> Column:
+    """A hash of whole rows, by which rows of one id are ordered alike in every run; maps, which have no hash, as JSON."""
+    fields = rows.schema["row"].dataType.fields
+    return F.xxhash64(*[F.to_json(F.struct(F.col("row")[f.name])) if "map<" in f.dataType.simpleString() else F.col("row")[f.name] for f in fields])
 
 
 def mix(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", weights=(5, 2, 1), share: float = 1.5, epochs: int = 2, seed: str = "mix") -> DataFrame:
@@ -121,8 +149,12 @@ def mix(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_
     table gives an empty result. Very long texts are counted as others. Other columns are ignored, whatever their names.
     Reruns agree.
     """
-    services = _services(docs, id_col, text_col, source_col, weights, share, epochs, seed)
-    by = ["finish_time", F.desc("inside"), "source", "_order", "doc_id", "epoch", "_key"]
+    return _mix(_numbered(docs), id_col, text_col, source_col, weights, share, epochs, seed)
+
+
+def _mix(numbered: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", weights=(5, 2, 1), share: float = 1.5, epochs: int = 2, seed: str = "mix") -> DataFrame:
+    services = _services(numbered, id_col, text_col, source_col, weights, share, epochs, seed)
+    by = ["finish_time", F.desc("inside"), "source", "_order", "doc_id", "epoch", "_content", "_key"]
     ranged = settle(services.repartitionByRange(*by).withColumn("_range", F.spark_partition_id()))
     ranges = ranged.groupBy("_range").agg(F.sum("words").alias("_words"))
     # One row for each range and one for each source: as few as there are partitions and sources.
@@ -147,16 +179,15 @@ def mixed_documents(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     """The mix as documents, with the columns of ``docs``.
 
     A document that is served twice is there twice. The last one of a source is cut to the words that are
-    taken of it (then joined by single spaces); n_chars, where there is one, follows. Rows that are equal in all columns are
-    gathered in one and served again. Null and empty texts have no words and are not served; null ids and sources are
+    taken of it (then joined by single spaces); n_chars, where there is one, follows. Repeated rows are rows like others, each served by itself; so are rows that differ in a map alone. Null and empty texts have no words and are not served; null ids and sources are
     served like others; an empty table gives an empty result; other columns are kept, whatever their names.
 
     Services are sorted and truncated without texts. Then texts are shuffled once, to meet their services: each part of the result is a
     random slice of the global order of virtual finish times, and in that order.
     """
-    mixed = mix(docs, id_col, text_col, source_col, **parameters).filter("taken > 0").select("row_key", "position", "taken", "size")
-    rows = docs.select(row_key(docs).alias("row_key"), F.struct(*[docs[c] for c in docs.columns]).alias("row")).dropDuplicates(["row_key"])
-    served = rows.join(mixed, "row_key")
+    numbered = _numbered(docs)
+    mixed = _mix(numbered, id_col, text_col, source_col, **parameters).filter("taken > 0").select("row_key", "position", "taken", "size")
+    served = numbered.join(mixed, "row_key")
     text = F.col("row")[text_col].cast("string")
     cut = F.array_join(F.slice(F.regexp_extract_all(text, F.lit(f"({WORD})")), 1, F.col("taken").cast("int")), " ")
     changed = {text_col: cut} | ({"n_chars": F.length(cut).cast(docs.schema["n_chars"].dataType)} if "n_chars" in docs.columns else {})

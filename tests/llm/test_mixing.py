@@ -4,6 +4,8 @@ from collections import defaultdict
 
 import pytest
 
+from pyspark.sql import functions as F
+
 from gristmill.llm import mixing as M
 from gristmill.llm import queries
 
@@ -104,3 +106,25 @@ def test_empty_table_and_no_words(spark):
     assert M.mix_report(M.mix(empty)).collect() == []
     blank = spark.createDataFrame([(1, None, None), (2, " ", "a"), (2, " ", "a")], SCHEMA)
     assert sorted(map(tuple, M.mix_report(M.mix(blank)).collect())) == [(1, 0, 0, 0.0, 0), (2, 0, 0, 0.0, 0)]
+
+
+def test_rows_that_differ_in_a_map_alone_are_both_served(spark, tmp_path):
+    rows = [(1, "a b c d", "s", {"k": "x"}, [{"m": 1}]), (1, "a b c d", "s", {"k": "y"}, [{"m": 1}]), (2, "e f", "t", None, [{"m": 2}, None]), (2, "e f", "t", None, None)]
+    df = spark.createDataFrame(rows, SCHEMA + ", row_key map<string,string>, row array<map<string,int>>")
+    df.write.parquet(str(tmp_path / "docs"))
+    for docs in (df, spark.read.parquet(str(tmp_path / "docs"))):
+        out = M.mixed_documents(docs)
+        assert out.dtypes == df.dtypes
+        found = out.collect()
+        whole = [r for r in found if len(r.text.split()) == len({1: "a b c d", 2: "e f"}[r.doc_id].split())]
+        assert {str(r.row_key) for r in whole if r.doc_id == 1} == {"{'k': 'x'}", "{'k': 'y'}"}
+        assert {str(r.row) for r in whole if r.doc_id == 2} == {"[{'m': 2}, None]", "None"}
+
+
+def test_rows_made_of_one_row_of_a_table_are_told_apart(spark, tmp_path):
+    spark.createDataFrame([(1, "a b", "s"), (2, "c d e", "s")], SCHEMA).write.parquet(str(tmp_path / "docs"))
+    table = spark.read.parquet(str(tmp_path / "docs"))
+    assert M._is_table(table.filter("doc_id > 0").select("doc_id", "text", "source"))
+    twice = table.withColumn("copy", F.explode(F.array(F.lit(1), F.lit(2))))
+    assert not M._is_table(twice) and not M._is_table(table.union(table)) and not M._is_table(table.filter(F.rand() < 2))
+    assert sum(len(r.text.split()) for r in M.mixed_documents(twice).collect()) == 15
