@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from gristmill.operators.order import settle
+
 METRICS = ("r1", "r5", "r10", "mrr10", "ndcg10")
 
 
@@ -38,19 +40,28 @@ def metrics(rank: Column) -> list[Column]:
 
 
 def per_question(ranked: DataFrame, positives: DataFrame, alternatives: DataFrame, ignored: DataFrame, partial: DataFrame, keys: DataFrame) -> DataFrame:
-    """qid, doc_rank, article_rank, multi_rank of every positive (qid, id).
+    """qid, doc_rank, article_rank, multi_rank of every question with a positive (qid, id).
 
     ``ignored`` rows leave all judgements, ``partial`` ones the multi-answer judgement; ``keys`` (id, key) names
-    each row's article, and a row that it lacks is its own.
+    each row's article, and a row that it lacks is its own. A question's ranking fits a row: it has a depth. What is said of its
+    rows is gathered once, and the three judgements are read off the one list.
     """
-    kept = without(ranked, ignored)
-    doc = kept.join(positives, ["qid", "id"]).groupBy("qid").agg(F.min("rank").alias("doc_rank"))
-    named = kept.join(keys, "id", "left").select("qid", "rank", F.coalesce("key", F.col("id").cast("string")).alias("key"))
-    wanted = positives.join(keys, "id", "left").select("qid", F.coalesce("key", F.col("id").cast("string")).alias("key"))
-    article = first_rank(named, wanted).withColumnRenamed("rank", "article_rank")
-    answers = positives.select("qid", "id").union(alternatives.select("qid", "id")).distinct()
-    multi = without(kept, partial).join(answers, ["qid", "id"]).groupBy("qid").agg(F.min("rank").alias("multi_rank"))
-    return positives.select("qid").join(doc, "qid", "left").join(article, "qid", "left").join(multi, "qid", "left")
+    bit = lambda df, n: df.select("qid", "id", F.lit(n).alias("_bit"))
+    marks = bit(ignored, 1).union(bit(partial, 2)).union(bit(positives, 4)).union(bit(alternatives, 8)).groupBy("qid", "id").agg(F.bit_or("_bit").alias("_bits"))
+    key = F.coalesce("key", F.col("id").cast("string"))
+    wanted = positives.join(keys, "id", "left").groupBy("qid").agg(F.collect_set(key).alias("_wanted"))
+    rows = ranked.select("qid", "id", "rank").join(marks, ["qid", "id"], "left").join(keys, "id", "left")
+    rows = rows.select("qid", F.struct("rank", key.alias("key"), F.coalesce("_bits", F.lit(0)).alias("bits")).alias("_r")).filter(F.col("_r.bits").bitwiseAND(1) == 0)
+    lists = rows.groupBy("qid").agg(F.array_sort(F.collect_list("_r")).alias("_s"))
+    place = lambda found: F.nullif(F.array_position(found, True), F.lit(0)).cast("int")
+    has = lambda x, bits: x["bits"].bitwiseAND(bits) > 0
+    articles = F.transform(F.array_distinct(F.transform("_s", lambda x: x["key"])), lambda k: F.array_contains("_wanted", k))
+    return wanted.join(lists, "qid", "left").select(
+        "qid",
+        place(F.transform("_s", lambda x: has(x, 4))).alias("doc_rank"),
+        place(articles).alias("article_rank"),
+        place(F.transform(F.filter("_s", lambda x: ~has(x, 2)), lambda x: has(x, 12))).alias("multi_rank"),
+    )
 
 
 def report(questions: DataFrame, groups=()) -> DataFrame:
@@ -79,7 +90,7 @@ def compare(base: DataFrame, other: DataFrame, judge: str = "doc", k: int = 5) -
     """qid, base_hit, other_hit, outcome of two judged runs over the same questions; raises if these differ."""
     rank = f"{judge}_rank"
     hits = lambda df, n: df.select("qid", (F.coalesce(F.col(rank) <= k, F.lit(False))).cast("int").alias(n))
-    both = hits(base, "base_hit").join(hits(other, "other_hit"), "qid", "full_outer")
+    both = settle(hits(base, "base_hit").join(hits(other, "other_hit"), "qid", "full_outer"))  # looked at, then used
     odd = both.agg(F.count("base_hit").alias("a"), F.count("other_hit").alias("b"), F.count(F.when(F.col("base_hit").isNotNull() & F.col("other_hit").isNotNull(), 1)).alias("c")).first()
     if not odd.a == odd.b == odd.c:
         raise ValueError(f"different questions: {odd.a}, {odd.b}, {odd.c} in both")

@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 
 from gristmill.functions import text as T
 from gristmill.operators import batches, chunking, judge, overlap, stats, store, training, vector
+from gristmill.operators.order import settle
 from gristmill.plans.registry import ORACLE_SQL, QUERIES, query
 from gristmill.streaming import ingest
 
@@ -22,7 +23,8 @@ def _table(spark: SparkSession, sf: str, name: str) -> DataFrame:
 
 
 def _corpus(spark, sf) -> DataFrame:
-    return _table(spark, sf, "embeddings").select(F.col("vec_id").alias("id"), "embedding", "label")
+    # Named columns and types: a read need not open files for them first.
+    return spark.read.schema("vec_id long, embedding array<float>, label int").parquet(f"{sf}/embeddings.parquet").select(F.col("vec_id").alias("id"), "embedding", "label")
 
 
 def _queries(spark, sf) -> DataFrame:
@@ -49,11 +51,15 @@ def _same(spark, sf, ranked: DataFrame) -> DataFrame:
 
 
 def _judged(spark, sf) -> DataFrame:
-    positives, ranked = _positives(spark, sf), _ranked(spark, sf)
-    near = ranked.select("qid", "id")
-    ignored, partial = near.filter("id % 7 = 3").join(positives, ["qid", "id"], "left_anti"), near.filter("id % 7 = 5").join(positives, ["qid", "id"], "left_anti")
-    keys = _corpus(spark, sf).select("id", F.floor(F.col("id") / 5).cast("string").alias("key"))
-    return judge.per_question(ranked, positives, _same(spark, sf, ranked), ignored, partial, keys).join(_queries(spark, sf).select("qid", "label"), "qid")
+    """Ranks of the judgements. What they look at is one table of ranked rows, settled once, with each question's right answer and whether labels agree."""
+    d, positives = _corpus(spark, sf).select("id", "label"), settle(_positives(spark, sf))
+    asked = positives.join(d.select(F.col("id").alias("qid"), "label"), "qid").select("qid", "label", F.col("id").alias("_right"))
+    ranked = settle(_ranked(spark, sf).select("qid", "id", "rank").join(asked, "qid", "left").join(d.select("id", F.col("label").alias("_of")), "id"))
+    wrong = F.col("_right").isNull() | (F.col("id") != F.col("_right"))
+    pick = lambda condition: ranked.filter(condition).select("qid", "id")
+    keys = d.select("id", F.floor(F.col("id") / 5).cast("string").alias("key"))
+    found = judge.per_question(ranked, positives, pick("_of = label"), pick(wrong & (F.col("id") % 7 == 3)), pick(wrong & (F.col("id") % 7 == 5)), keys)
+    return found.join(asked.select("qid", "label"), "qid")
 
 
 _BASE = f"""
