@@ -27,7 +27,7 @@ from gristmill.llm.shared import small_batches
 UNIT = 1 << 30
 SPACE = 0x20
 #: Bytes of text that are sampled at once: its arrays are many times larger.
-CHUNK_BYTES = 1 << 18
+CHUNK_BYTES = 1 << 19
 
 
 _BASE = 0x9E3779B97F4A7C15
@@ -117,8 +117,20 @@ class Pieces:
         heads = _polynomial(np.frombuffer(b"".join(begins), np.uint8), np.r_[0, long[:-1]], long)
         self.there[_slot(heads)] |= 1
         self.there[_slot(h)] |= 2
+        # Which of the hashes may be at a slot; of several pieces of one slot the others are searched for.
+        slots, many = np.unique(_slot(self.hashes), return_counts=True)
+        self.at_slot = np.zeros(1 << 22, np.int32)
+        self.at_slot[_slot(self.hashes)] = np.arange(len(self.hashes))
+        self.at_slot[slots[many > 1]] = -1
         self.longest = int(size.max())
 
+    def find(self, h: np.ndarray, slot: np.ndarray) -> np.ndarray:
+        """Places among the hashes of those that are a piece's, else -1."""
+        k = self.at_slot[slot].astype(np.int64)
+        odd = np.flatnonzero(k < 0)
+        k[odd] = np.minimum(np.searchsorted(self.hashes, h[odd]), len(self.hashes) - 1)
+        return np.where(self.hashes[k] == h, k, -1)
+
     def decode(self, ids: np.ndarray, counts: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """Bytes of all sequences of ids, without the space put before each, and the offset of each."""
         size = self.sizes[ids]
@@ -152,12 +164,12 @@ class Lattice:
             if not len(at):
                 break
             h = (sums[at + length] - sums[at]) * back[at]
-            maybe = pieces.there[_slot(h)]
-            whole = maybe >= 2
-            here, h = at[whole], h[whole]
-            k = np.minimum(np.searchsorted(pieces.hashes, h), len(pieces.hashes) - 1)
-            hit = pieces.hashes[k] == h
-            here, k = here[hit], k[hit]
+            slot = _slot(h)
+            maybe = pieces.there[slot]
+            whole = np.flatnonzero(maybe >= 2)
+            k = pieces.find(h[whole], slot[whole])
+            hit = np.flatnonzero(k >= 0)
+            here, k = at[whole[hit]], k[hit]
             alone[here[width[here] == length]] = False
             first.append(here)
             last.append(here + length)
@@ -169,7 +181,7 @@ class Lattice:
         last.append(np.minimum(at + width[at], end[at]))
         piece.append(np.full(len(at), -1))
         first, last, piece = (np.concatenate(x) for x in (first, last, piece))
-        order = np.argsort(first * (pieces.longest + 1) + last - first)
+        order = np.argsort(first, kind="stable")  # they come by length, in ascending order for each
         first, self.last, self.piece = first[order], last[order], piece[order]
         score = alpha * np.where(self.piece >= 0, pieces.score[self.piece], pieces.byte_score * (self.last - first))
         self.off = np.searchsorted(first, np.arange(n + 1))
