@@ -6,11 +6,13 @@ relevant, five neighbouring ids are one article; ``documents`` are the texts, la
 
 from __future__ import annotations
 
+import math
+
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from gristmill.functions import text as T
-from gristmill.operators import batches, chunking, judge, overlap, stats, store, training, vector
+from gristmill.operators import batches, chunking, judge, overlap, stats, store, training, unigram, vector
 from gristmill.operators.order import settle
 from gristmill.plans.registry import ORACLE_SQL, QUERIES, query
 from gristmill.streaming import ingest
@@ -539,3 +541,29 @@ def plain_batches(spark, sf):
 def batch_quotas(spark, sf):
     """How many of 400 batches each law gets."""
     return batches.batch_quotas(_training_rows(spark, sf), 400)
+
+
+def _vocabulary(spark) -> DataFrame:
+    """piece, id, score of a public vocabulary; its merge ranks are read as those of a Zipf law, which gives pieces log probabilities."""
+    import public_tokenizers
+    import sentencepiece
+
+    model = sentencepiece.SentencePieceProcessor(model_file=public_tokenizers.path("piece_bpe_32k.model"))
+    own = [i for i in range(model.get_piece_size()) if not (model.is_control(i) or model.is_unknown(i) or model.is_byte(i) or model.is_unused(i))]
+    least = min(model.get_score(i) for i in own)
+    rows = [(model.id_to_piece(i), i, -math.log(2 - max(model.get_score(i), least))) for i in own]
+    return spark.createDataFrame(rows, "piece string, id int, score double")
+
+
+@query()
+def unigram_tokens(spark, sf):
+    """Tokens of every document by the best segmentation, and how many different ones."""
+    ids = unigram.tokenize(_table(spark, sf, "documents"), _vocabulary(spark), unknown=0)
+    return ids.select("doc_id", F.size("ids").alias("n_tokens"), F.size(F.array_distinct("ids")).alias("n_different"))
+
+
+@query()
+def kept_token_ids(spark, sf):
+    """What a smaller vocabulary keeps for the documents."""
+    vocabulary = _vocabulary(spark)
+    return unigram.kept_ids(vocabulary, unigram.tokenize(_table(spark, sf, "documents"), vocabulary, unknown=0), special=[0, 1, 2])
