@@ -2,10 +2,14 @@
 
 from __future__ import annotations
 
+import difflib
 import hashlib
+import heapq
 import json
+from collections import Counter
 from collections.abc import Iterator
 
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -158,6 +162,50 @@ def check_names(asked: DataFrame, known: DataFrame) -> DataFrame:
     return asked.join(near, "law", "left").select("law", F.when(there, "known").otherwise("unknown").alias("status"), F.when(~there, F.col("_names")).alias("similar"))
 
 
+def suggest_names(asked: DataFrame, known: DataFrame, most: int = 5, close: int = 3, cutoff: float = 0.6) -> DataFrame:
+    """law, similar: for each name asked for that is not known, up to ``most`` known ones: those that contain it, by name, and then the ``close``
+    ones of largest similarity of at least ``cutoff``, each once.
+
+    The similarity is twice the length of the longest matching blocks by the length of both names. It is worked out only for names whose lengths
+    and numbers of equal characters allow the cutoff: bounds that are counted for all names of a batch at once. ``asked`` is a
+    request's list of names, of which there may be ten thousand (else ValueError); the known ones may be any number. Nulls are no names.
+    """
+    names = [r.law for r in asked.select("law").dropna().distinct().limit(10_001).collect()]
+    if len(names) > 10_000:
+        raise ValueError("more than 10,000 names are asked for")
+    spark, all_known = known.sparkSession, known.select(F.col("law").alias("_known")).dropna().distinct()
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            texts = batch.column("_known").to_pylist()
+            size = np.array([len(t) for t in texts], np.int64)
+            points = np.concatenate([np.frombuffer(t.encode("utf-32-le", "surrogatepass"), np.uint32) for t in texts]) if texts else np.zeros(0, np.uint32)
+            owner, out = np.repeat(np.arange(len(texts)), size), []
+            for name in names:
+                inside = [i for i, t in enumerate(texts) if name in t]
+                # Characters that both have, each as often as the one that has it less often.
+                common = np.zeros(len(texts), np.int64)
+                for c, many in Counter(name).items():
+                    common += np.minimum(np.bincount(owner[points == ord(c)], minlength=len(texts)), many)
+                best: list[tuple[float, str]] = []
+                for i in np.flatnonzero(2 * common >= cutoff * (size + len(name)) - 1e-9):
+                    matcher = difflib.SequenceMatcher(None, texts[i], name)
+                    if (ratio := matcher.ratio()) >= cutoff:
+                        best.append((ratio, texts[i]))
+                out += [(name, "", 0.0, texts[i]) for i in inside] + [(name, "close", r, t) for r, t in heapq.nlargest(close, best)]
+            columns = list(zip(*out, strict=True)) or [[]] * 4
+            yield pa.RecordBatch.from_arrays([pa.array(x, t) for x, t in zip(columns, (pa.string(), pa.string(), pa.float64(), pa.string()), strict=True)], ["law", "_how", "_ratio", "_known"])
+
+    found = all_known.mapInArrow(run, "law string, _how string, _ratio double, _known string")
+    by_name, by_ratio = Window.partitionBy("law").orderBy("_known"), Window.partitionBy("law").orderBy(F.desc("_ratio"), F.desc("_known"))
+    inside = found.filter("_how = ''").withColumn("_n", F.row_number().over(by_name)).filter(F.col("_n") <= most)
+    near = found.filter("_how = 'close'").withColumn("_n", F.row_number().over(by_ratio)).filter(F.col("_n") <= close).withColumn("_n", F.col("_n") + most)
+    lists = inside.union(near).groupBy("law").agg(F.array_sort(F.collect_list(F.struct("_n", "_known"))).alias("_s"))
+    unknown = spark.createDataFrame([(n,) for n in names], "law string").join(all_known, F.col("law") == F.col("_known"), "left_anti")
+    similar = F.coalesce(F.array_distinct(F.transform(F.slice("_s", 1, most), lambda x: x["_known"])), F.array().cast("array<string>"))
+    return unknown.join(lists, "law", "left").select("law", similar.alias("similar"))
+
+
 def dictionary_codes(rows: DataFrame, value: str, order: str) -> DataFrame:
     """The rows' order column and code: the place of their value among all values in the order in which they first occur. Null is a value."""
     firsts = rows.groupBy(F.col(value).alias("_value")).agg(F.min(order).alias("_first"))

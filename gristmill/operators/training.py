@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from gristmill.operators.order import ordinal
+from gristmill.operators.order import ordinal, running_sum
 
 
 def _or_empty(rows: DataFrame, name: str) -> Column:
@@ -111,6 +111,24 @@ def split_by_group(counts: DataFrame, test: float = 0.2, dev: float = 0.1, seed:
     return first.filter("_in").select("law", F.lit("test").alias("split")).union(second.select("law", F.when(F.col("_in"), "dev").otherwise("train").alias("split")))
 
 
+def split_by_article(questions: DataFrame, article: str = "article", law: str = "law", test: float = 0.15, dev: float = 0.1, seed: int = 42) -> DataFrame:
+    """law, article, n, split: whole articles to test, dev and train, every law by itself.
+
+    A law's articles stand in hash order, each as wide as its questions n. Those whose middle lies before the share of test are test, those before
+    that and the share of dev are dev, the others train; so each share is met but for half an article at either of its ends. A law's last article
+    stays in train, and so does the only one of a law. Sums run over ranges of a total order, so a law of very many articles is spread over tasks.
+    Nulls are a law and an article of their own.
+    """
+    rows = questions.groupBy(F.col(law).alias("law"), F.col(article).alias("article")).agg(F.count(F.lit(1)).alias("n"))
+    rows = rows.withColumn("_u", F.md5(F.concat(F.lit(f"{seed}:"), F.coalesce(F.col("article").cast("string"), F.lit("")))))
+    rows = running_sum(rows, F.col("n"), "law", "_u", "article", name="_before")
+    laws = rows.groupBy(F.col("law").alias("_law")).agg(F.min("_before").alias("_first"), F.sum("n").alias("_all"), F.max_by("article", F.struct("_before", "_u")).alias("_last"))
+    placed = rows.join(laws, F.col("law").eqNullSafe(F.col("_law")))
+    middle = F.col("_before") - F.col("_first") + F.col("n") / 2
+    split = F.when(F.col("article").eqNullSafe(F.col("_last")), "train").when(middle < F.col("_all") * test, "test").when(middle < F.col("_all") * (test + dev), "dev").otherwise("train")
+    return placed.select("law", "article", "n", split.alias("split"))
+
+
 def hash_split(key: Column, test: float = 0.15, dev: float = 0.1, seed: int = 42) -> Column:
     """A split by a hash of an article's key: no table of articles, the same at every size."""
     u = hash_unit(key, seed)

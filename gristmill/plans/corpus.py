@@ -148,6 +148,25 @@ def law_names(spark, sf):
     return store.check_names(asked, _table(spark, sf, "documents").select(F.col("source").alias("law")))
 
 
+@query()
+def suggested_names(spark, sf):
+    """Known names like each of those that some of the texts' lines would be looked up by: sources with a letter too many, too few, or turned."""
+    known = _table(spark, sf, "documents").select(F.concat_ws("-", "lang", "source").alias("law"))
+    asked = known.distinct().select(F.explode(F.array(F.concat("law", F.lit("x")), F.expr("substr(law, 2)"), F.reverse("law"))).alias("law"))
+    return store.suggest_names(asked, known).select("law", F.array_join("similar", ",").alias("similar"))
+
+
+@query(
+    """WITH a AS (SELECT source AS law, source || '/' || (doc_id // 200) AS article, count(*) AS n, md5('42:' || source || '/' || (doc_id // 200)) AS u FROM documents GROUP BY ALL),
+    p AS (SELECT *, sum(n) OVER (PARTITION BY law ORDER BY u, article) - n / 2 AS middle, sum(n) OVER (PARTITION BY law) AS total, row_number() OVER (PARTITION BY law ORDER BY u DESC, article DESC) = 1 AS last FROM a)
+    SELECT law, article, n, CASE WHEN last THEN 'train' WHEN middle < total * 0.15 THEN 'test' WHEN middle < total * 0.25 THEN 'dev' ELSE 'train' END AS split FROM p"""
+)
+def article_split(spark, sf):
+    """Articles of each law dealt to test, dev and train by the shares of their questions."""
+    rows = _table(spark, sf, "documents").filter("source is not null").select(F.col("source").alias("law"), F.concat_ws("/", "source", F.floor(F.col("doc_id") / 200)).alias("article"))
+    return training.split_by_article(rows)
+
+
 @query("WITH f AS (SELECT source, min(doc_id) AS f FROM documents GROUP BY source), o AS (SELECT source, dense_rank() OVER (ORDER BY f) - 1 AS code FROM f) SELECT doc_id, CAST(code AS INT) AS code FROM documents JOIN o USING (source)")
 def dictionary_codes(spark, sf):
     """The source of each document as the place of its first occurrence among all sources."""

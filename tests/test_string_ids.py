@@ -122,3 +122,36 @@ def test_codes_and_parts_of_text_keys(spark):
     rows = spark.createDataFrame([("k3", "x"), ("k1", "y"), ("k2", None), ("k5", "y"), ("k4", None)], "key string, value string")
     assert {r.key: r.code for r in store.dictionary_codes(rows, "value", "key").collect()} == {"k1": 0, "k5": 0, "k2": 1, "k4": 1, "k3": 2}
     assert sorted((r.n, r.key) for r in training.every_nth(rows, "key", 2).collect()) == [(0, "k1"), (2, "k3"), (4, "k5")]
+
+
+def test_names_like_others(spark):
+    import difflib
+    import random
+
+    rng = random.Random(3)
+    known = sorted({"".join(rng.choice("가나다라법령 시행규칙") for _ in range(rng.randint(1, 9))) for _ in range(400)}) + ["근로기준법", "근로기준법 시행령", "근로기준법 시행규칙"]
+    asked = ["근로기준법", "근로기준", "근로기준볍", "법", "", "qq"] + ["".join(rng.choice("가나다라법령 시행규칙") for _ in range(5)) for _ in range(40)]
+    got = {r.law: r.similar for r in store.suggest_names(spark.createDataFrame([(n,) for n in asked] + [(None,)], "law string"), spark.createDataFrame([(n,) for n in known] + [(None,)], "law string").repartition(4)).collect()}
+    want = {}
+    for name in set(asked) - set(known):
+        similar = [n for n in known_sorted if name in n] if (known_sorted := sorted(set(known))) else []
+        similar += difflib.get_close_matches(name, sorted(set(known)), n=3)
+        want[name] = list(dict.fromkeys(similar[:5]))
+    assert got == want
+
+
+def test_articles_are_split_by_law(spark):
+    import random
+
+    rng = random.Random(5)
+    rows = [(f"law{i % 7}" if i % 50 else None, f"law{i % 7}-{rng.randint(0, 5 + 10 * (i % 7))}") for i in range(3000)]
+    found = training.split_by_article(spark.createDataFrame(rows, "law string, article string")).collect()
+    assert sum(r.n for r in found) == 3000 and len({(r.law, r.article) for r in found}) == len(found)
+    for law in {r.law for r in found}:
+        own = [r for r in found if r.law == law]
+        total, widest = sum(r.n for r in own), max(r.n for r in own)
+        assert any(r.split == "train" for r in own)
+        for split, share in (("test", 0.15), ("dev", 0.1)):
+            assert abs(sum(r.n for r in own if r.split == split) - share * total) <= widest
+    one = training.split_by_article(spark.createDataFrame([("a", "x")] * 5, "law string, article string")).collect()
+    assert [r.split for r in one] == ["train"]
