@@ -144,6 +144,12 @@ class Pieces:
         return data[keep], np.r_[0, np.cumsum(keep)][offsets]
 
 
+def _ranges(starts: np.ndarray, sizes: np.ndarray) -> np.ndarray:
+    """All numbers of the ranges of these starts and sizes, one range after the other."""
+    ends = np.cumsum(sizes)
+    return np.repeat(starts - (ends - sizes), sizes) + np.arange(ends[-1] if len(ends) else 0)
+
+
 class Lattice:
     """Arcs of the lattices of distinct units, by their first place in ``data``."""
 
@@ -214,6 +220,31 @@ class Lattice:
         with np.errstate(divide="ignore"):
             self.log_rest = np.log(np.where(likeliest, others, others + p[self.off[first]] - p))
 
+    def chosen(self, starts: np.ndarray, sizes: np.ndarray) -> Lattice:
+        """The lattice of some units alone, by their first bytes and sizes, in this order."""
+        out = Lattice.__new__(Lattice)
+        at = _ranges(starts, sizes)
+        many = self.off[at + 1] - self.off[at]
+        out.off = np.r_[0, np.cumsum(many)]
+        arc = _ranges(self.off[starts], self.off[starts + sizes] - self.off[starts])
+        shift = np.repeat(np.cumsum(sizes) - sizes - starts, self.off[starts + sizes] - self.off[starts])
+        out.first, out.last = self.first[arc] + shift, self.last[arc] + shift
+        for name in Lattice.OF_ARCS:
+            setattr(out, name, getattr(self, name)[arc])
+        return out
+
+    def and_then(self, other: Lattice) -> Lattice:
+        """Both lattices, the other's places behind this one's."""
+        out, places = Lattice.__new__(Lattice), len(self.off) - 1
+        out.off = np.concatenate([self.off[:-1], other.off + self.off[-1]])
+        out.first, out.last = np.concatenate([self.first, other.first + places]), np.concatenate([self.last, other.last + places])
+        for name in Lattice.OF_ARCS:
+            setattr(out, name, np.concatenate([getattr(self, name), getattr(other, name)]))
+        return out
+
+    #: What is kept of an arc besides its places.
+    OF_ARCS = ("piece", "inside", "logp", "p", "upto", "log_rest")
+
     def draw(self, place: np.ndarray, u: np.ndarray) -> np.ndarray:
         """An arc at each place, by probability."""
         arc, final = self.off[place], self.off[place + 1] - 1
@@ -225,10 +256,49 @@ class Lattice:
         return arc
 
 
+class Units:
+    """Lattices of units that occur again and again, by their hashes: what a worker has built once it need not build for each chunk."""
+
+    #: Bytes of units that are remembered.
+    MOST = 1 << 18
+
+    def __init__(self, pieces: Pieces, alpha: float):
+        self.pieces, self.alpha, self.chunks, self.renew = pieces, alpha, 0, 1
+        self.hashes, self.starts, self.sizes = np.zeros(0, np.uint64), np.zeros(0, np.int64), np.zeros(0, np.int64)
+        self.data, self.lattice = np.zeros(0, np.uint8), None
+
+    def build(self, data: np.ndarray, starts: np.ndarray, sizes: np.ndarray, hashes: np.ndarray, counts: np.ndarray) -> tuple[np.ndarray, np.ndarray, Lattice]:
+        """Bytes, first byte of each unit in them, and lattices, of distinct units by ascending hash.
+
+        The remembered ones come first, then the others, which are built. A remembered unit is told by hash and size.
+        """
+        k = np.minimum(np.searchsorted(self.hashes, hashes), max(len(self.hashes) - 1, 0))
+        known = (self.hashes[k] == hashes) & (self.sizes[k] == sizes) if len(self.hashes) else np.zeros(len(hashes), bool)
+        old, new = np.flatnonzero(known), np.flatnonzero(~known)
+        order, sized = np.concatenate([old, new]), np.concatenate([sizes[old], sizes[new]])
+        own = data[_ranges(starts[new], sizes[new])]
+        lattice = Lattice(self.pieces, own, np.r_[0, np.cumsum(sizes[new])], self.alpha)
+        if len(old):
+            own = np.concatenate([self.data[_ranges(self.starts[k[old]], self.sizes[k[old]])], own])
+            lattice = self.lattice.chosen(self.starts[k[old]], self.sizes[k[old]]).and_then(lattice)
+        place = np.empty(len(order), np.int64)
+        place[order] = np.cumsum(sized) - sized
+        self.chunks += 1
+        if self.chunks >= self.renew:  # after 1, 2, 4, ... chunks: what occurs most often in this one, and was remembered or occurs twice
+            self.renew *= 2
+            often = np.flatnonzero(known | (counts > 1))
+            often = often[np.argsort(-counts[often], kind="stable")]
+            often = np.sort(often[np.cumsum(sizes[often]) <= self.MOST])
+            self.lattice = lattice.chosen(place[often], sizes[often])
+            self.data, self.hashes, self.sizes = own[_ranges(place[often], sizes[often])], hashes[often], sizes[often]
+            self.starts = np.cumsum(self.sizes) - self.sizes
+        return own, place, lattice
+
+
 class Sampler:
     """Draws k distinct segmentations of each text of a chunk."""
 
-    def __init__(self, pieces: Pieces, column: pa.Array, keys: np.ndarray, samples: int, alpha: float):
+    def __init__(self, pieces: Pieces, column: pa.Array, keys: np.ndarray, samples: int, alpha: float, units: Units | None = None):
         self.pieces, self.samples = pieces, samples
         data, offsets = words.buffers(column)
         self.n = len(offsets) - 1
@@ -242,12 +312,9 @@ class Sampler:
         starts = np.flatnonzero(opens)
         ends = np.r_[starts[1:], len(data)]
         self.doc = np.searchsorted(offsets, starts, "right") - 1
-        _, at, unit = np.unique(words.span_hashes(data, starts, ends), return_index=True, return_inverse=True)
-        size = (ends - starts)[at]
-        bounds = np.r_[0, np.cumsum(size)]
-        self.own = data[np.repeat(starts[at] - bounds[:-1], size) + np.arange(bounds[-1])]
-        self.lattice = Lattice(pieces, self.own, bounds, alpha)
-        self.start = bounds[:-1][unit]
+        hashes, at, unit, counts = np.unique(words.span_hashes(data, starts, ends), return_index=True, return_inverse=True, return_counts=True)
+        self.own, place, self.lattice = (units or Units(pieces, alpha)).build(data, starts[at], (ends - starts)[at], hashes, counts)
+        self.start = place[unit]
         self.firsts = np.searchsorted(self.doc, np.arange(self.n + 1))
         self.key = keys[self.doc] + _times(np.arange(len(starts)) - self.firsts[self.doc], 0x9E3779B97F4A7C15)
         self.doc_key = keys
@@ -405,12 +472,13 @@ def encode_samples(docs: DataFrame, model: str, samples: int = 2, alpha: float =
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         pieces = _vocabulary(model)
+        units = Units(pieces, alpha)
         for batch in batches:
             for part in words.chunks(batch, "text", CHUNK_BYTES):
                 text = pc.replace_substring(pc.fill_null(part.column("text"), ""), "▁", " ")
                 ids = pc.fill_null(part.column("doc_id"), -(1 << 63)).to_numpy().view(np.uint64)
                 keys = words.mix(words.mix(ids + np.uint64(0xA0761D6478BD642F)) + np.uint64(seed * 0xE7037ED1A0B428DB & 0xFFFFFFFFFFFFFFFF))
-                sampler = Sampler(pieces, text, keys, samples, alpha)
+                sampler = Sampler(pieces, text, keys, samples, alpha, units)
                 paths, found, ends = sampler.run()
                 for k, (path, (alive, total, _)) in enumerate(zip(paths, found, strict=True)):
                     flat, counts = sampler.ids(path)
