@@ -2,13 +2,17 @@
 
 from __future__ import annotations
 
+import re
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+# What models want before a question and a document, and which models want what.
 PROFILES = {
     "e5": ("query: {query}", "passage: {text}"),
     "gemma": ("task: search result | query: {query}", "title: {title} | text: {text}"),
 }
+MODELS = {"multilingual-e5-small": "e5", "embeddinggemma-300m": "gemma"}
 
 
 def doc_text(title: Column, text: Column) -> Column:
@@ -24,6 +28,23 @@ def model_input(profile: str, title: Column, text: Column) -> Column:
     return F.concat(F.lit("passage: "), doc_text(title, text))
 
 
+def query_input(profile: str, query: Column) -> Column:
+    """A question as the model's profile wants it."""
+    if profile not in PROFILES:
+        raise ValueError(f"unknown profile {profile!r}")
+    return F.concat(F.lit(PROFILES[profile][0].split("{query}")[0]), query)
+
+
+def profile_of(model: str, exists: bool = False) -> str:
+    """The profile of a model by the last part of its name. A folder (``exists``, or a name that is none of a hub's) that isn't known is a tuned e5 model;
+    a hub's model that isn't known raises ValueError, since its input would be guessed."""
+    if (known := MODELS.get(model.rstrip("/").rpartition("/")[2])) is not None:
+        return known
+    if not exists and re.fullmatch(r"[\w.-]+/[\w.-]+", model):
+        raise ValueError(f"no profile for {model}; there are {', '.join(MODELS)}")
+    return "e5"
+
+
 def question_key(query: Column, positive_id: Column) -> Column:
     return F.substring(F.sha1(F.concat(query, F.char(F.lit(0)), positive_id)), 1, 12)
 

@@ -40,17 +40,23 @@ def poisson(mean: Column, u: Column, v: Column) -> Column:
     return F.when(mean > 500, normal).otherwise(F.aggregate(F.sequence(F.lit(1), most), start, step, lambda s: s["k"]))
 
 
-def bootstrap_interval(compared: DataFrame, rounds: int = 1000, seed: int = 0) -> DataFrame:
-    """low, high: 95 % interval of the mean difference by Poisson bootstrap.
+def bootstrap_interval(compared: DataFrame, rounds: int = 1000, seed: int = 0, by: list[str] = ()) -> DataFrame:
+    """by, low, high: 95 % interval of the mean difference by Poisson bootstrap, overall or by group.
 
     Questions of one difference (it is -1, 0 or 1) are drawn together: as often, in each round, as a Poisson number whose mean is their
-    count, from a hash of the difference and the round. So three rows a round are drawn, however many questions there are.
+    count, from a hash of the difference and the round. So three rows a round and group are drawn, however many questions there are.
     """
-    counts = compared.groupBy((F.col("other_hit") - F.col("base_hit")).alias("d")).agg(F.count(F.lit(1)).cast("double").alias("m"))
-    rows = counts.select("d", "m", F.explode(F.sequence(F.lit(1), F.lit(rounds))).alias("round"))
+    counts = compared.groupBy(*by, (F.col("other_hit") - F.col("base_hit")).alias("d")).agg(F.count(F.lit(1)).cast("double").alias("m"))
+    rows = counts.select(*by, "d", "m", F.explode(F.sequence(F.lit(1), F.lit(rounds))).alias("round"))
     u, v = ((F.pmod(F.xxhash64("d", "round", F.lit(seed), F.lit(k)), F.lit(1 << 40)) + 0.5) / float(1 << 40) for k in (1, 2))
-    means = rows.withColumn("w", poisson(F.col("m"), u, v)).groupBy("round").agg((F.sum(F.col("w") * F.col("d")) / F.nullif(F.sum("w"), F.lit(0.0))).alias("m"))
-    return means.agg(F.percentile("m", F.lit(0.025)).alias("low"), F.percentile("m", F.lit(0.975)).alias("high"))
+    means = rows.withColumn("w", poisson(F.col("m"), u, v)).groupBy(*by, "round").agg((F.sum(F.col("w") * F.col("d")) / F.nullif(F.sum("w"), F.lit(0.0))).alias("m"))
+    return means.groupBy(*by).agg(F.percentile("m", F.lit(0.025)).alias("low"), F.percentile("m", F.lit(0.975)).alias("high"))
+
+
+def paired_with_interval(compared: DataFrame, by: list[str] = (), rounds: int = 1000, seed: int = 0) -> DataFrame:
+    """``paired_summary`` with low and high of the difference."""
+    summary, interval = paired_summary(compared, by), bootstrap_interval(compared, rounds, seed, by)
+    return summary.join(interval, list(by)) if by else summary.crossJoin(interval)  # one row each
 
 
 def holm(tests: DataFrame) -> DataFrame:
@@ -98,3 +104,38 @@ def gate(compared: DataFrame, group: str, least: float = 0.02) -> DataFrame:
     per = compared.groupBy(group).agg(F.count(F.lit(1)).alias("n"), F.sum("base_hit").alias("b"), F.sum("other_hit").alias("o"), F.sum((F.col("outcome") == "fixed").cast("long")).alias("f"), F.sum((F.col("outcome") == "broken").cast("long")).alias("k"))
     whole = per.agg(F.round((F.sum("o") - F.sum("b")) / F.sum("n"), 6).alias("delta"), F.sum("f").alias("f"), F.sum("k").alias("k"), F.min(F.col("o") - F.col("b")).alias("worst"))
     return whole.select("delta", (F.col("delta") >= least).alias("large"), (F.col("f") > F.col("k")).alias("better"), F.coalesce(F.col("worst") >= 0, F.lit(False)).alias("no_worse_label"))
+
+
+def decide(runs: DataFrame, controls: DataFrame, heldout: DataFrame, group: str = "law", least: float = 0.02, level: float = 0.05, rounds: int = 1000) -> DataFrame:
+    """One row per variant with the tests that a change must pass, and whether it passes them all (accepted).
+
+    ``runs`` has compared hits (base_hit, other_hit, outcome) of questions with their variant, seed and ``group``; ``controls`` (seed, base_hit, other_hit)
+    those of repeated runs without a change; ``heldout`` (variant, base_hit, other_hit) those over questions that nothing was chosen on.
+
+    large: the mean difference of the seeds is at least ``least``. beyond_seeds: it is larger than the range of the controls' differences.
+    above_zero: the lower end of every seed's interval is. significant: the exact p of the seed that is worst for it, corrected for the number of variants
+    (Holm), is below ``level``. stable: the mean of the groups' means rises, and no group is significantly worse (worse_groups). general:
+    the difference over the held-out questions is above 0. What cannot be told for want of rows is not passed.
+    """
+    per_seed = paired_with_interval(runs, ["variant", "seed"], rounds)
+    variants = per_seed.groupBy("variant").agg(F.round(F.avg("delta"), 6).alias("delta"), F.min("low").alias("low"), F.max("mcnemar_p").alias("p"))
+    corrected = holm(variants.select(F.col("variant").alias("name"), "p")).select(F.col("name").alias("variant"), F.col("adjusted").alias("p_adjusted"))
+    control = controls.groupBy("seed").agg(F.avg(F.col("other_hit") - F.col("base_hit")).alias("_d")).agg(F.round(F.max("_d") - F.min("_d"), 6).alias("seed_range"))
+    groups = paired_summary(runs, ["variant", group])
+    worse = ((F.col("broken") > F.col("fixed")) & (F.col("mcnemar_p") < level)).cast("long")
+    macro = groups.groupBy("variant").agg(F.round(F.avg("base"), 6).alias("macro_base"), F.round(F.avg("other"), 6).alias("macro_other"), F.sum(worse).alias("worse_groups"))
+    other = heldout.groupBy("variant").agg(F.round(F.avg(F.col("other_hit") - F.col("base_hit")), 6).alias("heldout_delta"))
+    rows = variants.join(corrected, "variant").join(macro, "variant").join(other, "variant", "left").crossJoin(control)  # one row of controls
+    tests = {
+        "large": F.col("delta") >= least,
+        "beyond_seeds": F.col("delta") > F.col("seed_range"),
+        "above_zero": F.col("low") > 0,
+        "significant": F.col("p_adjusted") < level,
+        "stable": (F.col("macro_other") > F.col("macro_base")) & (F.col("worse_groups") == 0),
+        "general": F.col("heldout_delta") > 0,
+    }
+    rows = rows.withColumns({name: F.coalesce(test, F.lit(False)) for name, test in tests.items()})
+    accepted = F.col("large")
+    for name in list(tests)[1:]:
+        accepted &= F.col(name)
+    return rows.withColumn("accepted", accepted)

@@ -28,6 +28,18 @@ def clean_texts(spark, sf):
     return _table(spark, sf, "documents").select("doc_id", T.clean_text(dressed).alias("text"))
 
 
+@query(
+    """SELECT doc_id, 'passage: ' || coalesce(source, '') || chr(10) || text AS e5, 'title: ' || CASE WHEN coalesce(source, '') = '' THEN 'none' ELSE source END || ' | text: ' || text AS gemma,
+        'query: ' || substr(text, 1, 40) AS e5_query, 'task: search result | query: ' || substr(text, 1, 40) AS gemma_query FROM documents"""
+)
+def model_inputs(spark, sf):
+    """Documents, their source being the title, and questions as two models want them."""
+    d = _table(spark, sf, "documents").withColumn("title", F.coalesce("source", F.lit("")))
+    names = {"e5": T.profile_of("intfloat/multilingual-e5-small"), "gemma": T.profile_of("google/embeddinggemma-300m")}
+    inputs = [T.model_input(p, F.col("title"), F.col("text")).alias(n) for n, p in names.items()]
+    return d.select("doc_id", *inputs, *[T.query_input(p, F.substring("text", 1, 40)).alias(f"{n}_query") for n, p in names.items()])
+
+
 @query("SELECT source AS folder, lang AS title, lpad(CAST(n_chars AS VARCHAR), 8, '0') AS date, 'f' || doc_id AS name FROM documents QUALIFY row_number() OVER (PARTITION BY source, lang ORDER BY lpad(CAST(n_chars AS VARCHAR), 8, '0') DESC, 'f' || doc_id) = 1")
 def latest_file_of_title(spark, sf):
     """The latest file of each title of a folder."""

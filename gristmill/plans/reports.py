@@ -10,10 +10,11 @@ from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from gristmill.functions.text import squeeze_for_grams
-from gristmill.operators import judge, overlap, stats, training
-from gristmill.operators.order import ordinal
+from gristmill.operators import judge, overlap, stats, training, vector
+from gristmill.operators.order import ordinal, settle
 from gristmill.plans import catalog as C
 from gristmill.plans.registry import query
+from gristmill.sources import report
 
 
 @query("SELECT vec_id AS id, label, 0.0::DOUBLE AS score FROM embeddings WHERE vec_id IN (7, 123)")
@@ -215,6 +216,35 @@ def flat_metrics(spark, sf):
     return rows.select(pairs.alias("p")).select("p.name", "p.value")
 
 
+@query(C._JUDGED + ", r AS (SELECT judge, label, " + C._MEANS + """ FROM metric GROUP BY judge, label), l AS (SELECT row_number() OVER (ORDER BY judge, label) + 1 AS n, '| ' || judge || ' | ' || label || ' | ' || format('{:.3f}', r5) || ' | ' || format('{:.3f}', mrr10) || ' |' AS line FROM r)
+    SELECT CAST(n AS BIGINT) AS n, line FROM l UNION ALL VALUES (0, '| judgement | label | R@5 | MRR@10 |'), (1, '|---|---|---|---|')""")
+def metrics_markdown(spark, sf):
+    """Metrics by judgement and label as a table in Markdown."""
+    rows = judge.report(C._judged(spark, sf), ["label"]).filter("group_kind = 'label'").withColumn("_label", F.col("grp").cast("int"))
+    return report.markdown_rows(rows, {"judge": ("judgement", None), "grp": ("label", None), "r5": ("R@5", "%.3f"), "mrr10": ("MRR@10", "%.3f")}, "judge", "_label")
+
+
+def _dims(spark, sf, n: int):
+    """Hits at 5 of a model of so many dimensions against one of 16, by question."""
+    cut = lambda df, m: df.withColumn("embedding", F.slice("embedding", 1, m))
+    asked = C._positives(spark, sf).select("qid")
+
+    def rank(m):
+        ranked = vector.batch_knn(cut(C._queries(spark, sf), m), cut(C._corpus(spark, sf), m), C.DEPTH)
+        return asked.join(C._same(spark, sf, ranked).groupBy("qid").agg(F.min("rank").alias("doc_rank")), "qid", "left")
+
+    return judge.compare(rank(16), rank(n), k=3).join(C._queries(spark, sf).select("qid", F.col("label").alias("law")), "qid").withColumn("variant", F.lit(f"{n} dimensions"))
+
+
+@query()
+def decision(spark, sf):
+    """Whether models of 32 and of 64 dimensions are better than one of 16 by all tests; questions are dealt to two seeds and to those nothing is chosen on."""
+    rows = settle(_dims(spark, sf, 32).union(_dims(spark, sf, 64)).withColumn("_part", F.floor(F.col("qid") / 10) % 3))
+    runs = rows.filter("_part < 2").withColumn("seed", F.col("_part"))
+    controls = runs.filter("variant = '32 dimensions'").select("seed", "base_hit", F.col("base_hit").alias("other_hit"))
+    return stats.decide(runs, controls, rows.filter("_part = 2"))
+
+
 @query(C._HITS + ", s AS (SELECT round(avg(o) - avg(b), 6) AS delta, count(*) FILTER (b = 0 AND o = 1) AS f, count(*) FILTER (b = 1 AND o = 0) AS k FROM hit), worst AS (SELECT min(d) AS d FROM (SELECT avg(o) - avg(b) AS d FROM hit GROUP BY label)) SELECT delta, delta >= 0.02 AS large, f > k AS better, coalesce(d >= 0, false) AS no_worse_label FROM s, worst")
 def decision_gate(spark, sf):
     """Whether a difference is large enough and no label is worse."""
