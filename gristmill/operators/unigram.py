@@ -41,25 +41,21 @@ class Unigram:
         known = self.memory.get(word)
         if known is not None:
             return known
-        n = len(word)
-        best, back = [0.0] + [float("-inf")] * n, [(0, 0)] * (n + 1)
-        for start in range(n):
-            single = False
-            for end in range(start + 1, min(n, start + self.longest) + 1):
-                found = self.pieces.get(word[start:end])
-                if found is not None:
-                    single |= end == start + 1
-                    if (score := best[start] + found[1]) > best[end]:
-                        best[end], back[end] = score, (start, found[0])
-            if not single and (score := best[start] + self.miss) > best[start + 1]:
-                best[start + 1], back[start + 1] = score, (start, self.unknown)
-        ids, end = [], n
+        # For every end the score so far, where its last piece begins (negative, so that of equal scores the first one is the largest) and that piece.
+        ways: list[tuple[float, int, int]] = [(0.0, 0, self.unknown)]
+        for end in range(1, len(word) + 1):
+            options = [(ways[start][0] + piece[1], -start, piece[0]) for start in range(max(0, end - self.longest), end) if (piece := self.pieces.get(word[start:end])) is not None]
+            if word[end - 1] not in self.pieces:
+                options.append((ways[end - 1][0] + self.miss, 1 - end, self.unknown))
+            ways.append(max(options))
+        ids, end = [], len(word)
         while end:
-            end, piece = back[end]
+            _, start, piece = ways[end]
             if not (piece == self.unknown and ids and ids[-1] == piece):
                 ids.append(piece)
+            end = -start
         ids.reverse()
-        if n <= LONGEST:
+        if len(word) <= LONGEST:
             if len(self.memory) >= REMEMBERED:
                 self.memory.clear()
             self.memory[word] = ids
