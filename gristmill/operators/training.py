@@ -173,6 +173,57 @@ def question_problems(questions: DataFrame, kinds: tuple[str, ...]) -> DataFrame
     return questions.join(times, "text", "left").withColumn("problem", F.explode(broken)).drop("_times")
 
 
+def check_questions(questions: DataFrame, corpus: DataFrame, kinds: tuple[str, ...], least: int = 5, most: int = 150) -> DataFrame:
+    """problem, severity, file, qid: a row for each rule that a question of a file breaks.
+
+    ``questions`` has file, law (the file's), qid, query, positive_id, negatives and query_type, ``corpus`` id (each once) and law. Errors: a field that is missing or empty; a type that
+    is none of ``kinds``; a right answer or a negative that the corpus lacks; a right answer of another law than the file's; one that is among the
+    negatives; a query that names an article; one that its file, or another file, has as well. A length beyond the bounds is a
+    warning. Queries are compared with white space squeezed; missing ones repeat nothing.
+    """
+    said = F.nullif(F.trim(F.regexp_replace("query", r"\s+", " ")), F.lit(""))
+    asked = questions.select("file", "law", "qid", "query", "positive_id", "query_type", _or_empty(questions, "negatives").alias("negatives"), said.alias("_said"))
+    laws = corpus.select(F.col("id").alias("positive_id"), F.col("law").alias("_law"), F.lit(True).alias("_there"))
+    gone = asked.select("file", "qid", F.explode("negatives").alias("id")).join(corpus.select("id"), "id", "left_anti").select("file", "qid").distinct().withColumn("_gone", F.lit(True))
+    per_file = asked.filter("_said is not null").groupBy("_said", "file").agg(F.count(F.lit(1)).alias("_inside"))
+    files = per_file.groupBy("_said").agg(F.count(F.lit(1)).alias("_files"))
+    rows = asked.join(laws, "positive_id", "left").join(gone, ["file", "qid"], "left").join(per_file, ["_said", "file"], "left").join(files, "_said", "left")
+    has_answer = F.coalesce(F.col("_there"), F.lit(False))
+    missing = lambda c: F.coalesce(F.trim(F.col(c).cast("string")), F.lit("")) == ""
+    rules = {
+        "missing field": missing("query") | missing("positive_id") | missing("query_type"),
+        "type": ~missing("query_type") & ~F.col("query_type").isin(*kinds),
+        "answer not in corpus": ~missing("positive_id") & ~has_answer,
+        "negative not in corpus": F.col("_gone"),
+        "answer of another law": has_answer & ~F.col("_law").eqNullSafe(F.col("law")),
+        "answer among negatives": F.array_contains("negatives", F.col("positive_id")),
+        "names an article": F.col("query").rlike(r"제\d+조"),
+        "repeated in file": F.col("_inside") > 1,
+        "repeated between files": F.col("_files") > 1,
+        "length": F.col("_said").isNotNull() & ~F.length("_said").between(least, most),
+    }
+    broken = F.array(*[F.when(F.coalesce(rule, F.lit(False)), F.lit(name)) for name, rule in rules.items()])
+    return rows.select(F.explode(F.filter(broken, lambda x: x.isNotNull())).alias("problem"), "file", "qid").select("problem", F.when(F.col("problem") == "length", "warning").otherwise("error").alias("severity"), "file", "qid")
+
+
+def question_coverage(questions: DataFrame, corpus: DataFrame) -> DataFrame:
+    """law, rows, answered, share: of each law's rows of the corpus (id, law) how many are a question's right answer (positive_id)."""
+    answered = questions.select(F.col("positive_id").alias("id")).distinct().withColumn("_answered", F.lit(1))
+    per = corpus.select("id", "law").join(answered, "id", "left").groupBy("law").agg(F.count(F.lit(1)).alias("rows"), F.coalesce(F.sum("_answered"), F.lit(0)).alias("answered"))
+    return per.select("law", "rows", "answered", (F.col("answered") / F.col("rows")).alias("share"))
+
+
+def negatives_histogram(questions: DataFrame) -> DataFrame:
+    """negatives, questions: how many questions have so many negatives; null lists have none."""
+    return questions.groupBy(F.size(_or_empty(questions, "negatives")).alias("negatives")).agg(F.count(F.lit(1)).alias("questions"))
+
+
+def keyword_counts(questions: DataFrame, least: int = 2) -> DataFrame:
+    """word, questions: in how many queries each word occurs, of words of at least ``least`` characters. Words are runs of letters and numbers."""
+    words = F.array_distinct(F.regexp_extract_all("query", F.lit(r"([\p{L}\p{N}]+)")))
+    return questions.select(F.explode(words).alias("word")).filter(F.length("word") >= least).groupBy("word").agg(F.count(F.lit(1)).alias("questions"))
+
+
 def every_nth(rows: DataFrame, order: str, step: int) -> DataFrame:
     """Every ``step``-th row in ascending order of a column of any type, with n, its place from 0."""
     return ordinal(rows, order, name="n").filter(F.col("n") % step == 0)

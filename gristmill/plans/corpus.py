@@ -131,6 +131,60 @@ def question_problems(spark, sf):
     return found.groupBy("problem").agg(F.count(F.lit(1)).alias("n"), F.count_distinct("conv_id").alias("files"))
 
 
+_ASKED = r"""WITH q AS (SELECT conv_id % 5 AS file, conv_id % 3 AS law, conv_id * 100 + turn AS qid, text AS query, conv_id * 7 % 700 AS positive_id, CASE WHEN turn % 4 = 0 THEN [conv_id, conv_id + 430, conv_id * 7 % 700] ELSE [conv_id, conv_id + 430] END AS negatives, CASE WHEN turn % 5 = 4 THEN 'other' ELSE role END AS kind FROM conversations),
+    c AS (SELECT vec_id AS id, vec_id % 3 AS law FROM embeddings)"""
+
+
+def _asked(spark, sf):
+    """Questions of files, one a turn, whose answers and negatives are rows of the embeddings or ids beyond them; and those rows with a law."""
+    c = _table(spark, sf, "conversations")
+    own, positive = F.col("conv_id"), F.col("conv_id") * 7 % 700
+    two = F.array(own, own + 430)
+    questions = c.select(
+        (own % 5).alias("file"), (own % 3).alias("law"), (own * 100 + F.col("turn")).alias("qid"), F.col("text").alias("query"), positive.alias("positive_id"),
+        F.when(F.col("turn") % 4 == 0, F.concat(two, F.array(positive))).otherwise(two).alias("negatives"), F.when(F.col("turn") % 5 == 4, "other").otherwise(F.col("role")).alias("query_type"),
+    )
+    return questions, _table(spark, sf, "embeddings").select(F.col("vec_id").alias("id"), (F.col("vec_id") % 3).alias("law"))
+
+
+@query(
+    _ASKED
+    + r""", s AS (SELECT *, nullif(trim(regexp_replace(query, '\s+', ' ', 'g')), '') AS said FROM q), i AS (SELECT said, file, count(*) AS n FROM s WHERE said IS NOT NULL GROUP BY ALL), f AS (SELECT said, count(*) AS n FROM i GROUP BY said), e AS (
+        SELECT 'missing field' AS problem, qid FROM s WHERE said IS NULL OR kind IS NULL OR kind = ''
+        UNION ALL SELECT 'type', qid FROM s WHERE kind <> '' AND kind NOT IN ('user', 'assistant')
+        UNION ALL SELECT 'answer not in corpus', qid FROM s WHERE positive_id NOT IN (SELECT id FROM c)
+        UNION ALL SELECT DISTINCT 'negative not in corpus', qid FROM (SELECT qid, unnest(negatives) AS id FROM s) WHERE id NOT IN (SELECT id FROM c)
+        UNION ALL SELECT 'answer of another law', qid FROM s JOIN c ON id = positive_id WHERE s.law <> c.law
+        UNION ALL SELECT 'answer among negatives', qid FROM s WHERE list_contains(negatives, positive_id)
+        UNION ALL SELECT 'names an article', qid FROM s WHERE regexp_matches(query, '제\d+조')
+        UNION ALL SELECT 'repeated in file', qid FROM s JOIN i USING (said, file) WHERE i.n > 1
+        UNION ALL SELECT 'repeated between files', qid FROM s JOIN f USING (said) WHERE f.n > 1
+        UNION ALL SELECT 'length', qid FROM s WHERE said IS NOT NULL AND length(said) NOT BETWEEN 5 AND 150
+    ) SELECT problem, CASE WHEN problem = 'length' THEN 'warning' ELSE 'error' END AS severity, s.file, e.qid FROM e JOIN s USING (qid)"""
+)
+def checked_questions(spark, sf):
+    """What is wrong with questions, one row a question and rule."""
+    return training.check_questions(*_asked(spark, sf), ("user", "assistant"))
+
+
+@query(_ASKED + " SELECT law, count(*) AS rows, count(*) FILTER (id IN (SELECT positive_id FROM q)) AS answered, round(count(*) FILTER (id IN (SELECT positive_id FROM q)) / CAST(count(*) AS DOUBLE), 6) AS share FROM c GROUP BY law")
+def question_coverage(spark, sf):
+    """How much of each law questions ask about."""
+    return training.question_coverage(*_asked(spark, sf)).withColumn("share", F.round("share", 6))
+
+
+@query(_ASKED + " SELECT CAST(len(negatives) AS INT) AS negatives, count(*) AS questions FROM q GROUP BY ALL")
+def negatives_histogram(spark, sf):
+    """How many negatives questions have."""
+    return training.negatives_histogram(_asked(spark, sf)[0])
+
+
+@query(_ASKED + r" SELECT word, count(*) AS questions FROM (SELECT unnest(list_distinct(regexp_extract_all(query, '[\p{L}\p{N}]+'))) AS word FROM q) WHERE length(word) >= 2 GROUP BY word")
+def keyword_counts(spark, sf):
+    """In how many questions each word occurs."""
+    return training.keyword_counts(_asked(spark, sf)[0])
+
+
 @query(r"""WITH q AS (SELECT role, len(regexp_extract_all(text, '[^\x20\x09-\x0D]+')) AS w FROM conversations), t AS (SELECT count(*) AS n FROM q)
     SELECT role, count(*) AS questions, round(count(*) / (SELECT CAST(n AS DOUBLE) FROM t), 6) AS share, round(avg(w), 6) AS words, round(avg(CASE WHEN w IN (2, 3) THEN 1.0 ELSE 0.0 END), 6) AS short_share FROM q GROUP BY role""")
 def question_statistics(spark, sf):
