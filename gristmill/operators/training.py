@@ -241,6 +241,27 @@ def judge_input(candidates: DataFrame, top: int = 3, ceiling: float = 0.95, seed
     return odd.select("qid", F.row_number().over(order).alias("n"), "id")
 
 
+def train_pool(corpus: DataFrame, train: DataFrame) -> DataFrame:
+    """The rows of the corpus (id, law) that negatives may come from: those of laws that training questions' right answers (positive_id) have."""
+    laws = corpus.select("law", F.col("id").alias("positive_id")).join(train.select("positive_id"), "positive_id", "left_semi").select("law").distinct()
+    return corpus.join(laws, "law", "left_semi")
+
+
+def mining_candidates(ranked: DataFrame, own: DataFrame, depth: int = 30, digits: int = 4) -> DataFrame:
+    """qid, id, rank, score, ratio: of rankings (qid, id, score) the ``depth`` best rows but the right answer (own: qid, positive_id, score), and their scores
+    over the right answer's. Related rows stay."""
+    rows = ranked.select("qid", "id", "score").join(own.select("qid", "positive_id", F.col("score").alias("_own")), "qid").filter("id != positive_id")
+    rank = F.row_number().over(Window.partitionBy("qid").orderBy(F.desc("score"), "id"))
+    return rows.withColumn("rank", rank).filter(F.col("rank") <= depth).select("qid", "id", "rank", "score", F.round(F.col("score") / F.col("_own"), digits).alias("ratio"))
+
+
+def judge_texts(picked: DataFrame, questions: DataFrame, corpus: DataFrame, answer_chars: int = 700, candidate_chars: int = 600) -> DataFrame:
+    """qid, n, id, query, answer, candidate: what a judge reads of candidates (``judge_input``), texts (corpus: id, text) cut to so many characters."""
+    text = corpus.select("id", "text")
+    asked = questions.select("qid", "query", "positive_id").join(text.select(F.col("id").alias("positive_id"), F.substring("text", 1, answer_chars).alias("answer")), "positive_id", "left")
+    return picked.join(text.select("id", F.substring("text", 1, candidate_chars).alias("candidate")), "id", "left").join(asked, "qid").select("qid", "n", "id", "query", "answer", "candidate")
+
+
 def settle_negatives(candidates: DataFrame, verdicts: DataFrame, keep: int = 3, ceiling: float = 0.95) -> DataFrame:
     """qid, negatives, reasons, alternatives after judgement (verdicts: qid, id, verdict of no, full or partial).
 

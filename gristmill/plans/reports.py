@@ -144,6 +144,30 @@ def judge_input(spark, sf):
     return training.judge_input(C._candidates(spark, sf))
 
 
+_POOL = C._BASE + """, laws AS (SELECT DISTINCT id % 9 AS law FROM pos WHERE qid % 30 = 0), pool AS (SELECT d.* FROM d WHERE id % 9 IN (SELECT law FROM laws)),
+    scored AS (SELECT qid, pool.id, round(list_dot_product(q.e, pool.e), 6) AS score FROM q, pool WHERE qid <> pool.id),
+    own AS (SELECT p.qid, p.id AS pid, round(list_dot_product(q.e, d.e), 6) AS own FROM pos p JOIN q ON q.qid = p.qid JOIN d ON d.id = p.id)"""
+
+
+@query(_POOL + " SELECT qid, id, CAST(row_number() OVER (PARTITION BY qid ORDER BY score DESC, id) AS INT) AS rank, score, round(score / own, 4) AS ratio FROM scored JOIN own USING (qid) WHERE id <> pid QUALIFY rank <= 30")
+def pooled_candidates(spark, sf):
+    """The thirty best wrong answers of each question among the rows of training laws (those of every third question's answer)."""
+    d, q, positives = C._corpus(spark, sf), C._queries(spark, sf), C._positives(spark, sf).withColumnRenamed("id", "positive_id")
+    pool = training.train_pool(d.withColumn("law", F.col("id") % 9), positives.filter("qid % 30 = 0"))
+    own = positives.join(d.select(F.col("id").alias("positive_id"), F.col("embedding").alias("_e")), "positive_id").join(q.select("qid", "embedding"), "qid")
+    own = own.select("qid", "positive_id", F.round(vector.dot(F.col("embedding"), F.col("_e")), 6).alias("score"))
+    return training.mining_candidates(vector.batch_knn(q, pool, 31), own)
+
+
+@query(C._CANDS + """, t AS (SELECT doc_id, text FROM documents), p AS (SELECT qid, id, CAST(row_number() OVER (PARTITION BY qid ORDER BY md5('0:' || qid || ':' || id), id) AS INT) AS n FROM cand WHERE rank <= 3 AND ratio >= 0.95)
+    SELECT p.qid, n, p.id, substr(a.text, 1, 40) AS query, substr(b.text, 1, 700) AS answer, substr(c.text, 1, 600) AS candidate FROM p JOIN pos ON pos.qid = p.qid LEFT JOIN t a ON a.doc_id = p.qid LEFT JOIN t b ON b.doc_id = pos.id LEFT JOIN t c ON c.doc_id = p.id""")
+def judge_texts(spark, sf):
+    """What a judge reads: the question, its answer's text and the candidate's, cut."""
+    texts = C._table(spark, sf, "documents").select(F.col("doc_id").alias("id"), "text")
+    asked = C._positives(spark, sf).withColumnRenamed("id", "positive_id").join(texts.select(F.col("id").alias("qid"), F.substring("text", 1, 40).alias("query")), "qid", "left")
+    return training.judge_texts(training.judge_input(C._candidates(spark, sf)), asked, texts)
+
+
 _SETTLED = C._CANDS + """, v AS (SELECT *, rank <= 3 AND ratio >= 0.95 AS doubtful, CASE id % 3 WHEN 0 THEN 'no' WHEN 1 THEN 'full' ELSE 'partial' END AS verdict FROM cand WHERE rank <= 30),
     u AS (SELECT qid, id, row_number() OVER (PARTITION BY qid ORDER BY CASE WHEN rank <= 3 THEN 0 WHEN rank <= 10 THEN 1 ELSE 2 END, rank) AS i, rank FROM v WHERE ratio < 0.95 OR (doubtful AND verdict = 'no')),
     s AS (SELECT qid, id, i, rank, least(3, count(*) OVER (PARTITION BY qid)) AS m FROM u), t AS (SELECT qid, n, id, CASE WHEN n >= m THEN 'repeat' WHEN rank <= 10 THEN 'top' ELSE 'fill' END AS reason FROM s, (SELECT unnest([0, 1, 2]) AS n) WHERE i = n % m + 1),
