@@ -30,8 +30,10 @@ def settle(rows: DataFrame) -> DataFrame:
     spark = rows.sparkSession
     path = f"{shared_folder(spark).rstrip('/')}/settled-{uuid.uuid4().hex}"
     place = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
-    place.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).deleteOnExit(place)
-    rows.write.parquet(path)
+    store = place.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+    store.mkdirs(place)  # only what is there is noted for deletion
+    store.deleteOnExit(place)
+    rows.write.mode("overwrite").parquet(path)
     return spark.read.schema(rows.schema).parquet(path)
 
 
