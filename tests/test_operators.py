@@ -83,6 +83,25 @@ def test_batch_knn_over_many_blocks(spark):
         assert found[found.qid == q].sort_values("rank")["id"].tolist() == expected
 
 
+def test_blocks_of_questions_and_rows_meet_over_many_partitions(spark):
+    rng = np.random.default_rng(2)
+    v = rng.normal(size=(90, 8)).astype(np.float32)
+    df = spark.createDataFrame([(i, [float(x) for x in r]) for i, r in enumerate(v)], "id long, embedding array<float>")
+    scores = np.round(v.astype(float) @ v.astype(float).T, 6)
+    np.fill_diagonal(scores, -np.inf)
+    names = ("spark.sql.adaptive.coalescePartitions.enabled", "spark.sql.shuffle.partitions")
+    before = [spark.conf.get(n) for n in names]
+    try:  # as with large blocks, which are not brought together into one partition
+        for n, value in zip(names, ("false", "7"), strict=True):
+            spark.conf.set(n, value)
+        found = vector.batch_knn(df.withColumnRenamed("id", "qid"), df, 5, block=11).toPandas()
+    finally:
+        for n, value in zip(names, before, strict=True):
+            spark.conf.set(n, value)
+    for q in range(90):
+        assert found[found.qid == q].sort_values("rank")["id"].tolist() == sorted(range(90), key=lambda i: (-scores[q, i], i))[:5]
+
+
 @pytest.mark.parametrize("seed", range(3))
 def test_splits_keep_laws_whole(spark, seed):
     rng = random.Random(seed)
