@@ -61,3 +61,13 @@ def test_query_against_a_plain_programme(spark):
     model = U.Unigram(vocabulary, 0)
     want = {r.doc_id: len(model.encode(r.text)) for r in spark.read.parquet(f"{sf}/documents.parquet").collect()}
     assert {r.doc_id: r.n_tokens for r in catalog.QUERIES["unigram_tokens"](spark, sf).collect()} == want
+
+
+def test_words_beyond_what_is_remembered_are_not_segmented_again(monkeypatch):
+    model, rng = U.Unigram(PIECES, 0), random.Random(7)
+    some = ["".join(rng.choice("abcdefgh") for _ in range(7)) for _ in range(200_000)]
+    calls, word = [], U.Unigram.word
+    monkeypatch.setattr(U.Unigram, "word", lambda self, w: calls.append(w) or word(self, w))
+    first = model.encode(" ".join(some))
+    once = len(calls)
+    assert model.encode(" ".join(some)) == first and len(calls) == once == len(set(some))
