@@ -99,3 +99,14 @@ def test_overlap_of_pairs(spark):
     rows = [(1, "x", "abcd", "bcde"), (2, "y", "", "abc"), (3, "z", None, None), (4, "w", "abab", "ab")]
     found = overlap.pair_overlap(spark.createDataFrame(rows, "qid long, id string, a string, b string"), 2)
     assert {tuple(r) for r in found.collect()} == {(1, "x", 0.666667), (2, "y", 0.0), (3, "z", 0.0), (4, "w", 0.5)}
+
+
+def test_query_overlap_takes_every_item_with_every_document(spark):
+    sides = []
+    for table, key in (("benchmark", "item_id"), ("documents", "doc_id")):
+        texts = spark.read.parquet(f"{SF}/{table}.parquet").select(key, "text").collect()
+        sides.append({r[0]: grams("".join(c for c in r.text or "" if c.isalnum()), 2) for r in texts})
+    found = {(r["item_id"], r["doc_id"]): r["overlap"] for r in catalog.QUERIES["query_overlap"](spark, SF).collect()}
+    pairs = {(a, b) for a, x in sides[0].items() for b, y in sides[1].items() if x & y}
+    assert len(sides[0]) > 1 and found.keys() == pairs
+    assert all(found[a, b] == six(len(sides[0][a] & sides[1][b]), len(sides[0][a])) for a, b in pairs)
