@@ -25,8 +25,10 @@ from gristmill.llm.shared import drop_since, fresh_dir, place, settle, small_bat
 SHINGLE, SIMILARITY = 5, 0.8
 #: 24 bands of 5 registers: a pair at 0.8 shares a band but for 7 in 100,000; at 0.3 one pair in 18 does.
 BANDS, ROWS = 24, 5
-#: By how much the leaders of a group grow from one round to the next, and how many rounds of comparisons there are.
-LEADERS, ROUNDS = 4, 2
+#: By how much the leaders of a group grow from one round to the next.
+LEADERS = 4
+#: The key of those that have so much in common with their leader that they can be similar to one another without a shingle beyond it.
+CLOSE = -1
 
 
 def weighted_shingles(column: pa.Array, k: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -190,7 +192,8 @@ def _compare(k: int, least: float):
     relative weights q, of which a is also the leader. The similarity of b and c is at most the sum of min(p, q), and that
     of min(p, q, r) is at most ``near``, the sum of min(p, r). So b and c are similar only if the shingles in which both exceed a
     have at least ``least`` - near of b's excess. A common one of them is then among b's shingles in ascending order up to
-    where less than that much excess is left; these are the keys.
+    where less than that much excess is left; these are the keys. Where ``near`` is itself ``least`` or more, b and another such set
+    need no shingle beyond a to be similar; these have the key ``CLOSE`` besides. So every similar pair has a key in common.
     """
 
     def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -216,7 +219,11 @@ def _compare(k: int, least: float):
                 last = np.searchsorted(row, np.arange(n), "right")
                 left = left - np.append(left, 0.0)[last][row]
                 take = (more > 0) & (left >= least - near[row] - ROUNDING)
-                keys = pa.ListArray.from_arrays(pa.array(np.r_[0, np.cumsum(np.bincount(row[take], minlength=n))], pa.int32()), pa.array(shingle[take].view(np.int64)))
+                many = np.bincount(row[take], minlength=n)
+                close = np.flatnonzero(near >= least - ROUNDING)
+                found = np.insert(shingle[take].view(np.int64), np.cumsum(many)[close], CLOSE)
+                many[close] += 1
+                keys = pa.ListArray.from_arrays(pa.array(np.r_[0, np.cumsum(many)], pa.int32()), pa.array(found))
                 yield pa.RecordBatch.from_arrays([part.column("a"), part.column("b"), part.column("total_b"), pa.array(similar), keys], ["a", "b", "total", "similar", "keys"])
 
     return compare
@@ -301,7 +308,7 @@ def _pairs(members: DataFrame, groups: DataFrame | None, key: list[str], leaders
     return rows.filter(F.struct("total", "id") > F.col("_l")).select(F.col("_l.id").alias("a"), F.col("id").alias("b")).distinct()
 
 
-def near_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", k: int = SHINGLE, similarity: float = SIMILARITY, bands: int = BANDS, rows: int = ROWS, rounds: int | None = ROUNDS) -> DataFrame:
+def near_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", k: int = SHINGLE, similarity: float = SIMILARITY, bands: int = BANDS, rows: int = ROWS, rounds: int | None = None) -> DataFrame:
     """One row per input row: doc_id, copy_id (smallest id with the same words), class_id (smallest id of its class).
 
     Documents with the same sequence of words are copies (by its SHA-256); one of them, the representative, stands
@@ -314,13 +321,10 @@ def near_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     members are put into new groups by such shingles, which are treated in the same way with ``LEADERS`` times as many leaders as
     in the round before. Members are compared with a bounded number of leaders a group, so work grows as the groups' sizes.
 
-    ``rounds`` is the number of such comparisons; None goes on until no group is open. Leaders ascend along a chain of
-    groups, so that ends, and then no link between texts that share a band is lost if neither repeats a shingle: for two sets that
-    have no common shingle beyond a third one that is not larger, and one of which is not similar to it, the similarity is
-    below that of this one to it. With repeated shingles the bound is that of relative weights, so a link of
-    similarity below 2 s / (1 + s), 0.889, can be passed over if both exceed the leader nowhere together. With fewer rounds a link can
-    be passed over where thousands of texts are like one another to nearly the least similarity but not quite;
-    the README has the measured share. Whether a link is looked for does not depend on a group's size.
+    That goes on until no group is open, so no link between texts that share a band is lost: leaders ascend along a chain of
+    groups, which ends, and two similar members of a group that its leader does not link have a key in common. Members that are
+    like one another to nearly the least similarity but not quite, in groups of thousands, can take as many comparisons as they have pairs.
+    ``rounds`` bounds the number of comparisons for those who can do without some links; None, the default, does not.
 
     Null and empty texts have no words: they are copies of one another and near to nothing else. A text
     of fewer than ``k`` words has one shingle, of all its words. Rows that share an id are one document; if their texts

@@ -135,6 +135,15 @@ def test_common_passage_with_own_words_hides_no_link(spark):
     assert all(answer[i] == i for i in range(400))
 
 
+def test_links_that_two_rounds_pass_over(spark, monkeypatch):
+    """Texts of one passage and some of a few blocks, in one group: many are like one another to nearly 0.8."""
+    one_bucket(monkeypatch)
+    rng = random.Random(1)
+    passage, blocks = [f"p{j}" for j in range(100)], [[f"b{i}_{j}" for j in range(8)] for i in range(12)]
+    rows = [(i, " ".join(passage + [w for b in sorted(rng.sample(range(12), 5)) for w in blocks[b]])) for i in range(70)]
+    assert found(spark, rows) == classes(rows)
+
+
 def test_words_of_equal_polynomials_are_no_copies(spark):
     word = "".join("ab"[bin(i).count("1") & 1] for i in range(1024))
     assert found(spark, [(1, word), (2, word.translate(str.maketrans("ab", "ba")))]) == {1: 1, 2: 2}
