@@ -25,10 +25,8 @@ from gristmill.llm.shared import drop_since, fresh_dir, place, settle, small_bat
 SHINGLE, SIMILARITY = 5, 0.8
 #: 24 bands of 5 registers: a pair at 0.8 shares a band but for 7 in 100,000; at 0.3 one pair in 18 does.
 BANDS, ROWS = 24, 5
-#: By how much the leaders of a group grow from one round to the next.
-LEADERS = 4
-#: The key of those that have so much in common with their leader that they can be similar to one another without a shingle beyond it.
-CLOSE = -1
+#: Members of one key of which all pairs are compared at once; those of larger groups are compared with a leader first.
+FULL = 32
 
 
 def weighted_shingles(column: pa.Array, k: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -182,53 +180,71 @@ def _shingle_sets(k: int):
     return sets
 
 
-COMPARED = "a long, b long, total int, similar boolean, keys array<long>"
+COMPARED = "a long, b long, total int, similar boolean"
 
 
-def _compare(k: int, least: float):
-    """For each pair whether it is similar, and ``keys``: shingles of b by which it may be similar to others that a is far from.
-
-    With p and r the relative weights of b and of a, b exceeds a in the shingles where p > r. Take another set c, of
-    relative weights q, of which a is also the leader. The similarity of b and c is at most the sum of min(p, q), and that
-    of min(p, q, r) is at most ``near``, the sum of min(p, r). So b and c are similar only if the shingles in which both exceed a
-    have at least ``least`` - near of b's excess. A common one of them is then among b's shingles in ascending order up to
-    where less than that much excess is left; these are the keys. Where ``near`` is itself ``least`` or more, b and another such set
-    need no shingle beyond a to be similar; these have the key ``CLOSE`` besides. So every similar pair has a key in common.
-    """
+def _compare(least: float):
+    """For each pair whether it is similar."""
 
     def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             sizes = sum(pc.list_value_length(batch.column(f"shingles_{t}")).to_numpy(zero_copy_only=False).astype(np.int64) for t in "ab")
             for part in words.slices(batch, sizes, PAIR_SHINGLES):
                 n = part.num_rows
-                sides = []
-                for t in "ab":
-                    per = pc.list_value_length(part.column(f"shingles_{t}")).to_numpy(zero_copy_only=False)
-                    rows = np.repeat(np.arange(n), per)
-                    weight, own = np.ones(len(rows), np.int64), part.column(f"weights_{t}")
-                    weight[own.is_valid().to_numpy(zero_copy_only=False)[rows]] = own.flatten().to_numpy(zero_copy_only=False)
-                    sides.append((rows, part.column(f"shingles_{t}").flatten().to_numpy(zero_copy_only=False).view(np.uint64), weight))
-                row, shingle, x, y = aligned(*sides)
-                similarity = prob_jaccard(row, x, y, n)
-                similar = reaches(row, x, y, similarity, least)
-                of_a, of_b = np.bincount(row, x, n)[row], np.bincount(row, y, n)[row]
-                more = y * of_a - x * of_b  # whole numbers, exact up to 2 ** 53
-                near = np.bincount(row, np.minimum(x / of_a, y / of_b), n)
-                excess = np.where(more > 0, more / of_a / of_b, 0.0)
-                left = np.cumsum(excess[::-1])[::-1]
-                last = np.searchsorted(row, np.arange(n), "right")
-                left = left - np.append(left, 0.0)[last][row]
-                take = (more > 0) & (left >= least - near[row] - ROUNDING)
-                many = np.bincount(row[take], minlength=n)
-                close = np.flatnonzero(near >= least - ROUNDING)
-                found = np.insert(shingle[take].view(np.int64), np.cumsum(many)[close], CLOSE)
-                many[close] += 1
-                keys = pa.ListArray.from_arrays(pa.array(np.r_[0, np.cumsum(many)], pa.int32()), pa.array(found))
-                yield pa.RecordBatch.from_arrays([part.column("a"), part.column("b"), part.column("total_b"), pa.array(similar), keys], ["a", "b", "total", "similar", "keys"])
+                row, _, x, y = aligned(*(_flat(part, f"_{t}") for t in "ab"))
+                similar = reaches(row, x, y, prob_jaccard(row, x, y, n), least)
+                yield pa.RecordBatch.from_arrays([part.column("a"), part.column("b"), part.column("total_b"), pa.array(similar)], ["a", "b", "total", "similar"])
 
     return compare
 
 
+def _flat(batch: pa.RecordBatch, end: str = "") -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """The weighted sets of a batch's rows: row, hash, weight."""
+    per = pc.list_value_length(batch.column(f"shingles{end}")).to_numpy(zero_copy_only=False)
+    rows = np.repeat(np.arange(batch.num_rows), per)
+    weight, own = np.ones(len(rows), np.int64), batch.column(f"weights{end}")
+    weight[own.is_valid().to_numpy(zero_copy_only=False)[rows]] = own.flatten().to_numpy(zero_copy_only=False)
+    return rows, batch.column(f"shingles{end}").flatten().to_numpy(zero_copy_only=False).view(np.uint64), weight
+
+
+def _one_by_one(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """A row for each shingle of each set."""
+    for batch in batches:
+        sizes = pc.list_value_length(batch.column("shingles")).to_numpy(zero_copy_only=False).astype(np.int64)
+        for part in words.slices(batch, sizes, PAIR_SHINGLES):
+            rows, key, weight = _flat(part)
+            whole = [part.column(c).take(pa.array(rows)) for c in ("id", "total", "component")]
+            yield pa.RecordBatch.from_arrays([*whole, pa.array(key.view(np.int64)), pa.array(weight.astype(np.int32))], ["id", "total", "component", "key", "weight"])
+
+
+def _prefixes(members: DataFrame, sets: DataFrame, least: float) -> DataFrame:
+    """key, id, total: of each member (id, component) shingles of which two similar members of different components have one in common.
+
+    Two sets are similar only if the smaller ones of their relative weights sum to ``least`` or more over their common shingles. All of these
+    come at or after the first of them in any order of all shingles, so that one is where at least ``least`` of either set's weight is left.
+    Shingles that only one component has come first in the order (and are no keys), then rare ones, so few members share a key.
+    """
+    p, q = Fraction(str(least)).as_integer_ratio()
+    parts = int(sets.sparkSession.conf.get("spark.sql.shuffle.partitions"))  # by number: sets are few bytes, and many times as many as rows
+    rows = sets.join(members, "id").repartition(parts, "id").mapInArrow(_one_by_one, "id long, total int, component long, key long, weight int")
+    shared = rows.groupBy("key").agg(F.count(F.lit(1)).alias("n"), F.min("component").alias("_c"), F.max("component").alias("_d")).filter("_c != _d").select("key", "n")
+    after = Window.partitionBy("id").orderBy("n", "key").rowsBetween(Window.currentRow, Window.unboundedFollowing)
+    left = rows.join(shared, "key").withColumn("_left", F.sum("weight").over(after))
+    return left.filter(F.col("_left") * q >= F.col("total") * p).select("key", "id", "total")
+
+
+def _across(members: DataFrame, block: int = 64) -> DataFrame:
+    """a, b: the pairs of members (key, n, id, total, component) of one key and different components, the one of fewer shingles first.
+
+    ``n`` is the number of the key's members. Those of a large group are dealt to blocks, each of which meets all members.
+    """
+    blocks = F.ceil(F.col("n") / block).cast("int")
+    x = members.select("key", F.pmod(F.xxhash64("id"), blocks).cast("int").alias("_block"), F.struct("total", "id").alias("x"), F.col("component").alias("_x"))
+    y = members.select("key", F.explode(F.sequence(F.lit(0), blocks - 1)).alias("_block"), F.struct("total", "id").alias("y"), F.col("component").alias("_y"))
+    pairs = x.join(y, ["key", "_block"]).filter("x < y and _x != _y")
+    return pairs.select(F.col("x.id").alias("a"), F.col("y.id").alias("b")).distinct()
+
+
 def _join_hot(big: DataFrame, small: DataFrame, key, many: int) -> DataFrame:
     """``big`` joined with ``small``, which has one row per key and in ``n`` how many rows of ``big`` have it.
 
@@ -288,24 +304,43 @@ def merge_labels(labels: DataFrame, links: DataFrame, many: int = 1000) -> DataF
     return settle(moved.union(merged.join(labels, "id", "left_anti")))
 
 
-def _pairs(members: DataFrame, groups: DataFrame | None, key: list[str], leaders: int, many: int) -> DataFrame:
-    """a, b: each group's leaders, its ``leaders`` smallest members by number of shingles and id, with all members that come after them.
-
-    ``members`` is a written table of key, id and total; ``groups`` has the keys of the groups that count, and n, their size (None: all groups).
-    """
-    if leaders == 1:
-        heads = members.groupBy(*key).agg(F.array(F.min(F.struct("total", "id"))).alias("_leaders"), F.count(F.lit(1)).alias("n"))
-        heads = heads.filter("n > 1") if groups is None else heads.join(groups.drop("n"), key)
-        rows = _join_hot(members, settle(heads), key, many)
-    else:
-        groups = settle(groups)
-        rows = settle(_join_hot(members, groups, key, many))
-        place = Window.partitionBy(*key).orderBy("total", "id")
-        first = rows.withColumn("_r", F.row_number().over(place)).filter(F.col("_r") <= leaders)  # limited before the shuffle
-        heads = first.groupBy(*key).agg(F.collect_list(F.struct("total", "id")).alias("_leaders"))
-        rows = _join_hot(rows, settle(heads.join(groups, key)), key, many)
-    rows = rows.withColumn("_l", F.explode("_leaders"))
-    return rows.filter(F.struct("total", "id") > F.col("_l")).select(F.col("_l.id").alias("a"), F.col("id").alias("b")).distinct()
+def _leaders(members: DataFrame, many: int) -> DataFrame:
+    """a, b: of each key's members (key, id, total), a written table, the leader, that of fewest shingles and then of the smallest id, with all others."""
+    heads = members.groupBy("key").agg(F.min(F.struct("total", "id")).alias("_leader"), F.count(F.lit(1)).alias("n")).filter("n > 1")
+    rows = _join_hot(members, settle(heads), "key", many)
+    return rows.filter("id != _leader.id").select(F.col("_leader.id").alias("a"), F.col("id").alias("b")).distinct()
+
+
+def _close(compared: DataFrame, sets: DataFrame, labels: DataFrame, bands: DataFrame, least: float, many: int, rounds: int | None) -> DataFrame:
+    """``labels`` after the comparisons of what the leaders (``compared``) leave open; bands: id and its bands."""
+
+    def mixed(rows: DataFrame, key: str) -> DataFrame:
+        """Keys with members of different components, and how many members."""
+        return rows.groupBy(key).agg(F.count(F.lit(1)).alias("n"), F.min("component").alias("_c"), F.max("component").alias("_d")).filter("_c != _d").select(key, "n")
+
+    def named(rows: DataFrame) -> DataFrame:
+        return rows.join(labels, "id", "left").withColumn("component", F.coalesce("component", "id"))
+
+    of = settle(named(compared.select("a", F.col("b").alias("id"))))
+    members = settle(_join_hot(of, settle(mixed(of, "a")), "a", many).select("id", "component").distinct())
+    keyed = settle(_prefixes(members, sets, least))
+    done = compared.select("a", "b")
+    for last in (False, True)[:rounds and rounds - 1]:
+        now = named(keyed)
+        groups = settle(mixed(now, "key"))
+        now = settle(now.join(groups, "key"))
+        found = _across(now if last else now.filter(F.col("n") <= FULL))
+        if not last:
+            hot = settle(now.filter(F.col("n") > FULL).select("key", "id", "total"))
+            found = found.union(_leaders(hot, many)).distinct()
+        found = found.join(done, ["a", "b"], "left_anti")
+        for end in "ab":
+            found = found.join(bands.select(F.col("id").alias(end), F.col("bands").alias(f"_{end}")), end)
+        found = settle(found.filter(F.arrays_overlap("_a", "_b")).select("a", "b"))
+        if not found.isEmpty():
+            new = settle(_with_sets(found, sets, many).mapInArrow(_compare(least), COMPARED))
+            labels, done = merge_labels(labels, new.filter("similar").select("a", "b"), many), done.union(found)
+    return labels
 
 
 def near_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", k: int = SHINGLE, similarity: float = SIMILARITY, bands: int = BANDS, rows: int = ROWS, rounds: int | None = None) -> DataFrame:
@@ -315,15 +350,12 @@ def near_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     for all. Classes are the connected components of the pairs of representatives that share a band and
     whose probability Jaccard similarity is at least ``similarity``.
 
-    A bucket's members are not paired with one another. All are compared with the bucket's leader, the member of
-    fewest shingles (then the smallest id). Where a leader leaves members of different components that are not
-    similar to it, these can be similar to others only if both exceed the leader in a shingle (see ``_compare``), so the leader's
-    members are put into new groups by such shingles, which are treated in the same way with ``LEADERS`` times as many leaders as
-    in the round before. Members are compared with a bounded number of leaders a group, so work grows as the groups' sizes.
-
-    That goes on until no group is open, so no link between texts that share a band is lost: leaders ascend along a chain of
-    groups, which ends, and two similar members of a group that its leader does not link have a key in common. Members that are
-    like one another to nearly the least similarity but not quite, in groups of thousands, can take as many comparisons as they have pairs.
+    A bucket's members are not paired with one another. All are compared with the bucket's leader, the member of fewest shingles (then the
+    smallest id). Where a leader leaves members of different components, these are put into groups by their rarest shingles (see ``_prefixes``):
+    two of them that are similar and share a band are in one group. The second comparison is of all pairs across components in groups of
+    up to ``FULL`` members and of larger groups' members with their leaders, the third of what pairs across components these leave.
+    So no link between texts that share a band is lost. Members that are like one another to nearly the least similarity but not quite,
+    in groups of thousands, can take as many comparisons as they have pairs.
     ``rounds`` bounds the number of comparisons for those who can do without some links; None, the default, does not.
 
     Null and empty texts have no words: they are copies of one another and near to nothing else. A text
@@ -339,39 +371,20 @@ def near_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     copies = settle(signed.groupBy("digest").agg(F.min("doc_id").alias("copy_id"), F.any_value("total").alias("total"), F.any_value("bands").alias("bands"), F.count(F.lit(1)).alias("n")))
     begun = place()
     entries = settle(copies.filter(F.col("copy_id").isNotNull()).select(F.explode("bands").alias("key"), F.col("copy_id").alias("id"), "total"))
-    pairs = settle(_pairs(entries, None, ["key"], 1, many))
-    sets, compared, labels, level = None, None, None, 0
-    while not pairs.isEmpty():
-        if sets is None:  # later rounds have members of the first round's groups only
-            ids = settle(pairs.select(F.explode(F.array("a", "b")).alias("doc_id")).distinct())
-            texts = rows_in.join(ids, "doc_id", "left_semi").groupBy(F.col("doc_id").alias("id")).agg(F.min("text").alias("text"))
-            sets = settle(texts.mapInArrow(_shingle_sets(k), SETS))
-        new = settle(_with_sets(pairs, sets, many).mapInArrow(_compare(k, similarity), COMPARED))
-        links = new.filter("similar").select("a", "b")
-        labels = components(links, many) if labels is None else merge_labels(labels, links, many)
-        level += 1
-        if level == rounds:
-            break
-        compared = new if compared is None else compared.unionByName(new)
-        of = compared.join(labels.select(F.col("id").alias("b"), "component"), "b", "left").withColumn("component", F.coalesce("component", "b"))
-        # A leader is open if it has a new member, one that is not similar to it, and members of different components.
-        fresh = new.select("a").distinct()
-        open_ = of.join(fresh, "a", "left_semi").groupBy("a").agg(F.count(F.lit(1)).alias("n"), F.max(~F.col("similar")).alias("_stray"), F.min("component").alias("_c"), F.max("component").alias("_d")).filter("_stray and _c != _d").select("a", "n")
-        open_ = settle(open_)
-        members = settle(_join_hot(settle(of), open_, "a", many).select("a", F.explode("keys").alias("key"), F.col("b").alias("id"), "total", "component", "similar"))
-        groups = members.groupBy("a", "key").agg(F.count(F.lit(1)).alias("n"), F.max(~F.col("similar")).alias("_stray"), F.min("component").alias("_c"), F.max("component").alias("_d")).filter("_stray and _c != _d").select("a", "key", "n")
-        found = _pairs(members.select(F.col("a").alias("_of"), "key", "id", "total"), groups.withColumnRenamed("a", "_of"), ["_of", "key"], LEADERS**level, many)
-        found = found.join(compared.select("a", "b"), ["a", "b"], "left_anti")
-        if level + 1 == rounds:  # the last links count only between components
-            for end in "ab":
-                found = found.join(labels.select(F.col("id").alias(end), F.col("component").alias(f"_{end}")), end, "left")
-            found = found.filter(F.coalesce("_a", "a") != F.coalesce("_b", "b")).select("a", "b")
-        pairs = settle(found)
-    classes = copies.select("digest", "copy_id", "n")
-    if labels is not None:
+    pairs = settle(_leaders(entries, many))
+    labels = None
+    if not pairs.isEmpty():
+        ids = settle(pairs.select(F.explode(F.array("a", "b")).alias("doc_id")).distinct())
+        texts = rows_in.join(ids, "doc_id", "left_semi").groupBy(F.col("doc_id").alias("id")).agg(F.min("text").alias("text"))
+        sets = settle(texts.mapInArrow(_shingle_sets(k), SETS))
+        new = settle(_with_sets(pairs, sets, many).mapInArrow(_compare(similarity), COMPARED))
+        labels = components(new.filter("similar").select("a", "b"), many)
+        if rounds is None or rounds > 1:
+            labels = _close(new, sets, labels, copies.select(F.col("copy_id").alias("id"), "bands"), similarity, many, rounds)
         final = fresh_dir(docs.sparkSession, "labels")
         labels.write.mode("overwrite").parquet(final)
         labels = docs.sparkSession.read.parquet(final)
+    classes = copies.select("digest", "copy_id", "n")
     drop_since(docs.sparkSession, begun)
     if labels is not None:
         classes = classes.join(labels.withColumnRenamed("id", "copy_id"), "copy_id", "left")

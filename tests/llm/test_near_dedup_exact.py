@@ -144,6 +144,17 @@ def test_links_that_two_rounds_pass_over(spark, monkeypatch):
     assert found(spark, rows) == classes(rows)
 
 
+def test_no_more_than_three_comparisons(spark, monkeypatch):
+    """However alike the texts of a group are: rounds without end made plans and tables without end."""
+    one_bucket(monkeypatch)
+    whole, seen = N._with_sets, []
+    monkeypatch.setattr(N, "_with_sets", lambda *a: seen.append(a) or whole(*a))
+    rng = random.Random(3)
+    passage, blocks = [f"p{j}" for j in range(100)], [[f"b{i}_{j}" for j in range(8)] for i in range(12)]
+    rows = [(i, " ".join(passage + [w for b in sorted(rng.sample(range(12), 5)) for w in blocks[b]])) for i in range(70)]
+    assert found(spark, rows) == classes(rows) and len(seen) <= 3
+
+
 def test_words_of_equal_polynomials_are_no_copies(spark):
     word = "".join("ab"[bin(i).count("1") & 1] for i in range(1024))
     assert found(spark, [(1, word), (2, word.translate(str.maketrans("ab", "ba")))]) == {1: 1, 2: 2}
