@@ -15,7 +15,9 @@ its documents and of its blocks' starts:
 from __future__ import annotations
 
 import itertools
+import json
 import os
+import re
 import struct
 import zlib
 from collections.abc import Iterator
@@ -185,6 +187,12 @@ class WordEncoder:
         from tokenizers import Tokenizer
 
         self.tokenizer, self.keep = Tokenizer.from_file(path), keep
+        suffix = json.loads(self.tokenizer.to_str())["model"].get("end_of_word_suffix")
+        vocabulary = self.tokenizer.get_vocab()
+        #: Which ids end a word, where the model marks them.
+        self.last = np.zeros(max(vocabulary.values()) + 1, bool) if suffix else None
+        if suffix:
+            self.last[[n for w, n in vocabulary.items() if w.endswith(suffix)]] = True
         self._forget()
 
     def _forget(self) -> None:
@@ -199,13 +207,28 @@ class WordEncoder:
                 self._forget()
                 found = [None] * len(parts)
             new = list(dict.fromkeys(w for w, n in zip(parts, found, strict=True) if n is None))
-            ids = [e.ids for e in self.tokenizer.encode_batch_fast([w.decode() for w in new], add_special_tokens=False)]
-            self.number.update(zip(new, range(len(self.number), len(self.number) + len(new)), strict=True))
-            self.upto = np.r_[self.upto, self.upto[-1] + np.cumsum([len(x) for x in ids], dtype=np.int64)]
-            self.ids = np.r_[self.ids, np.fromiter(itertools.chain.from_iterable(ids), np.uint32)]
+            whole = [w for w in new if _LETTERS(w)] if self.last is not None else []
+            letters = set(whole)
+            for some, together in ((whole, True), ([w for w in new if w not in letters], False)):
+                ids, sizes = self._encoded(some, together)
+                self.number.update(zip(some, range(len(self.number), len(self.number) + len(some)), strict=True))
+                self.upto = np.r_[self.upto, self.upto[-1] + np.cumsum(sizes, dtype=np.int64)]
+                self.ids = np.r_[self.ids, ids]
             found = list(map(self.number.__getitem__, parts))
         return np.array(found, np.int64)
 
+    def _encoded(self, some: list[bytes], together: bool) -> tuple[np.ndarray, np.ndarray]:
+        """The ids of words, and how many each has. Words of letters alone are encoded many in one text: each ends with the only id of its that ends a word."""
+        texts = [b" ".join(some[i : i + 256]) for i in range(0, len(some), 256)] if together else some
+        found = [e.ids for e in self.tokenizer.encode_batch_fast([t.decode() for t in texts], add_special_tokens=False)]
+        ids = np.fromiter(itertools.chain.from_iterable(found), np.uint32)
+        if not together:
+            return ids, np.array([len(x) for x in found], np.int64)
+        ends = np.flatnonzero(self.last[ids]) + 1
+        if len(ends) != len(some) or (len(ends) and ends[-1] != len(ids)):  # a tokenizer that cuts words of letters
+            return self._encoded(some, False)
+        return ids, np.diff(ends, prepend=0)
+
     def encode(self, column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
         """The ids of all texts of a column, and how many each text has."""
         data, offsets = words.buffers(column)
@@ -254,6 +277,9 @@ def _units(data: np.ndarray, starts: np.ndarray, ends: np.ndarray):
     return lower, begin, end, np.append(place, len(begin))
 
 
+#: Words of ASCII letters and those of Latin-1.
+_LETTERS = re.compile(rb"(?:[A-Za-z]|\xc3[\x80-\x96\x98-\xb6\xb8-\xbf])+").fullmatch
+
 _encoders: dict[str, WordEncoder] = {}
 
 

@@ -60,6 +60,22 @@ def test_words_leave_the_cache():
         assert ids.tolist() == one * 2 and sizes.tolist() == [len(one), 0, len(one)]
 
 
+def test_words_of_letters_share_a_text(monkeypatch):
+    encoder, seen = T.WordEncoder(PATH), []
+    tokenizer = encoder.tokenizer
+
+    class Counted:
+        def encode_batch_fast(self, texts, **more):
+            seen.extend(texts)
+            return tokenizer.encode_batch_fast(texts, **more)
+
+    encoder.tokenizer = Counted()
+    words = [f"{a}{b}{c}{d}" for a in ("Zu", "é", "ÀÖ", "ß") for b in "bcdfgh" for c in ("eau", "ÿñ", "ion") for d in ("", "ly", "ÉÇ", "×x", "÷", "9a", "'s", "ŉ", "Σ")]
+    ids, sizes = encoder.encode(pa.array(words))
+    alone = [tokenizer.encode(w, add_special_tokens=False).ids for w in words]
+    assert ids.tolist() == sum(alone, []) and sizes.tolist() == [len(x) for x in alone] and len(seen) < len(words)
+
+
 def test_words_of_one_hash_are_told_apart(monkeypatch):
     monkeypatch.setattr(T.words, "span_hashes", lambda data, starts, ends: np.zeros(len(starts), np.uint64))
     text = "some words, of one hash: abcdefghi abcdefghj"
