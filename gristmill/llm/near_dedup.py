@@ -16,7 +16,7 @@ from fractions import Fraction
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from gristmill.llm import words
@@ -214,47 +214,73 @@ def _one_by_one(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for part in words.slices(batch, sizes, PAIR_SHINGLES):
             rows, key, weight = _flat(part)
             whole = [part.column(c).take(pa.array(rows)) for c in ("id", "total", "component")]
-            yield pa.RecordBatch.from_arrays([*whole, pa.array(key.view(np.int64)), pa.array(weight.astype(np.int32))], ["id", "total", "component", "key", "weight"])
+            extra = part.column("total").to_numpy() - np.bincount(rows, minlength=part.num_rows)
+            yield pa.RecordBatch.from_arrays([*whole, pa.array(extra[rows].astype(np.int32)), pa.array(key.view(np.int64)), pa.array(weight.astype(np.int32))], ["id", "total", "component", "extra", "key", "weight"])
+
+
+#: Parts of all shingles, by hash, in which those of a text are counted: the smaller counts of two texts sum to what they can have in common at most.
+PARTS = 64
 
 
 def _prefixes(members: DataFrame, sets: DataFrame, least: float) -> DataFrame:
-    """key, id, total: of each member (id, component) shingles of which two similar members of different components have one in common.
+    """key, id, total, extra, left, own, parts: of each member (id, component) shingles of which two similar members of different components have one in common.
 
     Two sets are similar only if the smaller ones of their relative weights sum to ``least`` or more over their common shingles. All of these
     come at or after the first of them in any order of all shingles, so that one is where at least ``least`` of either set's weight is left.
     Shingles that only one component has come first in the order (and are no keys), then rare ones, so few members share a key.
+    ``left`` is the weight from the key on, ``own`` the weight that no other component has, ``extra`` the weight beyond one of each shingle,
+    ``parts`` the number of shingles in each of ``PARTS`` that other components have too.
     """
     p, q = Fraction(str(least)).as_integer_ratio()
-    parts = int(sets.sparkSession.conf.get("spark.sql.shuffle.partitions"))  # by number: sets are few bytes, and many times as many as rows
-    rows = sets.join(members, "id").repartition(parts, "id").mapInArrow(_one_by_one, "id long, total int, component long, key long, weight int")
+    n = int(sets.sparkSession.conf.get("spark.sql.shuffle.partitions"))  # by number: sets are few bytes, and many times as many as rows
+    rows = sets.join(members, "id").repartition(n, "id").mapInArrow(_one_by_one, "id long, total int, component long, extra int, key long, weight int")
     shared = rows.groupBy("key").agg(F.count(F.lit(1)).alias("n"), F.min("component").alias("_c"), F.max("component").alias("_d")).filter("_c != _d").select("key", "n")
-    after = Window.partitionBy("id").orderBy("n", "key").rowsBetween(Window.currentRow, Window.unboundedFollowing)
-    left = rows.join(shared, "key").withColumn("_left", F.sum("weight").over(after))
-    return left.filter(F.col("_left") * q >= F.col("total") * p).select("key", "id", "total")
+    found = settle(rows.join(shared, "key").select("key", "id", "total", "extra", "weight", "n"))
+    part = F.pmod("key", F.lit(PARTS))
+    whole = found.groupBy("id").agg(F.sum("weight").alias("_shared"), F.array(*[F.count_if(part == i).cast("int") for i in range(PARTS)]).alias("parts"))
+    before = Window.partitionBy("id").orderBy("n", "key").rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    left = found.withColumn("_to", F.sum("weight").over(before)).join(whole, "id").withColumn("left", F.col("_shared") - F.col("_to") + F.col("weight"))
+    return left.filter(F.col("left") * q >= F.col("total") * p).select("key", "id", "total", "extra", "left", (F.col("total") - F.col("_shared")).alias("own"), "parts")
 
 
-def _across(members: DataFrame, block: int = 64) -> DataFrame:
-    """a, b: the pairs of members (key, n, id, total, component) of one key and different components, the one of fewer shingles first.
+def _may_reach(least: float) -> Column:
+    """Whether members ``x`` and ``y`` of one key can be similar, if it is their first common one.
 
-    ``n`` is the number of the key's members. Those of a large group are dealt to blocks, each of which meets all members.
+    Of shares a and b of two sets' weights that lie on their common shingles, the similarity is 1 / (1 / a + 1 / b - 1) at most. The common
+    shingles are no more than what is left of either set, or than the smaller counts of each part; their weight is no more than their number and the extra weight.
+    """
+    p, q = Fraction(str(least)).as_integer_ratio()
+    common = F.aggregate(F.zip_with("x.parts", "y.parts", lambda u, v: F.least(u, v)), F.lit(0), lambda s, v: s + v)
+    limit = lambda shared: [F.least(F.col(f"{t}.left"), shared + F.col(f"{t}.extra")) for t in "xy"]
+    total = lambda t: F.col(f"{t}.total").cast("long")
+    holds = lambda u, v: (total("x") * v + total("y") * u) * p <= u * v * (p + q)
+    return holds(*limit(F.least("x.left", "y.left"))) & holds(*limit(common))
+
+
+def _across(members: DataFrame, least: float, block: int = 256) -> DataFrame:
+    """a, b: the pairs of members (see ``_prefixes``, and component) of one key and different components that can be similar, the one of fewer shingles first.
+
+    ``n`` is the number of the key's members, ``main`` its most frequent component, whose members are paired with the others alone.
+    Those of a large group are dealt to blocks, each of which meets all members of other components than the main one.
     """
     blocks = F.ceil(F.col("n") / block).cast("int")
-    x = members.select("key", F.pmod(F.xxhash64("id"), blocks).cast("int").alias("_block"), F.struct("total", "id").alias("x"), F.col("component").alias("_x"))
-    y = members.select("key", F.explode(F.sequence(F.lit(0), blocks - 1)).alias("_block"), F.struct("total", "id").alias("y"), F.col("component").alias("_y"))
-    pairs = x.join(y, ["key", "_block"]).filter("x < y and _x != _y")
-    return pairs.select(F.col("x.id").alias("a"), F.col("y.id").alias("b")).distinct()
+    whole = F.struct("total", "id", "left", "extra", "parts", "component")
+    x = members.select("key", F.pmod(F.xxhash64("id"), blocks).cast("int").alias("_block"), whole.alias("x"), (F.col("component") == F.col("main")).alias("_main"))
+    y = members.filter("component != main").select("key", F.explode(F.sequence(F.lit(0), blocks - 1)).alias("_block"), whole.alias("y"))
+    first = F.expr("x.total < y.total or x.total = y.total and x.id < y.id")
+    pairs = x.join(y, ["key", "_block"]).filter((F.col("_main") | first) & (F.col("x.component") != F.col("y.component")) & _may_reach(least))
+    return pairs.select(F.when(first, F.col("x.id")).otherwise(F.col("y.id")).alias("a"), F.when(first, F.col("y.id")).otherwise(F.col("x.id")).alias("b")).distinct()
 
 
 def _join_hot(big: DataFrame, small: DataFrame, key, many: int) -> DataFrame:
     """``big`` joined with ``small``, which has one row per key and in ``n`` how many rows of ``big`` have it.
 
-    Keys of more than ``many`` rows of big are joined by broadcast, so no task gets all rows of one. With ``many`` a thousandth of
-    all documents there are at most a thousand such keys for each row of big per document. ``n`` is dropped.
+    Keys of more than ``many`` rows of big are joined by broadcast, so none of their rows meet in one task; where the others are joined they find
+    no partner. With ``many`` a thousandth of all documents there are at most a thousand such keys for each row of big per document. ``n`` is dropped.
     """
     key = [key] if isinstance(key, str) else list(key)
-    hot, rest = (small.filter(where) for where in (F.col("n") > many, F.col("n") <= many))
-    cold = big.join(F.broadcast(hot.select(*key)), key, "left_anti")
-    return big.join(F.broadcast(hot.drop("n")), key).unionByName(cold.join(rest.drop("n"), key))
+    hot, rest = (small.filter(where).drop("n") for where in (F.col("n") > many, F.col("n") <= many))
+    return big.join(F.broadcast(hot), key).unionByName(big.join(rest, key))
 
 
 def _with_sets(pairs: DataFrame, sets: DataFrame, many: int, fan: int = 64) -> DataFrame:
@@ -304,9 +330,11 @@ def merge_labels(labels: DataFrame, links: DataFrame, many: int = 1000) -> DataF
     return settle(moved.union(merged.join(labels, "id", "left_anti")))
 
 
-def _leaders(members: DataFrame, many: int) -> DataFrame:
-    """a, b: of each key's members (key, id, total), a written table, the leader, that of fewest shingles and then of the smallest id, with all others."""
-    heads = members.groupBy("key").agg(F.min(F.struct("total", "id")).alias("_leader"), F.count(F.lit(1)).alias("n")).filter("n > 1")
+def _leaders(members: DataFrame, many: int, *first: Column) -> DataFrame:
+    """a, b: of each key's members (key, id, total), a written table, the leader, that of fewest shingles and then of the smallest id, with all others.
+
+    With ``first`` the leader is the one for which this is least, and of equal ones that of fewest shingles."""
+    heads = members.groupBy("key").agg(F.min(F.struct(*first, "total", "id")).alias("_leader"), F.count(F.lit(1)).alias("n")).filter("n > 1")
     rows = _join_hot(members, settle(heads), "key", many)
     return rows.filter("id != _leader.id").select(F.col("_leader.id").alias("a"), F.col("id").alias("b")).distinct()
 
@@ -321,25 +349,32 @@ def _close(compared: DataFrame, sets: DataFrame, labels: DataFrame, bands: DataF
     def named(rows: DataFrame) -> DataFrame:
         return rows.join(labels, "id", "left").withColumn("component", F.coalesce("component", "id"))
 
+    def apart(rows: DataFrame) -> DataFrame:
+        """Keys with members of different components, how many members, and the most frequent component."""
+        per = rows.groupBy("key", "component").agg(F.count(F.lit(1)).alias("_m"))
+        return per.groupBy("key").agg(F.sum("_m").alias("n"), F.max(F.struct("_m", "component")).getField("component").alias("main"), F.count(F.lit(1)).alias("_of")).filter("_of > 1").drop("_of")
+
+    ends = lambda: (F.least("a", "b").alias("_low"), F.greatest("a", "b").alias("_high"))
     of = settle(named(compared.select("a", F.col("b").alias("id"))))
     members = settle(_join_hot(of, settle(mixed(of, "a")), "a", many).select("id", "component").distinct())
     keyed = settle(_prefixes(members, sets, least))
-    done = compared.select("a", "b")
+    done = compared.select(*ends())
     for last in (False, True)[:rounds and rounds - 1]:
         now = named(keyed)
-        groups = settle(mixed(now, "key"))
+        groups = settle(apart(now))
         now = settle(now.join(groups, "key"))
-        found = _across(now if last else now.filter(F.col("n") <= FULL))
+        found = _across(now if last else now.filter(F.col("n") <= FULL), least)
         if not last:
-            hot = settle(now.filter(F.col("n") > FULL).select("key", "id", "total"))
-            found = found.union(_leaders(hot, many)).distinct()
-        found = found.join(done, ["a", "b"], "left_anti")
+            # The centre of near copies has least of its own; that of fewest shingles may be as far from it as any.
+            hot = settle(now.filter(F.col("n") > FULL).select("key", "id", "total", (F.col("own") / F.col("total")).alias("_own")))
+            found = found.union(_leaders(hot, many, F.col("_own"))).distinct()
+        found = found.select("a", "b", *ends()).join(done, ["_low", "_high"], "left_anti").select("a", "b")
         for end in "ab":
             found = found.join(bands.select(F.col("id").alias(end), F.col("bands").alias(f"_{end}")), end)
         found = settle(found.filter(F.arrays_overlap("_a", "_b")).select("a", "b"))
         if not found.isEmpty():
             new = settle(_with_sets(found, sets, many).mapInArrow(_compare(least), COMPARED))
-            labels, done = merge_labels(labels, new.filter("similar").select("a", "b"), many), done.union(found)
+            labels, done = merge_labels(labels, new.filter("similar").select("a", "b"), many), done.union(found.select(*ends()))
     return labels
 
 

@@ -165,3 +165,50 @@ def test_keep_one_per_class(spark):
     df = spark.createDataFrame(rows, "doc_id long, text string, class_id int")
     assert sorted(((r.doc_id, r.class_id) for r in N.keep_one_per_class(df).collect()), key=str) == [(1, 2), (3, 3), (None, 5)]
     assert N.keep_one_per_class(df.limit(0)).collect() == []
+
+
+def test_near_copies_are_compared_with_their_centre(spark, monkeypatch):
+    """Pairs of near copies that what they lost keeps apart are not compared, and no link is lost."""
+    one_bucket(monkeypatch)
+    whole, seen = N._with_sets, []
+    monkeypatch.setattr(N, "_with_sets", lambda pairs, *a: seen.append(pairs.count()) or whole(pairs, *a))
+    rng = random.Random(8)
+    base, rows = [f"w{j}" for j in range(149)], []
+    for i in range(160):
+        t = list(base)
+        for at in rng.sample(range(149), 1 if i in (70, 71) else rng.choice((3, 4, 5, 6)) if i else 3):
+            t[at] = f"z{i}_{at}"
+        rows.append((i, " ".join(t)))
+    answer = classes(rows)
+    assert 5 < len(set(answer.values())) < 155
+    assert found(spark, rows) == answer
+    assert sum(seen) < 4 * len(rows)
+
+
+def test_bound_on_pairs_keeps_all_that_are_similar(spark):
+    """Against the definition, for sets with repeated shingles, at the first key that both have."""
+    rng, rows, similar = random.Random(9), [], []
+    for case in range(3000):
+        keys = rng.sample(range(500), rng.randrange(1, 9))
+        x = {j: rng.choice((1, 1, 1, 2, 3)) for j in keys}
+        y = {j: w if rng.random() < 0.8 else rng.choice((1, 2)) for j, w in x.items() if rng.random() < 0.95}
+        if not y:
+            continue
+        if rng.random() < 0.3:
+            y[600] = 1  # a shingle of its own
+        first = next(j for j in keys if j in y)
+        member = lambda s: (sum(s.values()), case, sum(s.values()) - len(s), sum(w for j, w in s.items() if j != 600 and keys.index(j) >= keys.index(first)), [sum(j % N.PARTS == i for j in s if j != 600) for i in range(N.PARTS)])  # noqa: B023, E731
+        rows.append((member(x), member(y)))
+        similar.append(similarity(Counter(x), Counter(y)) >= Fraction(4, 5))
+    of = "struct<total:int,id:long,extra:int,left:long,parts:array<int>>"
+    kept = [r.kept for r in spark.createDataFrame(rows, f"x {of}, y {of}").select(N._may_reach(0.8).alias("kept")).collect()]
+    assert all(k for k, s in zip(kept, similar, strict=True) if s)
+    assert sum(similar) > 500 and not all(kept)
+
+
+def test_rows_of_frequent_keys_are_joined_once(spark):
+    big = spark.createDataFrame([("a", i) for i in range(9)] + [("b", 9), ("c", 10)], "key string, i int")
+    small = spark.createDataFrame([("a", 9, 1), ("b", 1, 2)], "key string, n int, v int")
+    joined = N._join_hot(big, small, "key", 3)
+    assert sorted(tuple(r) for r in joined.collect()) == [("a", i, 1) for i in range(9)] + [("b", 9, 2)]
+    assert "LeftAnti" not in joined._jdf.queryExecution().optimizedPlan().toString()
