@@ -388,9 +388,10 @@ def near_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     A bucket's members are not paired with one another. All are compared with the bucket's leader, the member of fewest shingles (then the
     smallest id). Where a leader leaves members of different components, these are put into groups by their rarest shingles (see ``_prefixes``):
     two of them that are similar and share a band are in one group. The second comparison is of all pairs across components in groups of
-    up to ``FULL`` members and of larger groups' members with their leaders, the third of what pairs across components these leave.
-    So no link between texts that share a band is lost. Members that are like one another to nearly the least similarity but not quite,
-    in groups of thousands, can take as many comparisons as they have pairs.
+    up to ``FULL`` members and of larger groups' members with their centres, which have least of their own, the third of what pairs across
+    components these leave. Pairs that a bound shows to be too far apart (see ``_may_reach``) are not compared. So no link between texts that
+    share a band is lost. Members that are like one another to nearly the least similarity but not quite, in groups of thousands,
+    can take as many comparisons as they have pairs.
     ``rounds`` bounds the number of comparisons for those who can do without some links; None, the default, does not.
 
     Null and empty texts have no words: they are copies of one another and near to nothing else. A text
