@@ -20,7 +20,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from gristmill.llm import words
-from gristmill.llm.shared import drop_since, fresh_dir, place, settle, small_batches
+from gristmill.llm.shared import drop_since, fresh_dir, lean, place, settle, small_batches
 
 SHINGLE, SIMILARITY = 5, 0.8
 #: 24 bands of 5 registers: a pair at 0.8 shares a band but for 7 in 100,000; at 0.3 one pair in 18 does.
@@ -233,7 +233,7 @@ def _prefixes(members: DataFrame, sets: DataFrame, least: float) -> DataFrame:
     """
     p, q = Fraction(str(least)).as_integer_ratio()
     n = int(sets.sparkSession.conf.get("spark.sql.shuffle.partitions"))  # by number: sets are few bytes, and many times as many as rows
-    rows = sets.join(members, "id").repartition(n, "id").mapInArrow(_one_by_one, "id long, total int, component long, extra int, key long, weight int")
+    rows = sets.join(members, "id").repartition(n, "id").mapInArrow(lean(_one_by_one), "id long, total int, component long, extra int, key long, weight int")
     shared = rows.groupBy("key").agg(F.count(F.lit(1)).alias("n"), F.min("component").alias("_c"), F.max("component").alias("_d")).filter("_c != _d").select("key", "n")
     found = settle(rows.join(shared, "key").select("key", "id", "total", "extra", "weight", "n"))
     part = F.pmod("key", F.lit(PARTS))
@@ -373,7 +373,7 @@ def _close(compared: DataFrame, sets: DataFrame, labels: DataFrame, bands: DataF
             found = found.join(bands.select(F.col("id").alias(end), F.col("bands").alias(f"_{end}")), end)
         found = settle(found.filter(F.arrays_overlap("_a", "_b")).select("a", "b"))
         if not found.isEmpty():
-            new = settle(_with_sets(found, sets, many).mapInArrow(_compare(least), COMPARED))
+            new = settle(_with_sets(found, sets, many).mapInArrow(lean(_compare(least)), COMPARED))
             labels, done = merge_labels(labels, new.filter("similar").select("a", "b"), many), done.union(found.select(*ends()))
     return labels
 
@@ -403,7 +403,7 @@ def near_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     small_batches(docs.sparkSession)
     many = max(docs.count() // 1000, 100)
     rows_in = docs.select(docs[id_col].cast("long").alias("doc_id"), docs[text_col].cast("string").alias("text"))
-    signed = settle(rows_in.mapInArrow(_sign(k, bands, rows), SIGNED))
+    signed = settle(rows_in.mapInArrow(lean(_sign(k, bands, rows)), SIGNED))
     copies = settle(signed.groupBy("digest").agg(F.min("doc_id").alias("copy_id"), F.any_value("total").alias("total"), F.any_value("bands").alias("bands"), F.count(F.lit(1)).alias("n")))
     begun = place()
     entries = settle(copies.filter(F.col("copy_id").isNotNull()).select(F.explode("bands").alias("key"), F.col("copy_id").alias("id"), "total"))
@@ -412,8 +412,8 @@ def near_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     if not pairs.isEmpty():
         ids = settle(pairs.select(F.explode(F.array("a", "b")).alias("doc_id")).distinct())
         texts = rows_in.join(ids, "doc_id", "left_semi").groupBy(F.col("doc_id").alias("id")).agg(F.min("text").alias("text"))
-        sets = settle(texts.mapInArrow(_shingle_sets(k), SETS))
-        new = settle(_with_sets(pairs, sets, many).mapInArrow(_compare(similarity), COMPARED))
+        sets = settle(texts.mapInArrow(lean(_shingle_sets(k)), SETS))
+        new = settle(_with_sets(pairs, sets, many).mapInArrow(lean(_compare(similarity)), COMPARED))
         labels = components(new.filter("similar").select("a", "b"), many)
         if rounds is None or rounds > 1:
             labels = _close(new, sets, labels, copies.select(F.col("copy_id").alias("id"), "bands"), similarity, many, rounds)

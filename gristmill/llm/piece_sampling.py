@@ -21,7 +21,7 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 
 from gristmill.llm import words
-from gristmill.llm.shared import small_batches
+from gristmill.llm.shared import lean, small_batches
 
 #: Log probabilities are kept in steps of 2 ** -30: their sums are exact and do not depend on the chunk.
 UNIT = 1 << 30
@@ -491,7 +491,7 @@ def encode_samples(docs: DataFrame, model: str, samples: int = 2, alpha: float =
 
     small_batches(docs.sparkSession)
     rows = docs.select(docs[id_col].cast("long").alias("doc_id"), docs[text_col].cast("string").alias("text"))
-    return rows.mapInArrow(run, ENCODED)
+    return rows.mapInArrow(lean(run), ENCODED)
 
 
 def decode_samples(encoded: DataFrame, model: str) -> DataFrame:
