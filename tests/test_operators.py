@@ -3,6 +3,7 @@ import random
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -102,6 +103,23 @@ def test_blocks_of_questions_and_rows_meet_over_many_partitions(spark):
         assert found[found.qid == q].sort_values("rank")["id"].tolist() == sorted(range(90), key=lambda i: (-scores[q, i], i))[:5]
 
 
+@pytest.mark.parametrize("cells", [vector._Best.CELLS, 64])
+def test_the_best_rows_among_copies_and_odd_vectors(cells):
+    rng = np.random.default_rng(3)
+    v = np.tile(rng.normal(size=(30, 4)).astype(np.float32), (4, 1))  # every vector four times
+    v[5], v[17] = np.nan, np.inf
+    ids = rng.permutation(len(v))
+    q = np.concatenate([v[:12], v[:1]])  # two queries of one id
+    best = vector._Best(pa.array(np.concatenate([ids[:12], ids[:1]])), q, 6, True, 3)
+    best.CELLS = cells
+    for first in range(0, len(v), 50):
+        best.add(pa.array(ids[first : first + 50]), v[first : first + 50])
+    assert len(best.query) == 6 * 12  # none of the query that is no number
+    for n in set(range(13)) - {5}:
+        scores = {int(i): round(float(q[n].astype(float) @ x.astype(float)), 3) for i, x in zip(ids, v, strict=True) if np.isfinite(x).all() and i != ids[n % 12]}
+        assert sorted(best.id.to_numpy()[best.query == n]) == sorted(sorted(scores, key=lambda i: (-scores[i], i))[:6])
+
+
 @pytest.mark.parametrize("seed", range(3))
 def test_splits_keep_laws_whole(spark, seed):
     rng = random.Random(seed)

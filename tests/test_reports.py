@@ -5,10 +5,14 @@ import pytest
 from pyspark.sql import functions as F
 
 from gristmill.functions import text as T
-from gristmill.operators import stats
+from gristmill.operators import stats, vector
+from gristmill.plans import reports
 from gristmill.sources import report
 
 
+SF = "/root/testdata/sf0.001"
+
+
 def _hits(rows):
     """variant, seed, law, base_hit, other_hit and the outcome."""
     outcome = {(0, 1): "fixed", (1, 0): "broken", (1, 1): "both_right", (0, 0): "both_wrong"}
@@ -93,3 +97,29 @@ def test_model_names(spark, tmp_path):
     assert (T.profile_of("google/embeddinggemma-300m"), T.profile_of("/models/run/best"), T.profile_of("runs/best", exists=True)) == ("gemma", "e5", "e5")
     with pytest.raises(ValueError, match="no profile"):
         T.profile_of("other/model")
+
+
+def _counted(spark, monkeypatch):
+    """How many rows rankings give while queries run, and the rankings that were asked for: depth and, by columns, rows."""
+    rows, asked, search = spark.sparkContext.accumulator(0), [], vector.batch_knn
+
+    def counting(queries, corpus, k, **more):
+        found = search(queries, corpus, k, **more)
+        asked.append((k, found))
+
+        def count(batches):
+            for batch in batches:
+                rows.add(batch.num_rows)
+                yield batch
+
+        return found.mapInArrow(count, found.schema)
+
+    monkeypatch.setattr(vector, "batch_knn", counting)
+    return rows, asked
+
+
+def test_questions_are_ranked_once_for_judged_negatives(spark, monkeypatch):
+    rows, asked = _counted(spark, monkeypatch)
+    reports.replaced_negatives(spark, SF).collect()
+    (depth, ranked), = asked
+    assert rows.value == ranked.count() and depth == 30
