@@ -123,3 +123,10 @@ def test_questions_are_ranked_once_for_judged_negatives(spark, monkeypatch):
     reports.replaced_negatives(spark, SF).collect()
     (depth, ranked), = asked
     assert rows.value == ranked.count() and depth == 30
+
+
+def test_each_model_is_ranked_once_for_a_decision(spark, monkeypatch):
+    rows, asked = _counted(spark, monkeypatch)
+    got = {r.variant: r.accepted for r in reports.decision(spark, SF).collect()}
+    assert rows.value == sum(ranked.count() for _, ranked in asked) and len(asked) == 3
+    assert [k for k, _ in asked] == [3, 3, 3] and set(got) == {"32 dimensions", "64 dimensions"}
