@@ -21,7 +21,7 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 
 from gristmill.llm import words
-from gristmill.llm.shared import lean, small_batches
+from gristmill.llm.shared import give_back, lean, small_batches
 
 #: Log probabilities are kept in steps of 2 ** -30: their sums are exact and do not depend on the chunk.
 UNIT = 1 << 30
@@ -39,7 +39,7 @@ def _power(base: int, n: int) -> np.ndarray:
     """base ** i modulo 2 ** 64 for i below n."""
     have = _powers.get(base)
     if have is None or len(have) < n:
-        have = np.full(max(n, 2 * CHUNK_BYTES), base, np.uint64)
+        have = np.full(max(n, CHUNK_BYTES), base, np.uint64)
         have[0] = 1
         have = np.multiply.accumulate(have)
         if n <= 8 * CHUNK_BYTES:
@@ -119,7 +119,7 @@ class Pieces:
         self.there[_slot(h)] |= 2
         # Which of the hashes may be at a slot; of several pieces of one slot the others are searched for.
         slots, many = np.unique(_slot(self.hashes), return_counts=True)
-        self.at_slot = np.zeros(1 << 22, np.int32)
+        self.at_slot = np.zeros(1 << 22, np.int16 if len(self.hashes) < 1 << 15 else np.int32)
         self.at_slot[_slot(self.hashes)] = np.arange(len(self.hashes))
         self.at_slot[slots[many > 1]] = -1
         self.longest = int(size.max())
@@ -154,10 +154,26 @@ class Lattice:
     """Arcs of the lattices of distinct units, by their first place in ``data``."""
 
     def __init__(self, pieces: Pieces, data: np.ndarray, offsets: np.ndarray, alpha: float):
+        # A step of its own for each: what it needs beside its result is freed when it ends.
+        end = np.repeat(offsets[1:], np.diff(offsets))
+        first, last, piece = self._arcs(pieces, data, end)
+        self.first, self.off = first, np.searchsorted(first, np.arange(len(data) + 1))
+        inside = last < (end[first] if len(data) else 0)
+        logp = self._log_probs(pieces, first, last, piece, inside, end, alpha)
+        # The likeliest arc of a place comes first: a draw seldom looks at a second one.
+        rank = (-logp & ~63) | np.minimum(last - first, 63)
+        order = np.lexsort((rank, first)) if len(data) >> 25 else np.argsort((first << 38) + rank)
+        del rank
+        self.last, self.piece, self.inside, self.logp = last[order], piece[order], inside[order], logp[order]
+        del last, piece, inside, logp, order
+        self.p = p = np.exp(self.logp / UNIT)
+        self.upto = self._upto(p)
+        self.log_rest = self._log_rest(p)
+
+    @staticmethod
+    def _arcs(pieces: Pieces, data: np.ndarray, end: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """First and last place and piece of all arcs, by first place and length; ``end`` is where each place's unit ends."""
         n = len(data)
-        size = np.diff(offsets)
-        end = np.repeat(offsets[1:], size)
-        place = np.arange(n)
         sums = _sums(data)
         back = _power(_INVERSE, n + 1)[:n]
         opens = (data & 0xC0) != 0x80
@@ -186,39 +202,48 @@ class Lattice:
         first.append(at)
         last.append(np.minimum(at + width[at], end[at]))
         piece.append(np.full(len(at), -1))
-        first, last, piece = (np.concatenate(x) for x in (first, last, piece))
-        order = np.argsort(first, kind="stable")  # they come by length, in ascending order for each
-        first, self.last, self.piece = first[order], last[order], piece[order]
-        score = alpha * np.where(self.piece >= 0, pieces.score[self.piece], pieces.byte_score * (self.last - first))
-        self.off = np.searchsorted(first, np.arange(n + 1))
+        found = [first, last, piece]
+        del first, last, piece, sums
+        order = np.argsort(np.concatenate(found[0]), kind="stable")  # they come by length, in ascending order for each
+        return tuple(np.concatenate(found.pop(0))[order] for _ in range(3))
+
+    def _log_probs(self, pieces: Pieces, first: np.ndarray, last: np.ndarray, piece: np.ndarray, inside: np.ndarray, end: np.ndarray, alpha: float) -> np.ndarray:
+        """Each arc's log probability at its place, in steps of ``UNIT``."""
+        n = len(end)
+        score = alpha * np.where(piece >= 0, pieces.score[piece], pieces.byte_score * (last - first))
         # Log sum over all ways from a place to its unit's end, from the end backwards, all units at once.
         total = np.zeros(n + 1)
         rest = (end[first] - first) if n else np.zeros(0, np.int64)
-        by = np.argsort(rest.astype(np.uint16) if rest.max(initial=0) < 1 << 16 else rest, kind="stable")
-        cuts = np.r_[0, np.flatnonzero(np.diff(rest[by])) + 1, len(by)]
-        inside = self.last < (end[first] if n else 0)
+        rest = rest.astype(np.uint16) if rest.max(initial=0) < 1 << 16 else rest
+        by = np.argsort(rest, kind="stable")
+        cuts = np.r_[0, np.flatnonzero(rest[by][1:] != rest[by][:-1]) + 1, len(by)]
         for a, b in zip(cuts[:-1], cuts[1:], strict=True) if len(by) else ():
             arcs = by[a:b]
-            value = score[arcs] + np.where(inside[arcs], total[self.last[arcs]], 0.0)
+            value = score[arcs] + np.where(inside[arcs], total[last[arcs]], 0.0)
             heads = first[arcs]
             starts = np.r_[0, np.flatnonzero(np.diff(heads)) + 1]
             total[heads[starts]] = np.logaddexp.reduceat(value, starts)
-        logp = np.rint(np.minimum(score + np.where(inside, total[self.last], 0.0) - total[first], 0.0) * UNIT).astype(np.int64)
-        # The likeliest arc of a place comes first: a draw seldom looks at a second one.
-        order = np.lexsort(((-logp & ~63) | np.minimum(self.last - first, 63), first)) if n >> 25 else np.argsort((first << 38) + ((-logp & ~63) | np.minimum(self.last - first, 63)))
-        self.first, self.last, self.piece, self.inside, self.logp = first, self.last[order], self.piece[order], inside[order], logp[order]
-        self.p = p = np.exp(self.logp / UNIT)
+        del by, rest
+        score += np.where(inside, total[last], 0.0)
+        score -= total[first]
+        return np.rint(np.minimum(score, 0.0, out=score) * UNIT).astype(np.int64)
+
+    def _upto(self, p: np.ndarray) -> np.ndarray:
+        """Running sums of probabilities within each place."""
         sums = np.cumsum(p)
-        self.upto = sums - (sums - p)[self.off[first]] if n else sums
-        # Log probability of all other arcs of an arc's place; that of the likeliest is summed without it.
+        return sums - (sums - p)[self.off[self.first]] if len(self.off) > 1 else sums
+
+    def _log_rest(self, p: np.ndarray) -> np.ndarray:
+        """Log probability of all other arcs of an arc's place; that of the likeliest is summed without it."""
         heads = self.off[:-1][np.diff(self.off) > 0]
         tails = p.copy()
         tails[heads] = 0
         others = np.repeat(np.add.reduceat(tails, heads), np.diff(np.append(heads, len(p)))) if len(p) else p
+        del tails
         likeliest = np.zeros(len(p), bool)
         likeliest[heads] = True
         with np.errstate(divide="ignore"):
-            self.log_rest = np.log(np.where(likeliest, others, others + p[self.off[first]] - p))
+            return np.log(np.where(likeliest, others, others + p[self.off[self.first]] - p))
 
     def chosen(self, starts: np.ndarray, sizes: np.ndarray) -> Lattice:
         """The lattice of some units alone, by their first bytes and sizes, in this order."""
@@ -234,12 +259,13 @@ class Lattice:
         return out
 
     def and_then(self, other: Lattice) -> Lattice:
-        """Both lattices, the other's places behind this one's."""
+        """Both lattices, the other's places behind this one's. Both are used up: what is copied is freed."""
         out, places = Lattice.__new__(Lattice), len(self.off) - 1
         out.off = np.concatenate([self.off[:-1], other.off + self.off[-1]])
-        out.first, out.last = np.concatenate([self.first, other.first + places]), np.concatenate([self.last, other.last + places])
-        for name in Lattice.OF_ARCS:
-            setattr(out, name, np.concatenate([getattr(self, name), getattr(other, name)]))
+        for name in ("first", "last"):
+            other.__dict__[name] += places
+        for name in ("first", "last", *Lattice.OF_ARCS):
+            setattr(out, name, np.concatenate([self.__dict__.pop(name), other.__dict__.pop(name)]))
         return out
 
     #: What is kept of an arc besides its places.
@@ -448,7 +474,10 @@ _pieces: dict[str, Pieces] = {}
 
 
 def _vocabulary(model: str) -> Pieces:
-    return _pieces.get(model) or _pieces.setdefault(model, Pieces(model))
+    if model not in _pieces:
+        _pieces[model] = Pieces(model)
+        give_back()
+    return _pieces[model]
 
 
 ENCODED = "doc_id long, sample int, ids array<int>, log_prob double, inclusion double"
@@ -470,24 +499,28 @@ def encode_samples(docs: DataFrame, model: str, samples: int = 2, alpha: float =
     if samples < 1:
         raise ValueError("samples must be positive")
 
+    def encode(part: pa.RecordBatch, pieces: Pieces, units: Units) -> Iterator[pa.RecordBatch]:
+        text = pc.replace_substring(pc.fill_null(part.column("text"), ""), "▁", " ")
+        ids = pc.fill_null(part.column("doc_id"), -(1 << 63)).to_numpy().view(np.uint64)
+        keys = words.mix(words.mix(ids + np.uint64(0xA0761D6478BD642F)) + np.uint64(seed * 0xE7037ED1A0B428DB & 0xFFFFFFFFFFFFFFFF))
+        sampler = Sampler(pieces, text, keys, samples, alpha, units)
+        paths, found, ends = sampler.run()
+        for k, (path, (alive, total, _)) in enumerate(zip(paths, found, strict=True)):
+            flat, counts = sampler.ids(path)
+            lists = pa.ListArray.from_arrays(pa.array(np.r_[0, np.cumsum(counts)], pa.int32()), pa.array(flat, pa.int32()))
+            logp = total / UNIT
+            inclusion = np.where(np.isfinite(ends), -np.expm1(-np.exp(np.minimum(logp - np.where(np.isfinite(ends), ends, 0), 700))), 1.0)
+            there = pa.array(alive)
+            columns = (part.column("doc_id"), pa.array(np.full(sampler.n, k), pa.int32()), lists, pa.array(logp), pa.array(inclusion))
+            yield pa.RecordBatch.from_arrays([c.filter(there) for c in columns], ["doc_id", "sample", "ids", "log_prob", "inclusion"])
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         pieces = _vocabulary(model)
         units = Units(pieces, alpha)
         for batch in batches:
             for part in words.chunks(batch, "text", CHUNK_BYTES):
-                text = pc.replace_substring(pc.fill_null(part.column("text"), ""), "▁", " ")
-                ids = pc.fill_null(part.column("doc_id"), -(1 << 63)).to_numpy().view(np.uint64)
-                keys = words.mix(words.mix(ids + np.uint64(0xA0761D6478BD642F)) + np.uint64(seed * 0xE7037ED1A0B428DB & 0xFFFFFFFFFFFFFFFF))
-                sampler = Sampler(pieces, text, keys, samples, alpha, units)
-                paths, found, ends = sampler.run()
-                for k, (path, (alive, total, _)) in enumerate(zip(paths, found, strict=True)):
-                    flat, counts = sampler.ids(path)
-                    lists = pa.ListArray.from_arrays(pa.array(np.r_[0, np.cumsum(counts)], pa.int32()), pa.array(flat, pa.int32()))
-                    logp = total / UNIT
-                    inclusion = np.where(np.isfinite(ends), -np.expm1(-np.exp(np.minimum(logp - np.where(np.isfinite(ends), ends, 0), 700))), 1.0)
-                    there = pa.array(alive)
-                    columns = (part.column("doc_id"), pa.array(np.full(sampler.n, k), pa.int32()), lists, pa.array(logp), pa.array(inclusion))
-                    yield pa.RecordBatch.from_arrays([c.filter(there) for c in columns], ["doc_id", "sample", "ids", "log_prob", "inclusion"])
+                yield from encode(part, pieces, units)  # a call for each, so that one chunk's lattices go before the next one's come
+            give_back()
 
     small_batches(docs.sparkSession)
     rows = docs.select(docs[id_col].cast("long").alias("doc_id"), docs[text_col].cast("string").alias("text"))

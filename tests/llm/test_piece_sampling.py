@@ -1,4 +1,5 @@
 import math
+import weakref
 from collections import Counter
 
 import numpy as np
@@ -131,3 +132,20 @@ def test_query_agrees_with_all_paths(spark, tmp_path):
             assert r.n_ids == len(path) and r.log_prob == pytest.approx(paths[path], abs=1e-6)
             # A segmentation is among k draws without replacement at least as often as in one draw.
             assert math.exp(r.log_prob) - 1e-9 <= r.inclusion <= 1 + 1e-9
+
+
+def test_a_chunk_is_freed_before_the_next_one_is_built(spark, monkeypatch):
+    runs, built = [], []
+
+    class Watched(S.Sampler):
+        def __init__(self, *args):
+            assert not any(earlier() for earlier in built)
+            built.append(weakref.ref(self))
+            super().__init__(*args)
+
+    monkeypatch.setattr(S, "lean", lambda run: runs.append(run) or run)
+    monkeypatch.setattr(S, "CHUNK_BYTES", 64)
+    monkeypatch.setattr(S, "Sampler", Watched)
+    batch = pa.RecordBatch.from_pydict({"doc_id": list(range(6)), "text": ["some words of a text, of some length"] * 6})
+    S.encode_samples(spark.createDataFrame([(1, "a")], "doc_id long, text string"), MODEL)
+    assert sum(b.num_rows for b in runs[0](iter([batch]))) == 12 and len(built) == 6
